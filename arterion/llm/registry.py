@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arterion.llm import line_dedup
+from arterion.llm import line_dedup, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_line_dedup": line_dedup.op9_line_dedup}
+    return {"op1_secret_scans": secrets.op1_secret_scans, "op9_line_dedup": line_dedup.op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op1_secret_scans": secrets.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
