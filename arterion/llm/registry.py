@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arterion.llm import line_dedup, secrets
+from arterion.llm import line_dedup, secrets, telephony
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_scans": secrets.op1_secret_scans, "op9_line_dedup": line_dedup.op9_line_dedup}
+    return {
+        "op1_secret_scans": secrets.op1_secret_scans,
+        "op4_media_columns": telephony.op4_media_columns,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
