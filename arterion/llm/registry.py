@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arterion.llm import line_dedup, secrets, sentencepieces, telephony
+from arterion.llm import line_dedup, ngram_jaccard, secrets, sentencepieces, telephony
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": secrets.op1_secret_scans,
         "op2_sentencepiece": sentencepieces.op2_sentencepiece,
+        "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
         "op4_media_columns": telephony.op4_media_columns,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }
