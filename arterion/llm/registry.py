@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arterion.llm import line_dedup, ngram_jaccard, secrets, sentencepieces, telephony
+from arterion.llm import line_dedup, ngram_jaccard, quality_fm, secrets, sentencepieces, telephony, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentencepiece": sentencepieces.op2_sentencepiece,
         "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
         "op4_media_columns": telephony.op4_media_columns,
+        "op5_quality": quality_fm.op5_quality,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }
 
