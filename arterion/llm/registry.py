@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arterion.llm import decontamination, line_dedup, ngram_jaccard, quality_fm, secrets, sentencepieces, telephony, toxicity
+from arterion.llm import decontamination, language_id, licenses, line_dedup, ngram_jaccard, quality_fm, secrets, sentencepieces, telephony, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,10 +17,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_media_columns": telephony.op4_media_columns,
         "op5_quality": quality_fm.op5_quality,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_license_scans": licenses.op7_license_scans,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_language_id": language_id.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scans": secrets.ORACLE_SQL, "op8_decontamination": decontamination.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op1_secret_scans": secrets.ORACLE_SQL, "op7_license_scans": licenses.ORACLE_SQL, "op8_decontamination": decontamination.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
