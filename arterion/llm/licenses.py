@@ -76,7 +76,8 @@ KNOWN: dict[str, tuple[str, ...]] = {
 }
 #: Spellings that are one, after lower-casing.
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("non-commercial", "noncommercial"), ("copyright owner", "copyright holder"), ("https://", "http://"))
-_COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*$"
+#: A line that opens with a copyright notice, not one that only opens with the word.
+_COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:c\)|[0-9]{4}|by )|copyright *©|\(c\)|©)[^\n]*\n?"
 _OTHER = r"[^a-z0-9\n]+"
 _BLOCK = r" *\n *(?:\n *)+"
 
