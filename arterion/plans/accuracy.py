@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arterion.operators import accuracy as ops
+from arterion.plans.dialect import both
+
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The accuracy fact view: an estimate and a reference per line item."""
@@ -36,12 +39,136 @@ def scenario_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"acc_scenario_breakdown": scenario_breakdown}
+TOLERANCE = 5000.0
+STATUS = F.when(F.col("conf") < 0.3, "INVALID").when(F.col("conf") < 0.6, "BAD").otherwise("OK")
+STATUS_SQL = "CASE WHEN conf < 0.3 THEN 'INVALID' WHEN conf < 0.6 THEN 'BAD' ELSE 'OK' END"
+
+
+def _metrics_sql(where: str = "true", prefix: str = "") -> str:
+    f = f"FILTER (WHERE est IS NOT NULL AND ref IS NOT NULL AND {where})"
+    e = "(est - ref)"
+    wide = f"1.96 * coalesce(CASE WHEN count({e}) {f} > 1 THEN stddev_samp({e}) {f} END, 0.0)"
+    out = {
+        "count": f"count({e}) {f}", "mae": f"avg(abs({e})) {f}", "rmse": f"sqrt(avg({e} * {e}) {f})", "mape": f"100.0 * avg(abs({e}) / greatest(abs(ref), 1e-9)) {f}", "bias": f"avg({e}) {f}",
+        "loa_lower": f"avg({e}) {f} - {wide}", "loa_upper": f"avg({e}) {f} + {wide}",
+        "pearson_r": f"CASE WHEN count({e}) {f} >= 3 THEN covar_pop(est, ref) {f} / nullif(stddev_pop(est) {f} * stddev_pop(ref) {f}, 0) END",
+        "within_tolerance": f"avg(CASE WHEN abs({e}) <= {TOLERANCE} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) {f}",
+    }
+    return ", ".join(f"{v} AS {prefix}{k}" if k == "count" else f"round({v}, 4) AS {prefix}{k}" for k, v in out.items())
+
+
+def error_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fact(spark, sf_dir).groupBy("method").agg(*ops.error_metrics(F.col("est"), F.col("ref"), TOLERANCE))
+
+
+def legacy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fact(spark, sf_dir).where("ref IS NOT NULL").groupBy("method").agg(*ops.legacy_metrics(F.col("est"), F.col("ref")))
+
+
+def method_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fact(spark, sf_dir).withColumn("status", STATUS)
+    e, r, n = F.col("est"), F.col("ref"), F.count(F.lit(1))
+    pct = [F.round(F.percentile("est", q), 4).alias(f"latency_p{int(q * 100)}") for q in (0.5, 0.95)]
+    return f.groupBy("method").agg(
+        n.alias("windows"), F.round(F.count_if(F.col("status") != "INVALID") / n, 6).alias("coverage"), F.round(F.count_if(F.col("status") == "OK") / n, 6).alias("ok_ratio"), F.round(F.avg("conf"), 6).alias("mean_confidence"),
+        *ops.error_metrics(e, r, TOLERANCE, F.col("status") != "INVALID", "accepted_"), *ops.error_metrics(e, r, TOLERANCE, F.col("status") == "OK", "ok_"), *pct,
+    )
+
+
+def grouped_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By scenario, by status and by confidence bin in one pass over GROUPING SETS."""
+    f = fact(spark, sf_dir).select("method", "scenario", STATUS.alias("status"), ops.confidence_bin(F.col("conf")).alias("bin"), "est", "ref")
+    e = F.col("est") - F.col("ref")
+    sets = [[F.col("method"), F.col(c)] for c in ("scenario", "status", "bin")]
+    return f.groupingSets(sets, "method", "scenario", "status", "bin").agg(F.count(F.lit(1)).alias("windows"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"))
+
+
+BIN_SQL = "CASE WHEN conf >= 0.8 AND conf < 1.0001 THEN '0.8-1.0' WHEN conf >= 0.6 AND conf < 0.8 THEN '0.6-0.8' WHEN conf >= 0.3 AND conf < 0.6 THEN '0.3-0.6' WHEN conf >= 0 AND conf < 0.3 THEN '0.0-0.3' END"
+
+
+def confidence_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows and error of each bin; bins without windows stay."""
+    f = fact(spark, sf_dir).groupBy(ops.confidence_bin(F.col("conf")).alias("bin")).agg(F.count(F.lit(1)).alias("windows"), F.round(F.avg(F.abs(F.col("est") - F.col("ref"))), 4).alias("mae"))
+    names = spark.createDataFrame([(f"{a:.1f}-{min(b, 1.0):.1f}",) for a, b in ops.CONFIDENCE_BINS], "bin string")
+    return names.join(f, "bin", "left").select("bin", F.coalesce("windows", F.lit(0)).cast("long").alias("windows"), "mae")
+
+
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.calibration_error(fact(spark, sf_dir).withColumn("hit", F.abs(F.col("est") - F.col("ref")) <= TOLERANCE).where("hit IS NOT NULL"), "conf", "hit")
+
+
+def worst_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fact(spark, sf_dir).where("ref IS NOT NULL")
+    tie = ["l_orderkey", "l_linenumber", "est", "ref"]
+    return ops.worst(f, "method", F.col("est") - F.col("ref"), tie).select("method", "scenario", "rank", F.round(F.col("est") - F.col("ref"), 4).alias("error"), F.round("ref", 4).alias("ref"))
+
+
+QUERIES = {
+    "acc_scenario_breakdown": scenario_breakdown, "acc_error_metrics": error_metrics, "acc_legacy_metrics": legacy_metrics, "acc_method_summary": method_summary,
+    "acc_grouping_sets": grouped_errors, "acc_conf_bins": confidence_bins, "ece": calibration, "worst_k": worst_windows,
+}
 ORACLES = {
     "acc_scenario_breakdown": f"""
 WITH f AS ({FACT_SQL})
 SELECT method, scenario, count(*) AS windows, round(count(est - ref) / count(*), 6) AS coverage,
        round(avg(abs(est - ref)), 4) AS mae
 FROM f GROUP BY method, scenario
-"""
+""",
+    "acc_error_metrics": f"WITH f AS ({FACT_SQL}) SELECT method, {_metrics_sql()} FROM f GROUP BY method",
+    "acc_legacy_metrics": f"""
+WITH f AS ({FACT_SQL})
+SELECT method, round(avg(abs(est - ref)), 4) AS mae, round(sqrt(avg((est - ref) * (est - ref))), 4) AS rmse,
+       round(100.0 * avg(CASE WHEN ref <> 0 THEN abs(est - ref) / abs(ref) END), 4) AS mape,
+       round(coalesce(covar_pop(est, ref) / nullif(stddev_pop(est) * stddev_pop(ref), 0), 0.0), 4) AS pearson
+FROM f WHERE ref IS NOT NULL GROUP BY method
+""",
+    "acc_method_summary": f"""
+WITH f AS (SELECT *, {STATUS_SQL} AS status FROM ({FACT_SQL}))
+SELECT method, count(*) AS windows, round(count(*) FILTER (WHERE status <> 'INVALID') / count(*), 6) AS coverage,
+       round(count(*) FILTER (WHERE status = 'OK') / count(*), 6) AS ok_ratio, round(avg(conf), 6) AS mean_confidence,
+       {_metrics_sql("status <> 'INVALID'", "accepted_")}, {_metrics_sql("status = 'OK'", "ok_")},
+       round(quantile_cont(est, 0.5), 4) AS latency_p50, round(quantile_cont(est, 0.95), 4) AS latency_p95
+FROM f GROUP BY method
+""",
+    "acc_grouping_sets": f"""
+WITH f AS (SELECT method, scenario, {STATUS_SQL} AS status, {BIN_SQL} AS bin, est, ref FROM ({FACT_SQL}))
+SELECT method, scenario, status, bin, count(*) AS windows, round(avg(abs(est - ref)), 4) AS mae, round(sqrt(avg((est - ref) * (est - ref))), 4) AS rmse
+FROM f GROUP BY GROUPING SETS ((method, scenario), (method, status), (method, bin))
+""",
+    "acc_conf_bins": f"""
+WITH f AS (SELECT {BIN_SQL} AS bin, est, ref FROM ({FACT_SQL})), g AS (SELECT bin, count(*) AS windows, round(avg(abs(est - ref)), 4) AS mae FROM f GROUP BY bin)
+SELECT n.bin, coalesce(windows, 0) AS windows, mae FROM (VALUES ('0.0-0.3'), ('0.3-0.6'), ('0.6-0.8'), ('0.8-1.0')) n(bin) LEFT JOIN g ON g.bin = n.bin
+""",
+    "ece": f"""
+WITH f AS (SELECT conf, abs(est - ref) <= {TOLERANCE} AS hit FROM ({FACT_SQL}) WHERE ref IS NOT NULL),
+g AS (SELECT least(floor(conf * 10), 9) AS bin, count(*) AS n, avg(conf) AS c, avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS h FROM f GROUP BY 1)
+SELECT round(sum(n * abs(c - h)) / sum(n), 6) AS ece, CAST(sum(n) AS BIGINT) AS windows FROM g
+""",
+    "worst_k": f"""
+WITH f AS ({FACT_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY abs(est - ref) DESC, l_orderkey, l_linenumber, est, ref) AS rank FROM f WHERE ref IS NOT NULL)
+SELECT method, scenario, CAST(rank AS INTEGER) AS rank, round(est - ref, 4) AS error, round(ref, 4) AS ref FROM r WHERE rank <= 5
+""",
 }
+
+# Written once for both engines.
+_F = """WITH f AS (SELECT l_returnflag AS method, l_linestatus AS scenario, l_suppkey AS subject, DBL(l_extendedprice) AS est, DBL(l_quantity) * DBL(p_retailprice) AS ref,
+ greatest(DBL(0), least(DBL(1), 1 - 10 * DBL(l_discount))) AS conf FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+_Q, _O = both({
+    "acc_percentiles": f"{_F} SELECT method, round(PCT(est, 0.5), 4) AS p50, round(PCT(est, 0.95), 4) AS p95, round(avg(est), 4) AS mean, max(est) AS top FROM f GROUP BY method",
+    "acc_issue_counts": f"""{_F}, c AS (SELECT method, COMPACT(CASE WHEN conf < 0.3 THEN 'VERY_LOW_CONFIDENCE' WHEN conf < 0.6 THEN 'LOW_CONFIDENCE' END, CASE WHEN est > 60000 THEN 'OUT_OF_PHYSIOLOGICAL_RANGE' END) AS codes FROM f),
+ e AS (SELECT method, code FROM (SELECT method, explode_outer_marker AS code FROM (SELECT method, CASE WHEN SIZE(codes) > 0 THEN JOINED(codes) END AS explode_outer_marker FROM c) x) y WHERE code IS NOT NULL)
+ SELECT method, code, count(*) AS n FROM e GROUP BY method, code""",
+    "bp_style_grades": f"""{_F}, e AS (SELECT method, (est - ref) / 1000 AS e FROM f),
+ s AS (SELECT method, avg(abs(e)) AS mae, avg(e) AS me, stddev_samp(e) AS sd, avg(CASE WHEN abs(e) <= 5 THEN DBL(1) ELSE DBL(0) END) AS w5, avg(CASE WHEN abs(e) <= 10 THEN DBL(1) ELSE DBL(0) END) AS w10,
+  avg(CASE WHEN abs(e) <= 15 THEN DBL(1) ELSE DBL(0) END) AS w15 FROM e GROUP BY method)
+ SELECT method, round(mae, 6) AS mae, round(me, 6) AS me, round(sd, 6) AS sd, round(w5, 6) AS within_5, round(w10, 6) AS within_10, round(w15, 6) AS within_15, abs(me) <= 5 AND sd <= 8 AS meets_aami,
+  CASE WHEN w5 >= 0.6 AND w10 >= 0.85 AND w15 >= 0.95 THEN 'A' WHEN w5 >= 0.5 AND w10 >= 0.75 AND w15 >= 0.9 THEN 'B' WHEN w5 >= 0.4 AND w10 >= 0.65 AND w15 >= 0.85 THEN 'C' ELSE 'D' END AS bhs_grade FROM s""",
+    "two_level_gate": f"""{_F}, m AS (SELECT subject, avg(est) AS s, avg(ref) AS d FROM f GROUP BY subject)
+ SELECT count(*) AS subjects, round(avg(CASE WHEN s <= 30000 THEN DBL(1) ELSE DBL(0) END), 6) AS low, round(avg(CASE WHEN s >= 40000 THEN DBL(1) ELSE DBL(0) END), 6) AS high,
+  round(avg(CASE WHEN d >= 35000 THEN DBL(1) ELSE DBL(0) END), 6) AS elevated, count(*) >= 85 AS enough FROM m""",
+    "training_bounds": "SELECT p_brand AS feature, min(p_retailprice) AS lowest, max(p_retailprice) AS highest, PCT(p_retailprice, 0.5) AS middle FROM part GROUP BY p_brand",
+    "rank_auc": """WITH x AS (SELECT l.toxic, d.n_chars, row_number() OVER (ORDER BY d.n_chars, d.doc_id) AS r FROM labels l JOIN documents d ON l.doc_id = d.doc_id)
+ SELECT round((sum(CASE WHEN toxic = 1 THEN DBL(r) ELSE DBL(0) END) - sum(toxic) * (sum(toxic) + 1) / DBL(2)) / nullif(sum(toxic) * (count(*) - sum(toxic)), 0), 8) AS auc FROM x""",
+})
+QUERIES |= _Q
+ORACLES |= _O

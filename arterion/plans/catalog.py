@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arterion.plans import accuracy
+from arterion.plans import accuracy, relational, stream_views
+
+MODULES = (accuracy, relational, stream_views)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accuracy.QUERIES["acc_scenario_breakdown"](spark, sf_dir)
+    return accuracy.QUERIES["acc_error_metrics"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(accuracy.QUERIES)
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(accuracy.ORACLES)
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
