@@ -8,9 +8,14 @@ windows is checked slot by slot: wherever the item's template has a
 placeholder, one value of the item must always meet one value of the document.
 Equal values are a verbatim leak, other ones a re-parameterised question.
 
-The benchmark's windows are counted first and broadcast only up to
-``MOST_BROADCAST``; beyond it the join shuffles window hashes.  Texts are
-shuffled once, against the few documents that have candidates.
+Every window of an item has an anchor, its longest literal word.  A document can
+cover enough windows only if it holds the anchors of as many, which a join of
+its words with the anchors tells at the cost of splitting it; only documents
+that pass are put into templates.  This leaves out no match.
+
+The benchmark's windows are counted first and it is broadcast only up to
+``MOST_BROADCAST``; beyond it the joins shuffle words or hashes.  Texts are
+shuffled once, against the few documents that pass.
 
 Defined results: a null or empty text, or item, has no windows and no match;
 items shorter than WINDOW are one window of their own length; rows that repeat
@@ -24,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterion.llm.common import table, text_or_empty
+from arterion.llm.common import stash, table, text_or_empty
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -84,7 +89,7 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 
 def item_windows(listed: DataFrame) -> DataFrame:
-    """(item_id, size, at, window, n_windows) of windows with enough literal words (as many as a short item has)."""
+    """(item_id, size, at, window, anchor, n_windows) of windows with enough literal words (as many as a short item has)."""
     starts = F.sequence(F.lit(0), F.size("tokens") - F.col("size"))
     rows = listed.select("item_id", "size", "tokens", F.transform("tokens", lambda x: F.xxhash64(x["c"])).alias("_h"), F.explode(starts).alias("at"))
     part = F.slice("tokens", F.col("at") + 1, F.col("size"))
@@ -92,11 +97,23 @@ def item_windows(listed: DataFrame) -> DataFrame:
     window = F.lit(None).cast("long")
     for k in range(1, WINDOW + 1):
         window = F.when(F.col("size") == k, F.xxhash64(*[F.get(F.col("_h"), F.col("at") + j) for j in range(k)])).otherwise(window)
-    rows = rows.where(literal >= F.least(F.lit(LITERALS), F.col("size"))).select("item_id", "size", "at", window.alias("window"))
+    # Also, its longest literal word, of several the first by order.
+    words = F.transform(F.filter(part, lambda x: ~F.startswith(x["c"], F.lit("#"))), lambda x: F.struct((-F.length(x["c"])).alias("n"), x["c"].alias("c")))
+    rows = rows.where(literal >= F.least(F.lit(LITERALS), F.col("size"))).select("item_id", "size", "at", window.alias("window"), F.array_min(words)["c"].alias("anchor"))
     n = rows.groupBy("item_id").agg(F.count(F.lit(1)).cast("int").alias("n_windows"))
     return rows.join(n, "item_id")
 
 
+def candidates(docs: DataFrame, known: DataFrame, coverage: float, small: bool) -> DataFrame:
+    """The rows (doc_id, text) of documents that hold the anchors of enough windows of some item."""
+    anchors = known.groupBy("item_id", "n_windows", "anchor").agg(F.count(F.lit(1)).alias("weight"))
+    words = docs.select("doc_id", F.explode(F.split(F.lower(text_or_empty()), r"[^\p{L}]+", -1)).alias("anchor"))
+    met = words.join(F.broadcast(anchors) if small else anchors, "anchor").groupBy("doc_id", "item_id", "n_windows", "anchor").agg(F.max("weight").alias("weight"))
+    enough = met.groupBy("doc_id", "item_id", "n_windows").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= coverage * F.col("n_windows"))
+    wanted = enough.select(F.col("doc_id").alias("_doc")).distinct()
+    return docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "text")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows, n_slots, verbatim): documents that hold an item, and which.
 
@@ -108,8 +125,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     if not sizes:
         empty = "doc_id {}, item_id {}, n_matched long, n_windows int, n_slots int, verbatim boolean"
         return docs.sparkSession.createDataFrame([], empty.format(docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()))
-    probe = F.broadcast(known) if sum(sizes.values()) <= most_broadcast else known
-    hashed = templated(docs, "doc_id").select("doc_id", F.transform("tokens", lambda x: F.xxhash64(x["c"])).alias("_h"))
+    small = sum(sizes.values()) <= most_broadcast
+    probe = F.broadcast(known) if small else known
+    held, _ = stash(docs.sparkSession, templated(candidates(docs, known, coverage, small), "doc_id"), "templates")
+    hashed = held.select("doc_id", F.transform("tokens", lambda x: F.xxhash64(x["c"])).alias("_h"))
     found = None
     for size in sorted(sizes):
         one = hashed.select("doc_id", F.posexplode(_windows(size)).alias("pos", "window")).join(probe.where(F.col("size") == size), "window")
@@ -121,10 +140,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     pairs = pairs.where(F.col("n_matched") >= coverage * F.col("n_windows"))
 
     pairs = pairs.join(listed.select("item_id", "size", F.col("tokens").alias("own")), "item_id")
-    both = docs.select(F.col("doc_id").alias("_doc"), "text").join(pairs.hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("doc_id")))
-    raw, tokens = template(text_or_empty())
-    names = ["doc_id", "item_id", "n_matched", "n_windows", "size", "own", "places"]
-    both = both.select(*names, raw.alias("_raw")).select(*names, tokens().alias("tokens"))
+    both = held.select(F.col("doc_id").alias("_doc"), "tokens").join(pairs, F.col("_doc").eqNullSafe(F.col("doc_id")))
 
     def slots(place: Column) -> Column:
         step = lambda k: F.struct(F.get(F.col("own"), place["at"] + k)["c"].alias("kind"), F.get(F.col("own"), place["at"] + k)["r"].alias("item"), F.get(F.col("tokens"), place["pos"] + k)["r"].alias("doc"))
