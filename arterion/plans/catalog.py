@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arterion.plans import accuracy, relational, signals, stream_views
+from arterion.plans import accuracy, learning, relational, signals, stream_views
 
-MODULES = (accuracy, relational, stream_views, signals)
+MODULES = (accuracy, relational, stream_views, signals, learning)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
