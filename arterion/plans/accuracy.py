@@ -40,7 +40,12 @@ def scenario_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOLERANCE = 5000.0
-STATUS = F.when(F.col("conf") < 0.3, "INVALID").when(F.col("conf") < 0.6, "BAD").otherwise("OK")
+
+
+def status():
+    return F.when(F.col("conf") < 0.3, "INVALID").when(F.col("conf") < 0.6, "BAD").otherwise("OK")
+
+
 STATUS_SQL = "CASE WHEN conf < 0.3 THEN 'INVALID' WHEN conf < 0.6 THEN 'BAD' ELSE 'OK' END"
 
 
@@ -66,7 +71,7 @@ def legacy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def method_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fact(spark, sf_dir).withColumn("status", STATUS)
+    f = fact(spark, sf_dir).withColumn("status", status())
     e, r, n = F.col("est"), F.col("ref"), F.count(F.lit(1))
     pct = [F.round(F.percentile("est", q), 4).alias(f"latency_p{int(q * 100)}") for q in (0.5, 0.95)]
     return f.groupBy("method").agg(
@@ -77,7 +82,7 @@ def method_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grouped_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By scenario, by status and by confidence bin in one pass over GROUPING SETS."""
-    f = fact(spark, sf_dir).select("method", "scenario", STATUS.alias("status"), ops.confidence_bin(F.col("conf")).alias("bin"), "est", "ref")
+    f = fact(spark, sf_dir).select("method", "scenario", status().alias("status"), ops.confidence_bin(F.col("conf")).alias("bin"), "est", "ref")
     e = F.col("est") - F.col("ref")
     sets = [[F.col("method"), F.col(c)] for c in ("scenario", "status", "bin")]
     return f.groupingSets(sets, "method", "scenario", "status", "bin").agg(F.count(F.lit(1)).alias("windows"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"))
