@@ -2,23 +2,37 @@
 
 A document's tokens are its distinct word shingles, as 64-bit hashes.  Two sets
 can reach the threshold only if few tokens of either are missing in the other,
-so it is enough to index a prefix of each set under one global order.  Tokens
-that many documents hold form classes of their own: they come last in the
-order, fall into subgroups by hash, and are indexed not singly but as
-combinations of k tokens of one subgroup; the prefix is extended until even the
-worst placed missing tokens leave one rare token or one k-combination in
-common.  The number of subgroups follows the set's size band, so a set is
-indexed for its own band and, near an edge, for that of a smaller partner.
+so it is enough to index a prefix of each set under one global order.  The
+order has four classes of tokens:
+
+1. rare tokens in the lowest part of the hash range, by the number of sets that
+   hold them (counted exactly), then by hash.  That part is a little larger than
+   a prefix.  Tokens of one set alone fill the prefix without being indexed, so
+   a text that is mostly its own has no candidates at all;
+2. other rare tokens, by hash;
+3. and 4. frequent and very frequent tokens, by subgroup and hash.  They are
+   indexed not singly but as combinations of 2, or 3, tokens of one subgroup,
+   and the prefix is extended until even the worst placed missing tokens leave
+   one rare token or one combination in common.  The number of subgroups follows
+   the set's size band, so a set is indexed for its own band and, near an edge,
+   for that of a smaller partner.
+
+Of two similar sets, the smaller can miss less of its tokens than the larger
+one, so an entry is marked as long if it lies beyond the prefix that a set needs
+as the smaller of a pair; two sets are candidates only if they share an entry
+that isn't long for the smaller one.
 
 Candidates that share an index entry are verified exactly.  Within an entry's
-bucket, members are compared with a pivot; members that end up in one component
-need no further comparison, and a bucket that still holds several components
-goes through further rounds in which the number of pivots grows eightfold,
-until every pair of members is either in one component or was compared.  No
-pair is lost, and a group of copies costs a star, not a clique.
+bucket, members are compared with its smallest set as a pivot; members that end
+up in one component need no further comparison, and a bucket that still holds
+several components goes through further rounds in which the number of pivots
+grows eightfold, until every pair of members that can be similar is either in
+one component or was compared.  No pair is lost, and a group of copies costs a
+star, not a clique.  Pivots are found by a grouped minimum, which is aggregated
+before it is shuffled, and joined back, which adaptive execution can split.
 
 Memory: a task holds the documents of an Arrow batch, the class ids that it has
-seen, and the pivots of one bucket.  Hot buckets are salted.  Only the frequent
+seen, and the pivots of one bucket.  Only the frequent
 tokens, at most ``MOST_FREQUENT``, go through the driver.
 
 Defined results: a null or blank text has an empty set and is linked with
@@ -30,7 +44,7 @@ any link; other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,13 +54,14 @@ from pyspark.sql import functions as F
 
 from arterion.llm.common import discard, stash, table
 
+#: The part of the hash range whose tokens are counted, against the part of a set that may be missing.
+COUNTED_PART = 1.25
 #: A token is frequent if it was counted this often; beyond the second bound it is indexed by threes.
 FREQUENT, VERY_FREQUENT = 32, 1 << 14
 #: No more tokens than this are called frequent (8 bytes each are broadcast); the others are indexed singly.
 MOST_FREQUENT = 1 << 17
 #: Tokens are counted exactly by chunks of this many, and counts under LOCAL of a chunk are left out.
 COUNTED, LOCAL = 1 << 21, 4
-SALTS = 16
 GROWTH = 8
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
@@ -97,23 +112,19 @@ def _band(n: int) -> int:
     return n.bit_length() - 1
 
 
-def signatures(tokens: np.ndarray, percent: int, frequent: np.ndarray, very: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(single rare tokens, combinations of frequent ones) that index a set; both uint64."""
-    none, n = np.empty(0, np.uint64), len(tokens)
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """How many tokens of a set of ``n`` are looked at: as the larger, and as the smaller of a similar pair; 0 if only
+    an equal set can be similar."""
     missing = n * (100 - percent) // 100
-    if n == 0 or (missing == 0 and n * 100 // percent == n):
-        return none, none  # only equal sets can reach the threshold
-    at = np.searchsorted(frequent, tokens) if len(frequent) else None
-    often = (frequent[np.minimum(at, len(frequent) - 1)] == tokens) if at is not None else np.zeros(n, bool)
-    rare = tokens[~often]
-    need = missing + 1
-    if len(rare) >= need:
-        return rare[:need], none
-    need -= len(rare)
-    held = tokens[often]
-    by3 = np.isin(held, very, assume_unique=True) if len(very) else np.zeros(len(held), bool)
+    if missing == 0 and n * 100 // percent == n:
+        return 0, 0
+    return missing + 1, n + 1 - -(-2 * percent * n // (100 + percent))
+
+
+def _combinations(held: np.ndarray, by3: np.ndarray, need: int, n: int, percent: int) -> list[int]:
+    """Combinations of frequent tokens that stand for ``need`` tokens of a prefix."""
     out: list[int] = []
-    for band in sorted({_band(n), _band(-(-n * percent // 100))}):
+    for band in sorted({_band(n), _band(-(-n * percent // 100))}) if need > 0 else ():
         left = need
         for k, part in ((2, held[~by3]), (3, held[by3])):
             if band < 4:
@@ -123,8 +134,7 @@ def signatures(tokens: np.ndarray, percent: int, frequent: np.ndarray, very: np.
             sub = _mix(part) % np.uint64(groups)
             order = np.lexsort((part, sub))
             part, sub = part[order], sub[order]
-            edges = np.flatnonzero(np.diff(sub)) + 1
-            for group in np.split(part, edges):
+            for group in np.split(part, np.flatnonzero(np.diff(sub)) + 1):
                 if left <= 0:
                     break
                 group = group[: left + k - 1].tolist()
@@ -132,7 +142,30 @@ def signatures(tokens: np.ndarray, percent: int, frequent: np.ndarray, very: np.
                 out += [hash((band, k, *c)) & 0xFFFFFFFFFFFFFFFF for c in combinations(group, k)]
         if left > 0:
             raise ValueError(f"a prefix can't reach its length at {percent} %")
-    return rare, _mix(np.array(out, np.uint64))
+    return out
+
+
+def signatures(tokens: np.ndarray, percent: int, frequent: np.ndarray, very: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """(long and short prefix length, counted rare tokens, further entries, further long entries) of a set.
+
+    Further entries are what a prefix holds if the counted tokens, all of which it holds then, are too few.
+    """
+    none, n = np.empty(0, np.uint64), len(tokens)
+    need, short = prefix_lengths(n, percent) if n else (0, 0)
+    if not need:
+        return 0, 0, none, none, none
+    at = np.searchsorted(frequent, tokens) if len(frequent) else None
+    often = (frequent[np.minimum(at, len(frequent) - 1)] == tokens) if at is not None else np.zeros(n, bool)
+    rare = tokens[~often]
+    part = int(np.searchsorted(rare, np.uint64(int((1 << 64) * min(0.999, COUNTED_PART * (100 - percent) / 100)))))
+    counted, single, first = rare[:part], rare[part : max(part, need)], rare[part : max(part, short)]
+    if need <= len(rare):
+        return need, short, counted, first, single[len(first) :]
+    held = tokens[often]
+    by3 = np.isin(held, very, assume_unique=True) if len(very) else np.zeros(len(held), bool)
+    near = _combinations(held, by3, short - len(rare), n, percent)
+    far = set(_combinations(held, by3, need - len(rare), n, percent)).difference(near)
+    return need, short, counted, np.concatenate([first, _mix(np.array(near, np.uint64))]), np.concatenate([single[len(first) :], _mix(np.array(sorted(far), np.uint64))])
 
 
 def _class_id(tokens: np.ndarray, size: int) -> tuple[int, int]:
@@ -192,12 +225,12 @@ def _size(c: Column) -> Column:
     return c["b"].bitwiseAND(0xFFFFFF)
 
 
-def components(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(c, label): the least id reachable from each id of ``edges`` (u, v); the paths of the tables it leaves.
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(c, label): the least id reachable from each id of ``edges`` (u, v).
 
     Labels spread over edges and are then followed one step (pointer jumping), until none changes.
     """
-    both, base = stash(spark, edges.select("u", "v").union(edges.select("v", "u")).distinct(), "edges")
+    both, _ = stash(spark, edges.select("u", "v").union(edges.select("v", "u")).distinct(), "edges")
     labels, last = stash(spark, both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("label")), "labels")
     while True:
         near = both.join(labels, both["v"] == labels["c"]).groupBy("u").agg(F.min("label").alias("m"))
@@ -209,7 +242,7 @@ def components(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, list[s
         discard(spark, last)
         labels, last = new.select("c", "label"), path
         if not moved:
-            return labels, [base, last]
+            return labels
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -221,48 +254,58 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(words), set()
-        lists = pa.list_(pa.int64())
+        lists, none = pa.list_(pa.int64()), np.empty(0, np.uint64)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 rows = batch.slice(start, 500)
-                n, ids, single, combined = [], [], [], []
+                n, ids, need, short, found = [], [], [], [], []
                 for doc, text in zip(rows.column(0), rows.column(1).cast(pa.binary()), strict=True):
                     tokens = shingler.tokens(text.as_py())
                     n.append(len(tokens))
                     ids.append(_class_id(tokens, len(tokens)))
-                    one = two = np.empty(0, np.uint64)
+                    first, second, *lists_of = 0, 0, none, none, none
                     if len(tokens) and doc.is_valid and ids[-1] not in seen:
                         seen.add(ids[-1])
-                        one, two = signatures(tokens, percent, *often.value)
-                    single.append(one.view(np.int64))
-                    combined.append(two.view(np.int64))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array(single, lists), pa.array(combined, lists)], names)
-
-    names = ["doc_id", "n", "a", "b", "single", "combined"]
-    indexed, indexed_at = stash(spark, docs.mapInArrow(index, f"doc_id {kind}, n long, a long, b long, single array<long>, combined array<long>"), "indexed")
-
-    rare = indexed.select(F.explode("single").alias("sig"), F.lit(-1).alias("salt"), "a", "b")
-    hot = indexed.select(F.explode("combined").alias("sig"), F.pmod("a", F.lit(SALTS)).cast("int").alias("salt"), "a", "b")
-    dealt = rare.union(hot).repartition("sig", "salt").sortWithinPartitions("sig", "salt", "a", "b")
-    stars, stars_at = stash(spark, dealt.mapInArrow(_stars, "sig long, salt int, a long, b long, p long, q long"), "stars")
-
-    # Of salted buckets, the heads meet in a second, small step.
-    heads = stars.where((F.col("salt") >= 0) & (F.col("a") == F.col("p")) & (F.col("b") == F.col("q"))).select("sig", _id("p", "q").alias("c"))
-    first = heads.groupBy("sig").agg(F.min("c").alias("p"))
-    tops = heads.join(first, "sig").where(F.col("c") != F.col("p")).select("sig", "c", "p")
-    members = stars.select("sig", _id("a", "b").alias("c"), _id("p", "q").alias("p")).where(F.col("c") != F.col("p")).union(tops)
-    pairs, pairs_at = stash(spark, members.select("c", "p").distinct(), "pairs")
+                        first, second, *lists_of = signatures(tokens, percent, *often.value)
+                    need.append(first)
+                    short.append(second)
+                    found.append([x.view(np.int64) for x in lists_of])
+                columns = [pa.array(x, pa.int64()) for x in (n, [x[0] for x in ids], [x[1] for x in ids], need, short)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), *columns, *[pa.array([x[k] for x in found], lists) for k in range(3)]], names)
+
+    names = ["doc_id", "n", "a", "b", "need", "short", "counted", "near", "far"]
+    indexed, _ = stash(spark, docs.mapInArrow(index, f"doc_id {kind}, n long, a long, b long, need long, short long, counted array<long>, near array<long>, far array<long>"), "indexed")
+
+    # Which counted tokens more than one set holds, by the first half of the sets' ids.  Two sets that agree in that
+    # half only lengthen each other's lists, and their prefixes by as much.
+    dealt = indexed.select(F.explode("counted").alias("token"), "a").repartition("token").sortWithinPartitions("token", "a")
+    shared = dealt.mapInArrow(_shared, "a long, token long, held int").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
+    sets = indexed.where(F.col("need") > 0).select("a", "b", "need", "short", F.size("counted").alias("n_counted"), "near", "far").join(shared, "a", "left")
+    n_shared, none = F.coalesce(F.size("shared"), F.lit(0)), F.expr("cast(array() as array<long>)")
+    take = lambda c: F.greatest(F.lit(0), F.least(n_shared, F.col(c).cast("int") - F.col("n_counted") + n_shared))
+    part = lambda start, n: F.when(n > 0, F.slice("shared", start, n)["token"]).otherwise(none)
+    sets = sets.select("a", "b", "near", "far", "shared", take("short").alias("x"), take("need").alias("y"))
+    entries = F.concat(
+        F.transform(F.concat(part(F.lit(1), F.col("x")), "near"), lambda t: F.struct(t.alias("sig"), F.lit(0).alias("long"))),
+        F.transform(F.concat(part(F.col("x") + 1, F.col("y") - F.col("x")), "far"), lambda t: F.struct(t.alias("sig"), F.lit(1).alias("long"))),
+    )
+    prefix, _ = stash(spark, sets.select("a", "b", F.explode(entries).alias("e")).select("e.sig", "e.long", "a", "b"), "prefix")
+
+    rank = F.struct("long", F.col("b").bitwiseAND(0xFFFFFF).alias("n"), "a", "b")
+    pivot = prefix.groupBy("sig").agg(F.min(rank).alias("p"), F.count(F.lit(1)).alias("m")).where((F.col("m") > 1) & (F.col("p.long") == 0)).select("sig", F.struct("p.a", "p.b").alias("p"))
+    members = prefix.select("sig", "long", _id("a", "b").alias("c")).join(pivot, "sig").where((F.col("c") != F.col("p")) & ((F.col("long") == 0) | (_size(F.col("c")) >= _size(F.col("p")))))
+    members, _ = stash(spark, members, "members")
+    pairs, _ = stash(spark, members.select("c", "p").distinct(), "pairs")
 
     # The text of one document of each set that has a candidate.
     wanted = pairs.select("c").union(pairs.select("p")).distinct()
     owner = indexed.where(F.col("doc_id").isNotNull()).groupBy(_id("a", "b").alias("c")).agg(F.min("doc_id").alias("doc_id"))
     wanted = wanted.join(owner, "c")
-    texts, texts_at = stash(spark, _texts(docs.where(F.col("doc_id").isNotNull()), wanted, words), "texts")
+    texts, _ = stash(spark, _texts(docs.where(F.col("doc_id").isNotNull()), wanted, words), "texts")
 
-    edges, edges_at = stash(spark, _verified(pairs, texts, words, percent), "links")
-    scratch = [pairs_at, stars_at, indexed_at, texts_at]
-    low, pivots = 0, GROWTH  # salted members have not met the first of their whole bucket
-    labels, more = components(spark, edges)
+    edges, _ = stash(spark, _verified(pairs, texts, words, percent), "links")
+    low, pivots = 1, GROWTH
+    labels = components(spark, edges)
     while True:
         open_pairs = _labelled(pairs, labels).where(F.col("lc") != F.col("lp")).select("c", "p")
         if not open_pairs.take(1):
@@ -270,18 +313,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
         # All members of the buckets that still hold several components.
         sigs = members.join(open_pairs, ["c", "p"], "left_semi").select("sig").distinct()
         inside = members.join(sigs, "sig", "left_semi")
-        inside = inside.select("sig", "c").union(inside.select("sig", F.col("p").alias("c"))).distinct()
+        inside = inside.select("sig", "long", "c").union(inside.select("sig", F.lit(0), F.col("p").alias("c"))).distinct()
         known = labels.select("c", "label")
-        inside = inside.join(known, "c", "left").select("sig", "c.a", "c.b", F.coalesce("label.a", "c.a").alias("la"), F.coalesce("label.b", "c.b").alias("lb"))
-        again = inside.repartition("sig").sortWithinPartitions("sig", "a", "b").mapInArrow(_rounds(low, pivots, percent), "a long, b long, p long, q long, more boolean")
+        inside = inside.join(known, "c", "left").select("sig", "long", _size(F.col("c")).alias("n"), "c.a", "c.b", F.coalesce("label.a", "c.a").alias("la"), F.coalesce("label.b", "c.b").alias("lb"))
+        again = inside.repartition("sig").sortWithinPartitions("sig", "long", "n", "a", "b").mapInArrow(_rounds(low, pivots, percent), "a long, b long, p long, q long, more boolean")
         again, again_at = stash(spark, again, "again")
         new = again.where(F.col("p").isNotNull()).select(_id("a", "b").alias("c"), _id("p", "q").alias("p")).distinct().join(pairs, ["c", "p"], "left_anti")
         found, found_at = stash(spark, _verified(new, texts, words, percent), "links")
         fresh, unfinished = bool(found.take(1)), bool(again.where("more").take(1))
         if fresh:
-            edges, edges_at = stash(spark, edges.unionByName(found).distinct(), "links")
-            labels, more = components(spark, edges)
-            scratch.append(edges_at)
+            edges, _ = stash(spark, edges.unionByName(found).distinct(), "links")
+            labels = components(spark, edges)
         discard(spark, again_at, found_at)
         if not unfinished:
             break
@@ -296,37 +338,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     return linked.join(least, "root").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by bucket and id: (bucket, member, pivot) with the first of each bucket as its pivot.
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token and set: (set, token, number of sets) of tokens that two sets or more hold."""
+    token, a = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def part(token: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (a[1:] != a[:-1])
+        token, a = token[new], a[new]
+        _, at, n = np.unique(token, return_inverse=True, return_counts=True)
+        keep = n[at] > 1
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(token[keep]), pa.array(n[at][keep].astype(np.int32))], ["a", "token", "held"])
 
-    Buckets of one member give nothing, salted ones their head, as a row whose member is the pivot.
-    """
-    held = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig, salt, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        if held is not None:
-            sig, salt, a, b = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(held, (sig, salt, a, b), strict=True))
-        start = np.ones(len(sig), bool)
-        start[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])
-        at = np.maximum.accumulate(np.where(start, np.arange(len(sig)), 0))
-        other = (a != a[at]) | (b != b[at])
-        # A copy of the row before it names the same member again.
-        other[1:] &= start[1:] | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        head = start & (salt >= 0)
-        if held is not None:
-            head[0] = False  # its head went out with the batch before
-        keep = np.flatnonzero(other | head)
-        p = at[keep]
-        held = (sig[at[-1]], salt[at[-1]], a[at[-1]], b[at[-1]])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[keep], salt[keep], a[keep], b[keep], a[p], b[p])], ["sig", "salt", "a", "b", "p", "q"])
-
-
-def _rounds(low: int, high: int, percent: int):
-    """Compares the members of a bucket with those at places ``low`` to ``high``, as far as sizes and components allow.
-
-    The last column says that a bucket has members left that were not compared with each other.
+        token = np.concatenate([token, batch.column(0).to_numpy(zero_copy_only=False)])
+        a = np.concatenate([a, batch.column(1).to_numpy(zero_copy_only=False)])
+        if len(token) and token[0] != token[-1]:
+            end = int(np.searchsorted(token, token[-1]))  # the last token's rows may go on
+            yield part(token[:end], a[:end])
+            token, a = token[end:], a[end:]
+    if len(token):
+        yield part(token, a)
+
+
+def _rounds(low: int, high: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Compares the members of a bucket (sorted: not long first, then by size) with the earlier ones at places ``low``
+    to ``high`` that are not long, as far as sizes and components allow.
+
+    The last column says that a bucket has pivots left that were not compared.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,22 +376,22 @@ def _rounds(low: int, high: int, percent: int):
             return pa.RecordBatch.from_arrays([*cols, pa.array([r[4] for r in rows], pa.bool_())], ["a", "b", "p", "q", "more"])
 
         for batch in batches:
-            for s, a, b, la, lb in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for s, long, n, a, b, la, lb in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if s != sig:
                     sig, place, pivots, rest = s, 0, [], False
-                n = b & 0xFFFFFF
                 for p, q, pa_, pb_, m in pivots:
-                    if (pa_, pb_) != (la, lb) and 100 * min(n, m) >= percent * max(n, m):
+                    if m <= n and 100 * m >= percent * n and (pa_, pb_) != (la, lb):
                         rows.append((a, b, p, q, False))
-                if low <= place < high:
-                    pivots.append((a, b, la, lb, n))
-                elif place >= high and not rest:
-                    rest = True
-                    rows.append((a, b, None, None, True))
+                if not long:
+                    if low <= place < high:
+                        pivots.append((a, b, la, lb, n))
+                    elif place >= high and not rest:
+                        rest = True
+                        rows.append((a, b, None, None, True))
                 place += 1
-            if len(rows) >= 50_000:
-                yield out()
-                rows = []
+                if len(rows) >= 20_000:
+                    yield out()
+                    rows = []
         if rows:
             yield out()
 
