@@ -23,11 +23,13 @@ as the smaller of a pair; two sets are candidates only if they share an entry
 that isn't long for the smaller one.
 
 Candidates that share an index entry are verified exactly.  Within an entry's
-bucket, members are compared with its smallest set as a pivot; members that end
+bucket, members are compared with a pivot, the set that seems to have the fewest
+tokens of its own and so is likely the original of its copies; members that end
 up in one component need no further comparison, and a bucket that still holds
 several components goes through further rounds in which the number of pivots
 grows eightfold, until every pair of members that can be similar is either in
-one component or was compared.  No pair is lost, and a group of copies costs a
+one component or was compared.  In those rounds a pair that shares several
+entries is taken up in the least of them only.  No pair is lost, and a group of copies costs a
 star, not a clique.  Pivots are found by a grouped minimum, which is aggregated
 before it is shuffled, and joined back, which adaptive execution can split.
 
@@ -145,27 +147,27 @@ def _combinations(held: np.ndarray, by3: np.ndarray, need: int, n: int, percent:
     return out
 
 
-def signatures(tokens: np.ndarray, percent: int, frequent: np.ndarray, very: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
-    """(long and short prefix length, counted rare tokens, further entries, further long entries) of a set.
+def signatures(tokens: np.ndarray, percent: int, frequent: np.ndarray, very: np.ndarray) -> tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """(long and short prefix length, number of rare tokens, counted rare tokens, further entries, further long entries) of a set.
 
     Further entries are what a prefix holds if the counted tokens, all of which it holds then, are too few.
     """
     none, n = np.empty(0, np.uint64), len(tokens)
     need, short = prefix_lengths(n, percent) if n else (0, 0)
     if not need:
-        return 0, 0, none, none, none
+        return 0, 0, 0, none, none, none
     at = np.searchsorted(frequent, tokens) if len(frequent) else None
     often = (frequent[np.minimum(at, len(frequent) - 1)] == tokens) if at is not None else np.zeros(n, bool)
     rare = tokens[~often]
     part = int(np.searchsorted(rare, np.uint64(int((1 << 64) * min(0.999, COUNTED_PART * (100 - percent) / 100)))))
     counted, single, first = rare[:part], rare[part : max(part, need)], rare[part : max(part, short)]
     if need <= len(rare):
-        return need, short, counted, first, single[len(first) :]
+        return need, short, len(rare), counted, first, single[len(first) :]
     held = tokens[often]
     by3 = np.isin(held, very, assume_unique=True) if len(very) else np.zeros(len(held), bool)
     near = _combinations(held, by3, short - len(rare), n, percent)
     far = set(_combinations(held, by3, need - len(rare), n, percent)).difference(near)
-    return need, short, counted, np.concatenate([first, _mix(np.array(near, np.uint64))]), np.concatenate([single[len(first) :], _mix(np.array(sorted(far), np.uint64))])
+    return need, short, len(rare), counted, np.concatenate([first, _mix(np.array(near, np.uint64))]), np.concatenate([single[len(first) :], _mix(np.array(sorted(far), np.uint64))])
 
 
 def _class_id(tokens: np.ndarray, size: int) -> tuple[int, int]:
@@ -258,42 +260,44 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 rows = batch.slice(start, 500)
-                n, ids, need, short, found = [], [], [], [], []
+                n, ids, need, short, own, found = [], [], [], [], [], []
                 for doc, text in zip(rows.column(0), rows.column(1).cast(pa.binary()), strict=True):
                     tokens = shingler.tokens(text.as_py())
                     n.append(len(tokens))
                     ids.append(_class_id(tokens, len(tokens)))
-                    first, second, *lists_of = 0, 0, none, none, none
+                    first, second, third, *lists_of = 0, 0, 0, none, none, none
                     if len(tokens) and doc.is_valid and ids[-1] not in seen:
                         seen.add(ids[-1])
-                        first, second, *lists_of = signatures(tokens, percent, *often.value)
+                        first, second, third, *lists_of = signatures(tokens, percent, *often.value)
                     need.append(first)
                     short.append(second)
+                    own.append(third)
                     found.append([x.view(np.int64) for x in lists_of])
-                columns = [pa.array(x, pa.int64()) for x in (n, [x[0] for x in ids], [x[1] for x in ids], need, short)]
+                columns = [pa.array(x, pa.int64()) for x in (n, [x[0] for x in ids], [x[1] for x in ids], need, short, own)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), *columns, *[pa.array([x[k] for x in found], lists) for k in range(3)]], names)
 
-    names = ["doc_id", "n", "a", "b", "need", "short", "counted", "near", "far"]
-    indexed, _ = stash(spark, docs.mapInArrow(index, f"doc_id {kind}, n long, a long, b long, need long, short long, counted array<long>, near array<long>, far array<long>"), "indexed")
+    names = ["doc_id", "n", "a", "b", "need", "short", "rare", "counted", "near", "far"]
+    indexed, _ = stash(spark, docs.mapInArrow(index, f"doc_id {kind}, n long, a long, b long, need long, short long, rare long, counted array<long>, near array<long>, far array<long>"), "indexed")
 
     # Which counted tokens more than one set holds, by the first half of the sets' ids.  Two sets that agree in that
     # half only lengthen each other's lists, and their prefixes by as much.
     dealt = indexed.select(F.explode("counted").alias("token"), "a").repartition("token").sortWithinPartitions("token", "a")
     shared = dealt.mapInArrow(_shared, "a long, token long, held int").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
-    sets = indexed.where(F.col("need") > 0).select("a", "b", "need", "short", F.size("counted").alias("n_counted"), "near", "far").join(shared, "a", "left")
+    sets = indexed.where(F.col("need") > 0).select("a", "b", "need", "short", "rare", F.size("counted").alias("n_counted"), "near", "far").join(shared, "a", "left")
     n_shared, none = F.coalesce(F.size("shared"), F.lit(0)), F.expr("cast(array() as array<long>)")
     take = lambda c: F.greatest(F.lit(0), F.least(n_shared, F.col(c).cast("int") - F.col("n_counted") + n_shared))
     part = lambda start, n: F.when(n > 0, F.slice("shared", start, n)["token"]).otherwise(none)
-    sets = sets.select("a", "b", "near", "far", "shared", take("short").alias("x"), take("need").alias("y"))
-    entries = F.concat(
-        F.transform(F.concat(part(F.lit(1), F.col("x")), "near"), lambda t: F.struct(t.alias("sig"), F.lit(0).alias("long"))),
-        F.transform(F.concat(part(F.col("x") + 1, F.col("y") - F.col("x")), "far"), lambda t: F.struct(t.alias("sig"), F.lit(1).alias("long"))),
-    )
-    prefix, _ = stash(spark, sets.select("a", "b", F.explode(entries).alias("e")).select("e.sig", "e.long", "a", "b"), "prefix")
-
-    rank = F.struct("long", F.col("b").bitwiseAND(0xFFFFFF).alias("n"), "a", "b")
-    pivot = prefix.groupBy("sig").agg(F.min(rank).alias("p"), F.count(F.lit(1)).alias("m")).where((F.col("m") > 1) & (F.col("p.long") == 0)).select("sig", F.struct("p.a", "p.b").alias("p"))
-    members = prefix.select("sig", "long", _id("a", "b").alias("c")).join(pivot, "sig").where((F.col("c") != F.col("p")) & ((F.col("long") == 0) | (_size(F.col("c")) >= _size(F.col("p")))))
+    # About how many tokens no other set has.
+    own = F.round(F.col("rare") * (1 - F.when(F.col("n_counted") > 0, F.least(F.lit(1.0), n_shared / F.col("n_counted"))).otherwise(0.0))).cast("int")
+    sets = sets.select("a", "b", "near", "far", "shared", own.alias("own"), take("short").alias("x"), take("need").alias("y"))
+    sets = sets.select("a", "b", "own", F.concat(part(F.lit(1), F.col("x")), "near").alias("near"), F.concat(part(F.col("x") + 1, F.col("y") - F.col("x")), "far").alias("far"))
+    sets, _ = stash(spark, sets.where((F.size("near") > 0) | (F.size("far") > 0)), "prefix")
+    entries = lambda c, long: F.transform(c, lambda t: F.struct(t.alias("sig"), F.lit(long).alias("long")))
+    prefix = sets.select("a", "b", "own", F.explode(F.concat(entries("near", 0), entries("far", 1))).alias("e")).select("e.sig", "e.long", "own", "a", "b")
+
+    rank = F.struct("long", "own", F.col("b").bitwiseAND(0xFFFFFF).alias("n"), "a", "b")
+    pivot = prefix.groupBy("sig").agg(F.min(rank).alias("p"), F.count(F.lit(1)).alias("m")).where((F.col("m") > 1) & (F.col("p.long") == 0)).select("sig", F.struct("p.a", "p.b").alias("p"), F.col("p.own").alias("p_own"))
+    members = prefix.select("sig", "long", "own", _id("a", "b").alias("c")).join(pivot, "sig").where((F.col("c") != F.col("p")) & ((F.col("long") == 0) | (_size(F.col("c")) >= _size(F.col("p")))))
     members, _ = stash(spark, members, "members")
     pairs, _ = stash(spark, members.select("c", "p").distinct(), "pairs")
 
@@ -313,10 +317,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
         # All members of the buckets that still hold several components.
         sigs = members.join(open_pairs, ["c", "p"], "left_semi").select("sig").distinct()
         inside = members.join(sigs, "sig", "left_semi")
-        inside = inside.select("sig", "long", "c").union(inside.select("sig", F.lit(0), F.col("p").alias("c"))).distinct()
+        inside = inside.select("sig", "long", "own", "c").union(inside.select("sig", F.lit(0), F.col("p_own").alias("own"), F.col("p").alias("c"))).distinct()
+        lists = sets.select(_id("a", "b").alias("id"), "near", "far").join(inside.select(F.col("c").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.max("near").alias("near"), F.max("far").alias("far"))
         known = labels.select("c", "label")
-        inside = inside.join(known, "c", "left").select("sig", "long", _size(F.col("c")).alias("n"), "c.a", "c.b", F.coalesce("label.a", "c.a").alias("la"), F.coalesce("label.b", "c.b").alias("lb"))
-        again = inside.repartition("sig").sortWithinPartitions("sig", "long", "n", "a", "b").mapInArrow(_rounds(low, pivots, percent), "a long, b long, p long, q long, more boolean")
+        inside = inside.join(known, "c", "left").join(lists, F.col("c") == F.col("id"))
+        inside = inside.select("sig", "long", "own", _size(F.col("c")).alias("n"), "c.a", "c.b", F.coalesce("label.a", "c.a").alias("la"), F.coalesce("label.b", "c.b").alias("lb"), "near", "far")
+        again = inside.repartition("sig").sortWithinPartitions("sig", "long", "own", "n", "a", "b").mapInArrow(_rounds(low, pivots, percent), "a long, b long, p long, q long, more boolean")
         again, again_at = stash(spark, again, "again")
         new = again.where(F.col("p").isNotNull()).select(_id("a", "b").alias("c"), _id("p", "q").alias("p")).distinct().join(pairs, ["c", "p"], "left_anti")
         found, found_at = stash(spark, _verified(new, texts, words, percent), "links")
@@ -361,9 +367,34 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield part(token, a)
 
 
+class _Member:
+    """A set in a bucket, with the entries that index it; those are unpacked when first asked for."""
+
+    __slots__ = ("id", "label", "lists", "long", "n")
+
+    def __init__(self, identity: tuple[int, int], label: tuple[int, int], n: int, long: int, near: pa.Scalar, far: pa.Scalar):
+        self.id, self.label, self.n, self.long, self.lists = identity, label, n, long, (near, far)
+
+    def entries(self) -> tuple[frozenset[int], frozenset[int]]:
+        """(not long, all)."""
+        if isinstance(self.lists[0], pa.Scalar):
+            near, far = (x.as_py() or [] for x in self.lists)
+            self.lists = (frozenset(near), frozenset(near).union(far))
+        return self.lists
+
+
+def _least_common(x: _Member, y: _Member) -> int | None:
+    """The least entry that makes two sets candidates: one they share that isn't long for the smaller."""
+    (x_near, x_all), (y_near, y_all) = x.entries(), y.entries()
+    found = (x_near & y_all) if x.n <= y.n else frozenset()
+    if y.n <= x.n:
+        found |= y_near & x_all
+    return min(found, default=None)
+
+
 def _rounds(low: int, high: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Compares the members of a bucket (sorted: not long first, then by size) with the earlier ones at places ``low``
-    to ``high`` that are not long, as far as sizes and components allow.
+    """Compares the members of a bucket (sorted: not long first) with the earlier ones at places ``low`` to ``high``
+    that are not long, as far as sizes and components allow, and if the bucket is the pair's least common one.
 
     The last column says that a bucket has pivots left that were not compared.
     """
@@ -376,15 +407,17 @@ def _rounds(low: int, high: int, percent: int) -> Callable[[Iterator[pa.RecordBa
             return pa.RecordBatch.from_arrays([*cols, pa.array([r[4] for r in rows], pa.bool_())], ["a", "b", "p", "q", "more"])
 
         for batch in batches:
-            for s, long, n, a, b, la, lb in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            near, far = batch.column(8), batch.column(9)
+            for k, (s, long, _, n, a, b, la, lb) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True)):
                 if s != sig:
                     sig, place, pivots, rest = s, 0, [], False
-                for p, q, pa_, pb_, m in pivots:
-                    if m <= n and 100 * m >= percent * n and (pa_, pb_) != (la, lb):
-                        rows.append((a, b, p, q, False))
+                me = _Member((a, b), (la, lb), n, long, near[k], far[k])
+                for p in pivots:
+                    if p.label != me.label and (p.n <= n or not long) and 100 * min(p.n, n) >= percent * max(p.n, n) and _least_common(p, me) == s:
+                        rows.append((a, b, *p.id, False))
                 if not long:
                     if low <= place < high:
-                        pivots.append((a, b, la, lb, n))
+                        pivots.append(me)
                     elif place >= high and not rest:
                         rest = True
                         rows.append((a, b, None, None, True))
