@@ -68,6 +68,9 @@ GROWTH = 8
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
 
+_EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values over all bits."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -76,7 +79,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Distinct word shingles as sorted 64-bit hashes: A-Z lower-cased, words cut at blanks of ASCII."""
+    """Distinct word shingles as sorted, even 64-bit hashes: A-Z lower-cased, words cut at blanks of ASCII."""
 
     def __init__(self, words: int):
         import xxhash
@@ -90,7 +93,7 @@ class Shingler:
         if not parts:
             return np.empty(0, np.uint64)
         if len(parts) < self.words:
-            return np.array([self.hash(b" ".join(parts), seed=len(parts))], np.uint64)
+            return np.array([self.hash(b" ".join(parts), seed=len(parts))], np.uint64) & _EVEN
         if len(self.known) > 400_000:
             self.known.clear()
         known, digest = self.known, self.hash
@@ -101,7 +104,7 @@ class Shingler:
         out = h[:n] * self.odd[0]
         for k in range(1, self.words):
             out += h[k : k + n] * self.odd[k]
-        return np.unique(_mix(out))
+        return np.unique(_mix(out) & _EVEN)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -110,6 +113,10 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+#: Combinations are odd entries; tokens lose their last bit and are even ones.
+_ODD_BIT = np.uint64(1)
+
+
 def _band(n: int) -> int:
     return n.bit_length() - 1
 
@@ -163,11 +170,12 @@ def signatures(tokens: np.ndarray, percent: int, frequent: np.ndarray, very: np.
     counted, single, first = rare[:part], rare[part : max(part, need)], rare[part : max(part, short)]
     if need <= len(rare):
         return need, short, len(rare), counted, first, single[len(first) :]
+    # From here on the prefix holds every rare token.
     held = tokens[often]
     by3 = np.isin(held, very, assume_unique=True) if len(very) else np.zeros(len(held), bool)
     near = _combinations(held, by3, short - len(rare), n, percent)
     far = set(_combinations(held, by3, need - len(rare), n, percent)).difference(near)
-    return need, short, len(rare), counted, np.concatenate([first, _mix(np.array(near, np.uint64))]), np.concatenate([single[len(first) :], _mix(np.array(sorted(far), np.uint64))])
+    return need, short, len(rare), counted, np.concatenate([first, _mix(np.array(near, np.uint64)) | _ODD_BIT]), np.concatenate([single[len(first) :], _mix(np.array(sorted(far), np.uint64)) | _ODD_BIT])
 
 
 def _class_id(tokens: np.ndarray, size: int) -> tuple[int, int]:
@@ -289,8 +297,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     part = lambda start, n: F.when(n > 0, F.slice("shared", start, n)["token"]).otherwise(none)
     # About how many tokens no other set has.
     own = F.round(F.col("rare") * (1 - F.when(F.col("n_counted") > 0, F.least(F.lit(1.0), n_shared / F.col("n_counted"))).otherwise(0.0))).cast("int")
-    sets = sets.select("a", "b", "near", "far", "shared", own.alias("own"), take("short").alias("x"), take("need").alias("y"))
-    sets = sets.select("a", "b", "own", F.concat(part(F.lit(1), F.col("x")), "near").alias("near"), F.concat(part(F.col("x") + 1, F.col("y") - F.col("x")), "far").alias("far"))
+    sets = sets.select("a", "b", "rare", "near", "far", "shared", own.alias("own"), take("short").alias("x"), take("need").alias("y"))
+    sets = sets.select("a", "b", "rare", "own", F.concat(part(F.lit(1), F.col("x")), "near").alias("near"), F.concat(part(F.col("x") + 1, F.col("y") - F.col("x")), "far").alias("far"))
     sets, _ = stash(spark, sets.where((F.size("near") > 0) | (F.size("far") > 0)), "prefix")
     entries = lambda c, long: F.transform(c, lambda t: F.struct(t.alias("sig"), F.lit(long).alias("long")))
     prefix = sets.select("a", "b", "own", F.explode(F.concat(entries("near", 0), entries("far", 1))).alias("e")).select("e.sig", "e.long", "own", "a", "b")
@@ -318,10 +326,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
         sigs = members.join(open_pairs, ["c", "p"], "left_semi").select("sig").distinct()
         inside = members.join(sigs, "sig", "left_semi")
         inside = inside.select("sig", "long", "own", "c").union(inside.select("sig", F.lit(0), F.col("p_own").alias("own"), F.col("p").alias("c"))).distinct()
-        lists = sets.select(_id("a", "b").alias("id"), "near", "far").join(inside.select(F.col("c").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.max("near").alias("near"), F.max("far").alias("far"))
+        lists = sets.select(_id("a", "b").alias("id"), "rare", "near", "far").join(inside.select(F.col("c").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.max("rare").alias("rare"), F.max("near").alias("near"), F.max("far").alias("far"))
         known = labels.select("c", "label")
         inside = inside.join(known, "c", "left").join(lists, F.col("c") == F.col("id"))
-        inside = inside.select("sig", "long", "own", _size(F.col("c")).alias("n"), "c.a", "c.b", F.coalesce("label.a", "c.a").alias("la"), F.coalesce("label.b", "c.b").alias("lb"), "near", "far")
+        inside = inside.select("sig", "long", "own", _size(F.col("c")).alias("n"), "c.a", "c.b", F.coalesce("label.a", "c.a").alias("la"), F.coalesce("label.b", "c.b").alias("lb"), "near", "far", "rare")
         again = inside.repartition("sig").sortWithinPartitions("sig", "long", "own", "n", "a", "b").mapInArrow(_rounds(low, pivots, percent), "a long, b long, p long, q long, more boolean")
         again, again_at = stash(spark, again, "again")
         new = again.where(F.col("p").isNotNull()).select(_id("a", "b").alias("c"), _id("p", "q").alias("p")).distinct().join(pairs, ["c", "p"], "left_anti")
@@ -370,26 +378,36 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Member:
     """A set in a bucket, with the entries that index it; those are unpacked when first asked for."""
 
-    __slots__ = ("id", "label", "lists", "long", "n")
+    __slots__ = ("id", "label", "lists", "n", "rare", "whole")
 
-    def __init__(self, identity: tuple[int, int], label: tuple[int, int], n: int, long: int, near: pa.Scalar, far: pa.Scalar):
-        self.id, self.label, self.n, self.long, self.lists = identity, label, n, long, (near, far)
+    def __init__(self, identity: tuple[int, int], label: tuple[int, int], n: int, rare: int, near: pa.Scalar, far: pa.Scalar):
+        self.id, self.label, self.n, self.rare, self.lists = identity, label, n, rare, (near, far)
 
     def entries(self) -> tuple[frozenset[int], frozenset[int]]:
         """(not long, all)."""
         if isinstance(self.lists[0], pa.Scalar):
             near, far = (x.as_py() or [] for x in self.lists)
             self.lists = (frozenset(near), frozenset(near).union(far))
+            self.whole = any(x & 1 for x in self.lists[1])  # does the prefix hold every rare token
         return self.lists
 
 
-def _least_common(x: _Member, y: _Member) -> int | None:
-    """The least entry that makes two sets candidates: one they share that isn't long for the smaller."""
+def _taken_up(x: _Member, y: _Member, sig: int, percent: int) -> bool:
+    """Is ``sig`` the least entry that makes two sets candidates: one they share that isn't long for the smaller.
+
+    And can they be similar: if the prefixes hold every rare token of both, they share no rare tokens but those among
+    the shared entries, and no more frequent ones than the set that has fewer.
+    """
     (x_near, x_all), (y_near, y_all) = x.entries(), y.entries()
     found = (x_near & y_all) if x.n <= y.n else frozenset()
     if y.n <= x.n:
         found |= y_near & x_all
-    return min(found, default=None)
+    if min(found, default=None) != sig:
+        return False
+    if not (x.whole and y.whole):
+        return True
+    most = min(x.n - x.rare, y.n - y.rare) + sum(not e & 1 for e in x_all & y_all)
+    return (100 + percent) * most >= percent * (x.n + y.n)
 
 
 def _rounds(low: int, high: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -407,13 +425,13 @@ def _rounds(low: int, high: int, percent: int) -> Callable[[Iterator[pa.RecordBa
             return pa.RecordBatch.from_arrays([*cols, pa.array([r[4] for r in rows], pa.bool_())], ["a", "b", "p", "q", "more"])
 
         for batch in batches:
-            near, far = batch.column(8), batch.column(9)
+            near, far, rare = batch.column(8), batch.column(9), batch.column(10).to_pylist()
             for k, (s, long, _, n, a, b, la, lb) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True)):
                 if s != sig:
                     sig, place, pivots, rest = s, 0, [], False
-                me = _Member((a, b), (la, lb), n, long, near[k], far[k])
+                me = _Member((a, b), (la, lb), n, rare[k], near[k], far[k])
                 for p in pivots:
-                    if p.label != me.label and (p.n <= n or not long) and 100 * min(p.n, n) >= percent * max(p.n, n) and _least_common(p, me) == s:
+                    if p.label != me.label and (p.n <= n or not long) and 100 * min(p.n, n) >= percent * max(p.n, n) and _taken_up(p, me, s, percent):
                         rows.append((a, b, *p.id, False))
                 if not long:
                     if low <= place < high:
