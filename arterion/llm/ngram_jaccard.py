@@ -303,14 +303,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     entries = lambda c, long: F.transform(c, lambda t: F.struct(t.alias("sig"), F.lit(long).alias("long")))
     prefix = sets.select("a", "b", "own", F.explode(F.concat(entries("near", 0), entries("far", 1))).alias("e")).select("e.sig", "e.long", "own", "a", "b")
 
-    rank = F.struct("long", "own", F.col("b").bitwiseAND(0xFFFFFF).alias("n"), "a", "b")
-    pivot = prefix.groupBy("sig").agg(F.min(rank).alias("p"), F.count(F.lit(1)).alias("m")).where((F.col("m") > 1) & (F.col("p.long") == 0)).select("sig", F.struct("p.a", "p.b").alias("p"), F.col("p.own").alias("p_own"))
-    members = prefix.select("sig", "long", "own", _id("a", "b").alias("c")).join(pivot, "sig").where((F.col("c") != F.col("p")) & ((F.col("long") == 0) | (_size(F.col("c")) >= _size(F.col("p")))))
-    members, _ = stash(spark, members, "members")
-    pairs, _ = stash(spark, members.select("c", "p").distinct(), "pairs")
+    members, _ = stash(spark, _members(prefix), "members")
+    # All pairs with a pivot keep a bucket open; only those whose smaller set isn't long are to be verified.
+    starred, _ = stash(spark, members.groupBy("c", "p").agg(F.max("fit").alias("fit")), "pairs")
+    pairs = starred.where("fit").select("c", "p")
 
     # The text of one document of each set that has a candidate.
-    wanted = pairs.select("c").union(pairs.select("p")).distinct()
+    wanted = starred.select("c").union(starred.select("p")).distinct()
     owner = indexed.where(F.col("doc_id").isNotNull()).groupBy(_id("a", "b").alias("c")).agg(F.min("doc_id").alias("doc_id"))
     wanted = wanted.join(owner, "c")
     texts, _ = stash(spark, _texts(docs.where(F.col("doc_id").isNotNull()), wanted, words), "texts")
@@ -319,7 +318,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     low, pivots = 1, GROWTH
     labels = components(spark, edges)
     while True:
-        open_pairs = _labelled(pairs, labels).where(F.col("lc") != F.col("lp")).select("c", "p")
+        open_pairs = _labelled(starred.select("c", "p"), labels).where(F.col("lc") != F.col("lp")).select("c", "p")
         if not open_pairs.take(1):
             break
         # All members of the buckets that still hold several components.
@@ -352,6 +351,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     return linked.join(least, "root").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
+def _members(prefix: DataFrame) -> DataFrame:
+    """(sig, long, own, c, p, p_own, fit) of the entries (sig, long, own, a, b) that two sets or more hold: each member
+    with its bucket's pivot, and if the smaller one's entry isn't long.
+
+    A long entry stays if its set is as large as the smallest set whose entry isn't; that need not be the pivot.
+    """
+    n = F.col("b").bitwiseAND(0xFFFFFF)
+    rank = F.struct("long", "own", n.alias("n"), "a", "b")
+    least = F.min(F.when(F.col("long") == 0, n)).alias("least")
+    pivot = prefix.groupBy("sig").agg(F.min(rank).alias("p"), least, F.count(F.lit(1)).alias("m")).where((F.col("m") > 1) & (F.col("p.long") == 0))
+    pivot = pivot.select("sig", F.struct("p.a", "p.b").alias("p"), F.col("p.own").alias("p_own"), "least")
+    members = prefix.select("sig", "long", "own", _id("a", "b").alias("c")).join(pivot, "sig")
+    members = members.where((F.col("c") != F.col("p")) & ((F.col("long") == 0) | (_size(F.col("c")) >= F.col("least"))))
+    return members.select("sig", "long", "own", "c", "p", "p_own", ((F.col("long") == 0) | (_size(F.col("c")) >= _size(F.col("p")))).alias("fit"))
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by token and set: (set, token, number of sets) of tokens that two sets or more hold."""
     token, a = np.empty(0, np.int64), np.empty(0, np.int64)

@@ -161,6 +161,18 @@ def test_near_duplicates_of_odd_rows(spark):
     assert ngram_jaccard.near_duplicates(spark, docs(spark, odd_rows()).where("false")).count() == 0
 
 
+def test_near_duplicates_with_a_pivot_larger_than_a_long_member(spark):
+    shingler, low, high = ngram_jaccard.Shingler(1), [], []
+    for word in (f"w{n}" for n in range(2000)):
+        token = int(shingler.tokens(word.encode())[0])
+        (low if token < (1 << 64) // 5 else high).append(word) if not 0.2 <= token / 2**64 < 0.3 else None
+    shared = low[:20] + high[:63]
+    pivot, small, large = low[:20] + high[100:180], [*shared, low[20], *high[63:69]], shared + low[21:33]
+    rows = [(n, " ".join(x)) for n, x in enumerate((pivot, small, large))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.near_duplicates(spark, docs(spark, rows), 1, 80).collect()}
+    assert got == brute_components(rows, 1, 80) == {0: (100, 0), 1: (90, 1), 2: (95, 1)}
+
+
 # --- media
 
 
