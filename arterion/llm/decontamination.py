@@ -6,7 +6,9 @@ words lower-case literals.  Windows of WINDOW template tokens are hashed and
 joined with those of the benchmark.  A document that covers enough of an item's
 windows is checked slot by slot: wherever the item's template has a
 placeholder, one value of the item must always meet one value of the document.
-Equal values are a verbatim leak, other ones a re-parameterised question.
+Equal values are a verbatim leak, other ones a re-parameterised question.  The
+check is made of the first place of each window and, where a document has
+several passages, of each passage alone; one that is consistent is enough.
 
 Every window of an item has an anchor, its longest literal word.  A document can
 cover enough windows only if it holds the anchors of as many, which a join of
@@ -35,6 +37,8 @@ WINDOW = 8
 COVERAGE = 0.5
 #: A window with fewer literal words than this says nothing.
 LITERALS = 3
+#: Widths of the ranges in which places of one passage are sought.
+RANGES = (4, 16, 64, 256)
 #: Windows of the benchmark that are broadcast at most, of 40 bytes each.
 MOST_BROADCAST = 1 << 20
 TOKEN = r"\p{L}+|[0-9]+(?:[.,:/][0-9]+)*|[.!?\n]|[%$€£]"
@@ -117,7 +121,8 @@ def candidates(docs: DataFrame, known: DataFrame, coverage: float, small: bool)
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows, n_slots, verbatim): documents that hold an item, and which.
 
-    ``n_matched``: distinct windows of the item found; ``n_slots``: distinct pairs of slot values that met.
+    ``n_matched``: distinct windows of the item found; ``n_slots``: distinct pairs of slot values that met in
+    the passage that decided.
     """
     listed = items(benchmark)
     known = item_windows(listed)
@@ -127,34 +132,58 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         return docs.sparkSession.createDataFrame([], empty.format(docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()))
     small = sum(sizes.values()) <= most_broadcast
     probe = F.broadcast(known) if small else known
-    held, _ = stash(docs.sparkSession, templated(candidates(docs, known, coverage, small), "doc_id"), "templates")
-    hashed = held.select("doc_id", F.transform("tokens", lambda x: F.xxhash64(x["c"])).alias("_h"))
+    held, _ = stash(docs.sparkSession, templated(candidates(docs, known, coverage, small), "doc_id").withColumn("row", F.monotonically_increasing_id()), "templates")
+    hashed = held.select("doc_id", "row", F.transform("tokens", lambda x: F.xxhash64(x["c"])).alias("_h"))
     found = None
     for size in sorted(sizes):
-        one = hashed.select("doc_id", F.posexplode(_windows(size)).alias("pos", "window")).join(probe.where(F.col("size") == size), "window")
-        one = one.select("doc_id", "item_id", "at", "n_windows", "pos")
+        one = hashed.select("doc_id", "row", F.posexplode(_windows(size)).alias("pos", "window")).join(probe.where(F.col("size") == size), "window")
+        one = one.select("doc_id", "item_id", "n_windows", F.struct("at", "row", "pos").alias("place"))
         found = one if found is None else found.unionByName(one)
-    # A document's rows for an item are at most the item's windows.
-    met = found.groupBy("doc_id", "item_id", "at", "n_windows").agg(F.min("pos").alias("pos"))
-    pairs = met.groupBy("doc_id", "item_id", "n_windows").agg(F.count(F.lit(1)).alias("n_matched"), F.collect_list(F.struct("at", "pos")).alias("places"))
-    pairs = pairs.where(F.col("n_matched") >= coverage * F.col("n_windows"))
+    pairs = found.groupBy("doc_id", "item_id", "n_windows").agg(F.collect_list("place").alias("places"))
+    pairs = pairs.withColumn("n_matched", F.size(F.array_distinct(F.col("places")["at"])).cast("long")).where(F.col("n_matched") >= coverage * F.col("n_windows"))
 
     pairs = pairs.join(listed.select("item_id", "size", F.col("tokens").alias("own")), "item_id")
-    both = held.select(F.col("doc_id").alias("_doc"), "tokens").join(pairs, F.col("_doc").eqNullSafe(F.col("doc_id")))
+    both = held.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "tokens").join(pairs, F.col("_doc").eqNullSafe(F.col("doc_id")))
 
     def slots(place: Column) -> Column:
         step = lambda k: F.struct(F.get(F.col("own"), place["at"] + k)["c"].alias("kind"), F.get(F.col("own"), place["at"] + k)["r"].alias("item"), F.get(F.col("tokens"), place["pos"] + k)["r"].alias("doc"))
-        return F.transform(F.sequence(F.lit(0), F.col("size") - 1), step)
-
-    met = F.array_distinct(F.filter(F.flatten(F.transform("places", slots)), lambda x: F.startswith(x["kind"], F.lit("#")) & x["doc"].isNotNull()))
-    out = both.select("doc_id", "item_id", "n_matched", "n_windows", met.alias("slots"))
+        return F.filter(F.transform(F.sequence(F.lit(0), F.col("size") - 1), step), lambda x: F.startswith(x["kind"], F.lit("#")))
+
+    mine = F.transform(F.filter("places", lambda p: p["row"] == F.col("_row")), lambda p: F.struct(p["at"].alias("at"), p["row"].alias("row"), p["pos"].alias("pos"), slots(p).alias("slots")))
+    met = both.select("doc_id", "item_id", "n_matched", "n_windows", mine.alias("met")).groupBy("doc_id", "item_id")
+    met = met.agg(F.max("n_matched").alias("n_matched"), F.max("n_windows").alias("n_windows"), F.array_sort(F.flatten(F.collect_list("met"))).alias("met"))
+    # The first place of each window, wherever in the document it is.
+    first = F.filter("met", lambda x, k: (k == 0) | (F.get(F.col("met"), k - 1)["at"] != x["at"]))
+    lines = F.size(F.array_distinct(F.transform("met", lambda x: F.struct(x["row"], x["pos"] - x["at"]))))
+    met = met.withColumn("slots", F.array_distinct(F.flatten(first["slots"]))).withColumn("lines", lines)
+    met, _ = stash(docs.sparkSession, _judged(met), "met")
+
+    # Where that mixes passages or isn't verbatim, each passage alone.
+    mixed = met.where((F.col("lines") > 1) & ~(F.col("consistent") & F.col("verbatim")))
+    one = mixed.select("doc_id", "item_id", "n_matched", "n_windows", F.explode("met").alias("x")).select("doc_id", "item_id", "n_matched", "n_windows", "x.*", F.explode(_passages(F.col("x.pos") - F.col("x.at"))).alias("passage"))
+    key = ["doc_id", "item_id", "n_matched", "n_windows", "row", "passage"]
+    one = one.groupBy(*key, "at").agg(F.min_by("slots", "pos").alias("slots")).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    one = _judged(one.where(F.col("n") >= coverage * F.col("n_windows")))
+
+    names = ["doc_id", "item_id", "n_matched", "n_windows", "n_slots", "verbatim"]
+    out = met.where("consistent").select(*names, F.lit(1).alias("all")).unionByName(one.where("consistent").select(*names, F.lit(0).alias("all")))
+    # A verbatim passage before others, the document as a whole before its passages.
+    best = F.max(F.struct("verbatim", "all", "n_slots")).alias("best")
+    return out.groupBy("doc_id", "item_id", "n_matched", "n_windows").agg(best).select("doc_id", "item_id", "n_matched", "n_windows", "best.n_slots", "best.verbatim")
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """``rows`` with n_slots, verbatim and consistent of their ``slots``."""
     values = F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x["item"])))
     same = F.forall("slots", lambda x: x["item"] == x["doc"])
-    out = out.groupBy("doc_id", "item_id").agg(
-        F.max("n_matched").alias("n_matched"), F.max("n_windows").alias("n_windows"), F.max(F.size("slots")).alias("n_slots"), F.max(same).alias("verbatim"),
-        F.max(F.size(values) == F.size("slots")).alias("consistent"),
-    )
-    return out.where("consistent").drop("consistent")
+    return rows.withColumns({"n_slots": F.size("slots"), "verbatim": same, "consistent": F.size(values) == F.size("slots")})
+
+
+def _passages(line: Column) -> Column:
+    """The passages that a place may belong to, by its distance from the item's place: that distance alone, and
+    overlapping ranges of it, as words may be put into or left out of a copy."""
+    ranges = [F.struct(F.lit(w).alias("width"), F.lit(h).alias("shift"), F.floor((line + h) / w).cast("long").alias("k")) for w in RANGES for h in (0, w // 2)]
+    return F.array(F.struct(F.lit(1).alias("width"), F.lit(0).alias("shift"), line.cast("long").alias("k")), *ranges)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

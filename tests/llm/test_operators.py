@@ -337,6 +337,15 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs(spark, rows).where("false"), benchmark).count() == 0
 
 
+def test_decontamination_keeps_passages_apart(spark):
+    item = "The box holds 4 red balls and 4 blue balls and then 4 more green balls are put in by the older child"
+    other, cut = "The box holds 9 red balls and 9 blue jars. ", item.replace("then 4", "then of course 4")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, other + item), (2, other + "so it goes on here " * 90 + cut), (3, other), (4, item + " " + other), (None, other + "and no more"), (None, item)]
+    got = {r["doc_id"]: (r["verbatim"], r["n_slots"]) for r in decontamination.contaminated(docs(spark, rows), benchmark).collect()}
+    assert got == {k: (True, 1) for k in (1, 2, 4, None)}
+
+
 # --- line dedup
 
 
