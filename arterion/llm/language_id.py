@@ -8,8 +8,10 @@ sums of text posteriors; likelihoods of declared and address languages come from
 the same kind of sums.  A page's own text is taken out of its priors, so that no
 evidence counts twice.  Only small rows of numbers are shuffled.
 
-The text model is fitted on the driver on a bounded sample of documents whose
-language is known; everything else is counted over all pages.
+The text model is fitted on the driver on a bounded sample of each language of
+the documents; languages are counted over all documents, and everything else
+over all pages.  A language that only pages declare has no text to fit on and
+counts as "other".
 
 Defined results: a null or empty page has a flat text likelihood and is decided
 by the rest; a null or malformed address has host "" of suffix ""; an unknown
@@ -25,13 +27,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arterion.llm.common import stash, table
 
-#: Documents that the text model is fitted on, at most, and languages that it tells apart.
-MOST_DOCUMENTS, MOST_LANGUAGES = 4_000, 64
+#: Documents that the text model is fitted on, dealt evenly over the languages, of which each has so many at least.
+MOST_DOCUMENTS, LEAST_EACH = 4_000, 25
 BUCKETS = 1 << 15
 #: A text counts as at most this many independent trigrams.
 EVIDENCE = 40.0
@@ -85,11 +87,18 @@ class TextModel:
 
 
 def fit_text(docs: DataFrame, most: int = MOST_DOCUMENTS) -> TextModel:
-    """The trigram model of a bounded sample of ``docs`` (doc_id, text, lang), the first by hash of doc_id."""
-    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").toPandas()
-    top = rows["lang"].value_counts().sort_index().sort_values(ascending=False, kind="stable").index[:MOST_LANGUAGES]
-    languages = sorted(top.tolist()) or ["und"]
+    """The trigram model of ``docs`` (doc_id, text, lang): all languages of documents with a doc_id, and of each the
+    first documents by hash of doc_id, an equal part of ``most`` but ``LEAST_EACH`` at least."""
+    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
+    held = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}  # a row per language
+    languages = sorted(held) or ["und"]
+    each = max(LEAST_EACH, most // len(languages))
+    # Of a common language, a part of the hash range that holds about twice as many as are taken.
+    parts = docs.sparkSession.createDataFrame([(x, 1.0 if n <= 2 * each else 2 * each / n) for x, n in held.items()], "lang string, part double")
+    near = ids.join(F.broadcast(parts), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("part") * (1 << 30))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = near.withColumn("place", first).where(F.col("place") <= each).select("doc_id", "lang")
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"]).toPandas()
     counts = np.full((BUCKETS, len(languages)), 0.05)
     for k, lang in enumerate(languages):
         for text in rows.loc[rows["lang"] == lang, "text"]:
@@ -147,7 +156,7 @@ def identify(pages: DataFrame, model: TextModel, key: str = "page_id") -> DataFr
     whole = F.array(*[F.lit(float(x or 0.0)) for x in total])
     # Suffixes, kinds of declared and named languages: small tables, yet joined by key, as suffixes are not bounded.
     both = rows.join(_sums(rows, ["suffix"], "suffix_sum", n), "suffix").join(_sums(rows, ["domain"], "domain_sum", n), "domain").join(_sums(rows, ["host"], "host_sum", n), "host")
-    both = both.join(F.broadcast(_sums(rows, ["declared"], "declared_sum", n)), "declared").join(F.broadcast(_sums(rows, ["named"], "named_sum", n)), "named")  # at most MOST_LANGUAGES + 2 rows each
+    both = both.join(F.broadcast(_sums(rows, ["declared"], "declared_sum", n)), "declared").join(F.broadcast(_sums(rows, ["named"], "named_sum", n)), "named")  # a row per language and 2 more each
     flat = F.array(*[F.lit(1.0 / n)] * n)
     both = both.withColumn("base", lean(less(whole), flat))
     both = both.withColumn("prior", lean(less(F.col("suffix_sum")), F.col("base")))

@@ -379,6 +379,13 @@ def test_language_id(spark):
     assert language_id.identify(pages.where("false"), model).count() == 0
 
 
+def test_all_languages_of_the_documents_are_told_apart(spark):
+    rows = [(k, f"word{k % 7} of the common kind", "en") for k in range(300)] + [(1000 + k, f"quite {k} rare", f"l{k:02}") for k in range(70)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.fit_text(known, most=40).languages == sorted({x[2] for x in rows})
+    assert language_id.fit_text(known.where("false")).languages == ["und"]
+
+
 def test_addresses():
     assert language_id.address("https://u@Blog.Example.co.DE:80/fr/1?x") == ("blog.example.co.de", "co.de", "de", "fr")
     assert language_id.address("http://a.org/english/1") == ("a.org", "a.org", "org", "none") and language_id.address(None) == ("", "", "", "none")
