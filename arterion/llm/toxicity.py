@@ -270,7 +270,7 @@ def score(docs: DataFrame, lex: Lexicon | None, key: str = "doc_id", text: str =
                 for x in rows.column(1):
                     t = x.as_py()
                     p.append(lex.probability(t))
-                    found.append([dict(zip(("start", "end", "score", "surprise"), s, strict=True)) for s in lex.passages(t)] if p[-1] > 0.02 else [])
+                    found.append([dict(zip(("start", "end", "score", "surprise"), s, strict=True)) for s in lex.passages(t)])
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(p, pa.float64()), pa.array(found, spans)], [key, "score", "passages"])
 
     return docs.select(key, text).mapInArrow(work, schema)

@@ -261,6 +261,12 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.keep_clean(docs(spark, odd_rows()), lex).count() == len(odd_rows())
 
 
+def test_passages_of_an_unlikely_document_are_returned(spark):
+    lex = toxicity.Lexicon(words={"vile": 9.0}, weights=(-20.0, 0.0, 0.0))
+    got = toxicity.score(docs(spark, [(1, "a vile thing"), (2, "a thing")]), lex).collect()
+    assert {r["doc_id"]: len(r["passages"]) for r in got} == {1: 1, 2: 0} and all(r["score"] < 0.02 for r in got)
+
+
 def test_maximal_segments_match_the_definition():
     rng = random.Random(2)
     for _ in range(200):
