@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,18 +36,84 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stash(spark: SparkSession, df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """``df`` written to the shared folder and read again, with its path.  Survives the loss of any executor."""
-    path = f"{shared_dir(spark)}/arterion/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, a query's shuffle files go as soon as it ends, not when the driver next collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Deletes tables of stash() that nothing reads any more."""
-    for path in paths:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+class Scratch:
+    """Intermediate tables in the shared folder, which survive the loss of any executor; each can be deleted once it
+    isn't read any more, and close() deletes all but the named ones."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        """``df`` written and read again."""
+        path = f"{shared_dir(self.spark)}/arterion/{what}-{uuid.uuid4().hex}"
+        with shuffles_freed(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for x in tables:
+            path, _ = self.paths.pop(id(x), (None, None))
+            if path:
+                at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def close(self, *but: DataFrame) -> None:
+        self.drop(*[x for _, x in list(self.paths.values()) if all(x is not y for y in but)])
+
+
+def stash(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    return Scratch(spark).keep(df, what)
+
+
+#: Keys that hold more than this part of all rows are hot, so that there are at most HOT_KEYS of them.
+HOT_KEYS = 1000
+#: Ids (of about 16 bytes) that are broadcast at most.
+MOST_IDS = 1 << 20
+
+
+def join_hot(rows: DataFrame, small: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined by column ``key`` with ``small``, which has each key once; ``how``: inner, left or left_semi.
+
+    Keys that hold over 1 / HOT_KEYS of the rows, which are fewer than HOT_KEYS, are joined by a broadcast of their few
+    rows of ``small``, so that no task gets all rows of a hot key; the others by shuffle.  Both tables are read twice, so
+    they should be tables of Scratch.  ``counts`` (key, n): rows of each key, or fewer, if they are known.
+    """
+    least = max(1, rows.count() // HOT_KEYS)
+    if counts is None:
+        counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = [(r[key],) for r in counts.where(F.col("n") > least).select(key).collect()]  # fewer than HOT_KEYS
+    if not hot:
+        return rows.join(small, key, how)
+    is_hot = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(key).schema))
+    some = F.broadcast(small.join(is_hot, key, "left_semi"))
+    near = rows.join(is_hot, key, "left_semi").join(some, key, how)
+    return near.unionByName(rows.join(is_hot, key, "left_anti").join(small, key, how))
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str, how: str, most: int = MOST_IDS) -> DataFrame:
+    """``rows`` whose ``key`` is (left_semi), or isn't (left_anti), in the one column of ``ids``, a null like a value.
+
+    Only ids move: they are broadcast if they are counted to be at most ``most``; beyond that rows are shuffled too.
+    """
+    name = "_id_" + uuid.uuid4().hex  # no column of ``rows`` has this name
+    ids = ids.select(F.col(ids.columns[0]).alias(name)).distinct()
+    small = ids.count() <= most
+    return rows.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col(name)), how)
 
 
 def ascii_lower(col: Column) -> Column:
@@ -57,7 +124,3 @@ def ascii_lower(col: Column) -> Column:
 def sql_literal(text: str) -> str:
     """``text`` as a SQL literal for DuckDB."""
     return "'" + text.replace("'", "''") + "'"
-
-
-def identifier(name: str) -> str:
-    return re.sub(r"\W+", "_", name.lower()).strip("_")

@@ -31,7 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterion.llm.common import stash, table, text_or_empty
+from arterion.llm.common import Scratch, among, table, text_or_empty
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -109,13 +109,12 @@ def item_windows(listed: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, known: DataFrame, coverage: float, small: bool) -> DataFrame:
-    """The rows (doc_id, text) of documents that hold the anchors of enough windows of some item."""
+    """The ids of documents that hold the anchors of enough windows of some item."""
     anchors = known.groupBy("item_id", "n_windows", "anchor").agg(F.count(F.lit(1)).alias("weight"))
     words = docs.select("doc_id", F.explode(F.split(F.lower(text_or_empty()), r"[^\p{L}]+", -1)).alias("anchor"))
     met = words.join(F.broadcast(anchors) if small else anchors, "anchor").groupBy("doc_id", "item_id", "n_windows", "anchor").agg(F.max("weight").alias("weight"))
     enough = met.groupBy("doc_id", "item_id", "n_windows").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= coverage * F.col("n_windows"))
-    wanted = enough.select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "text")
+    return enough.select("doc_id").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -132,7 +131,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         return docs.sparkSession.createDataFrame([], empty.format(docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()))
     small = sum(sizes.values()) <= most_broadcast
     probe = F.broadcast(known) if small else known
-    held, _ = stash(docs.sparkSession, templated(candidates(docs, known, coverage, small), "doc_id").withColumn("row", F.monotonically_increasing_id()), "templates")
+    scratch = Scratch(docs.sparkSession)
+    wanted = scratch.keep(candidates(docs, known, coverage, small), "wanted")
+    held = scratch.keep(templated(among(docs.select("doc_id", "text"), wanted, "doc_id", "left_semi"), "doc_id").withColumn("row", F.monotonically_increasing_id()), "templates")
     hashed = held.select("doc_id", "row", F.transform("tokens", lambda x: F.xxhash64(x["c"])).alias("_h"))
     found = None
     for size in sorted(sizes):
@@ -156,7 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     first = F.filter("met", lambda x, k: (k == 0) | (F.get(F.col("met"), k - 1)["at"] != x["at"]))
     lines = F.size(F.array_distinct(F.transform("met", lambda x: F.struct(x["row"], x["pos"] - x["at"]))))
     met = met.withColumn("slots", F.array_distinct(F.flatten(first["slots"]))).withColumn("lines", lines)
-    met, _ = stash(docs.sparkSession, _judged(met), "met")
+    met = scratch.keep(_judged(met), "met")
 
     # Where that mixes passages or isn't verbatim, each passage alone.
     mixed = met.where((F.col("lines") > 1) & ~(F.col("consistent") & F.col("verbatim")))
@@ -169,7 +170,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     out = met.where("consistent").select(*names, F.lit(1).alias("all")).unionByName(one.where("consistent").select(*names, F.lit(0).alias("all")))
     # A verbatim passage before others, the document as a whole before its passages.
     best = F.max(F.struct("verbatim", "all", "n_slots")).alias("best")
-    return out.groupBy("doc_id", "item_id", "n_matched", "n_windows").agg(best).select("doc_id", "item_id", "n_matched", "n_windows", "best.n_slots", "best.verbatim")
+    out = scratch.keep(out.groupBy("doc_id", "item_id", "n_matched", "n_windows").agg(best).select("doc_id", "item_id", "n_matched", "n_windows", "best.n_slots", "best.verbatim"), "leaks")
+    scratch.close(out)
+    return out
 
 
 def _judged(rows: DataFrame) -> DataFrame:
@@ -188,8 +191,7 @@ def _passages(line: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item of the benchmark."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return among(docs, contaminated(docs, benchmark).select("doc_id"), "doc_id", "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,7 +144,7 @@ def identify(pages: DataFrame, model: TextModel, key: str = "page_id") -> DataFr
     """(key, lang, probability, text_lang, declared, named, host): the fused decision, with what it rests on."""
     langs, n = model.languages, len(model.languages)
     # The pages are read once; seven grouped sums and the decision start from the small rows that are left of them.
-    rows, _ = stash(pages.sparkSession, evidence(pages, model, key).withColumn("post", _normal(F.transform("like", lambda v: F.exp(v)))).drop("like"), "evidence")
+    rows = stash(pages.sparkSession, evidence(pages, model, key).withColumn("post", _normal(F.transform("like", lambda v: F.exp(v)))).drop("like"), "evidence")
     less = lambda s: F.zip_with(s, "post", lambda a, b: F.greatest(F.lit(0.0), a - b))
 
     def lean(own: Column, parent: Column) -> Column:

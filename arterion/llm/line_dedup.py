@@ -1,16 +1,17 @@
 """Line dedup: lines found in many documents are dropped from all of them.
 
 Lines are normalised and hashed where the text lies; only (document, 128-bit
-hash) rows are shuffled to count distinct documents per hash.  The frequent
-hashes go back to their documents as one list each, and the lines that are left
-are reassembled by position.  A hot line is one partial count per task, and its
-way back to the documents is an equi-join that adaptive execution can split.
+hash) rows are written, and shuffled to count distinct documents per hash.  The
+frequent hashes go back to their documents as one list each, and the lines that
+are left are reassembled by position.  A hot line is one partial count per task,
+and finds its way back to the documents by a broadcast, not by its key.
 
 Defined results: a null or empty text is one empty line, which is never
 dropped; a line that is empty after normalising has no key; rows that repeat a
 doc_id count as one document (a null doc_id is a document of its own name) and
 all of them lose the line; lines seen twice in a document count once; other
-columns stay as they are, whatever their names.
+columns stay as they are, whatever their names, but for n_lines and n_dropped
+where these are asked for.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterion.llm.common import table
+from arterion.llm.common import Scratch, join_hot, table
 
 MIN_DOCUMENTS = 10
 MIN_POINTS = 1
@@ -56,13 +57,18 @@ def frequent_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_poin
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at[part]), pa.array(halves[part, 0]), pa.array(halves[part, 1])], ["_doc", "_a", "_b"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(keys, f"_doc {kind}, _a long, _b long")
-    often = rows.distinct().groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).drop("n")
-    return rows.join(often, ["_a", "_b"], "left_semi").groupBy("_doc").agg(F.collect_set(F.struct("_a", "_b")).alias("_dropped"))
-
-
-def drop_frequent_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_points: int = MIN_POINTS) -> DataFrame:
-    """``docs`` with frequent lines gone from ``text``, and n_lines (before) and n_dropped (long) besides."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(docs.select("doc_id", "text").mapInArrow(keys, f"_doc {kind}, _a long, _b long").select("_doc", F.struct("_a", "_b").alias("_key")), "lines")
+    often = rows.distinct().groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents)
+    often = scratch.keep(often, "frequent")
+    lost = scratch.keep(join_hot(rows, often, "_key", "left_semi", often).groupBy("_doc").agg(F.collect_set("_key").alias("_dropped")), "lost")
+    scratch.close(lost)
+    return lost
+
+
+def drop_frequent_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_points: int = MIN_POINTS, counts: bool = True) -> DataFrame:
+    """``docs`` with frequent lines gone from ``text``; with ``counts``, n_lines (before) and n_dropped (long) besides,
+    in place of columns of these names."""
     names = docs.columns
     lost = frequent_lines(docs, min_documents, min_points)
     both = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")).join(lost, F.col("_row.doc_id").eqNullSafe(F.col("_doc")), "left")
@@ -99,6 +105,9 @@ def drop_frequent_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min
 
     out = both.mapInArrow(rebuild, schema)
     columns = [F.col("_text").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in names]
+    if not counts:
+        return out.select(*columns)
+    columns = [x for x, c in zip(columns, names, strict=True) if c.lower() not in ("n_lines", "n_dropped")]
     return out.select(*columns, F.col("_n").alias("n_lines"), F.col("_lost").alias("n_dropped"))
 
 

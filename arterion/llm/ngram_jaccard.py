@@ -34,8 +34,10 @@ star, not a clique.  Pivots are found by a grouped minimum, which is aggregated
 before it is shuffled, and joined back, which adaptive execution can split.
 
 Memory: a task holds the documents of an Arrow batch, the class ids that it has
-seen, and the pivots of one bucket.  Only the frequent
-tokens, at most ``MOST_FREQUENT``, go through the driver.
+seen, and the pivots of one cell: the members of a large bucket are dealt to
+cells, as are the pivots of later rounds.  Only the frequent tokens, at most
+``MOST_FREQUENT``, and hot keys, of which there can only be a thousand, go
+through the driver.  Everything but the result is deleted at the end.
 
 Defined results: a null or blank text has an empty set and is linked with
 nothing; a text of fewer words than a shingle is one token; equal sets are
@@ -51,10 +53,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arterion.llm.common import discard, stash, table
+from arterion.llm.common import Scratch, join_hot, table
 
 #: The part of the hash range whose tokens are counted, against the part of a set that may be missing.
 COUNTED_PART = 1.25
@@ -64,11 +66,16 @@ FREQUENT, VERY_FREQUENT = 32, 1 << 14
 MOST_FREQUENT = 1 << 17
 #: Tokens are counted exactly by chunks of this many, and counts under LOCAL of a chunk are left out.
 COUNTED, LOCAL = 1 << 21, 4
+#: A token held by more sets than this is ordered as if it were held by so many; bounds what a task keeps of one token.
+MOST_HELD = 1 << 16
 GROWTH = 8
-_ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
-
+#: Members and pivots of a bucket that are compared in one task at most.
+CELL_MEMBERS, CELL_PIVOTS = 4096, 512
+#: Bytes of text that are hashed at a time.
+BLOCK = 1 << 20
 
 _EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
+_WHOLE = (1 << 64) - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,32 +86,103 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Distinct word shingles as sorted, even 64-bit hashes: A-Z lower-cased, words cut at blanks of ASCII."""
-
-    def __init__(self, words: int):
-        import xxhash
+    """Distinct word shingles as sorted, even 64-bit hashes: A-Z lower-cased, words cut at blanks of ASCII.
 
-        self.words, self.hash = words, xxhash.xxh3_64_intdigest
-        self.known: dict[bytes, int] = {}
-        self.odd = [np.uint64(_ODD[k % 8] * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(words)]
+    All bytes of a block are worked on at once: a word's hash is sum(v[byte] * R ** place) modulo 2 ** 64, a difference
+    of two running sums, with a value v drawn for each byte.  A word that crosses two blocks is put together again.
+    """
 
-    def tokens(self, text: bytes | None) -> np.ndarray:
-        parts = (text or b"").lower().split()
-        if not parts:
-            return np.empty(0, np.uint64)
-        if len(parts) < self.words:
-            return np.array([self.hash(b" ".join(parts), seed=len(parts))], np.uint64) & _EVEN
-        if len(self.known) > 400_000:
-            self.known.clear()
-        known, digest = self.known, self.hash
-        for x in set(parts).difference(known):
-            known[x] = digest(x)
-        h = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
-        n = len(h) - self.words + 1
+    def __init__(self, words: int):
+        self.words = words
+        draw = np.random.default_rng(20_240_229)
+        self.value = draw.integers(1, 1 << 63, 256, np.uint64)
+        self.value[65:91] = self.value[97:123]
+        self.gap = np.zeros(256, bool)
+        self.gap[[32, *range(9, 14)]] = True
+        self.odd = draw.integers(1, 1 << 63, max(words, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
+        power = np.full(BLOCK + 1, np.uint64(self.base))
+        back = np.full(BLOCK + 1, np.uint64(pow(self.base, -1, 1 << 64)))
+        power[0] = back[0] = 1
+        self.power, self.back = np.cumprod(power), np.cumprod(back)
+
+    def _block(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, start, end) of the words in a block; no word goes over a place in ``cuts``."""
+        inside = ~self.gap[data]
+        before, after = np.concatenate([[False], inside[:-1]]), np.concatenate([inside[1:], [False]])
+        cuts = cuts[(cuts > 0) & (cuts < len(data))]
+        before[cuts] = False
+        after[cuts - 1] = False
+        start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.value[data] * self.power[: len(data)], out=total[1:])
+        return (total[end] - total[start]) * self.back[start], start, end
+
+    def _words(self, data: np.ndarray) -> np.ndarray:
+        """Hashes of the words of one text of any length."""
+        parts, left, length = [], None, 0  # the hash and length of a word that may go on
+        for at in range(0, len(data), BLOCK):
+            block = data[at : at + BLOCK]
+            h, start, end = self._block(block, np.empty(0, np.int64))
+            goes_on = bool(len(start)) and start[0] == 0
+            if left is not None and goes_on:
+                h[0] = np.uint64((int(left) + pow(self.base, length, 1 << 64) * int(h[0])) & _WHOLE)
+            elif left is not None:
+                parts.append(np.array([left], np.uint64))
+            if len(end) and end[-1] == len(block):
+                length = int(end[-1] - start[-1]) + (length if left is not None and goes_on and len(h) == 1 else 0)
+                left, h = h[-1], h[:-1]
+            else:
+                left = None
+            parts.append(h)
+        if left is not None:
+            parts.append(np.array([left], np.uint64))
+        return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+    def _sets(self, h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        """The sets of texts that have ``counts`` words, one after the other in ``h``."""
+        h, w = _mix(h), self.words
+        n = max(0, len(h) - w + 1)
         out = h[:n] * self.odd[0]
-        for k in range(1, self.words):
+        for k in range(1, w):
             out += h[k : k + n] * self.odd[k]
-        return np.unique(_mix(out) & _EVEN)
+        out = _mix(out) & _EVEN
+        sets, at = [], 0
+        for m in counts.tolist():
+            if m >= w:
+                x = np.sort(out[at : at + m - w + 1])
+                new = np.ones(len(x), bool)
+                np.not_equal(x[1:], x[:-1], out=new[1:])
+                sets.append(x[new])
+            elif m:
+                few = (h[at : at + m] * self.odd[:m]).sum(dtype=np.uint64) + np.uint64(m)
+                sets.append(_mix(np.array([few])) & _EVEN)
+            else:
+                sets.append(np.empty(0, np.uint64))
+            at += m
+        return sets
+
+    def sets(self, texts: pa.Array) -> list[np.ndarray]:
+        """The set of each text (string or binary; null: empty)."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) and offsets[-1] else np.empty(0, np.uint8)
+        out, k = [], 0
+        while k < len(texts):
+            end = max(k + 1, int(np.searchsorted(offsets, offsets[k] + BLOCK, "right")) - 1)
+            part, cuts = data[offsets[k] : offsets[end]], offsets[k : end + 1] - offsets[k]
+            if len(part) > BLOCK:
+                h = self._words(part)
+                counts = np.array([len(h)])
+            else:
+                h, start, _ = self._block(part, cuts)
+                counts = np.diff(np.searchsorted(start, cuts))
+            out += self._sets(h, counts)
+            k = end
+        return out
+
+    def tokens(self, text: bytes | None) -> np.ndarray:
+        return self.sets(pa.array([text], pa.binary()))[0]
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -194,20 +272,22 @@ def frequent_tokens(spark: SparkSession, docs: DataFrame, words: int) -> tuple[n
 
         def part() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= LOCAL
+            keep = n >= max(2, LOCAL * size // COUNTED)
             return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["token", "n"])
 
         for batch in batches:
-            for x in batch.column(0).cast(pa.binary()):
-                held.append(shingler.tokens(x.as_py()))
-                size += len(held[-1])
+            for start in range(0, batch.num_rows, 500):
+                held += shingler.sets(batch.column(0).slice(start, 500))
+                size = sum(map(len, held))
                 if size >= COUNTED:
                     yield part()
                     held, size = [], 0
         if held:
             yield part()
 
-    counts, path = stash(spark, docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "tokens")
+    scratch = Scratch(spark)
+    counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = scratch.keep(counts.where(F.col("n") >= FREQUENT), "tokens")
     # At most a few hundred rows: how many tokens have a count in each eighth of a power of two.
     steps = sorted(counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).count().collect(), key=lambda r: -r["step"])
     total, least = 0, None
@@ -217,7 +297,7 @@ def frequent_tokens(spark: SparkSession, docs: DataFrame, words: int) -> tuple[n
             break
         least = r["step"]
     found = counts.where(F.floor(F.log2("n") * 8) >= least).toPandas() if least is not None else None
-    discard(spark, path)
+    scratch.close()
     if found is None:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     token = found["token"].to_numpy(np.int64).view(np.uint64)
@@ -235,23 +315,24 @@ def _size(c: Column) -> Column:
     return c["b"].bitwiseAND(0xFFFFFF)
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(c, label): the least id reachable from each id of ``edges`` (u, v).
 
     Labels spread over edges and are then followed one step (pointer jumping), until none changes.
     """
-    both, _ = stash(spark, edges.select("u", "v").union(edges.select("v", "u")).distinct(), "edges")
-    labels, last = stash(spark, both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("label")), "labels")
+    both = scratch.keep(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "edges")
+    labels = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels, both["v"] == labels["c"]).groupBy("u").agg(F.min("label").alias("m"))
-        step = labels.join(near, labels["c"] == near["u"]).select("c", F.least("label", "m").alias("label"), F.col("label").alias("was"))
-        jump = step.select(F.col("c").alias("at"), F.col("label").alias("next"))
-        step = step.join(jump, step["label"] == jump["at"]).select("c", F.least("label", "next").alias("label"), (F.least("label", "next") < F.col("was")).alias("moved"))
-        new, path = stash(spark, step, "labels")
-        moved = bool(new.where("moved").take(1))
-        discard(spark, last)
-        labels, last = new.select("c", "label"), path
-        if not moved:
+        near = join_hot(both, labels.select(F.col("c").alias("v"), "label"), "v").groupBy(F.col("u").alias("c")).agg(F.min("label").alias("m"))
+        step = labels.join(near, "c").select("c", F.least("label", "m").alias("label"), F.col("label").alias("was"))
+        step = scratch.keep(step, "step")
+        # Most labels are roots, whose own label is no other one.
+        jump = step.where(F.col("c") != F.col("label")).select(F.col("c").alias("label"), F.col("label").alias("next"))
+        step_to = F.least("label", F.coalesce("next", "label"))
+        labels, last = scratch.keep(join_hot(step, jump, "label", "left").select("c", step_to.alias("label"), (step_to < F.col("was")).alias("moved")), "labels"), labels
+        scratch.drop(last, step)
+        if not labels.where("moved").take(1):
+            scratch.drop(both)
             return labels
 
 
@@ -259,6 +340,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     """(doc_id, n_shingles, component_id): the smallest doc_id reachable by links of at least ``percent`` Jaccard."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    scratch = Scratch(spark)
     frequent, very = frequent_tokens(spark, docs, words)
     often = spark.sparkContext.broadcast((frequent, very))
 
@@ -269,8 +351,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
             for start in range(0, batch.num_rows, 500):
                 rows = batch.slice(start, 500)
                 n, ids, need, short, own, found = [], [], [], [], [], []
-                for doc, text in zip(rows.column(0), rows.column(1).cast(pa.binary()), strict=True):
-                    tokens = shingler.tokens(text.as_py())
+                for doc, tokens in zip(rows.column(0), shingler.sets(rows.column(1)), strict=True):
                     n.append(len(tokens))
                     ids.append(_class_id(tokens, len(tokens)))
                     first, second, third, *lists_of = 0, 0, 0, none, none, none
@@ -285,7 +366,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
                 yield pa.RecordBatch.from_arrays([rows.column(0), *columns, *[pa.array([x[k] for x in found], lists) for k in range(3)]], names)
 
     names = ["doc_id", "n", "a", "b", "need", "short", "rare", "counted", "near", "far"]
-    indexed, _ = stash(spark, docs.mapInArrow(index, f"doc_id {kind}, n long, a long, b long, need long, short long, rare long, counted array<long>, near array<long>, far array<long>"), "indexed")
+    indexed = scratch.keep(docs.mapInArrow(index, f"doc_id {kind}, n long, a long, b long, need long, short long, rare long, counted array<long>, near array<long>, far array<long>"), "indexed")
+    often.destroy()
 
     # Which counted tokens more than one set holds, by the first half of the sets' ids.  Two sets that agree in that
     # half only lengthen each other's lists, and their prefixes by as much.
@@ -299,56 +381,57 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     own = F.round(F.col("rare") * (1 - F.when(F.col("n_counted") > 0, F.least(F.lit(1.0), n_shared / F.col("n_counted"))).otherwise(0.0))).cast("int")
     sets = sets.select("a", "b", "rare", "near", "far", "shared", own.alias("own"), take("short").alias("x"), take("need").alias("y"))
     sets = sets.select("a", "b", "rare", "own", F.concat(part(F.lit(1), F.col("x")), "near").alias("near"), F.concat(part(F.col("x") + 1, F.col("y") - F.col("x")), "far").alias("far"))
-    sets, _ = stash(spark, sets.where((F.size("near") > 0) | (F.size("far") > 0)), "prefix")
+    sets = scratch.keep(sets.where((F.size("near") > 0) | (F.size("far") > 0)), "prefix")
+    named = scratch.keep(indexed.select("doc_id", F.col("n").alias("n_shingles"), _id("a", "b").alias("c")), "named")
+    scratch.drop(indexed)
     entries = lambda c, long: F.transform(c, lambda t: F.struct(t.alias("sig"), F.lit(long).alias("long")))
     prefix = sets.select("a", "b", "own", F.explode(F.concat(entries("near", 0), entries("far", 1))).alias("e")).select("e.sig", "e.long", "own", "a", "b")
 
-    members, _ = stash(spark, _members(prefix), "members")
+    members = scratch.keep(_members(prefix), "members")
     # All pairs with a pivot keep a bucket open; only those whose smaller set isn't long are to be verified.
-    starred, _ = stash(spark, members.groupBy("c", "p").agg(F.max("fit").alias("fit")), "pairs")
+    starred = scratch.keep(members.groupBy("c", "p").agg(F.max("fit").alias("fit")), "pairs")
     pairs = starred.where("fit").select("c", "p")
 
     # The text of one document of each set that has a candidate.
     wanted = starred.select("c").union(starred.select("p")).distinct()
-    owner = indexed.where(F.col("doc_id").isNotNull()).groupBy(_id("a", "b").alias("c")).agg(F.min("doc_id").alias("doc_id"))
+    owner = named.where(F.col("doc_id").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("doc_id"))
     wanted = wanted.join(owner, "c")
-    texts, _ = stash(spark, _texts(docs.where(F.col("doc_id").isNotNull()), wanted, words), "texts")
+    texts = scratch.keep(_texts(docs.where(F.col("doc_id").isNotNull()), wanted, words), "texts")
 
-    edges, _ = stash(spark, _verified(pairs, texts, words, percent), "links")
-    low, pivots = 1, GROWTH
-    labels = components(spark, edges)
+    labels = components(scratch, scratch.keep(_verified(pairs, texts, words, percent), "links"))
+    low, high = 1, GROWTH
     while True:
         open_pairs = _labelled(starred.select("c", "p"), labels).where(F.col("lc") != F.col("lp")).select("c", "p")
-        if not open_pairs.take(1):
+        inside = scratch.keep(_open(members, open_pairs, labels), "open")
+        if not inside.take(1):
             break
-        # All members of the buckets that still hold several components.
-        sigs = members.join(open_pairs, ["c", "p"], "left_semi").select("sig").distinct()
-        inside = members.join(sigs, "sig", "left_semi")
-        inside = inside.select("sig", "long", "own", "c").union(inside.select("sig", F.lit(0), F.col("p_own").alias("own"), F.col("p").alias("c"))).distinct()
-        lists = sets.select(_id("a", "b").alias("id"), "rare", "near", "far").join(inside.select(F.col("c").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.max("rare").alias("rare"), F.max("near").alias("near"), F.max("far").alias("far"))
-        known = labels.select("c", "label")
-        inside = inside.join(known, "c", "left").join(lists, F.col("c") == F.col("id"))
-        inside = inside.select("sig", "long", "own", _size(F.col("c")).alias("n"), "c.a", "c.b", F.coalesce("label.a", "c.a").alias("la"), F.coalesce("label.b", "c.b").alias("lb"), "near", "far", "rare")
-        again = inside.repartition("sig").sortWithinPartitions("sig", "long", "own", "n", "a", "b").mapInArrow(_rounds(low, pivots, percent), "a long, b long, p long, q long, more boolean")
-        again, again_at = stash(spark, again, "again")
-        new = again.where(F.col("p").isNotNull()).select(_id("a", "b").alias("c"), _id("p", "q").alias("p")).distinct().join(pairs, ["c", "p"], "left_anti")
-        found, found_at = stash(spark, _verified(new, texts, words, percent), "links")
-        fresh, unfinished = bool(found.take(1)), bool(again.where("more").take(1))
-        if fresh:
-            edges, _ = stash(spark, edges.unionByName(found).distinct(), "links")
-            labels = components(spark, edges)
-        discard(spark, again_at, found_at)
-        if not unfinished:
+        cells, more = _cells(scratch, inside, sets, low, high)
+        again = scratch.keep(cells.mapInArrow(_compare(percent), "a long, b long, p long, q long").select(_id("a", "b").alias("c"), _id("p", "q").alias("p")).distinct(), "again")
+        found = scratch.keep(_verified(again.join(pairs, ["c", "p"], "left_anti"), texts, words, percent), "links")
+        if found.take(1):
+            labels = _merged(scratch, labels, found)
+        scratch.drop(inside, again, found)
+        if not more:
             break
-        low, pivots = pivots, pivots * GROWTH
+        low, high = high, high * GROWTH
 
-    label = labels.select(F.col("c"), F.col("label"))
-    rows = indexed.select("doc_id", F.col("n").alias("n_shingles"), _id("a", "b").alias("c"))
-    linked = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    alone = rows.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    linked = linked.join(label, "c", "left").select("doc_id", "n_shingles", F.coalesce("label", "c").alias("root"))
+    linked = named.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    linked = scratch.keep(join_hot(linked, labels.select("c", "label"), "c", "left").select("doc_id", "n_shingles", F.coalesce("label", "c").alias("root")), "roots")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return linked.join(least, "root").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    alone = named.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = scratch.keep(join_hot(linked, least, "root").select("doc_id", "n_shingles", "component_id").unionByName(alone), "components")
+    scratch.close(out)
+    return out
+
+
+def _merged(scratch: Scratch, labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` after the edges ``found`` (u, v): components of the labels that these edges connect."""
+    between = _labelled(found.select(F.col("u").alias("c"), F.col("v").alias("p")), labels)
+    over = components(scratch, between.where(F.col("lc") != F.col("lp")).select(F.col("lc").alias("u"), F.col("lp").alias("v")))
+    old = join_hot(labels, over.select(F.col("c").alias("label"), F.col("label").alias("new")), "label", "left").select("c", F.coalesce("new", "label").alias("label"))
+    out = scratch.keep(old.unionByName(over.select("c", "label").join(labels, "c", "left_anti")), "labels")
+    scratch.drop(labels, over)
+    return out
 
 
 def _members(prefix: DataFrame) -> DataFrame:
@@ -368,26 +451,45 @@ def _members(prefix: DataFrame) -> DataFrame:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and set: (set, token, number of sets) of tokens that two sets or more hold."""
-    token, a = np.empty(0, np.int64), np.empty(0, np.int64)
+    """Of rows sorted by token and set: (set, token, number of sets) of tokens that two sets or more hold.
 
-    def part(token: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (a[1:] != a[:-1])
-        token, a = token[new], a[new]
-        _, at, n = np.unique(token, return_inverse=True, return_counts=True)
-        keep = n[at] > 1
-        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(token[keep]), pa.array(n[at][keep].astype(np.int32))], ["a", "token", "held"])
+    Of the token that a batch ends in, distinct rows wait for the next batch, MOST_HELD at most: a token that fills them
+    counts as held by MOST_HELD sets, and its rows go on at once.
+    """
+    full, token, a = None, np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def part(token: np.ndarray, a: np.ndarray, n: np.ndarray | int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(token), pa.array(np.broadcast_to(np.int32(n), len(a)))], ["a", "token", "held"])
 
     for batch in batches:
         token = np.concatenate([token, batch.column(0).to_numpy(zero_copy_only=False)])
         a = np.concatenate([a, batch.column(1).to_numpy(zero_copy_only=False)])
-        if len(token) and token[0] != token[-1]:
-            end = int(np.searchsorted(token, token[-1]))  # the last token's rows may go on
-            yield part(token[:end], a[:end])
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (a[1:] != a[:-1])
+        token, a = token[new], a[new]
+        if full is not None and len(token):
+            end = int(np.searchsorted(token, full, "right"))
+            yield part(token[:end], a[:end], MOST_HELD)
             token, a = token[end:], a[end:]
+            full = None if len(token) else full
+        end = int(np.searchsorted(token, token[-1])) if len(token) else 0  # the last token's rows may go on
+        yield from _held(token[:end], a[:end], part)
+        token, a = token[end:], a[end:]
+        if len(token) >= MOST_HELD:
+            full = token[0]
+            yield part(token, a, MOST_HELD)
+            token, a = token[:0], a[:0]
+    yield from _held(token, a, part)
+
+
+def _held(token: np.ndarray, a: np.ndarray, part: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole tokens that two sets or more hold."""
     if len(token):
-        yield part(token, a)
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        n = np.diff(np.append(first, len(token)))
+        n = np.repeat(np.minimum(n, MOST_HELD), n).astype(np.int32)
+        keep = n > 1
+        yield part(token[keep], a[keep], n[keep])
 
 
 class _Member:
@@ -425,41 +527,59 @@ def _taken_up(x: _Member, y: _Member, sig: int, percent: int) -> bool:
     return (100 + percent) * most >= percent * (x.n + y.n)
 
 
-def _rounds(low: int, high: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Compares the members of a bucket (sorted: not long first) with the earlier ones at places ``low`` to ``high``
-    that are not long, as far as sizes and components allow, and if the bucket is the pair's least common one.
+def _open(members: DataFrame, open_pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, long, own, n, c, lc): all members, pivots included, of the buckets in which a pair of ``open_pairs`` is."""
+    sigs = members.join(open_pairs, ["c", "p"], "left_semi").select("sig").distinct()
+    inside = members.join(sigs, "sig", "left_semi")
+    inside = inside.select("sig", "long", "own", "c").union(inside.select("sig", F.lit(0), F.col("p_own").alias("own"), F.col("p").alias("c"))).distinct()
+    inside = inside.join(labels.select("c", F.col("label").alias("lc")), "c", "left")
+    return inside.select("sig", "long", "own", _size(F.col("c")).alias("n"), "c", F.coalesce("lc", "c").alias("lc"))
 
-    The last column says that a bucket has pivots left that were not compared.
-    """
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, place, pivots, rows, rest = None, 0, [], [], False
+def _cells(scratch: Scratch, inside: DataFrame, sets: DataFrame, low: int, high: int) -> tuple[DataFrame, bool]:
+    """Rows for _compare(), and if a bucket has pivots beyond ``high``.
 
-        def out() -> pa.RecordBatch:
-            cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([r[4] for r in rows], pa.bool_())], ["a", "b", "p", "q", "more"])
+    A bucket's members are dealt to cells of about CELL_MEMBERS, and its pivots at places ``low`` to ``high`` of those
+    that aren't long, by CELL_PIVOTS, go to each of them.  Places are found by a limited rank, which drops most rows of
+    a hot bucket before they are shuffled.
+    """
+    rank = ["own", "n", "c"]
+    place = F.row_number().over(Window.partitionBy("sig").orderBy(*rank)) - 1
+    pivots = inside.where(F.col("long") == 0).withColumn("place", place).where((F.col("place") >= low) & (F.col("place") < high))
+    pivots = scratch.keep(pivots, "pivots")
+    sizes = inside.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("long") == 0).alias("m0"))
+    sizes = scratch.keep(sizes.where(F.col("m0") > low).select("sig", F.ceil(F.col("m") / CELL_MEMBERS).cast("int").alias("deals"), F.ceil((F.least("m0", F.lit(high)) - low) / CELL_PIVOTS).cast("int").alias("blocks"), (F.col("m0") > high).alias("more")), "sizes")
+    deals = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["sig", "deal", "block", "member", *rank, "long", "lc"]
+    ours = join_hot(inside, sizes, "sig").withColumn("deal", F.pmod(F.xxhash64("c"), F.col("deals")).cast("int")).withColumn("block", deals("blocks")).withColumn("member", F.lit(1)).select(*names)
+    theirs = pivots.join(sizes, "sig").withColumn("deal", deals("deals")).withColumn("block", F.floor((F.col("place") - low) / CELL_PIVOTS).cast("int")).withColumn("member", F.lit(0)).select(*names)
+    lists = sets.select(_id("a", "b").alias("c"), "rare", "near", "far").join(inside.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.max("rare").alias("rare"), F.max("near").alias("near"), F.max("far").alias("far"))
+    cells = ours.unionByName(theirs).join(lists, "c").repartition("sig", "deal", "block").sortWithinPartitions("sig", "deal", "block", "member", *rank)
+    rows = cells.select("sig", "deal", "block", "member", "long", "own", "n", "c.a", "c.b", F.col("lc.a").alias("la"), F.col("lc.b").alias("lb"), "near", "far", "rare")
+    return rows, bool(sizes.where("more").take(1))
+
+
+def _compare(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pairs (member, pivot) of a cell that are to be verified, as far as sizes and components allow, and if the
+    bucket is the pair's least common one.  Rows are sorted: a cell's pivots first."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, pivots = None, []
         for batch in batches:
-            near, far, rare = batch.column(8), batch.column(9), batch.column(10).to_pylist()
-            for k, (s, long, _, n, a, b, la, lb) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True)):
-                if s != sig:
-                    sig, place, pivots, rest = s, 0, [], False
+            near, far, rare = batch.column(11), batch.column(12), batch.column(13).to_pylist()
+            rows = []
+            for k, (s, deal, block, member, long, own, n, a, b, la, lb) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(11)), strict=True)):
+                if (s, deal, block) != cell:
+                    cell, pivots = (s, deal, block), []
                 me = _Member((a, b), (la, lb), n, rare[k], near[k], far[k])
-                for p in pivots:
-                    if p.label != me.label and (p.n <= n or not long) and 100 * min(p.n, n) >= percent * max(p.n, n) and _taken_up(p, me, s, percent):
-                        rows.append((a, b, *p.id, False))
-                if not long:
-                    if low <= place < high:
-                        pivots.append(me)
-                    elif place >= high and not rest:
-                        rest = True
-                        rows.append((a, b, None, None, True))
-                place += 1
-                if len(rows) >= 20_000:
-                    yield out()
-                    rows = []
-        if rows:
-            yield out()
+                rank = (own, n, a, b)
+                if not member:
+                    pivots.append((rank, me))
+                    continue
+                for before, p in pivots:
+                    if (long or before < rank) and p.label != me.label and (p.n <= n or not long) and 100 * min(p.n, n) >= percent * max(p.n, n) and _taken_up(p, me, s, percent):
+                        rows.append((a, b, *p.id))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["a", "b", "p", "q"])
 
     return work
 
@@ -491,9 +611,10 @@ def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         z, shingler = zstandard.ZstdDecompressor(), Shingler(words)
         for batch in batches:
             keep = []
-            for a, b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                tokens = shingler.tokens(z.decompress(x.as_py()))
-                keep.append(_class_id(tokens, len(tokens)) == (a, b))
+            for start in range(0, batch.num_rows, 200):
+                rows = batch.slice(start, 200)
+                sets = shingler.sets(pa.array([z.decompress(x.as_py()) for x in rows.column(2)], pa.large_binary()))
+                keep += [_class_id(t, len(t)) == (a, b) for a, b, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), sets, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     packed = docs.mapInArrow(pack, f"doc_id {kind}, packed binary")
@@ -510,10 +631,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         z, shingler, last, held = zstandard.ZstdDecompressor(), Shingler(words), None, None
         for batch in batches:
             keep = []
-            for p, q, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
-                if (p, q) != last:
-                    last, held = (p, q), shingler.tokens(z.decompress(y.as_py()))
-                keep.append(similar(shingler.tokens(z.decompress(x.as_py())), held, percent))
+            for start in range(0, batch.num_rows, 200):
+                rows = batch.slice(start, 200)
+                sets = shingler.sets(pa.array([z.decompress(x.as_py()) for x in rows.column(4)], pa.large_binary()))
+                for p, q, x, y in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), sets, rows.column(5), strict=True):
+                    if (p, q) != last:
+                        last, held = (p, q), shingler.tokens(z.decompress(y.as_py()))
+                    keep.append(similar(x, held, percent))
             yield batch.select(["a", "b", "p", "q"]).filter(pa.array(keep, pa.bool_()))
 
     n, m = _size(F.col("c")), _size(F.col("p"))
