@@ -6,8 +6,10 @@
 4. decontamination: documents that hold a benchmark item go.
 5. encode: what is left becomes SentencePiece ids, decoded again as a check.
 
-A row without doc_id passes the stages that compare documents.  Stages keep the
-columns of ``documents``; n_chars follows the text.
+Defined results: a row without doc_id passes the stages that compare documents;
+of rows that repeat doc_id and text one stays; a null or empty text is kept, as
+are further columns, whatever their names; n_chars, if there is one, follows the
+text; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arterion.llm import decontamination, line_dedup, ngram_jaccard, sentencepieces, toxicity
-from arterion.llm.common import stash, table
+from arterion.llm.common import among, stash, table
 
 #: Unless a contract says otherwise, near copies share five-word shingles to at least this percentage.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -30,15 +32,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many of them share."""
-    out = line_dedup.drop_frequent_lines(docs)
+    out = line_dedup.drop_frequent_lines(docs, counts=False)
+    if "n_chars" not in docs.columns:
+        return out
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies."""
+    """One document, that of the smallest doc_id, of each group of near copies; of equal rows one."""
     groups = ngram_jaccard.near_duplicates(spark, docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    extra = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_extra")).distinct()
-    return docs.join(extra.hint("shuffle_hash"), docs["doc_id"] == extra["_extra"], "left_anti")
+    extra = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    again = stash(spark, groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again")
+    left = among(docs, extra, "doc_id", "left_anti")
+    if not again.take(1):
+        return left
+    return among(left, again, "doc_id", "left_anti").unionByName(among(left, again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +74,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs, _ = stash(spark, stage(spark, docs, sf_dir), name)
+        docs = stash(spark, stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
