@@ -36,16 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Settings under which intermediate tables are written: a query's shuffle files go as soon as it ends, not when the
+#: driver next collects its garbage; and batches for Python are bounded in bytes, as texts may be of any length.
+_LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """While this lasts, a query's shuffle files go as soon as it ends, not when the driver next collects its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def lean(spark: SparkSession) -> Iterator[None]:
+    """The session's settings with those of _LEAN, for as long as this lasts."""
+    before = {k: spark.conf.get(k, None) for k in _LEAN}
+    for k, v in _LEAN.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Scratch:
@@ -58,7 +64,7 @@ class Scratch:
     def keep(self, df: DataFrame, what: str) -> DataFrame:
         """``df`` written and read again."""
         path = f"{shared_dir(self.spark)}/arterion/{what}-{uuid.uuid4().hex}"
-        with shuffles_freed(self.spark):
+        with lean(self.spark):
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)

@@ -10,18 +10,26 @@ Equal values are a verbatim leak, other ones a re-parameterised question.  The
 check is made of the first place of each window and, where a document has
 several passages, of each passage alone; one that is consistent is enough.
 
-Every window of an item has an anchor, its longest literal word.  A document can
-cover enough windows only if it holds the anchors of as many, which a join of
-its words with the anchors tells at the cost of splitting it; only documents
-that pass are put into templates.  This leaves out no match.
+Besides, an item's lower-case tokens as they are make windows of a second form,
+which need no slots: so a copy is found too where the case of its words, or what
+stands before it, makes other names of them, or where an item has too few
+literal words for a template.
+
+Every window has an anchor, the longest literal word of a template or the
+longest token of the other form.  A document can cover enough windows only if it
+holds the anchors of as many, which a join of its tokens with the anchors tells
+at the cost of cutting it; only documents that pass are put into templates.
+This leaves out no match, as tokens are cut and lower-cased alike on both sides.
 
 The benchmark's windows are counted first and it is broadcast only up to
-``MOST_BROADCAST``; beyond it the joins shuffle words or hashes.  Texts are
-shuffled once, against the few documents that pass.
+``MOST_BROADCAST``; beyond it the joins shuffle words or hashes.  Texts move
+only if the documents that pass are too many for their ids to be broadcast.
 
 Defined results: a null or empty text, or item, has no windows and no match;
-items shorter than WINDOW are one window of their own length; rows that repeat
-a doc_id, or have none, count as one document; repeated items are one item.
+items shorter than WINDOW are one window of their own length, and such of one or
+two tokens only match by template; rows that repeat a doc_id, or have none,
+count as one document, each passage lying in one row; repeated items are one
+item; further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +49,10 @@ LITERALS = 3
 RANGES = (4, 16, 64, 256)
 #: Windows of the benchmark that are broadcast at most, of 40 bytes each.
 MOST_BROADCAST = 1 << 20
-TOKEN = r"\p{L}+|[0-9]+(?:[.,:/][0-9]+)*|[.!?\n]|[%$€£]"
+WORD = r"\p{L}+|[0-9]+(?:[.,:/][0-9]+)*"
+TOKEN = WORD + r"|[.!?\n]|[%$€£]"
+#: The forms of windows, and the least tokens of a plain one.
+FORMS, PLAIN = ("template", "plain"), 3
 UNITS = (
     "mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "cl", "l", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days",
     "week", "weeks", "month", "months", "year", "years", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "pound", "pounds", "ounce", "ounces",
@@ -93,27 +104,42 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 
 def item_windows(listed: DataFrame) -> DataFrame:
-    """(item_id, size, at, window, anchor, n_windows) of windows with enough literal words (as many as a short item has)."""
+    """(item_id, form, size, at, window, anchor, n_windows): windows of templates with enough literal words (as many as a
+    short item has), and of lower-case tokens of PLAIN at least."""
     starts = F.sequence(F.lit(0), F.size("tokens") - F.col("size"))
-    rows = listed.select("item_id", "size", "tokens", F.transform("tokens", lambda x: F.xxhash64(x["c"])).alias("_h"), F.explode(starts).alias("at"))
+    hashes = {form: _hashes(form).alias(f"_h_{form}") for form in FORMS}
+    rows = listed.select("item_id", "size", "tokens", *hashes.values(), F.explode(starts).alias("at"))
     part = F.slice("tokens", F.col("at") + 1, F.col("size"))
-    literal = F.size(F.filter(part, lambda x: ~F.startswith(x["c"], F.lit("#"))))
-    window = F.lit(None).cast("long")
-    for k in range(1, WINDOW + 1):
-        window = F.when(F.col("size") == k, F.xxhash64(*[F.get(F.col("_h"), F.col("at") + j) for j in range(k)])).otherwise(window)
-    # Also, its longest literal word, of several the first by order.
-    words = F.transform(F.filter(part, lambda x: ~F.startswith(x["c"], F.lit("#"))), lambda x: F.struct((-F.length(x["c"])).alias("n"), x["c"].alias("c")))
-    rows = rows.where(literal >= F.least(F.lit(LITERALS), F.col("size"))).select("item_id", "size", "at", window.alias("window"), F.array_min(words)["c"].alias("anchor"))
-    n = rows.groupBy("item_id").agg(F.count(F.lit(1)).cast("int").alias("n_windows"))
-    return rows.join(n, "item_id")
+    literal = F.filter(part, lambda x: ~F.startswith(x["c"], F.lit("#")))
+    found = None
+    for form, said, fit in (
+        ("template", F.transform(literal, lambda x: x["c"]), F.size(literal) >= F.least(F.lit(LITERALS), F.col("size"))),
+        ("plain", F.transform(F.filter(part, lambda x: ~x["r"].isin(*_SIGNS)), lambda x: F.lower(x["r"])), F.col("size") >= PLAIN),
+    ):
+        window = F.lit(None).cast("long")
+        for k in range(1, WINDOW + 1):
+            window = F.when(F.col("size") == k, F.xxhash64(*[F.get(F.col(f"_h_{form}"), F.col("at") + j) for j in range(k)])).otherwise(window)
+        # The longest, of several the first by order.
+        anchor = F.array_min(F.transform(said, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("c"))))["c"]
+        one = rows.where(fit).select("item_id", F.lit(form).alias("form"), "size", "at", window.alias("window"), anchor.alias("anchor"))
+        found = one if found is None else found.unionByName(one)
+    n = found.groupBy("item_id", "form").agg(F.count(F.lit(1)).cast("int").alias("n_windows"))
+    return found.join(n, ["item_id", "form"])
+
+
+def _hashes(form: str) -> Column:
+    """Hashes of all ``tokens`` in a form."""
+    return F.transform("tokens", (lambda x: F.xxhash64(x["c"])) if form == "template" else (lambda x: F.xxhash64(F.lower(x["r"]), F.lit(form))))
 
 
 def candidates(docs: DataFrame, known: DataFrame, coverage: float, small: bool) -> DataFrame:
     """The ids of documents that hold the anchors of enough windows of some item."""
-    anchors = known.groupBy("item_id", "n_windows", "anchor").agg(F.count(F.lit(1)).alias("weight"))
-    words = docs.select("doc_id", F.explode(F.split(F.lower(text_or_empty()), r"[^\p{L}]+", -1)).alias("anchor"))
-    met = words.join(F.broadcast(anchors) if small else anchors, "anchor").groupBy("doc_id", "item_id", "n_windows", "anchor").agg(F.max("weight").alias("weight"))
-    enough = met.groupBy("doc_id", "item_id", "n_windows").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= coverage * F.col("n_windows"))
+    key = ["item_id", "form", "n_windows"]
+    anchors = known.groupBy(*key, "anchor").agg(F.count(F.lit(1)).alias("weight"))
+    # explode() would have the optimiser put a filter before it that cuts the text once more.
+    words = docs.select("doc_id", F.explode_outer(F.regexp_extract_all(text_or_empty(), F.lit(WORD), F.lit(0))).alias("word")).select("doc_id", F.lower("word").alias("anchor"))
+    met = words.join(F.broadcast(anchors) if small else anchors, "anchor").groupBy("doc_id", *key, "anchor").agg(F.max("weight").alias("weight"))
+    enough = met.groupBy("doc_id", *key).agg(F.sum("weight").alias("weight")).where(F.col("weight") >= coverage * F.col("n_windows"))
     return enough.select("doc_id").distinct()
 
 
@@ -134,14 +160,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     scratch = Scratch(docs.sparkSession)
     wanted = scratch.keep(candidates(docs, known, coverage, small), "wanted")
     held = scratch.keep(templated(among(docs.select("doc_id", "text"), wanted, "doc_id", "left_semi"), "doc_id").withColumn("row", F.monotonically_increasing_id()), "templates")
-    hashed = held.select("doc_id", "row", F.transform("tokens", lambda x: F.xxhash64(x["c"])).alias("_h"))
     found = None
-    for size in sorted(sizes):
-        one = hashed.select("doc_id", "row", F.posexplode(_windows(size)).alias("pos", "window")).join(probe.where(F.col("size") == size), "window")
-        one = one.select("doc_id", "item_id", "n_windows", F.struct("at", "row", "pos").alias("place"))
-        found = one if found is None else found.unionByName(one)
-    pairs = found.groupBy("doc_id", "item_id", "n_windows").agg(F.collect_list("place").alias("places"))
+    for form in FORMS:
+        hashed = held.select("doc_id", "row", _hashes(form).alias("_h"))
+        for size in sorted(sizes):
+            one = hashed.select("doc_id", "row", F.posexplode_outer(_windows(size)).alias("pos", "window")).join(probe.where((F.col("size") == size) & (F.col("form") == form)).drop("form"), "window")
+            one = one.select("doc_id", "item_id", F.lit(form).alias("form"), "n_windows", F.struct("at", "row", "pos").alias("place"))
+            found = one if found is None else found.unionByName(one)
+    pairs = found.groupBy("doc_id", "item_id", "form", "n_windows").agg(F.collect_list("place").alias("places"))
     pairs = pairs.withColumn("n_matched", F.size(F.array_distinct(F.col("places")["at"])).cast("long")).where(F.col("n_matched") >= coverage * F.col("n_windows"))
+    pairs = scratch.keep(pairs, "pairs")
+    plain = pairs.where("form = 'plain'").select("doc_id", "item_id", "n_matched", "n_windows", F.lit(0).alias("n_slots"), F.lit(True).alias("verbatim"))
+    pairs = pairs.where("form = 'template'").drop("form")
 
     pairs = pairs.join(listed.select("item_id", "size", F.col("tokens").alias("own")), "item_id")
     both = held.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "tokens").join(pairs, F.col("_doc").eqNullSafe(F.col("doc_id")))
@@ -168,9 +198,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     names = ["doc_id", "item_id", "n_matched", "n_windows", "n_slots", "verbatim"]
     out = met.where("consistent").select(*names, F.lit(1).alias("all")).unionByName(one.where("consistent").select(*names, F.lit(0).alias("all")))
-    # A verbatim passage before others, the document as a whole before its passages.
-    best = F.max(F.struct("verbatim", "all", "n_slots")).alias("best")
-    out = scratch.keep(out.groupBy("doc_id", "item_id", "n_matched", "n_windows").agg(best).select("doc_id", "item_id", "n_matched", "n_windows", "best.n_slots", "best.verbatim"), "leaks")
+    # Templates before plain windows; a verbatim passage before others, the document as a whole before its passages.
+    out = out.withColumn("form", F.lit(1)).unionByName(plain.withColumns({"all": F.lit(1), "form": F.lit(0)}))
+    best = F.max(F.struct("form", "verbatim", "all", "n_slots", "n_matched", "n_windows")).alias("best")
+    out = out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[f"best.{c}" for c in names[2:]])
+    out = scratch.keep(out, "leaks")
     scratch.close(out)
     return out
 
@@ -223,14 +255,23 @@ bn AS (SELECT item_id, count(*) AS n_windows FROM bw GROUP BY item_id),
 dw AS (SELECT id AS doc_id, size, s AS pos, array_to_string([x.c for x in tokens[s + 1 : s + size]], ' ') AS w
        FROM (SELECT id, tokens, size, unnest(range(0, len(tokens) - size + 1)) AS s FROM d, (SELECT DISTINCT size FROM b) z WHERE len(tokens) >= size)),
 m AS (SELECT doc_id, item_id, at_, min(pos) AS pos FROM dw JOIN bw USING (w, size) GROUP BY ALL),
+br AS (SELECT id AS item_id, size, s AS at_, array_to_string([lower(x.r) for x in tokens[s + 1 : s + size]], ' ') AS w
+       FROM (SELECT *, unnest(range(0, len(tokens) - size + 1)) AS s FROM b WHERE size >= {PLAIN})),
+dr AS (SELECT id AS doc_id, size, array_to_string([lower(x.r) for x in tokens[s + 1 : s + size]], ' ') AS w
+       FROM (SELECT id, tokens, size, unnest(range(0, len(tokens) - size + 1)) AS s FROM d, (SELECT DISTINCT size FROM b WHERE size >= {PLAIN}) z WHERE len(tokens) >= size)),
+pr AS (SELECT doc_id, item_id, n_matched, n_windows
+       FROM (SELECT doc_id, item_id, count(DISTINCT at_) AS n_matched FROM dr JOIN br USING (w, size) GROUP BY ALL)
+       JOIN (SELECT item_id, count(*) AS n_windows FROM br GROUP BY item_id) USING (item_id) WHERE n_matched >= {COVERAGE} * n_windows),
 p AS (SELECT doc_id, item_id, count(*) AS n_matched FROM m GROUP BY ALL),
 k AS (SELECT p.*, n_windows FROM p JOIN bn USING (item_id) WHERE n_matched >= {COVERAGE} * n_windows),
 s AS (SELECT DISTINCT doc_id, item_id, b.tokens[at_ + j].c AS kind, b.tokens[at_ + j].r AS iv, d.tokens[pos + j].r AS dv
       FROM k JOIN m USING (doc_id, item_id) JOIN b ON b.id = item_id JOIN d ON d.id = doc_id, (SELECT unnest(range(1, {WINDOW} + 1)) AS j) g
       WHERE j <= b.size AND starts_with(b.tokens[at_ + j].c, '#')),
-v AS (SELECT doc_id, item_id, count(*) AS n, count(DISTINCT kind || chr(1) || iv) AS nv, bool_and(iv = dv) AS same FROM s GROUP BY ALL)
-SELECT doc_id, item_id, n_matched, CAST(n_windows AS INTEGER) AS n_windows, CAST(coalesce(n, 0) AS INTEGER) AS n_slots, coalesce(same, true) AS verbatim
-FROM k LEFT JOIN v USING (doc_id, item_id) WHERE coalesce(n = nv, true)
+v AS (SELECT doc_id, item_id, count(*) AS n, count(DISTINCT kind || chr(1) || iv) AS nv, bool_and(iv = dv) AS same FROM s GROUP BY ALL),
+t AS (SELECT doc_id, item_id, n_matched, CAST(n_windows AS INTEGER) AS n_windows, CAST(coalesce(n, 0) AS INTEGER) AS n_slots, coalesce(same, true) AS verbatim
+      FROM k LEFT JOIN v USING (doc_id, item_id) WHERE coalesce(n = nv, true))
+SELECT * FROM t
+UNION ALL SELECT doc_id, item_id, n_matched, CAST(n_windows AS INTEGER), 0, true FROM pr WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = pr.doc_id AND t.item_id = pr.item_id)
 """
 
 

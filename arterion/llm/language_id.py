@@ -16,7 +16,9 @@ counts as "other".
 Defined results: a null or empty page has a flat text likelihood and is decided
 by the rest; a null or malformed address has host "" of suffix ""; an unknown
 declared language counts as the kind "other", none as "none"; ties go to the
-language first in alphabet; repeated rows each count.
+language first in alphabet; repeated rows each count; further columns are not
+looked at, whatever their names; an empty table of pages gives no rows, one of
+documents the single language "und".
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arterion.llm.common import stash, table
+from arterion.llm.common import Scratch, join_hot, table
 
 #: Documents that the text model is fitted on, dealt evenly over the languages, of which each has so many at least.
 MOST_DOCUMENTS, LEAST_EACH = 4_000, 25
@@ -39,20 +41,29 @@ BUCKETS = 1 << 15
 EVIDENCE = 40.0
 #: Weight of a parent's prior, in pages.
 SMOOTH = 5.0
-_DROP = re.compile(r"<(script|style|nav|footer)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+#: What isn't text: each kind's opening and closing mark.
+_BLOCKS = [(re.compile(rf"<{x}\b.*?</{x}\s*>", re.S | re.I), re.compile(rf"</{x}\s*>", re.I)) for x in ("script", "style", "nav", "footer")] + [(re.compile("<!--.*?-->", re.S), re.compile("-->"))]
+_TAG = re.compile("<[^<>]*>")
 _ENTITY = re.compile(r"&[#\w]+;")
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+_DECLARED = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
 _PATH = re.compile(r"^[a-z][a-z0-9+.-]*://[^/?#]+/([A-Za-z]{2})(?:[/?#_-]|$)", re.I)
 
 
 def visible(html: str | None) -> str:
-    """The text of a page without scripts, styles, navigation, comments, tags and entities."""
-    return _ENTITY.sub(" ", _DROP.sub(" ", html or ""))
+    """The text of a page without scripts, styles, navigation, comments, tags and entities.
+
+    Beyond the last closing mark no opening one is looked for, so a page of unclosed marks takes linear time.
+    """
+    html = html or ""
+    for block, close in _BLOCKS:
+        end = max((m.end() for m in close.finditer(html)), default=0)
+        html = (block.sub(" ", html[:end]) + html[end:]) if end else html
+    return _ENTITY.sub(" ", _TAG.sub(" ", html))
 
 
 def declared(html: str | None) -> str:
-    found = _DECLARED.search((html or "")[:4096]) or _DECLARED.search(html or "")
+    found = _DECLARED.search(html or "")
     return found[1].lower() if found else "none"
 
 
@@ -144,7 +155,8 @@ def identify(pages: DataFrame, model: TextModel, key: str = "page_id") -> DataFr
     """(key, lang, probability, text_lang, declared, named, host): the fused decision, with what it rests on."""
     langs, n = model.languages, len(model.languages)
     # The pages are read once; seven grouped sums and the decision start from the small rows that are left of them.
-    rows = stash(pages.sparkSession, evidence(pages, model, key).withColumn("post", _normal(F.transform("like", lambda v: F.exp(v)))).drop("like"), "evidence")
+    scratch = Scratch(pages.sparkSession)
+    rows = scratch.keep(evidence(pages, model, key).withColumn("post", _normal(F.transform("like", lambda v: F.exp(v)))).drop("like"), "evidence")
     less = lambda s: F.zip_with(s, "post", lambda a, b: F.greatest(F.lit(0.0), a - b))
 
     def lean(own: Column, parent: Column) -> Column:
@@ -154,8 +166,15 @@ def identify(pages: DataFrame, model: TextModel, key: str = "page_id") -> DataFr
 
     total = rows.agg(*[F.sum(F.col("post")[k]).alias(f"s{k}") for k in range(n)]).first()  # a number per language
     whole = F.array(*[F.lit(float(x or 0.0)) for x in total])
-    # Suffixes, kinds of declared and named languages: small tables, yet joined by key, as suffixes are not bounded.
-    both = rows.join(_sums(rows, ["suffix"], "suffix_sum", n), "suffix").join(_sums(rows, ["domain"], "domain_sum", n), "domain").join(_sums(rows, ["host"], "host_sum", n), "host")
+    # Sums of domains and suffixes come to the pages by way of their hosts; suffixes, domains and hosts can be hot.
+    add = lambda name: [F.sum(F.col(name)[k]).alias(f"s{k}") for k in range(n)]
+    arrayed = lambda df, by, name: df.select(*by, F.array(*[f"s{k}" for k in range(n)]).alias(name))
+    hosts = scratch.keep(arrayed(rows.groupBy("host", "domain", "suffix").agg(*add("post")), ["host", "domain", "suffix"], "host_sum"), "hosts")
+    domains = scratch.keep(arrayed(hosts.groupBy("domain", "suffix").agg(*add("host_sum")), ["domain", "suffix"], "domain_sum"), "domains")
+    suffixes = scratch.keep(arrayed(domains.groupBy("suffix").agg(*add("domain_sum")), ["suffix"], "suffix_sum"), "suffixes")
+    domains = scratch.keep(join_hot(domains, suffixes, "suffix").drop("suffix"), "domains")
+    hosts = scratch.keep(join_hot(hosts.select("host", "domain", "host_sum"), domains, "domain").drop("domain"), "hosts")
+    both = join_hot(rows, hosts, "host")
     both = both.join(F.broadcast(_sums(rows, ["declared"], "declared_sum", n)), "declared").join(F.broadcast(_sums(rows, ["named"], "named_sum", n)), "named")  # a row per language and 2 more each
     flat = F.array(*[F.lit(1.0 / n)] * n)
     both = both.withColumn("base", lean(less(whole), flat))
@@ -175,7 +194,10 @@ def identify(pages: DataFrame, model: TextModel, key: str = "page_id") -> DataFr
     both = both.select(key, "host", "declared", "named", "post", _normal(fused).alias("p"))
     names = F.array(*[F.lit(x) for x in langs])
     best = lambda x: F.get(names, F.array_position(x, F.array_max(x)).cast("int") - 1)
-    return both.select(key, best(F.col("p")).alias("lang"), F.array_max("p").alias("probability"), best(F.col("post")).alias("text_lang"), "declared", "named", "host")
+    out = both.select(key, best(F.col("p")).alias("lang"), F.array_max("p").alias("probability"), best(F.col("post")).alias("text_lang"), "declared", "named", "host")
+    out = scratch.keep(out, "languages")
+    scratch.close(out)
+    return out
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,26 +2,36 @@
 
 A text is put into canonical form: A-Z lower-cased, copyright lines gone,
 equivalent spellings made one, and everything but letters and digits one blank.
-The digests of its units (the whole text, blocks between blank lines, single
-lines) are hash-joined with those of the known licences, so a match means an
-entire unit is the licence.  The list of licences is fixed and small, and a unit
-is only digested if its canonical length is that of a known one.
-
-Defined results: a null or empty text has no unit; a unit that two licences
-share would count for both; repeated lines count each time; rows that repeat a
-doc_id count together; a null doc_id is a document of its own.
+A known licence has a length in that form, so of every run of whole lines of a
+text that is as long as a known one, and begins like it, the digest is taken;
+running sums of the lines' lengths tell where such runs end.  The digests are
+hash-joined with those of the known licences, so a match means that an entire
+licence stands there, as a file of its own or inside one, whatever its line
+breaks and blank lines.  The list of licences is a parameter, in memory of each
+task and thus to be of a bounded size (``MOST_KNOWN`` texts).
+
+Defined results: a null or empty text has no run; a text that two licences share
+counts for both; repeated texts count each time, also inside each other; rows
+that repeat a doc_id count together; a null doc_id is a document of its own;
+further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterion.llm.common import UPPER, LOWER, ascii_lower, sql_literal, table, text_or_empty
+from arterion.llm.common import LOWER, UPPER, sql_literal, table
 
+#: Known texts, at most.
+MOST_KNOWN = 10_000
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
 THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
 COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
@@ -72,6 +82,42 @@ KNOWN: dict[str, tuple[str, ...]] = {
         "This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    "0BSD": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n"
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE "
+        "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        "SPDX-License-Identifier: 0BSD",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.\n"
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n"
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large "
+        "and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n"
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n"
+        "For more information, please refer to <https://unlicense.org/>",
+        "SPDX-License-Identifier: Unlicense",
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n"
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n"
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n"
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n"
+        "3. This notice may not be removed or altered from any source distribution.",
+        "SPDX-License-Identifier: Zlib",
+    ),
+    "BSL-1.0": (
+        "Boost Software License - Version 1.0 - August 17th, 2003\n"
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, "
+        "execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n"
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all "
+        "derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n"
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. "
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR "
+        "THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ),
     "proprietary": ("All rights reserved.",),
 }
 #: Spellings that are one, after lower-casing.
@@ -79,79 +125,93 @@ SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-infrin
 #: A line that opens with a copyright notice, not one that only opens with the word.
 _COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:c\)|[0-9]{4}|by )|copyright *©|\(c\)|©)[^\n]*\n?"
 _OTHER = r"[^a-z0-9\n]+"
-_BLOCK = r" *\n *(?:\n *)+"
+#: So much of a known text is compared before a digest is taken.
+HEAD = 12
 
 
-def _fold(text: str) -> str:
-    text = re.sub(_COPYRIGHT, "", text.translate({ord(u): low for u, low in zip(UPPER, LOWER, strict=True)}))
+def folded(texts: pa.Array) -> pa.Array:
+    """The canonical form of each text, its line breaks kept."""
+    low = bytes.maketrans(UPPER.encode(), LOWER.encode())
+    out = pa.array([x.as_py().translate(low) for x in texts.cast(pa.large_binary()).fill_null(b"")], pa.large_binary()).cast(pa.large_string())
+    out = pc.replace_substring_regex(out, _COPYRIGHT, "")
     for a, b in SPELLINGS:
-        text = text.replace(a, b)
-    return re.sub(_OTHER, " ", text)
-
-
-def canonical(text: str) -> str:
-    """The canonical form of a whole unit."""
-    return re.sub(r"[ \n]+", " ", _fold(text)).strip(" ")
+        out = pc.replace_substring(out, a, b)
+    return pc.replace_substring_regex(out, _OTHER, " ")
 
 
-def digests() -> list[tuple[str, str, int]]:
-    """(licence, sha256, length) of every known text's canonical form."""
-    return sorted({(name, hashlib.sha256(c.encode()).hexdigest(), len(c)) for name, texts in KNOWN.items() for c in map(canonical, texts)})
+def lines_of(fold: str) -> list[str]:
+    """The lines of a folded text that hold anything."""
+    return [x for x in (x.strip(" ") for x in fold.split("\n")) if x]
 
 
-def _folded(text: Column) -> Column:
-    out = F.regexp_replace(ascii_lower(text), _COPYRIGHT, "")
-    for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(out, _OTHER, " ")
-
-
-def scan(docs: DataFrame, known: list[tuple[str, str, int]] | None = None) -> DataFrame:
-    """(doc_id, license, n_lines, n_blocks, whole): the licences whose entire text a unit of a document is.
-
-    A unit that is the whole text counts as that only, and a block of one line as a line only.
-    """
-    known = digests() if known is None else known
-    spark = docs.sparkSession
-    sizes = sorted({n for _, _, n in known})
-    table_of = spark.createDataFrame([(a, b) for a, b, _ in known], "license string, digest string")
-    one = lambda x: F.trim(F.regexp_replace(x, r"[ \n]+", " "))
-    rows = docs.select("doc_id", _folded(text_or_empty()).alias("t"))
-    tag = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("unit"))
-    lines = F.transform(F.split("t", "\n", -1), lambda x: F.trim(x))
-    blocks = F.transform(F.filter(F.split("t", _BLOCK, -1), lambda x: F.contains(F.trim(F.regexp_replace(x, r"^[ \n]+|[ \n]+$", "")), F.lit("\n"))), one)
-    whole = F.array(one(F.col("t")))
-    fit = lambda a: F.filter(a, lambda x: F.length(x).isin(sizes))
-    units = F.concat(F.transform(fit(lines), tag("line")), F.transform(fit(blocks), tag("block")), F.transform(fit(whole), tag("whole")))
-    found = rows.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.kind", F.sha2(F.col("u.unit").cast("binary"), 256).alias("digest"))
-    found = found.join(F.broadcast(table_of), "digest")
-    count = lambda kind: F.count_if(F.col("kind") == kind)
-    return found.groupBy("doc_id", "license").agg(count("line").alias("n_lines"), count("block").alias("n_blocks"), (count("whole") > 0).alias("whole"))
+def canonical(text: str) -> str:
+    """The canonical form of a whole text."""
+    return " ".join(lines_of(folded(pa.array([text]))[0].as_py()))
+
+
+def digests(known: dict[str, tuple[str, ...]] = KNOWN) -> list[tuple[str, str, int, str]]:
+    """(licence, sha256, length, head) of every known text's canonical form."""
+    return sorted({(name, hashlib.sha256(c.encode()).hexdigest(), len(c), c[:HEAD]) for name, texts in known.items() for c in map(canonical, texts) if c})
+
+
+def scan(docs: DataFrame, known: dict[str, tuple[str, ...]] = KNOWN) -> DataFrame:
+    """(doc_id, license, n_places, first_line, whole): the licences whose entire text stands in a document; from which of
+    its lines that hold anything at first (0: the first), and if that is all of it."""
+    listed = digests(known)
+    if len(listed) > MOST_KNOWN:
+        raise ValueError(f"more than {MOST_KNOWN} known texts")
+    lengths: dict[str, list[int]] = {}
+    for _, _, n, head in listed:
+        lengths[head] = sorted({*lengths.get(head, []), n})
+    heads = re.compile("|".join(map(re.escape, sorted(lengths, key=len, reverse=True))) or "(?!)")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shorter = {h: [n for g, found in lengths.items() if h.startswith(g) for n in found] for h in lengths}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                rows = []
+                for k, fold in enumerate(folded(part.column(1))):
+                    lines = lines_of(fold.as_py())
+                    text = " ".join(lines)
+                    if not heads.search(text):
+                        continue
+                    at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])]).tolist()
+                    ends = set(at)
+                    for j, a in enumerate(at[:-1]):
+                        found = heads.match(text, a)
+                        for n in shorter[found[0]] if found else ():
+                            if a + n + 1 in ends:
+                                rows.append((k, hashlib.sha256(text[a : a + n].encode()).hexdigest(), j, n == len(text)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.bool_())],
+                    ["doc_id", "digest", "line", "whole"],
+                )
+
+    table_of = docs.sparkSession.createDataFrame([(a, b) for a, b, _, _ in listed], "license string, digest string")
+    found = docs.select("doc_id", "text").mapInArrow(runs, f"doc_id {kind}, digest string, line long, whole boolean").join(F.broadcast(table_of), "digest")
+    return found.groupBy("doc_id", "license").agg(F.count(F.lit(1)).alias("n_places"), F.min("line").alias("first_line"), F.max("whole").alias("whole"))
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scan(table(spark, sf_dir, "documents"))
 
 
 def _oracle() -> str:
     text = f"regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {sql_literal(_COPYRIGHT)}, '', 'g')"
     for a, b in SPELLINGS:
         text = f"replace({text}, '{a}', '{b}')"
-    known = ", ".join(f"('{a}', '{b}')" for a, b, _ in digests())
-    one = lambda x: f"trim(regexp_replace({x}, '[ \n]+', ' ', 'g'), ' ')"
+    known = ", ".join(f"('{a}', '{b}', {n})" for a, b, n, _ in digests())
     return f"""
-WITH k(license, digest) AS (VALUES {known}),
-d AS (SELECT doc_id, regexp_replace({text}, {sql_literal(_OTHER)}, ' ', 'g') AS t FROM documents),
-u AS (
-  SELECT doc_id, 'line' AS kind, trim(unnest(string_split(t, chr(10))), ' ') AS unit FROM d
-  UNION ALL
-  SELECT doc_id, 'block', {one("b")} FROM (SELECT doc_id, unnest(string_split_regex(t, {sql_literal(_BLOCK)})) AS b FROM d)
-  WHERE contains(regexp_replace(b, '^[ \n]+|[ \n]+$', '', 'g'), chr(10))
-  UNION ALL
-  SELECT doc_id, 'whole', {one("t")} FROM d)
-SELECT doc_id, license, count(*) FILTER (WHERE kind = 'line') AS n_lines, count(*) FILTER (WHERE kind = 'block') AS n_blocks,
-       count(*) FILTER (WHERE kind = 'whole') > 0 AS whole
-FROM u JOIN k ON sha256(unit) = digest GROUP BY doc_id, license
+WITH k(license, digest, n) AS (VALUES {known}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace({text}, {sql_literal(_OTHER)}, ' ', 'g') AS t FROM documents),
+u AS (SELECT r, doc_id, [trim(x, ' ') for x in string_split(t, chr(10)) if trim(x, ' ') <> ''] AS ls FROM d),
+l AS (SELECT r, doc_id, array_to_string(ls, ' ') AS t, unnest(range(0, len(ls))) AS line, unnest([length(x) + 1 for x in ls]) AS n FROM u),
+p AS (SELECT *, sum(n) OVER (PARTITION BY r ORDER BY line) AS stop FROM l),
+f AS (SELECT a.doc_id, a.line, a.t, a.stop - a.n AS start, k.n, license, digest FROM p a, (SELECT DISTINCT * FROM k) k WHERE EXISTS (SELECT 1 FROM p b WHERE b.r = a.r AND b.stop = a.stop - a.n + k.n + 1))
+SELECT doc_id, license, count(*) AS n_places, min(line) AS first_line, bool_or(n = length(t)) AS whole
+FROM f WHERE sha256(substring(t, CAST(start AS BIGINT) + 1, n)) = digest GROUP BY doc_id, license
 """
 
 

@@ -57,6 +57,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arterion.llm.common import Scratch, join_hot, table
+from arterion.llm.wordhash import WordHasher, mix
 
 #: The part of the hash range whose tokens are counted, against the part of a set that may be missing.
 COUNTED_PART = 1.25
@@ -65,88 +66,30 @@ FREQUENT, VERY_FREQUENT = 32, 1 << 14
 #: No more tokens than this are called frequent (8 bytes each are broadcast); the others are indexed singly.
 MOST_FREQUENT = 1 << 17
 #: Tokens are counted exactly by chunks of this many, and counts under LOCAL of a chunk are left out.
-COUNTED, LOCAL = 1 << 21, 4
+COUNTED, LOCAL = 1 << 20, 3
 #: A token held by more sets than this is ordered as if it were held by so many; bounds what a task keeps of one token.
 MOST_HELD = 1 << 16
 GROWTH = 8
 #: Members and pivots of a bucket that are compared in one task at most.
 CELL_MEMBERS, CELL_PIVOTS = 4096, 512
-#: Bytes of text that are hashed at a time.
-BLOCK = 1 << 20
-
 _EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
-_WHOLE = (1 << 64) - 1
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Spreads 64-bit values over all bits."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(32))
 
 
 class Shingler:
-    """Distinct word shingles as sorted, even 64-bit hashes: A-Z lower-cased, words cut at blanks of ASCII.
-
-    All bytes of a block are worked on at once: a word's hash is sum(v[byte] * R ** place) modulo 2 ** 64, a difference
-    of two running sums, with a value v drawn for each byte.  A word that crosses two blocks is put together again.
-    """
+    """Distinct word shingles as sorted, even 64-bit hashes: A-Z lower-cased, words cut at blanks of ASCII."""
 
     def __init__(self, words: int):
-        self.words = words
-        draw = np.random.default_rng(20_240_229)
-        self.value = draw.integers(1, 1 << 63, 256, np.uint64)
-        self.value[65:91] = self.value[97:123]
-        self.gap = np.zeros(256, bool)
-        self.gap[[32, *range(9, 14)]] = True
-        self.odd = draw.integers(1, 1 << 63, max(words, 2), np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
-        power = np.full(BLOCK + 1, np.uint64(self.base))
-        back = np.full(BLOCK + 1, np.uint64(pow(self.base, -1, 1 << 64)))
-        power[0] = back[0] = 1
-        self.power, self.back = np.cumprod(power), np.cumprod(back)
-
-    def _block(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, start, end) of the words in a block; no word goes over a place in ``cuts``."""
-        inside = ~self.gap[data]
-        before, after = np.concatenate([[False], inside[:-1]]), np.concatenate([inside[1:], [False]])
-        cuts = cuts[(cuts > 0) & (cuts < len(data))]
-        before[cuts] = False
-        after[cuts - 1] = False
-        start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.value[data] * self.power[: len(data)], out=total[1:])
-        return (total[end] - total[start]) * self.back[start], start, end
-
-    def _words(self, data: np.ndarray) -> np.ndarray:
-        """Hashes of the words of one text of any length."""
-        parts, left, length = [], None, 0  # the hash and length of a word that may go on
-        for at in range(0, len(data), BLOCK):
-            block = data[at : at + BLOCK]
-            h, start, end = self._block(block, np.empty(0, np.int64))
-            goes_on = bool(len(start)) and start[0] == 0
-            if left is not None and goes_on:
-                h[0] = np.uint64((int(left) + pow(self.base, length, 1 << 64) * int(h[0])) & _WHOLE)
-            elif left is not None:
-                parts.append(np.array([left], np.uint64))
-            if len(end) and end[-1] == len(block):
-                length = int(end[-1] - start[-1]) + (length if left is not None and goes_on and len(h) == 1 else 0)
-                left, h = h[-1], h[:-1]
-            else:
-                left = None
-            parts.append(h)
-        if left is not None:
-            parts.append(np.array([left], np.uint64))
-        return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        self.words, self.hasher = words, WordHasher()
+        self.odd = np.random.default_rng(words).integers(1, 1 << 63, max(words, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
     def _sets(self, h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
         """The sets of texts that have ``counts`` words, one after the other in ``h``."""
-        h, w = _mix(h), self.words
+        h, w = mix(h), self.words
         n = max(0, len(h) - w + 1)
         out = h[:n] * self.odd[0]
         for k in range(1, w):
             out += h[k : k + n] * self.odd[k]
-        out = _mix(out) & _EVEN
+        out = mix(out) & _EVEN
         sets, at = [], 0
         for m in counts.tolist():
             if m >= w:
@@ -156,7 +99,7 @@ class Shingler:
                 sets.append(x[new])
             elif m:
                 few = (h[at : at + m] * self.odd[:m]).sum(dtype=np.uint64) + np.uint64(m)
-                sets.append(_mix(np.array([few])) & _EVEN)
+                sets.append(mix(np.array([few])) & _EVEN)
             else:
                 sets.append(np.empty(0, np.uint64))
             at += m
@@ -164,22 +107,7 @@ class Shingler:
 
     def sets(self, texts: pa.Array) -> list[np.ndarray]:
         """The set of each text (string or binary; null: empty)."""
-        texts = texts.cast(pa.large_binary()).fill_null(b"")
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) and offsets[-1] else np.empty(0, np.uint8)
-        out, k = [], 0
-        while k < len(texts):
-            end = max(k + 1, int(np.searchsorted(offsets, offsets[k] + BLOCK, "right")) - 1)
-            part, cuts = data[offsets[k] : offsets[end]], offsets[k : end + 1] - offsets[k]
-            if len(part) > BLOCK:
-                h = self._words(part)
-                counts = np.array([len(h)])
-            else:
-                h, start, _ = self._block(part, cuts)
-                counts = np.diff(np.searchsorted(start, cuts))
-            out += self._sets(h, counts)
-            k = end
-        return out
+        return [x for counts, h, _ in self.hasher.groups(texts) for x in self._sets(h, counts)]
 
     def tokens(self, text: bytes | None) -> np.ndarray:
         return self.sets(pa.array([text], pa.binary()))[0]
@@ -218,7 +146,7 @@ def _combinations(held: np.ndarray, by3: np.ndarray, need: int, n: int, percent:
                 k, groups = 1, 1
             else:
                 groups = max(1, (1 << band) // (4 if k == 2 else 8))
-            sub = _mix(part) % np.uint64(groups)
+            sub = mix(part) % np.uint64(groups)
             order = np.lexsort((part, sub))
             part, sub = part[order], sub[order]
             for group in np.split(part, np.flatnonzero(np.diff(sub)) + 1):
@@ -253,7 +181,7 @@ def signatures(tokens: np.ndarray, percent: int, frequent: np.ndarray, very: np.
     by3 = np.isin(held, very, assume_unique=True) if len(very) else np.zeros(len(held), bool)
     near = _combinations(held, by3, short - len(rare), n, percent)
     far = set(_combinations(held, by3, need - len(rare), n, percent)).difference(near)
-    return need, short, len(rare), counted, np.concatenate([first, _mix(np.array(near, np.uint64)) | _ODD_BIT]), np.concatenate([single[len(first) :], _mix(np.array(sorted(far), np.uint64)) | _ODD_BIT])
+    return need, short, len(rare), counted, np.concatenate([first, mix(np.array(near, np.uint64)) | _ODD_BIT]), np.concatenate([single[len(first) :], mix(np.array(sorted(far), np.uint64)) | _ODD_BIT])
 
 
 def _class_id(tokens: np.ndarray, size: int) -> tuple[int, int]:
@@ -387,7 +315,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     entries = lambda c, long: F.transform(c, lambda t: F.struct(t.alias("sig"), F.lit(long).alias("long")))
     prefix = sets.select("a", "b", "own", F.explode(F.concat(entries("near", 0), entries("far", 1))).alias("e")).select("e.sig", "e.long", "own", "a", "b")
 
-    members = scratch.keep(_members(prefix), "members")
+    members = _members(scratch, prefix)
     # All pairs with a pivot keep a bucket open; only those whose smaller set isn't long are to be verified.
     starred = scratch.keep(members.groupBy("c", "p").agg(F.max("fit").alias("fit")), "pairs")
     pairs = starred.where("fit").select("c", "p")
@@ -434,7 +362,7 @@ def _merged(scratch: Scratch, labels: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
-def _members(prefix: DataFrame) -> DataFrame:
+def _members(scratch: Scratch, prefix: DataFrame) -> DataFrame:
     """(sig, long, own, c, p, p_own, fit) of the entries (sig, long, own, a, b) that two sets or more hold: each member
     with its bucket's pivot, and if the smaller one's entry isn't long.
 
@@ -443,11 +371,13 @@ def _members(prefix: DataFrame) -> DataFrame:
     n = F.col("b").bitwiseAND(0xFFFFFF)
     rank = F.struct("long", "own", n.alias("n"), "a", "b")
     least = F.min(F.when(F.col("long") == 0, n)).alias("least")
-    pivot = prefix.groupBy("sig").agg(F.min(rank).alias("p"), least, F.count(F.lit(1)).alias("m")).where((F.col("m") > 1) & (F.col("p.long") == 0))
-    pivot = pivot.select("sig", F.struct("p.a", "p.b").alias("p"), F.col("p.own").alias("p_own"), "least")
-    members = prefix.select("sig", "long", "own", _id("a", "b").alias("c")).join(pivot, "sig")
+    pivot = prefix.groupBy("sig").agg(F.min(rank).alias("p"), least, F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("p.long") == 0))
+    pivot = scratch.keep(pivot.select("sig", F.struct("p.a", "p.b").alias("p"), F.col("p.own").alias("p_own"), "least", "n"), "buckets")
+    members = join_hot(prefix.select("sig", "long", "own", _id("a", "b").alias("c")), pivot.drop("n"), "sig", counts=pivot)
     members = members.where((F.col("c") != F.col("p")) & ((F.col("long") == 0) | (_size(F.col("c")) >= F.col("least"))))
-    return members.select("sig", "long", "own", "c", "p", "p_own", ((F.col("long") == 0) | (_size(F.col("c")) >= _size(F.col("p")))).alias("fit"))
+    members = scratch.keep(members.select("sig", "long", "own", "c", "p", "p_own", ((F.col("long") == 0) | (_size(F.col("c")) >= _size(F.col("p")))).alias("fit")), "members")
+    scratch.drop(pivot)
+    return members
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -611,8 +541,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         z, shingler = zstandard.ZstdDecompressor(), Shingler(words)
         for batch in batches:
             keep = []
-            for start in range(0, batch.num_rows, 200):
-                rows = batch.slice(start, 200)
+            for start in range(0, batch.num_rows, 50):
+                rows = batch.slice(start, 50)
                 sets = shingler.sets(pa.array([z.decompress(x.as_py()) for x in rows.column(2)], pa.large_binary()))
                 keep += [_class_id(t, len(t)) == (a, b) for a, b, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), sets, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
@@ -631,8 +561,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         z, shingler, last, held = zstandard.ZstdDecompressor(), Shingler(words), None, None
         for batch in batches:
             keep = []
-            for start in range(0, batch.num_rows, 200):
-                rows = batch.slice(start, 200)
+            for start in range(0, batch.num_rows, 50):
+                rows = batch.slice(start, 50)
                 sets = shingler.sets(pa.array([z.decompress(x.as_py()) for x in rows.column(4)], pa.large_binary()))
                 for p, q, x, y in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), sets, rows.column(5), strict=True):
                     if (p, q) != last:

@@ -5,14 +5,17 @@ score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2
 The bracket is the sum over all pairs <v_i, v_j> x_i x_j in time linear in the
 features that a document has.  Features: the document's words in hashed buckets
 (dampened counts, unit length), statistics of its structure (letter cases,
-punctuation, digits, repeated words and lines, word and line lengths, symbols at
-word ends) and metadata (lengths).  It is fitted on the driver on a bounded
-sample of labelled rows by minibatches with per-weight step sizes.
+punctuation, digits, repeated words and lines, word and line lengths, symbols)
+and metadata (lengths).  It is fitted on the driver, by minibatches with
+per-weight step sizes, on the features of a bounded sample of labelled rows,
+which are made where the texts lie.
 
 Defined results: a null text counts as an empty one, which has its own feature
 and a score like any other; without labels of both kinds every score is the
-share of label 1 (0.5 without any); repeated rows stay; texts are scored whole;
-labels, lang, source and doc_id are never looked at in scoring.
+share of label 1 (0.5 without any); repeated rows stay, and equal texts have
+equal scores; equal labelled texts count once, with label 1 if any has it; texts
+are scored whole; labels, lang, source and doc_id are never looked at in
+scoring, nor are further columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,19 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterion.llm.common import table
-from arterion.llm.labelled import fold, sample
+from arterion.llm.common import Scratch, table
+from arterion.llm.labelled import MOST_LABELLED, fold, sample
 
-#: Labelled documents that are fitted on, at most.
-MOST_LABELLED = 12_000
 BUCKETS, FACTORS = 1 << 12, 6
 THRESHOLD = 0.3
 STATISTICS = (
-    "empty", "log_chars", "log_words", "log_lines", "upper", "digit", "punctuation", "blank", "other_symbol", "upper_words", "ends_mark", "ends_symbol",
-    "mean_word", "long_words", "distinct_words", "distinct_lines", "mean_line", "top_word", "bars", "shouts", "digits_words", "distinct_pairs", "ascii",
+    "empty", "log_chars", "log_words", "log_lines", "upper", "digit", "punctuation", "blank", "other_symbol", "upper_words", "ends_mark", "no_letter",
+    "mean_word", "long_words", "distinct_words", "distinct_lines", "mean_line", "top_word", "top_symbol", "digits_words", "distinct_pairs", "ascii",
 )
-_MARK = re.compile(r"[!#$%&*|~^=<>@_]{2,}$")
-_LETTERS = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W_]")
+#: Words whose buckets a task remembers, and their characters at most.
+REMEMBER, LONGEST = 200_000, 40
+_SYMBOLS = [c for c in range(33, 127) if not chr(c).isalnum()]
 
 
 class Featuriser:
@@ -65,21 +68,23 @@ class Featuriser:
         pairs = len(set(zip(parts, parts[1:], strict=False))) / max(1, len(parts) - 1)
         return [
             float(not parts), np.log1p(len(text)) / 10, np.log1p(len(parts)) / 8, np.log1p(len(lines)) / 6, upper / n, digit / n, marks / n, blank / n, symbols / n,
-            sum(x.isupper() and len(x) > 1 for x in parts) / m, sum(x[-1] in ".,;:!?" for x in parts) / m, sum(bool(_MARK.search(x)) for x in parts) / m,
+            sum(x.isupper() and len(x) > 1 for x in parts) / m, sum(x[-1] in ".,;:!?" for x in parts) / m, sum(not _LETTER.search(x) for x in parts) / m,
             min(3.0, float(sizes.mean()) / 10), float((sizes > 20).mean()), distinct / m, len(set(lines)) / len(lines), min(3.0, np.log1p(len(text) / len(lines)) / 8),
-            max(Counter(parts).values(), default=0) / m, of[ord("|")] / m, of[ord("!")] / m, sum(x.isdigit() for x in parts) / m, pairs, len(small) / n,
+            max(Counter(parts).values(), default=0) / m, of[_SYMBOLS].max() / m, sum(x.isdigit() for x in parts) / m, pairs, len(small) / n,
         ]
 
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         text = text or ""
         parts = text.split()
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > REMEMBER:
             known.clear()
+        bucket = lambda w: self.hash(w.lower()) % BUCKETS
         for w in set(parts).difference(known):
-            known[w] = self.hash(w.lower()) % BUCKETS
+            if len(w) <= LONGEST:
+                known[w] = bucket(w)
         if parts:
-            at, n = np.unique(np.fromiter(map(known.__getitem__, parts), np.int64, len(parts)), return_counts=True)
+            at, n = np.unique(np.fromiter((known[w] if w in known else bucket(w) for w in parts), np.int64, len(parts)), return_counts=True)
             x = np.log1p(n)
             x /= np.sqrt((x * x).sum())
         else:
@@ -110,7 +115,7 @@ class FactorisationMachine:
             for k in range(0, len(order), batch):
                 part = order[k : k + batch]
                 lengths = np.array([len(rows[j][0]) for j in part])
-                at, x = np.concatenate([rows[j][0] for j in part]), np.concatenate([rows[j][1] for j in part])
+                at, x = np.concatenate([rows[j][0] for j in part]).astype(np.int64), np.concatenate([rows[j][1] for j in part]).astype(np.float64)
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 raw, s = self.raw(at, x, starts)
                 e = np.repeat((1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[part]) / len(part), lengths)
@@ -133,13 +138,23 @@ class FactorisationMachine:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> FactorisationMachine | float:
     """A machine fitted on labelled rows whose fold of five is not 0; a constant without labels of both kinds."""
-    texts = sample(docs, labels, "quality", fold("doc_id", 5) != 0, most)
-    y = np.array([label for _, label in texts], float)
+    scratch = Scratch(docs.sparkSession)
+    rows = sample(scratch, docs, labels, "quality", fold("doc_id", 5) != 0, most)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        featuriser = Featuriser()
+        for batch in batches:
+            found = [featuriser.features(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.astype(np.int16) for a, _ in found], pa.list_(pa.int16())), pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))], ["place", "label", "at", "x"])
+
+    # Places fix the order of the rows, so fitting doesn't depend on how they are dealt.
+    got = rows.select(F.xxhash64("text").alias("place"), "text", "label").mapInArrow(work, "place long, label int, at array<short>, x array<float>").toArrow().sort_by("place")
+    scratch.close()
+    y = got["label"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
-    featuriser = Featuriser()
     machine = FactorisationMachine(BUCKETS + len(STATISTICS))
-    machine.fit([featuriser.features(t) for t, _ in texts], y)
+    machine.fit([(a.values.to_numpy(), x.values.to_numpy()) for a, x in zip(got["at"], got["x"], strict=True)], y)
     return machine
 
 

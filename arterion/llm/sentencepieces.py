@@ -7,13 +7,16 @@ scores or the merges that piece scores imply, and byte fallback.
 No piece of such a model crosses from another character into a marker, or over
 a line feed, unless the vocabulary says so.  Where it doesn't, a text is cut
 there, each distinct segment is encoded once per worker, in multithreaded
-batches, and a text's ids are the segments' ids in a row.  Each distinct
-segment is also encoded by the sentencepiece library: ``parity`` says whether
-the two agree on all segments of a row.  Models whose pieces do cross are
-encoded and compared by whole texts.
+batches, and a text's ids are the segments' ids in a row.  Each text is also
+normalised, and each distinct segment encoded, by the sentencepiece library:
+``parity`` says whether the two agree on the normalised text and on all segments
+of a row.  Models whose pieces do cross, or that join unknown characters in a row
+to one piece, are encoded and compared by whole texts.
 
 Defined results: a null or empty text has no ids and decodes to an empty text;
-repeated rows stay; texts of any length are encoded whole.
+repeated rows stay, and equal texts have equal ids; texts of any length are
+encoded whole; further columns are not looked at, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from arterion.llm.common import table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Characters of text that are worked on at a time, and segments that a worker remembers.
-CHUNK, REMEMBER = 1 << 20, 400_000
+#: Characters of text that are worked on at a time; segments that a worker remembers, and the characters of each at most.
+CHUNK, REMEMBER, LONGEST = 1 << 20, 300_000, 64
 THREADS = 2
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|\n+|[^{MARK}\n]+")
 _GLUED = re.compile(f"[^{MARK}]{MARK}|[^\n]\n|\n[^\n]")
@@ -87,7 +90,8 @@ class Model:
         steps += [normalizers.Prepend(MARK)] if self.prefix else []
         self.whole.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
         self.whole.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if self.prefix else [])])
-        self.cuts = not any(_GLUED.search(p) for p, _, kind in self.pieces if kind not in (UNKNOWN, CONTROL, BYTE))
+        # Without byte fallback, unknown characters in a row are one piece, also over a cut.
+        self.cuts = bytes_too and not any(_GLUED.search(p) for p, _, kind in self.pieces if kind not in (UNKNOWN, CONTROL, BYTE))
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.pieces]
         m.normalizer_spec.add_dummy_prefix = m.normalizer_spec.remove_extra_whitespaces = False
         m.normalizer_spec.precompiled_charsmap = b""
@@ -112,29 +116,39 @@ class Model:
             return _SEGMENT.findall(normal)
         return [x for x in normal.replace(MARK, "\0" + MARK).replace("\n", "\0\n\0").split("\0") if x]
 
-    def learn(self, segments: set[str]) -> None:
-        """Encodes the segments that are new, by both libraries."""
+    def learn(self, segments: set[str]) -> tuple[dict[str, bytes], set[str]]:
+        """Encodes the segments that are new, by both libraries.  Long ones are not remembered: their ids, and those of
+        them on which the libraries differ, are returned."""
         import numpy as np
 
         if len(self.known) > REMEMBER:
             self.known.clear()
+            self.differ.clear()
         new = [x for x in segments if x not in self.known]
-        if not new:
-            return
-        ours = self.backend.encode_batch_fast(new, add_special_tokens=False)
-        theirs = self.plain.encode([x.replace(MARK, " ") for x in new], num_threads=self.threads)
-        for x, a, b in zip(new, ours, theirs, strict=True):
-            ids = a.ids
-            self.known[x] = np.array(ids, "<i4").tobytes()
-            if ids != b:
-                self.differ.add(x)
+        once, apart = {}, set()
+        if new:
+            ours = self.backend.encode_batch_fast(new, add_special_tokens=False)
+            theirs = self.plain.encode([x.replace(MARK, " ") for x in new], num_threads=self.threads)
+            for x, a, b in zip(new, ours, theirs, strict=True):
+                ids, short = a.ids, len(x) <= LONGEST
+                (self.known if short else once)[x] = np.array(ids, "<i4").tobytes()
+                if ids != b:
+                    (self.differ if short else apart).add(x)
+        return once, apart
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """(ids as little-endian int32, do the libraries agree) of each text."""
-        cut = [self.segments(self.normalise(x)) for x in texts]
-        self.learn(set(chain.from_iterable(cut)))
-        get = self.known.__getitem__
-        return [(b"".join(map(get, x)), not self.differ or self.differ.isdisjoint(x)) for x in cut]
+        """(ids as little-endian int32, do the libraries agree) of each text.
+
+        The libraries also agree on how a text is normalised: the other one's normaliser is asked, text by text.
+        """
+        normal = [self.normalise(x) for x in texts]
+        cut = [self.segments(x) for x in normal]
+        once, apart = self.learn(set(chain.from_iterable(cut)))
+        apart |= self.differ
+        known = self.known
+        get = (lambda x: once[x] if x in once else known[x]) if once else known.__getitem__
+        same = [self.library.normalize(t) == x for t, x in zip(texts, normal, strict=True)]
+        return [(b"".join(map(get, x)), ok and (not apart or apart.isdisjoint(x))) for x, ok in zip(cut, same, strict=True)]
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 bytes of the text of ``ids``; a lone byte piece gives its byte."""

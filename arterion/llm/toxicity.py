@@ -1,51 +1,69 @@
 """Toxicity: maximum-scoring segments over token log-odds.
 
-Each token has a log-odds score of toxic against clean labelled documents,
-smoothed by a Dirichlet prior whose means are the token's rate in all
-documents; a word that was seen seldom leans on the score of its first letters.
-Every token pays a small drift, so that a text without toxic words sums to less
-and less, and the linear-time scan for all maximal scoring segments finds each
+Each token has a log-odds score of toxic against clean labelled documents, with
+a Dirichlet prior whose means are the token's rate in all documents.  A score is
+drawn to 0, whichever sign it has, the less sure its sign is, so a word seen
+seldom says little; a word never seen takes the score of its first letters.  Every
+token pays a small drift, so that a text without toxic words sums to less and
+less, and the linear-time scan for all maximal scoring segments finds each
 passage where toxic words gather.  A segment of score S in m tokens has the
 extreme-value p-value 1 - exp(-K m exp(-lambda S)), lambda being the root of
-E[exp(lambda s)] = 1 over clean tokens; the surprise of a document's segments
-is calibrated to a probability on documents that the scores weren't fitted on.
+E[exp(lambda s)] = 1 over tokens of clean documents and K their rate of
+segments; the surprise of a document's segments is calibrated to a probability
+on documents that the scores weren't fitted on.
+
+Counting, calibrating and scoring are done where the texts lie; the driver sees
+numbers, and words of the bounded sample.
 
 Defined results: a null or empty text has no segments and the lowest score;
-without labels of both kinds every score is 0; repeated rows stay; texts are
-scanned whole; labels, lang, source and doc_id are never looked at in scoring.
+without labels of both kinds every score is 0; repeated rows stay, and equal
+texts have equal scores; texts are scanned whole; a row of the labels that
+repeats a doc_id counts once, as toxic if any is; labels, lang, source and
+doc_id are never looked at in scoring, nor are further columns, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterion.llm.common import table
-from arterion.llm.labelled import fold, sample
+from arterion.llm.common import Scratch, table
+from arterion.llm.labelled import MOST_LABELLED, fold, sample
+from arterion.llm.wordhash import WordHasher
 
-#: Labelled documents that are fitted on, at most.
-MOST_LABELLED = 12_000
-#: A word or stem must be in this many toxic training documents to have a score of its own.
-LEAST_TOXIC = 3
+#: A word or stem must be in this many labelled training documents to have a score of its own.
+LEAST_SEEN = 2
 STEM = 5
-PRIOR = 50.0
-LEAN = 3.0
+#: Weight of the prior, in documents, and what each feature has besides.
+PRIOR, EVEN = 50.0, 0.5
+#: A score is drawn to 0 as far as the evidence for its sign, in standard errors, comes near this: among tens of
+#: thousands of words, some reach three by chance.
+CAUTION = 3.5
 DRIFT = 0.25
+#: Steps of the score, as of the tallies of clean tokens.
+STEP = 0.01
 THRESHOLD = 0.7
-REMEMBER = 300_000
-_WORD = re.compile(r"\w+")
+SIGNIFICANT = 0.01
+
+
+def plain(texts: pa.Array) -> pa.Array:
+    """Texts as lower-case words, of letters, digits and underscores, with blanks between."""
+    return pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")), r"[^\pL\pN_]+", " ")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """The words of a text, as passages count them."""
+    return plain(pa.array([text], pa.string()))[0].as_py().split()
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -85,90 +103,131 @@ class Lexicon:
     k: float = 0.1
     weights: tuple[float, ...] = (-4.0, 0.0, 0.0)
 
-    def __post_init__(self) -> None:
-        self._known: dict[str, float] = {}
-
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": {}}
-
-    def token(self, w: str) -> float:
-        own = self.words.get(w)
-        return (self.stems.get(w[:STEM], 0.0) if own is None else own) - self.drift
-
-    def scores(self, tokens: list[str]) -> np.ndarray:
-        known = self._known
-        if len(known) > REMEMBER:
-            known.clear()
-        for w in set(tokens).difference(known):
-            known[w] = self.token(w)
-        return np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
-
-    def passages(self, text: str | None, worst: float = 0.01) -> list[tuple[int, int, float, float]]:
-        """(start word, end word, score, -ln p) of every segment whose p-value is at most ``worst``."""
-        s = self.scores(words(text))
-        out = [(a, b, x, self.surprise(x, len(s))) for a, b, x in maximal_segments(s)]
-        return [x for x in out if x[3] >= -math.log(worst)]
+        return {k: v for k, v in self.__dict__.items() if k != "_tables"}
+
+    @cached_property
+    def _tables(self) -> tuple[WordHasher, list[tuple[np.ndarray, np.ndarray]]]:
+        """Scores by hash of word and by hash of stem, sorted."""
+        hasher, found = WordHasher(STEM), []
+        for listed in (self.words, self.stems):
+            h = np.concatenate([np.zeros(1, np.uint64), *[x for _, x, _ in hasher.groups(pa.array(list(listed), pa.string()))]])
+            order = np.argsort(h)
+            found.append((h[order], np.concatenate([[0.0], list(listed.values())])[order]))
+        return hasher, found
+
+    def scores(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The token scores of each text."""
+        hasher, ((own, value), (stems, stem_value)) = self._tables
+        for counts, h, first in hasher.groups(plain(texts)):
+            at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+            known = own[at] == h
+            near = np.minimum(np.searchsorted(stems, first), len(stems) - 1)
+            s = np.where(known, value[at], np.where((stems[near] == first) & (first != 0), stem_value[near], 0.0)) - self.drift
+            yield from np.split(s, np.cumsum(counts)[:-1])
 
     def surprise(self, score: float, m: int) -> float:
         """-ln of the chance of a segment of at least ``score`` among ``m`` clean tokens."""
         e = math.log(self.k * max(m, 1)) - self.lam * score  # ln of the expected number
         return -e if e < -20 else -math.log(max(1e-300, -math.expm1(-math.exp(min(e, 50)))))
 
-    def features(self, text: str | None) -> tuple[float, float]:
+    def segments(self, s: np.ndarray) -> list[tuple[int, int, float, float]]:
+        """(start word, end word, score, -ln p) of every maximal segment."""
+        return [(a, b, x, self.surprise(x, len(s))) for a, b, x in maximal_segments(s)]
+
+    @staticmethod
+    def significant(found: list[tuple[int, int, float, float]], worst: float = SIGNIFICANT) -> list[tuple[int, int, float, float]]:
+        return [x for x in found if x[3] >= -math.log(worst)]
+
+    @staticmethod
+    def features(found: list[tuple[int, int, float, float]]) -> tuple[float, float]:
         """(surprise of the best segment, summed surprise of the others that are significant), both dampened."""
-        s = self.scores(words(text))
-        found = sorted((self.surprise(x, len(s)) for _, _, x in maximal_segments(s)), reverse=True)
-        return (math.log1p(found[0]), math.log1p(sum(x for x in found[1:] if x >= -math.log(0.01)))) if found else (0.0, 0.0)
+        x = sorted((x[3] for x in found), reverse=True)
+        return (math.log1p(x[0]), math.log1p(sum(y for y in x[1:] if y >= -math.log(SIGNIFICANT)))) if x else (0.0, 0.0)
 
-    def probability(self, text: str | None) -> float:
-        x = self.weights[0] + sum(w * f for w, f in zip(self.weights[1:], self.features(text), strict=True))
+    def probability(self, found: list[tuple[int, int, float, float]]) -> float:
+        x = self.weights[0] + sum(w * f for w, f in zip(self.weights[1:], self.features(found), strict=True))
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
 
+    def probabilities(self, texts: list[str | None]) -> list[float]:
+        return [self.probability(self.segments(s)) for s in self.scores(pa.array(texts, pa.string()))]
 
-def counts(texts: list[tuple[str, int]]) -> tuple[list[Counter], list[int]]:
-    """Documents by word or stem ("stem*"), for clean (0) and toxic (1); and the numbers of documents."""
-    seen, n = [Counter(), Counter()], [0, 0]
-    for text, label in texts:
-        w = set(words(text))
-        seen[label].update(w)
-        seen[label].update({x[:STEM] + "*" for x in w if len(x) > STEM})
-        n[label] += 1
-    return seen, n
 
+def features_of(tokens: set[str]) -> set[str]:
+    """Words, and the stems ("stem*") of those that are longer."""
+    return tokens | {x[:STEM] + "*" for x in tokens if len(x) > STEM}
 
-def log_odds(seen: list[Counter], n: list[int], rate: dict[str, float]) -> dict[str, float]:
-    """Log-odds of each listed feature, toxic against clean, with a Dirichlet prior of mean ``rate`` and weight PRIOR."""
-    out = {}
-    for f, p in rate.items():
-        prior = PRIOR * min(max(p, 1e-6), 0.999)
-        odds = [math.log((seen[c][f] + prior) / (n[c] + PRIOR - seen[c][f] - prior)) for c in (0, 1)]
-        out[f] = odds[1] - odds[0]
-    return out
 
+def counts(rows: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Documents of a sample (text, label, half) by feature, as [half, label]; and the numbers of documents.  Features of
+    fewer than LEAST_SEEN documents are left out; the others are bounded by the sample."""
 
-def lexicon(seen: list[Counter], n: list[int], rate: dict[str, float]) -> Lexicon:
-    delta = log_odds(seen, n, rate)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for x, label, half in zip(plain(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                seen.update((f, 2 * half + label) for f in features_of(set(x.as_py().split())) | {"*"})
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in seen]), pa.array([c for _, c in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["feature", "class", "n"])
+
+    rows = rows.mapInArrow(count, "feature string, class int, n long")
+    cells = [F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(4)]
+    got = rows.groupBy("feature").agg(*cells).where(f"n0 + n1 + n2 + n3 >= {LEAST_SEEN} OR feature = '*'").toPandas()
+    n = dict(zip(got["feature"], got[[f"n{c}" for c in range(4)]].to_numpy(float).reshape(-1, 2, 2), strict=True))
+    return n, n.pop("*", np.zeros((2, 2)))
+
+
+def lexicon(seen: dict[str, np.ndarray], n: np.ndarray, rate: dict[str, float]) -> Lexicon:
+    """Shrunk log-odds of each feature of ``seen`` (documents by label), toxic against clean."""
+    names = [f for f, x in seen.items() if x.sum()]
+    if not names:
+        return Lexicon()
+    y = np.array([seen[f] for f in names])
+    prior = PRIOR * np.array([[rate.get(f, 0.0)] for f in names]) + EVEN
+    odds = np.log((y + prior) / (n + PRIOR + 2 * EVEN - y - prior + EVEN))
+    # How sure the sign is: the signed root of the likelihood ratio against one rate for both kinds.
+    least = lambda k, p: k * np.log(np.where(k > 0, p, 1.0))
+    own, both = y / n, (y.sum(1) / n.sum())[:, None]
+    root = np.sqrt(np.maximum(0.0, 2 * (least(y, own) + least(n - y, 1 - own) - least(y, both) - least(n - y, 1 - both)).sum(1)))
+    delta = odds[:, 1] - odds[:, 0]
+    score = np.round(delta * np.maximum(0.0, 1 - CAUTION / np.maximum(root, 1e-9)) / STEP) * STEP
     lex = Lexicon()
-    for f, d in delta.items():
-        if f.endswith("*") and d > math.log(4):
+    for f, d in zip(names, score.tolist(), strict=True):
+        if f.endswith("*"):
             lex.stems[f[:-1]] = d
-    for f, d in delta.items():
-        if not f.endswith("*"):
-            stem, held = delta.get(f[:STEM] + "*", 0.0) if len(f) > STEM else 0.0, seen[0][f] + seen[1][f]
-            d = (held * d + LEAN * max(stem, 0.0)) / (held + LEAN) if stem else d
-            if d > math.log(4):
-                lex.words[f] = d
-            elif f[:STEM] in lex.stems:
-                lex.words[f] = 0.0  # a common word of a toxic stem
+        else:
+            lex.words[f] = d
     return lex
 
 
-def _karlin(lex: Lexicon, clean: list[str]) -> None:
+def _tallies(rows: DataFrame, lexicons: list[Lexicon]) -> list[tuple[dict[int, int], int]]:
+    """For each of three lexicons, how often clean tokens have each score (in STEPs), and the segments in them.
+
+    The lexicons are those of half 0, of half 1 and of both; the first two are looked at in the other half.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(lexicons)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            half = batch.column(1).to_pylist()
+            for k, lex in enumerate(held.value):
+                for s, h in zip(lex.scores(batch.column(0)), half, strict=True):
+                    if h != k:
+                        value, n = np.unique(np.rint(s / STEP).astype(np.int64), return_counts=True)
+                        seen.update({(k, v): c for v, c in zip(value.tolist(), n.tolist(), strict=True)})
+                        seen[k, None] += len(maximal_segments(s))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([v for _, v in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["k", "step", "n"])
+
+    clean = rows.where("label = 0").select("text", "half")
+    got = clean.mapInArrow(count, "k int, step long, n long").groupBy("k", "step").agg(F.sum("n").alias("n")).collect()  # a row per score
+    held.destroy()
+    return [({r["step"]: r["n"] for r in got if r["k"] == k and r["step"] is not None}, sum(r["n"] for r in got if r["k"] == k and r["step"] is None)) for k in range(len(lexicons))]
+
+
+def _karlin(lex: Lexicon, tally: dict[int, int], segments: int) -> None:
     """lambda and K from the tokens of clean documents."""
-    parts = [lex.scores(words(t)) for t in clean]
-    s = np.concatenate(parts) if parts else np.zeros(0)
-    value, n = np.unique(np.round(s, 3), return_counts=True) if len(s) else (np.zeros(0), np.zeros(0))
-    if len(value) and value.max() > 0 and s.mean() < 0:
+    value, n = np.array(list(tally), float) * STEP, np.array(list(tally.values()), float)
+    if len(value) and value.max() > 0 and (n * value).sum() < 0:
         low, high = 0.0, 1.0
         mean = lambda x: float((n * np.exp(np.minimum(x * value, 600))).sum() / n.sum()) - 1
         while mean(high) < 0 and high < 20:
@@ -177,9 +236,8 @@ def _karlin(lex: Lexicon, clean: list[str]) -> None:
             mid = (low + high) / 2
             low, high = (mid, high) if mean(mid) < 0 else (low, mid)
         lex.lam = max(0.2, min(2.0, (low + high) / 2))
-    least = min([*lex.words.values(), *lex.stems.values()], default=1.0) - lex.drift
-    found = sum(len(maximal_segments(x)) for x in parts)
-    lex.k = (found + 1) / (len(s) + 1) * math.exp(lex.lam * max(least, 0.1))
+    least = min((x for x in (*lex.words.values(), *lex.stems.values()) if x > lex.drift), default=1.0) - lex.drift
+    lex.k = (segments + 1) / (n.sum() + 1) * math.exp(lex.lam * max(least, 0.1))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -205,75 +263,93 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def corpus_rates(docs: DataFrame, features: list[str]) -> dict[str, float]:
-    """The share of all documents that hold each feature: counted per batch, then summed by feature."""
-    wanted_words, wanted_stems = {f for f in features if not f.endswith("*")}, {f[:-1] for f in features if f.endswith("*")}
+    """The share of all documents that hold each feature: counted per task, then summed by feature."""
+    lex = Lexicon(words={f: float(k) for k, f in enumerate(features) if not f.endswith("*")}, stems={f[:-1]: float(k) for k, f in enumerate(features) if f.endswith("*")})
+    held = docs.sparkSession.sparkContext.broadcast(lex)
+    size = len(features)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        n = 0
+        hasher, tables = held.value._tables
+        seen, total = np.zeros(size, np.int64), 0
+        for batch in batches:
+            total += batch.num_rows
+            for start in range(0, batch.num_rows, 500):
+                for n, *hashes in hasher.groups(plain(batch.column(0).slice(start, 500))):
+                    doc = np.repeat(np.arange(len(n)), n)
+                    for h, (known, value) in zip(hashes, tables, strict=True):
+                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        hit = (known[at] == h) & (h != 0)
+                        both = np.unique(doc[hit] * size + value[at[hit]].astype(np.int64))
+                        seen += np.bincount(both % size, minlength=size)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], total))], ["feature", "n"])
+
+    rows = docs.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect() if size else []
+    held.destroy()
+    n = {r["feature"]: r["n"] for r in rows}
+    return {f: n.get(k, 0) / max(1, n.get(-1, 1)) for k, f in enumerate(features)}
+
+
+def _calibrating(rows: DataFrame, lexicons: list[Lexicon]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, label) of the documents of the sample, each by the lexicon of the other half."""
+    held = rows.sparkSession.sparkContext.broadcast(lexicons)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.column(0):
-                w = set(words(x.as_py()))
-                seen.update(w & wanted_words)
-                seen.update({f"{s}*" for s in {v[:STEM] for v in w if len(v) > STEM} & wanted_stems})
-            n += batch.num_rows
-        seen[""] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    total = {r["feature"]: r["n"] for r in rows}
-    return {f: total.get(f, 0) / max(1, total.get("", 1)) for f in features}
-
-
-def fit(docs: DataFrame, texts: list[tuple[str, int]]) -> Lexicon | None:
-    """A calibrated lexicon, or None without labels of both kinds."""
-    halves = [texts[0::2], texts[1::2]]
-    seen_by = [counts(h) for h in halves]
-    seen = [seen_by[0][0][c] + seen_by[1][0][c] for c in (0, 1)]
-    n = [seen_by[0][1][c] + seen_by[1][1][c] for c in (0, 1)]
-    if not n[0] or not n[1]:
+            label, half, found = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
+            for k, lex in enumerate(held.value):
+                found += [(*lex.features(lex.segments(s)), y) for s, y, h in zip(lex.scores(batch.column(0)), label, half, strict=True) if h != k]
+            yield pa.RecordBatch.from_arrays([pa.array([float(x[j]) for x in found], pa.float64()) for j in range(3)], ["best", "rest", "label"])
+
+    got = rows.mapInArrow(work, "best double, rest double, label double").toPandas().sort_values(["label", "best", "rest"])
+    held.destroy()
+    return got[["best", "rest"]].to_numpy(float), got["label"].to_numpy(float)
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Lexicon | None:
+    """A calibrated lexicon, fitted on labelled rows whose fold of three is not 1; None without labels of both kinds."""
+    scratch = Scratch(docs.sparkSession)
+    rows = sample(scratch, docs, labels, "toxic", fold("doc_id", 3) != 1, most)
+    seen, n = counts(rows)
+    if not n.sum(0).all():
+        scratch.close()
         return None
-    # The list is bounded by the sample's words.
-    listed = sorted(f for f, k in seen[1].items() if k >= min(LEAST_TOXIC, n[1]) and k / n[1] > 2 * seen[0][f] / n[0])
-    rate = corpus_rates(docs, listed)
-    x, y = [], []
-    for k in (0, 1):
-        s, m = seen_by[k]
-        if not m[0] or not m[1]:
-            continue
-        own = lexicon(s, m, {f: r for f, r in rate.items() if s[1][f] >= min(LEAST_TOXIC - 1, m[1])})
-        _karlin(own, [t for t, label in halves[1 - k] if not label])
-        x += [own.features(t) for t, _ in halves[1 - k]]
-        y += [label for _, label in halves[1 - k]]
-    lex = lexicon(seen, n, rate)
-    _karlin(lex, [t for t, label in texts if not label])
-    if len(set(y)) == 2:
-        lex.weights = _logistic(np.array(x), np.array(y, float))
-    return lex
+    rate = corpus_rates(docs, sorted(seen))
+    lexicons = [lexicon({f: x[k] for f, x in seen.items()}, n[k], rate) if n[k].all() else Lexicon() for k in (0, 1)]
+    lexicons.append(lexicon({f: x.sum(0) for f, x in seen.items()}, n.sum(0), rate))
+    for lex, (tally, segments) in zip(lexicons, _tallies(rows, lexicons), strict=True):
+        _karlin(lex, tally, segments)
+    if n.all():
+        x, y = _calibrating(rows, lexicons[:2])
+        lexicons[2].weights = _logistic(x, y)
+    scratch.close()
+    return lexicons[2]
+
+
+_PASSAGES = "array<struct<start:int,end:int,score:double,surprise:double>>"
 
 
 def score(docs: DataFrame, lex: Lexicon | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score, passages): the probability of toxic, and the significant passages as word ranges with -ln p."""
+    """(key, score, passages): the probability of toxic, and all significant passages as word ranges with -ln p."""
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, score double, passages array<struct<start:int,end:int,score:double,surprise:double>>"
     if lex is None:
-        return docs.select(key, F.lit(0.0).alias("score"), F.expr("cast(array() as array<struct<start:int,end:int,score:double,surprise:double>>)").alias("passages"))
+        return docs.select(key, F.lit(0.0).alias("score"), F.expr(f"cast(array() as {_PASSAGES})").alias("passages"))
     held = docs.sparkSession.sparkContext.broadcast(lex)
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("surprise", pa.float64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = held.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                rows = batch.slice(start, 2000)
+            for start in range(0, batch.num_rows, 500):
+                rows = batch.slice(start, 500)
                 p, found = [], []
-                for x in rows.column(1):
-                    t = x.as_py()
-                    p.append(lex.probability(t))
-                    found.append([dict(zip(("start", "end", "score", "surprise"), s, strict=True)) for s in lex.passages(t)])
+                for s in lex.scores(rows.column(1)):
+                    all_of = lex.segments(s)
+                    p.append(lex.probability(all_of))
+                    found.append([dict(zip(("start", "end", "score", "surprise"), x, strict=True)) for x in lex.significant(all_of)])
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(p, pa.float64()), pa.array(found, spans)], [key, "score", "passages"])
 
-    return docs.select(key, text).mapInArrow(work, schema)
+    return docs.select(key, text).mapInArrow(work, f"`{key}` {kind}, score double, passages {_PASSAGES}")
 
 
 def keep_clean(docs: DataFrame, lex: Lexicon | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -286,16 +362,13 @@ def keep_clean(docs: DataFrame, lex: Lexicon | None, threshold: float = THRESHOL
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = held.value
         for batch in batches:
-            yield batch.filter(pa.array([lex.probability(x.as_py()) < threshold for x in batch.column(at)], pa.bool_()))
+            for start in range(0, batch.num_rows, 500):
+                rows = batch.slice(start, 500)
+                yield rows.filter(pa.array([lex.probability(lex.segments(s)) < threshold for s in lex.scores(rows.column(at))], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Lexicon | None:
-    """Fits on labelled rows whose fold of three is not 1."""
-    return fit(docs, sample(docs, labels, "toxic", fold("doc_id", 3) != 1, most))
-
-
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lex = train(docs, table(spark, sf_dir, "labels"))

@@ -3,13 +3,17 @@
 import hashlib
 import random
 import re
+import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from arterion.llm import decontamination, language_id, licenses, line_dedup, ngram_jaccard, quality_fm, secrets, sentencepieces, telephony, toxicity
+from arterion.llm import common, decontamination, language_id, licenses, line_dedup, ngram_jaccard, quality_fm, secrets, sentencepieces, telephony, toxicity
+from arterion.llm.common import shared_dir
+from arterion.llm.wordhash import BLOCK
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -40,39 +44,71 @@ def secret_texts():
     ]
 
 
-def test_secrets_match_a_plain_scan(spark):
+def ledger(spark):
+    return secrets.Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+
+
+def spans_of(rows):
+    return {r["path"]: ",".join(f"{x['kind']}:{x['s']}:{x['e']}" for x in r["spans"]) for r in rows.collect()}
+
+
+@pytest.mark.parametrize("most", [0, 1 << 15])
+def test_secrets_match_a_plain_scan(spark, monkeypatch, most):
+    monkeypatch.setattr(secrets, "MOST_BROADCAST", most)
     rows = [(100 + k, t) for k, t in enumerate(secret_texts() * 2)] + odd_rows()
-    got = secrets.findings(docs(spark, rows)).collect()
+    rows += [(70, "token=abcdefgh " * 3000), (71, "eyJ" * 30_000), (72, "A" * 100_000)]
+    held = ledger(spark)
+    held.run(docs(spark, rows))
+    got = held.joined_back(docs(spark, rows)).collect()
     assert len(got) == len(rows)
     want = {}
     for i, t in rows:
         want.setdefault(i, base_spans(t))
     for r in got:
-        base = [tuple(x) for x in r["spans"] if x["r"] < 3]
+        base = [(x["s"], x["r"], x["e"], x["kind"]) for x in r["spans"] if x["r"] < 3]
         assert base == want[r["path"]], r["path"]
 
 
 def test_the_ledger_scans_only_what_is_new(spark):
-    versions = docs(spark, [(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, "AKIA" + "A" * 16)])
-    blobs = secrets.distinct_blobs(versions)
-    assert blobs.count() == 2
-    ledger = spark.createDataFrame([(hashlib.sha256(b"token=abcdefgh").hexdigest(), r.kind, r.version) for r in secrets.RULES], "blob string, kind string, version int")
-    todo = secrets.unseen(blobs, ledger)
-    assert [r["text"] for r in todo.collect()] == ["AKIA" + "A" * 16]
-    known = secrets.scan(blobs.where(F.col("text").startswith("token")))
-    got = {r["path"]: secrets_text(r) for r in secrets.findings(versions, ledger=ledger, known=known).collect()}
-    assert got == {1: "assign:0:14", 2: "assign:0:14", 3: "access:0:20"}
-    newer = tuple(secrets.Rule(r.kind, r.pattern, r.group, r.least, 2) if r.kind == "hex" else r for r in secrets.RULES)
-    assert {tuple(r["todo"]) for r in secrets.unseen(blobs, ledger, newer).where(F.col("text").startswith("token")).collect()} == {(2,)}
-    assert secrets.ledger_entries(secrets.unseen(blobs, ledger)).count() == len(secrets.RULES)
-
-
-def secrets_text(r):
-    return ",".join(f"{x['kind']}:{x['s']}:{x['e']}" for x in r["spans"])
-
-
-def test_secrets_of_an_empty_table(spark):
-    assert secrets.findings(docs(spark, [(1, "x")]).where("false")).count() == 0
+    key = "AKIA" + "A" * 16
+    first, second = docs(spark, [(1, "token=abcdefgh"), (2, "token=abcdefgh")]), docs(spark, [(1, key), (2, "token=abcdefgh"), (3, "token=abcdefgh")])
+    held = ledger(spark)
+    assert held.unseen(first).count() == 1
+    held.run(first, secrets.BASE)
+    assert {r["todo"] for r in held.unseen(first).collect()} == {0b111000}  # the rules besides the base ones
+    held.run(first)
+    assert held.unseen(first).count() == 0
+    # A later commit: one path has a new content, one is new.
+    todo = held.unseen(second).collect()
+    assert [(bytes(r["blob"]), r["path"], r["todo"]) for r in todo] == [(hashlib.sha256(key.encode()).digest(), 1, 0b111111)]
+    held.run(second)
+    assert spans_of(held.joined_back(second)) == {1: "access:0:20", 2: "assign:0:14", 3: "assign:0:14"}
+    assert spans_of(held.joined_back(first)) == {1: "assign:0:14", 2: "assign:0:14"}
+    assert held.findings().count() == 2 and held.scanned().count() == 3
+    held.run(second)  # and again: nothing is entered twice
+    assert held.findings().count() == 2 and held.scanned().count() == 3
+
+
+def test_findings_of_an_old_rule_version_are_left_out(spark):
+    rows = docs(spark, [(1, "0" * 30 + " token=abcdefgh")])
+    held = ledger(spark)
+    held.run(rows)
+    assert spans_of(held.joined_back(rows)) == {1: "hex:0:30,assign:31:45"}
+    newer = (secrets.Rule("new", "zzz", 0, 3), *(secrets.Rule("hex", "[g-z]{99}", 0, 24, 2) if r.kind == "hex" else r for r in secrets.RULES))
+    assert {r["todo"] for r in held.unseen(rows, newer).collect()} == {0b1001}
+    held.run(rows, newer)
+    assert spans_of(held.joined_back(rows, newer)) == {1: "assign:31:45"}
+    assert spans_of(held.joined_back(rows)) == {1: "hex:0:30,assign:31:45"}
+
+
+def test_secrets_of_an_empty_table_and_of_further_columns(spark):
+    held = ledger(spark)
+    rows = docs(spark, [(1, "token=abcdefgh")])
+    held.run(rows.where("false"))
+    assert held.joined_back(rows.where("false")).count() == 0
+    clash = rows.selectExpr("doc_id", "text", *[f"'x' AS {c}" for c in ("blob", "path", "_path", "_blob", "todo", "kind", "spans", "version")])
+    held.run(clash)
+    assert spans_of(held.joined_back(clash)) == {1: "assign:0:14"}
 
 
 # --- SentencePiece
@@ -102,6 +138,43 @@ def test_sentencepiece_table(spark):
     assert sentencepieces.encode(docs(spark, rows).where("false"), proto).count() == 0
 
 
+def unigram_model(fallback, prefix, fold):
+    """A unigram model put together by hand: no tokenizer is trained."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    rng, m = random.Random(8), sentencepiece_model_pb2.ModelProto()
+    kinds = m.SentencePiece.Type
+    add = lambda piece, score, kind: m.pieces.add(piece=piece, score=score, type=kind)
+    for piece, kind in (("<unk>", kinds.UNKNOWN), ("<s>", kinds.CONTROL), ("</s>", kinds.CONTROL)):
+        add(piece, 0.0, kind)
+    for k in range(256 if fallback else 0):
+        add(f"<0x{k:02X}>", 0.0, kinds.BYTE)
+    words = {"".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(200)}
+    for piece in ["▁", *"abcdefgh", *sorted(words), *sorted("▁" + w for w in words)]:
+        add(piece, round(-rng.uniform(2, 12), 4), kinds.NORMAL)
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.vocab_size = 1, fallback, len(m.pieces)
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = "identity", prefix, fold
+    return m.SerializeToString()
+
+
+@pytest.mark.parametrize(("fallback", "prefix", "fold"), [(True, True, False), (True, True, True), (False, True, True), (False, False, False)])
+def test_unigram_models_agree_with_the_library(fallback, prefix, fold):
+    m = sentencepieces.Model(unigram_model(fallback, prefix, fold))
+    rng = random.Random(9)
+    texts = ["", " ", "  a  b ", "abc\ndef\n\n", "é 日本", "▁ x", "zzz" * 50] + ["".join(rng.choice("abcdefgh  é\n") for _ in range(rng.randrange(80))) for _ in range(300)]
+    for text, (ids, parity) in zip(texts, m.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == m.library.encode(text) and parity, text
+
+
+def test_long_segments_are_not_remembered(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "REMEMBER", 3)
+    m = sentencepieces.Model(sentencepieces.default_model())
+    texts = ["q" * 5000 + " one two", "three four five", "q" * 5000, "one"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<i4").tolist() for x, _ in m.encode(texts)] == m.library.encode(texts)
+    assert all(len(x) <= sentencepieces.LONGEST for x in m.known)
+
+
 # --- n-gram Jaccard
 
 
@@ -153,6 +226,45 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, k, percent, frequ
     assert got == brute_components(rows, k, percent)
 
 
+def test_shingles_match_brute_force():
+    rng = random.Random(1)
+    texts = [None, b"", b" \t", b"a", b"A b", b"a  B\tc", b"a b c", "É é x y".encode()] + [b" ".join(bytes(rng.choice(b"abC") for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(40))) for _ in range(300)]
+    texts += [b"q" * (2 * BLOCK + 5) + b" w e r t", b"lorem ipsum dolor sit " * 60_000, b"a " * (BLOCK // 2 - 2) + b"hello my dear world"]
+    for k in (1, 3):
+        shingler, name, back = ngram_jaccard.Shingler(k), {}, {}
+        for text, got in zip(texts, shingler.sets(pa.array(texts, pa.binary())), strict=True):
+            w = (text or b"").lower().split()
+            want = {tuple(w)} if 0 < len(w) < k else {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+            assert len(got) == len(want) and (np.diff(got.astype(object)) > 0).all()
+            for x in want:
+                h = name.setdefault(x, int(shingler.tokens(b" ".join(x))[0]))
+                assert back.setdefault(h, x) == x
+            assert {name[x] for x in want} == set(got.tolist())
+
+
+def test_tokens_of_many_sets_are_told_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "MOST_HELD", 5)
+    rows = sorted([(1, a) for a in range(3)] + [(2, a) for a in range(40)] * 2 + [(3, 7), (4, 1), (4, 2)])
+    for size in (1, 2, 7, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows[k : k + size]]), pa.array([a for _, a in rows[k : k + size]])], ["token", "a"]) for k in range(0, len(rows), size)]
+        got = [(r["token"], r["a"], r["held"]) for b in ngram_jaccard._shared(iter(batches)) for r in b.to_pylist()]
+        assert set(got) == {(1, a, 3) for a in range(3)} | {(2, a, 5) for a in range(40)} | {(4, 1, 2), (4, 2, 2)}
+
+
+def test_large_buckets_are_dealt_to_cells(spark, monkeypatch):
+    for name, value in (("FREQUENT", 4), ("VERY_FREQUENT", 8), ("LOCAL", 1), ("CELL_MEMBERS", 5), ("CELL_PIVOTS", 3), ("GROWTH", 2)):
+        monkeypatch.setattr(ngram_jaccard, name, value)
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    rng, rows = random.Random(4), []
+    shared = [f"s{n}" for n in range(40)]
+    for n in range(40):  # many documents that share half of what they hold, some of them similar
+        own = [f"o{rng.randrange(12)}_{k}" for k in range(40)] if n % 3 else [f"p{n % 4}_{k}" for k in range(40)]
+        rows.append((n, " ".join(shared + own)))
+    rows += [(100 + k, rows[0][1]) for k in range(30)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.near_duplicates(spark, docs(spark, rows), 1, 80).collect()}
+    assert got == brute_components(rows, 1, 80)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = ngram_jaccard.near_duplicates(spark, docs(spark, odd_rows()), 3, 90).collect()
     by = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got}
@@ -311,16 +423,28 @@ def test_the_machine_uses_the_sum_of_squares_identity():
 
 def test_licences(spark):
     mit = licenses.KNOWN["MIT"][0]
+    usual = mit.replace("\nThe above", "\n\nThe above").replace("\nTHE SOFTWARE", "\n\nTHE SOFTWARE")
     rows = [
-        (1, "Copyright (c) 2020 Someone\n" + mit), (2, "x\n\n" + mit.lower().replace("License", "Licence") + "\n\ny"), (3, "a\n  RELEASED under the MIT LICENCE!\nb\nReleased under the MIT License."),
+        (1, "Copyright (c) 2020 Someone\n" + mit), (2, "x\n\n" + mit.lower().replace("license", "licence") + "\n\ny"), (3, "a\n  RELEASED under the MIT LICENCE!\nb\nReleased under the MIT License."),
         (4, "This is not released under the MIT License."), (5, None), (6, ""), (7, "All rights reserved"), (None, "All rights reserved."),
+        (8, "MIT License\n\nCopyright (c) 2021 A. Body\n\n" + usual), (9, "int main;\n\n" + "".join(f" * {x}\n" for x in usual.split("\n")) + "\n/* code */ x = 1\n" * 50 + usual),
+        (10, "long " * 100_000 + "\n" + mit + "\n" + "é " * 1000), (11, mit.replace("without restriction", "with restriction")), (12, "All rights reserved."), (12, "All rights reserved.\nx"),
     ]
-    got = {(r["doc_id"], r["license"]): (r["n_lines"], r["n_blocks"], r["whole"]) for r in licenses.scan(docs(spark, rows)).collect()}
-    assert got == {(1, "MIT"): (0, 0, True), (2, "MIT"): (0, 1, False), (3, "MIT"): (2, 0, False), (7, "proprietary"): (1, 0, True), (None, "proprietary"): (1, 0, True)} or got[(1, "MIT")][2]
-    assert (4, "MIT") not in got and got[(3, "MIT")] == (2, 0, False) and got[(2, "MIT")][1] == 1
+    got = {(r["doc_id"], r["license"]): (r["n_places"], r["first_line"], r["whole"]) for r in licenses.scan(docs(spark, rows)).collect()}
+    assert got == {
+        (1, "MIT"): (1, 0, True), (2, "MIT"): (1, 1, False), (3, "MIT"): (2, 1, False), (7, "proprietary"): (1, 0, True), (None, "proprietary"): (1, 0, True), (8, "MIT"): (2, 0, False), (9, "MIT"): (2, 1, False),
+        (10, "MIT"): (1, 1, False), (12, "proprietary"): (2, 0, True),
+    }
     assert licenses.scan(docs(spark, rows).where("false")).count() == 0
 
 
+def test_a_list_of_licences_of_ones_own(spark):
+    known = {"A": ("one two", "one two three four five"), "B": ("One, two!",), "C": ("three\nfour five",)}
+    rows = docs(spark, [(1, "one two\nthree\nfour five"), (2, "one\n\ntwo")]).selectExpr("doc_id", "text", "'x' AS license", "'x' AS digest", "1 AS line", "true AS whole")
+    got = {(r["doc_id"], r["license"]): (r["n_places"], r["first_line"], r["whole"]) for r in licenses.scan(rows, known).collect()}
+    assert got == {(1, "A"): (2, 0, True), (1, "B"): (1, 0, False), (1, "C"): (1, 1, False), (2, "A"): (1, 0, True), (2, "B"): (1, 0, True)}
+
+
 # --- decontamination
 
 
@@ -352,6 +476,17 @@ def test_decontamination_keeps_passages_apart(spark):
     assert got == {k: (True, 1) for k in (1, 2, 4, None)}
 
 
+def test_decontamination_by_plain_windows(spark):
+    texts = ["What is the capital of France", "Solve 3x + 5 = 20 and 12 - 7", "Ağaç İstanbullular eve gel", "5 7"]
+    benchmark = spark.createDataFrame([(k, t) for k, t in enumerate(texts, 1)] + [(1, texts[0])], "item_id long, text string")
+    rows = [(1, "Question: What is the capital of France?"), (2, "WHAT IS THE CAPITAL OF FRANCE"), (3, "now solve 3x + 5 = 20 and 12 - 7."), (4, texts[2]), (5, "the capital of France is"), (6, "x " * 150_000 + texts[0]), (7, "5 7"), (8, texts[0]), (8, texts[0])]
+    clash = docs(spark, rows).selectExpr("doc_id", "text", *[f"'x' AS {c}" for c in ("item_id", "row", "tokens", "_doc", "_bad", "form", "window", "size")])
+    got = {(r["doc_id"], r["item_id"]): (r["verbatim"], r["n_matched"] == r["n_windows"]) for r in decontamination.contaminated(clash, benchmark).collect()}
+    assert got == {(d, i): (True, True) for d, i in ((1, 1), (2, 1), (3, 2), (4, 3), (6, 1), (8, 1))}
+    left = decontamination.decontaminate(clash, benchmark)
+    assert left.columns == clash.columns and sorted(r["doc_id"] for r in left.collect()) == [5, 7]
+
+
 # --- line dedup
 
 
@@ -366,6 +501,16 @@ def test_line_dedup(spark):
     assert line_dedup.drop_frequent_lines(docs(spark, rows).where("false")).count() == 0
 
 
+def test_line_dedup_of_hot_lines_long_texts_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows = [(k, f"own {k}\nhot\n" + ("warm\n" if k % 3 else "") + "end " * (50_000 if k == 3 else 1)) for k in range(40)] + [(5, "hot"), (None, "hot\nx")]
+    clash = docs(spark, rows).selectExpr("doc_id", "text", *[f"{k} AS {c}" for k, c in enumerate(("_doc", "_key", "_row", "_text", "_dropped", "n_lines", "n_dropped"))])
+    got = line_dedup.drop_frequent_lines(clash).collect()
+    want = sorted("\n".join(x for x in t.split("\n") if x not in ("hot", "warm", "end ")) if i != 3 else f"own 3\n{'end ' * 50_000}" for i, t in rows)
+    assert sorted(r["text"] for r in got) == want and {r["_key"] for r in got} == {1}
+    assert {r["n_lines"] for r in got if r["doc_id"] == 4} == {4} and line_dedup.drop_frequent_lines(clash, counts=False).columns == clash.columns
+
+
 # --- language ID
 
 
