@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arterion.llm.common import Scratch, join_hot, table
+from arterion.llm.common import join_hot, Scratch, table, tidied
 
 #: Documents that the text model is fitted on, dealt evenly over the languages, of which each has so many at least.
 MOST_DOCUMENTS, LEAST_EACH = 4_000, 25
@@ -136,7 +136,7 @@ def evidence(pages: DataFrame, model: TextModel, key: str = "page_id") -> DataFr
                     [key, "host", "domain", "suffix", "declared", "named", "like"],
                 )
 
-    return pages.select(key, "url", "html").mapInArrow(work, f"`{key}` {kind}, host string, domain string, suffix string, declared string, named string, like array<double>")
+    return pages.select(key, "url", "html").mapInArrow(tidied(work), f"`{key}` {kind}, host string, domain string, suffix string, declared string, named string, like array<double>")
 
 
 def _normal(x: Column) -> Column:

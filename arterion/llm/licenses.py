@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterion.llm.common import LOWER, UPPER, sql_literal, table
+from arterion.llm.common import LOWER, sql_literal, table, tidied, UPPER
 
 #: Known texts, at most.
 MOST_KNOWN = 10_000
@@ -190,7 +190,7 @@ def scan(docs: DataFrame, known: dict[str, tuple[str, ...]] = KNOWN) -> DataFram
                 )
 
     table_of = docs.sparkSession.createDataFrame([(a, b) for a, b, _, _ in listed], "license string, digest string")
-    found = docs.select("doc_id", "text").mapInArrow(runs, f"doc_id {kind}, digest string, line long, whole boolean").join(F.broadcast(table_of), "digest")
+    found = docs.select("doc_id", "text").mapInArrow(tidied(runs), f"doc_id {kind}, digest string, line long, whole boolean").join(F.broadcast(table_of), "digest")
     return found.groupBy("doc_id", "license").agg(F.count(F.lit(1)).alias("n_places"), F.min("line").alias("first_line"), F.max("whole").alias("whole"))
 
 

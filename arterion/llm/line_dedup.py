@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterion.llm.common import Scratch, join_hot, table
+from arterion.llm.common import join_hot, Scratch, table, tidied
 
 MIN_DOCUMENTS = 10
 MIN_POINTS = 1
@@ -58,7 +58,7 @@ def frequent_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_poin
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(docs.select("doc_id", "text").mapInArrow(keys, f"_doc {kind}, _a long, _b long").select("_doc", F.struct("_a", "_b").alias("_key")), "lines")
+    rows = scratch.keep(docs.select("doc_id", "text").mapInArrow(tidied(keys), f"_doc {kind}, _a long, _b long").select("_doc", F.struct("_a", "_b").alias("_key")), "lines")
     often = rows.distinct().groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents)
     often = scratch.keep(often, "frequent")
     lost = scratch.keep(join_hot(rows, often, "_key", "left_semi", often).groupBy("_doc").agg(F.collect_set("_key").alias("_dropped")), "lost")
@@ -103,7 +103,7 @@ def drop_frequent_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min
                     gone.append(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["_row", "_text", "_n", "_lost"])
 
-    out = both.mapInArrow(rebuild, schema)
+    out = both.mapInArrow(tidied(rebuild), schema)
     columns = [F.col("_text").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in names]
     if not counts:
         return out.select(*columns)

@@ -56,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arterion.llm.common import Scratch, join_hot, table
+from arterion.llm.common import join_hot, Scratch, table, tidied
 from arterion.llm.wordhash import WordHasher, mix
 
 #: The part of the hash range whose tokens are counted, against the part of a set that may be missing.
@@ -214,7 +214,7 @@ def frequent_tokens(spark: SparkSession, docs: DataFrame, words: int) -> tuple[n
             yield part()
 
     scratch = Scratch(spark)
-    counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(tidied(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = scratch.keep(counts.where(F.col("n") >= FREQUENT), "tokens")
     # At most a few hundred rows: how many tokens have a count in each eighth of a power of two.
     steps = sorted(counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).count().collect(), key=lambda r: -r["step"])
@@ -294,13 +294,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
                 yield pa.RecordBatch.from_arrays([rows.column(0), *columns, *[pa.array([x[k] for x in found], lists) for k in range(3)]], names)
 
     names = ["doc_id", "n", "a", "b", "need", "short", "rare", "counted", "near", "far"]
-    indexed = scratch.keep(docs.mapInArrow(index, f"doc_id {kind}, n long, a long, b long, need long, short long, rare long, counted array<long>, near array<long>, far array<long>"), "indexed")
+    indexed = scratch.keep(docs.mapInArrow(tidied(index), f"doc_id {kind}, n long, a long, b long, need long, short long, rare long, counted array<long>, near array<long>, far array<long>"), "indexed")
     often.destroy()
 
     # Which counted tokens more than one set holds, by the first half of the sets' ids.  Two sets that agree in that
     # half only lengthen each other's lists, and their prefixes by as much.
     dealt = indexed.select(F.explode("counted").alias("token"), "a").repartition("token").sortWithinPartitions("token", "a")
-    shared = dealt.mapInArrow(_shared, "a long, token long, held int").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
+    shared = dealt.mapInArrow(tidied(_shared), "a long, token long, held int").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
     sets = indexed.where(F.col("need") > 0).select("a", "b", "need", "short", "rare", F.size("counted").alias("n_counted"), "near", "far").join(shared, "a", "left")
     n_shared, none = F.coalesce(F.size("shared"), F.lit(0)), F.expr("cast(array() as array<long>)")
     take = lambda c: F.greatest(F.lit(0), F.least(n_shared, F.col(c).cast("int") - F.col("n_counted") + n_shared))
@@ -334,7 +334,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
         if not inside.take(1):
             break
         cells, more = _cells(scratch, inside, sets, low, high)
-        again = scratch.keep(cells.mapInArrow(_compare(percent), "a long, b long, p long, q long").select(_id("a", "b").alias("c"), _id("p", "q").alias("p")).distinct(), "again")
+        again = scratch.keep(cells.mapInArrow(tidied(_compare(percent)), "a long, b long, p long, q long").select(_id("a", "b").alias("c"), _id("p", "q").alias("p")).distinct(), "again")
         found = scratch.keep(_verified(again.join(pairs, ["c", "p"], "left_anti"), texts, words, percent), "links")
         if found.take(1):
             labels = _merged(scratch, labels, found)
@@ -547,9 +547,9 @@ def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 keep += [_class_id(t, len(t)) == (a, b) for a, b, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), sets, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    packed = docs.mapInArrow(pack, f"doc_id {kind}, packed binary")
+    packed = docs.mapInArrow(tidied(pack), f"doc_id {kind}, packed binary")
     both = packed.join(wanted.hint("shuffle_hash"), "doc_id").select("c.a", "c.b", "packed")
-    return both.mapInArrow(right, "a long, b long, packed binary").select(_id("a", "b").alias("c"), "packed")
+    return both.mapInArrow(tidied(right), "a long, b long, packed binary").select(_id("a", "b").alias("c"), "packed")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -576,7 +576,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     other = texts.select(F.col("c").alias("c2"), F.col("packed").alias("y"))
     both = fit.join(mine, fit["c"] == mine["c1"]).join(other, fit["p"] == other["c2"])
     rows = both.select("c.a", "c.b", F.col("p.a").alias("p"), F.col("p.b").alias("q"), "x", "y")
-    return rows.mapInArrow(check, "a long, b long, p long, q long").select(_id("a", "b").alias("u"), _id("p", "q").alias("v"))
+    return rows.mapInArrow(tidied(check), "a long, b long, p long, q long").select(_id("a", "b").alias("u"), _id("p", "q").alias("v"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

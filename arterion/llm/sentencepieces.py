@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterion.llm.common import table
+from arterion.llm.common import table, tidied
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Characters of text that are worked on at a time; segments that a worker remembers, and the characters of each at most.
-CHUNK, REMEMBER, LONGEST = 1 << 20, 300_000, 64
+CHUNK, REMEMBER, LONGEST = 1 << 18, 100_000, 64
 THREADS = 2
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|\n+|[^{MARK}\n]+")
 _GLUED = re.compile(f"[^{MARK}]{MARK}|[^\n]\n|\n[^\n]")
@@ -198,7 +198,7 @@ def encode(rows: DataFrame, proto: bytes, key: str = "doc_id", text: str = "text
             if texts:
                 yield part(batch.column(0).slice(start, len(texts)), texts)
 
-    return rows.select(key, text).mapInArrow(work, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_bytes long, round_trip boolean, parity boolean, ids array<int>")
+    return rows.select(key, text).mapInArrow(tidied(work), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_bytes long, round_trip boolean, parity boolean, ids array<int>")
 
 
 def decode(rows: DataFrame, proto: bytes, key: str = "doc_id", ids: str = "ids", threads: int = THREADS) -> DataFrame:
@@ -211,7 +211,7 @@ def decode(rows: DataFrame, proto: bytes, key: str = "doc_id", ids: str = "ids",
             texts = [m.decode(x.as_py() or []).decode("utf-8", "replace") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
 
-    return rows.select(key, F.col(ids).cast("array<int>")).mapInArrow(work, f"`{key}` {kind}, text string")
+    return rows.select(key, F.col(ids).cast("array<int>")).mapInArrow(tidied(work), f"`{key}` {kind}, text string")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

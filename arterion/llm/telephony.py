@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterion.llm.common import table
+from arterion.llm.common import table, tidied
 
 UNIT = 64
 RATE, TO_RATE = 8000, 16000
@@ -204,7 +204,7 @@ def encode_media(rows: DataFrame, key: str = "doc_id", payload: str = "payload",
 
     names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "pcm"]
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, F.col(payload).cast("binary")).mapInArrow(make, f"`{key}` {kind}, {SCHEMA}")
+    return rows.select(key, F.col(payload).cast("binary")).mapInArrow(tidied(make), f"`{key}` {kind}, {SCHEMA}")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

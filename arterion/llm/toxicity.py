@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterion.llm.common import Scratch, table
+from arterion.llm.common import Scratch, table, tidied
 from arterion.llm.labelled import MOST_LABELLED, fold, sample
 from arterion.llm.wordhash import WordHasher
 
@@ -169,7 +169,7 @@ def counts(rows: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
                 seen.update((f, 2 * half + label) for f in features_of(set(x.as_py().split())) | {"*"})
         yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in seen]), pa.array([c for _, c in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["feature", "class", "n"])
 
-    rows = rows.mapInArrow(count, "feature string, class int, n long")
+    rows = rows.mapInArrow(tidied(count), "feature string, class int, n long")
     cells = [F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(4)]
     got = rows.groupBy("feature").agg(*cells).where(f"n0 + n1 + n2 + n3 >= {LEAST_SEEN} OR feature = '*'").toPandas()
     n = dict(zip(got["feature"], got[[f"n{c}" for c in range(4)]].to_numpy(float).reshape(-1, 2, 2), strict=True))
@@ -219,7 +219,7 @@ def _tallies(rows: DataFrame, lexicons: list[Lexicon]) -> list[tuple[dict[int, i
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([v for _, v in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["k", "step", "n"])
 
     clean = rows.where("label = 0").select("text", "half")
-    got = clean.mapInArrow(count, "k int, step long, n long").groupBy("k", "step").agg(F.sum("n").alias("n")).collect()  # a row per score
+    got = clean.mapInArrow(tidied(count), "k int, step long, n long").groupBy("k", "step").agg(F.sum("n").alias("n")).collect()  # a row per score
     held.destroy()
     return [({r["step"]: r["n"] for r in got if r["k"] == k and r["step"] is not None}, sum(r["n"] for r in got if r["k"] == k and r["step"] is None)) for k in range(len(lexicons))]
 
@@ -284,7 +284,7 @@ def corpus_rates(docs: DataFrame, features: list[str]) -> dict[str, float]:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], total))], ["feature", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect() if size else []
+    rows = docs.select("text").mapInArrow(tidied(count), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect() if size else []
     held.destroy()
     n = {r["feature"]: r["n"] for r in rows}
     return {f: n.get(k, 0) / max(1, n.get(-1, 1)) for k, f in enumerate(features)}
@@ -301,7 +301,7 @@ def _calibrating(rows: DataFrame, lexicons: list[Lexicon]) -> tuple[np.ndarray,
                 found += [(*lex.features(lex.segments(s)), y) for s, y, h in zip(lex.scores(batch.column(0)), label, half, strict=True) if h != k]
             yield pa.RecordBatch.from_arrays([pa.array([float(x[j]) for x in found], pa.float64()) for j in range(3)], ["best", "rest", "label"])
 
-    got = rows.mapInArrow(work, "best double, rest double, label double").toPandas().sort_values(["label", "best", "rest"])
+    got = rows.mapInArrow(tidied(work), "best double, rest double, label double").toPandas().sort_values(["label", "best", "rest"])
     held.destroy()
     return got[["best", "rest"]].to_numpy(float), got["label"].to_numpy(float)
 
@@ -349,7 +349,7 @@ def score(docs: DataFrame, lex: Lexicon | None, key: str = "doc_id", text: str =
                     found.append([dict(zip(("start", "end", "score", "surprise"), x, strict=True)) for x in lex.significant(all_of)])
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(p, pa.float64()), pa.array(found, spans)], [key, "score", "passages"])
 
-    return docs.select(key, text).mapInArrow(work, f"`{key}` {kind}, score double, passages {_PASSAGES}")
+    return docs.select(key, text).mapInArrow(tidied(work), f"`{key}` {kind}, score double, passages {_PASSAGES}")
 
 
 def keep_clean(docs: DataFrame, lex: Lexicon | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -366,7 +366,7 @@ def keep_clean(docs: DataFrame, lex: Lexicon | None, threshold: float = THRESHOL
                 rows = batch.slice(start, 500)
                 yield rows.filter(pa.array([lex.probability(lex.segments(s)) < threshold for s in lex.scores(rows.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidied(work), docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
