@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 import numpy as np
 
 from arterion.functions import dsp
 
+Extractor = Callable[[np.ndarray, float, "list[dict]"], "dict[str, float | None]"]
+
 # Fixed order of the feature vector.
 NAMES = (
     "mean_rise_time_ms", "mean_decay_time_ms", "std_rise_time_ms", "mean_systolic_ratio", "mean_pw25_ms", "mean_pw50_ms", "mean_pw75_ms", "mean_area_ratio", "aix_proxy", "apg_aging_index",
@@ -21,11 +26,6 @@ def divide(a: float | None, b: float | None) -> float | None:
     return None if a is None or b is None or abs(b) < EPS else float(a / b)
 
 
-def mean(values: list[float | None]) -> float | None:
-    x = [v for v in values if v is not None]
-    return float(np.mean(x)) if x else None
-
-
 def segment(x: np.ndarray, fs: float) -> list[dict]:
     """Beats from foot to foot: place of foot, peak and end, and the samples scaled to [0, 1]."""
     x = np.asarray(x, float).ravel()
@@ -50,56 +50,76 @@ def segment(x: np.ndarray, fs: float) -> list[dict]:
     return out
 
 
-def _width_ms(y: np.ndarray, level: float, fs: float) -> float | None:
-    at = np.flatnonzero(y >= level * y.max()) if len(y) >= 3 else ()
-    return float((at[-1] - at[0]) / fs * 1000.0) if len(at) else None
+def _gradient(y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Central differences of rows of ``n`` samples, one-sided at their ends."""
+    out, rows, last = np.zeros_like(y), np.arange(len(y)), n - 1
+    out[:, 1:-1] = (y[:, 2:] - y[:, :-2]) / 2.0
+    out[:, 0] = y[:, 1] - y[:, 0]
+    out[rows, last] = y[rows, last] - y[rows, last - 1]
+    return out
 
 
-def _area(y: np.ndarray) -> float:
-    return float(y.sum() - (y[0] + y[-1]) / 2.0)
+def beat_shapes(beats: list[dict], fs: float) -> dict[str, np.ndarray]:
+    """Measures of all beats of a window at once, one value a beat, NaN where a beat doesn't have it.
+
+    Beats are rows of one array, as long as the longest; only the search for notch and second peak goes beat by beat.
+    """
+    m, n = len(beats), np.array([len(b["samples"]) for b in beats])
+    y = np.zeros((m, max(3, int(n.max()))))
+    for k, b in enumerate(beats):
+        y[k, : n[k]] = b["samples"]
+    rows, place = np.arange(m), np.arange(y.shape[1])
+    real = place < n[:, None]
+    top = np.array([b["peak"] - b["foot"] for b in beats])
+    peak = y[rows, top]
+    rise, decay = top / fs * 1000.0, np.array([b["end"] - b["peak"] for b in beats]) / fs * 1000.0
+    out = {"rise": rise, "decay": decay, "systolic": rise / np.maximum(rise + decay, EPS)}
+    for name, level in (("pw25", 0.25), ("pw50", 0.5), ("pw75", 0.75)):
+        above = real & (y >= level * np.where(real, y, -np.inf).max(1, keepdims=True))
+        width = y.shape[1] - 1 - above[:, ::-1].argmax(1) - above.argmax(1)
+        out[name] = np.where(n >= 3, width / fs * 1000.0, np.nan)
+    total = np.cumsum(y, 1)
+    before = total[rows, top] - (y[:, 0] + peak) / 2.0
+    after = total[rows, n - 1] - total[rows, top] + (peak - y[rows, n - 1]) / 2.0
+    part = lambda a, b, ok: np.divide(a, b, out=np.full(m, np.nan), where=ok & (np.abs(b) >= EPS))
+    out["area"] = part(before, after, (top > 0) & (top < n - 1))
+    # Turning points of the second derivative: the first five make the index of aging.
+    bend = _gradient(_gradient(y, n), n)
+    step = np.diff(bend, axis=1)
+    turn = (step[:, :-1] * step[:, 1:] < 0) & (place[2:] < n[:, None])
+    waves = bend[rows[:, None], np.argsort(~turn, axis=1, kind="stable")[:, :5] + 1] if turn.shape[1] >= 5 else np.zeros((m, 5))
+    out["aging"] = part(waves[:, 1] - waves[:, 2:].sum(1), waves[:, 0].copy(), (turn.sum(1) >= 5) & (n >= 10))
+    second, notch = np.full(m, np.nan), np.full(m, np.nan)
+    for k, b in enumerate(beats):
+        rest = b["samples"][top[k] :]
+        if top[k] < n[k] - 3 and len(rest) >= 3:
+            for found, wave in ((second, rest), (notch, -rest)):
+                at = dsp.find_peaks(wave, prominence=0.02)
+                if len(at):
+                    found[k] = rest[at[0]]
+    out["aix"], out["notch"] = part(second - peak, peak, ~np.isnan(second)), part(notch, peak, ~np.isnan(notch))
+    return out
 
 
-def _beat(b: dict, fs: float) -> dict[str, float | None]:
-    y, top = b["samples"], b["peak"] - b["foot"]
-    rise, decay = top / fs * 1000.0, (b["end"] - b["peak"]) / fs * 1000.0
-    after = y[top:] if top < len(y) - 3 else np.empty(0)
-    second = dsp.find_peaks(after, prominence=0.02) if len(after) >= 3 else ()
-    notch = dsp.find_peaks(-after, prominence=0.02) if len(after) >= 3 else ()
-    aging = None
-    if len(y) >= 10:
-        bend = np.gradient(np.gradient(y))
-        step = np.diff(bend)
-        turn = np.flatnonzero(step[:-1] * step[1:] < 0) + 1
-        if len(turn) >= 5:
-            first, *rest = bend[turn[:5]].tolist()
-            aging = divide(rest[0] - sum(rest[1:]), first)
-    return {
-        "rise": rise, "decay": decay, "systolic": rise / max(rise + decay, EPS), "pw25": _width_ms(y, 0.25, fs), "pw50": _width_ms(y, 0.5, fs), "pw75": _width_ms(y, 0.75, fs),
-        "area": divide(_area(y[: top + 1]), _area(y[top:])) if 0 < top < len(y) - 1 else None,
-        "aix": divide(float(after[second[0]] - y[top]), float(y[top])) if len(second) else None, "aging": aging,
-        "notch": divide(float(after[notch[0]]), float(y[top])) if len(notch) else None,
-    }
+def _mean(x: np.ndarray) -> float | None:
+    x = x[~np.isnan(x)]
+    return float(x.mean()) if len(x) else None
 
 
-def extract(x: np.ndarray, fs: float) -> dict[str, float | int | None]:
-    """valid_beat_count, window_duration_s, fs and the 23 features; null for what can't be computed."""
-    x = np.asarray(x, float).ravel()
-    beats = segment(x, fs)
-    out: dict[str, float | int | None] = {"valid_beat_count": len(beats), "window_duration_s": len(x) / fs, "fs": fs} | dict.fromkeys(NAMES)
-    each = [_beat(b, fs) for b in beats]
-    column = lambda k: [e[k] for e in each]
+def of_beats(x: np.ndarray, fs: float, beats: list[dict]) -> dict[str, float | None]:
+    """The features that rest on beats: intervals and shapes of two at least, heights of one."""
+    if not beats:
+        return {}
+    shape, heights = beat_shapes(beats, fs), np.array([b["height"] for b in beats])
+    out = {"mean_pulse_amplitude": float(heights.mean()), "pulse_amp_cv": divide(float(heights.std()), float(heights.mean())) if len(heights) >= 2 else None, "notch_relative_amp": _mean(shape["notch"])}
     if len(beats) >= 2:
-        out |= {"mean_rise_time_ms": mean(column("rise")), "mean_decay_time_ms": mean(column("decay")), "std_rise_time_ms": float(np.std(column("rise"))), "mean_systolic_ratio": mean(column("systolic"))}
-        out |= {f"mean_{k}_ms": mean(column(k)) for k in ("pw25", "pw50", "pw75")} | {"mean_area_ratio": mean(column("area")), "aix_proxy": mean(column("aix")), "apg_aging_index": mean(column("aging"))}
+        names = {"rise": "mean_rise_time_ms", "decay": "mean_decay_time_ms", "systolic": "mean_systolic_ratio", "pw25": "mean_pw25_ms", "pw50": "mean_pw50_ms", "pw75": "mean_pw75_ms", "area": "mean_area_ratio", "aix": "aix_proxy", "aging": "apg_aging_index"}
         gaps = np.array([(b["end"] - b["foot"]) / fs * 1000.0 for b in beats])
-        out |= {"ibi_std_ms": float(gaps.std()), "ibi_mean_ms": float(gaps.mean())}
-    if beats:
-        heights = np.array([b["height"] for b in beats])
-        out |= {"mean_pulse_amplitude": float(heights.mean()), "pulse_amp_cv": divide(float(heights.std()), float(heights.mean())) if len(heights) >= 2 else None, "notch_relative_amp": mean(column("notch"))}
-    return out | spectral(x, fs) | trend(x, fs)
+        out |= {name: _mean(shape[k]) for k, name in names.items()} | {"std_rise_time_ms": float(shape["rise"].std()), "ibi_std_ms": float(gaps.std()), "ibi_mean_ms": float(gaps.mean())}
+    return out
 
 
-def spectral(x: np.ndarray, fs: float) -> dict[str, float | None]:
+def spectral(x: np.ndarray, fs: float, beats: list[dict] | None = None) -> dict[str, float | None]:
     if len(x) < 16:
         return {}
     f, p = dsp.periodogram(x, fs, max(512, dsp.power_of_two(len(x))))
@@ -116,7 +136,7 @@ def spectral(x: np.ndarray, fs: float) -> dict[str, float | None]:
     return {"fundamental_freq_hz": f0, "harmonic_ratio_h2": divide(near(2 * f0), near(f0)), "harmonic_ratio_h3": divide(near(3 * f0), near(f0)), "spectral_entropy": entropy, "in_band_power_ratio": None if ratio is None else min(1.0, max(0.0, ratio))}
 
 
-def trend(x: np.ndarray, fs: float) -> dict[str, float | None]:
+def trend(x: np.ndarray, fs: float, beats: list[dict] | None = None) -> dict[str, float | None]:
     if len(x) < 2:
         return {}
     d = x - x.mean()
@@ -128,6 +148,38 @@ def trend(x: np.ndarray, fs: float) -> dict[str, float | None]:
     return {"baseline_drift_slope": divide(float(t @ d), float(t @ t)), "bvp_skewness": m3 / m2**1.5 if big else None, "bvp_kurtosis": m4 / m2**2 - 3.0 if big else None}
 
 
+#: What fills the feature vector: each takes samples, rate and beats, and gives some of the features, later ones first.
+EXTRACTORS: tuple[Extractor, ...] = (of_beats, spectral, trend)
+
+
+def extract(x: np.ndarray, fs: float, extractors: tuple[Extractor, ...] = EXTRACTORS) -> dict[str, float | int | None]:
+    """valid_beat_count, window_duration_s, fs and the 23 features; null for what can't be computed.
+
+    An extractor that fails on a window leaves its features null; what it gives besides the 23 is left out.
+    """
+    x = np.asarray(x, float).ravel()
+    beats = segment(x, fs)
+    out: dict[str, float | int | None] = {"valid_beat_count": len(beats), "window_duration_s": len(x) / fs, "fs": fs} | dict.fromkeys(NAMES)
+    for one in extractors:
+        try:
+            found = one(x, fs, beats)
+        except (ArithmeticError, ValueError, IndexError, np.linalg.LinAlgError):
+            continue
+        out |= {k: v for k, v in found.items() if k in NAMES}
+    return out
+
+
+def vector(found: dict[str, float | int | None]) -> np.ndarray:
+    """The 23 features in their order, NaN for null."""
+    return np.array([np.nan if found.get(n) is None else found[n] for n in NAMES], float)
+
+
+def as_json(found: dict[str, float | int | None]) -> str:
+    """All of it in a fixed order, with null for what isn't finite."""
+    order = ("valid_beat_count", "window_duration_s", "fs", *NAMES)
+    return json.dumps({n: None if found.get(n) is None or not np.isfinite(found[n]) else found[n] for n in order})
+
+
 def guard(x: np.ndarray, fs: float, sqi: float | None = None, blocking: bool = False, artifact: float | None = None) -> list[str]:
     """Reasons against extracting features, in their order."""
     x = np.asarray(x, float).ravel()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CONFIDENCE_BINS = ((0.0, 0.3), (0.3, 0.6), (0.6, 0.8), (0.8, 1.0001))
@@ -51,7 +51,71 @@ def calibration_error(rows: DataFrame, conf: str, hit: str, bins: int = 10) -> D
 
 def worst(rows: DataFrame, by: str, error: Column, tie: list[str], k: int = 5) -> DataFrame:
     """The k rows of the largest absolute error of each group.  Each task keeps k a group before anything is shuffled."""
-    from pyspark.sql import Window
-
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.abs(error).desc(), *tie)))
     return ranked.where(F.col("rank") <= k)
+
+
+def percentiles(columns: dict[str, Column], shares: tuple[float, ...] = (0.5, 0.95)) -> list[Column]:
+    """Linear percentiles by name.  They are exact, as reports compare them; a latency has few distinct values once it
+    is in whole microseconds, which is what is held of a group."""
+    return [F.round(F.percentile(c, q), 4).alias(f"{name}_p{round(q * 100)}") for name, c in columns.items() for q in shares]
+
+
+def issue_counts(rows: DataFrame, by: list[str], codes: str) -> DataFrame:
+    """(by, code, n): how often each single code occurs in the arrays ``codes``."""
+    return rows.select(*by, F.explode(codes).alias("code")).groupBy(*by, "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Bounds of a data set that is fit for training, by share of subjects: (side, pressure, least share).
+SUFFICIENT = {
+    "systolic_low": ("sbp", "<=", 100.0, 0.05), "systolic_high": ("sbp", ">=", 160.0, 0.05), "systolic_elevated": ("sbp", ">=", 140.0, 0.20),
+    "diastolic_low": ("dbp", "<=", 60.0, 0.05), "diastolic_high": ("dbp", ">=", 100.0, 0.05), "diastolic_elevated": ("dbp", ">=", 85.0, 0.20),
+}
+LEAST_SUBJECTS, LEAST_SAMPLES = 85, 255
+
+
+def sufficiency(rows: DataFrame, subject: str, sbp: str, dbp: str) -> DataFrame:
+    """One row: subjects, samples, the six shares of subjects by their mean pressures, what is lacking, and if all is
+    enough."""
+    means = rows.groupBy(subject).agg(F.avg(sbp).alias("sbp"), F.avg(dbp).alias("dbp"), F.count(F.lit(1)).alias("n"))
+    shares = {k: F.avg(((F.col(c) <= bound) if side == "<=" else (F.col(c) >= bound)).cast("double")).alias(k) for k, (c, side, bound, _) in SUFFICIENT.items()}
+    out = means.agg(F.count(F.lit(1)).alias("subjects"), F.coalesce(F.sum("n"), F.lit(0)).alias("samples"), *shares.values())
+    short = [F.when(F.col("subjects") < LEAST_SUBJECTS, "subjects"), F.when(F.col("samples") < LEAST_SAMPLES, "samples"), *[F.when(F.coalesce(k, F.lit(0.0)) < least, k) for k, (_, _, _, least) in SUFFICIENT.items()]]
+    return out.withColumn("lacking", F.filter(F.array(*short), lambda x: x.isNotNull())).withColumn("passed", F.size("lacking") == 0)
+
+
+def rank_auc(rows: DataFrame, score: str, label: str, tie: str, ranges: int = 200) -> DataFrame:
+    """(auc) of label 1 by rank of ``score``, ties in the order of ``tie``.
+
+    Scores are cut into ranges of about equal counts, which are ranked apart; the counts of the ranges before, a few
+    hundred numbers, are added.
+    """
+    cuts = sorted(set(rows.approxQuantile(score, [k / ranges for k in range(1, ranges)], 0.001)))
+    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(score))) if cuts else F.lit(0)
+    rows = rows.where(F.col(score).isNotNull()).select(part.alias("part"), F.col(score).alias("score"), F.col(label).alias("label"), F.col(tie).alias("tie"))
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("score", "tie"))).join(F.broadcast(before), "part")
+    p, n = F.sum("label"), F.count(F.lit(1))
+    ranks = F.sum(F.when(F.col("label") == 1, (F.col("rank") + F.col("before")).cast("double")).otherwise(0.0))
+    return ranked.agg(((ranks - p * (p + 1) / 2) / F.nullif(p * (n - p), F.lit(0))).alias("auc"))
+
+
+def interval_means(windows: DataFrame, samples: DataFrame, key: str, seconds: int) -> DataFrame:
+    """Windows (id, key, t), which last ``seconds``, with samples and reference: the number and mean of the samples
+    (key, t, value) in each, ends included.  Both sides are cut into slots of a window's length, so a row only meets
+    those of its own slot or the next, whatever a key holds."""
+    slot = F.floor(F.col("t") / seconds)
+    w = windows.select("id", key, F.col("t").alias("start"), F.explode(F.array(slot, slot + 1)).alias("slot"))
+    s = samples.select(key, "t", "value", slot.alias("slot"))
+    return w.join(s, [key, "slot"]).where(F.col("t").between(F.col("start"), F.col("start") + seconds)).groupBy("id").agg(F.count(F.lit(1)).alias("samples"), F.avg("value").alias("reference"))
+
+
+def interpolated(samples: DataFrame, key: str, order: list[str], step: float) -> DataFrame:
+    """(key, t, value) on a grid of ``step``, linearly between each two samples (key, t, value) in a row."""
+    by = Window.partitionBy(key).orderBy(*order)
+    pair = samples.select(key, "t", "value", F.lead("t").over(by).alias("t2"), F.lead("value").over(by).alias("v2")).where("t2 > t")
+    first, last = F.ceil(F.col("t") / step), F.ceil(F.col("t2") / step) - 1
+    grid = pair.where(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
+    at = F.col("k") * step
+    return grid.select(key, at.alias("t"), (F.col("value") + (F.col("v2") - F.col("value")) * (at - F.col("t")) / (F.col("t2") - F.col("t"))).alias("value"))

@@ -69,19 +69,43 @@ def arg_min(x: Column | str) -> Column:
     return F.array_position(col(x), F.array_min(col(x))) - 1
 
 
-def moving_box(values: Column, alpha: float = 0.65, hold: int = 10) -> Column:
-    """Exponential mean of an ordered array, null entries held up to ``hold`` times: the array of smoothed values."""
-    empty = F.struct(F.lit(None).cast("double").alias("v"), F.lit(0).alias("missing"), F.expr("cast(array() as array<double>)").alias("out"))
+def state_walk(events: Column, protocol: dict[tuple[str, int, str], tuple[str, int, str | None]], start: str) -> Column:
+    """struct<state,retries,failure,refused> after an ordered array of events; an event that isn't allowed where a
+    measurement stands is refused: it is counted and changes nothing."""
+    target = lambda x: F.struct(F.lit(x[0]).alias("state"), F.lit(x[1]).alias("retries"), F.lit(x[2]).cast("string").alias("failure"))
+    table = F.create_map(*[c for (s, n, e), t in sorted(protocol.items()) for c in (F.lit(f"{s}|{n}|{e}"), target(t))])
+    begin = F.struct(F.lit(start).alias("state"), F.lit(0).alias("retries"), F.lit(None).cast("string").alias("failure"), F.lit(0).cast("long").alias("refused"))
 
-    def step(s: Column, x: Column) -> Column:
-        missing = F.when(x.isNull(), s["missing"] + 1).otherwise(0)
-        v = F.when(x.isNotNull(), F.when(s["v"].isNull(), x).otherwise(alpha * x + (1 - alpha) * s["v"])).when(missing > hold, F.lit(None)).otherwise(s["v"])
-        return F.struct(v.alias("v"), missing.alias("missing"), F.concat(s["out"], F.array(v)).alias("out"))
+    def step(s: Column, e: Column) -> Column:
+        to = F.try_element_at(table, F.concat_ws("|", s["state"], s["retries"].cast("string"), e))
+        held = lambda c: F.when(to.isNull(), s[c]).otherwise(to[c]).alias(c)
+        return F.struct(held("state"), held("retries"), held("failure"), (s["refused"] + to.isNull().cast("long")).alias("refused"))
 
-    return F.aggregate(values, empty, step)["out"]
+    return F.aggregate(events, begin, step)
 
 
-def state_walk(events: Column, moves: dict[tuple[str, str], str], start: str) -> Column:
-    """The state after an ordered array of events; events that a state doesn't know leave it."""
-    table = F.create_map(*[F.lit(x) for (s, e), t in sorted(moves.items()) for x in (f"{s}|{e}", t)])
-    return F.aggregate(events, F.lit(start), lambda s, e: F.coalesce(F.try_element_at(table, F.concat(s, F.lit("|"), e)), s))
+def where_mask(x: Column | str, mask: Column | str) -> Column:
+    """The entries of ``x`` at which ``mask`` is true."""
+    both = F.arrays_zip(col(x).alias("x"), col(mask).alias("m"))
+    return F.transform(F.filter(both, lambda p: p["m"]), lambda p: p["x"])
+
+
+def running_sum(x: Column | str) -> Column:
+    """Sums of the first entries, one by one.  Each is a sum of its own, so this is for windows, not for whole sessions."""
+    return F.transform(F.sequence(F.lit(1), F.size(col(x))), lambda n: total(F.slice(col(x), F.lit(1), n)))
+
+
+def present(m: Column | str) -> Column:
+    """A map without its null values."""
+    return F.map_filter(col(m), lambda k, v: v.isNotNull())
+
+
+def keys_in_order(m: Column | str) -> Column:
+    return F.array_sort(F.map_keys(col(m)))
+
+
+def green_intensity(g: Column | str) -> Column:
+    """Minus the relative change of a green trace."""
+    g = col(g)
+    mean = F.greatest(total(g) / F.size(g), F.lit(1e-12))
+    return F.transform(g, lambda v: -(v / mean - 1))

@@ -29,14 +29,33 @@ def per_window(rows: DataFrame, keys: list[str], samples: str, schema: str, comp
     return rows.select(*keys, F.col(samples)).mapInPandas(work, f"{kinds}, {schema}")
 
 
-SPECTRUM = "fft_bpm double, peak_bpm double, snr_db double, sqi double, periodicity double, acf_peak double"
+#: What spectrum() can tell of a window.
+SPECTRUM = ("fft_bpm", "peak_bpm", "snr_db", "sqi", "periodicity", "acf_peak")
 
 
-def spectrum(rows: DataFrame, keys: list[str], samples: str, fs: float = 30.0) -> DataFrame:
-    def compute(x: np.ndarray) -> tuple:
-        return vitals.fft_bpm(x, fs), vitals.peak_bpm(x, fs), quality.bvp_snr(x, fs), quality.sqi(x, fs), *quality.periodicity(x, fs)
+def spectrum(rows: DataFrame, keys: list[str], samples: str, fs: float = 30.0, wanted: tuple[str, ...] = SPECTRUM) -> DataFrame:
+    """(keys, wanted): rates and quality of each window, only those that are asked for."""
+    single = {"fft_bpm": vitals.fft_bpm, "peak_bpm": vitals.peak_bpm, "snr_db": quality.bvp_snr, "sqi": quality.sqi}
+    correlated = "periodicity" in wanted or "acf_peak" in wanted
 
-    return per_window(rows, keys, samples, SPECTRUM, compute)
+    def compute(x: np.ndarray) -> tuple:
+        acf = dict(zip(("periodicity", "acf_peak"), quality.periodicity(x, fs), strict=True)) if correlated else {}
+        return tuple(acf[n] if n in acf else single[n](x, fs) for n in wanted)
+
+    return per_window(rows, keys, samples, ", ".join(f"{n} double" for n in wanted), compute)
+
+
+def agreement(rows: DataFrame, keys: list[str], part: str, samples: str) -> DataFrame:
+    """(keys, r_mean, r_min): the mean and least Pearson of each two waves of a key; 0 where one is flat."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    centred = F.transform(samples, lambda v: v - total(F.col(samples)) / F.size(samples))
+    waves = rows.select(*keys, F.struct(F.col(part).alias("part"), centred.alias("x")).alias("w")).groupBy(*keys).agg(F.array_sort(F.collect_list("w")).alias("w"))
+    dot = lambda x, y: total(F.zip_with(x, y, lambda a, b: a * b))
+    power = lambda a, b: F.sqrt(dot(a, a) * dot(b, b))
+    pearson = lambda a, b: F.when((F.size(a) == F.size(b)) & (power(a, b) > 1e-12), dot(a, b) / power(a, b)).otherwise(0.0)
+    # The few regions of a face.
+    pairs = F.flatten(F.transform("w", lambda a: F.transform(F.filter("w", lambda b: b["part"] > a["part"]), lambda b: pearson(a["x"], b["x"]))))
+    return waves.select(*keys, pairs.alias("r")).select(*keys, (total(F.col("r")) / F.size("r")).alias("r_mean"), F.array_min("r").alias("r_min"))
 
 
 FEATURES = "valid_beat_count int, window_duration_s double, fs double, " + ", ".join(f"{n} double" for n in features.NAMES)

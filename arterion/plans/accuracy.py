@@ -13,12 +13,12 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The accuracy fact view: an estimate and a reference per line item."""
     item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus",
-        F.col("l_quantity").cast("double").alias("qty"), F.col("l_extendedprice").cast("double").alias("est"), F.col("l_discount").cast("double").alias("disc"),
+        F.col("l_quantity").cast("double").alias("qty"), F.col("l_extendedprice").cast("double").alias("est"), F.col("l_discount").cast("double").alias("disc"), F.col("l_tax").cast("double").alias("tax"),
     )
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_retailprice").cast("double").alias("price"))
     return item.join(part, item.l_partkey == part.p_partkey, "left").select(
         "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("scenario"),
-        "est", (F.col("qty") * F.col("price")).alias("ref"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 10 * F.col("disc"))).alias("conf"),
+        "est", (F.col("qty") * F.col("price")).alias("ref"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 10 * F.col("disc"))).alias("conf"), "qty", "price", "tax",
     )
 
 
@@ -26,7 +26,7 @@ FACT_SQL = """
 SELECT l_orderkey, l_linenumber, l_returnflag AS method, l_linestatus AS scenario,
        CAST(l_extendedprice AS DOUBLE) AS est,
        CAST(l_quantity AS DOUBLE) * CAST(p_retailprice AS DOUBLE) AS ref,
-       greatest(0.0, least(1.0, 1 - 10 * CAST(l_discount AS DOUBLE))) AS conf
+       greatest(0.0, least(1.0, 1 - 10 * CAST(l_discount AS DOUBLE))) AS conf, CAST(l_quantity AS DOUBLE) AS qty, CAST(p_retailprice AS DOUBLE) AS price, CAST(l_tax AS DOUBLE) AS tax
 FROM lineitem LEFT JOIN part ON l_partkey = p_partkey
 """
 
@@ -49,15 +49,15 @@ def status():
 STATUS_SQL = "CASE WHEN conf < 0.3 THEN 'INVALID' WHEN conf < 0.6 THEN 'BAD' ELSE 'OK' END"
 
 
-def _metrics_sql(where: str = "true", prefix: str = "") -> str:
-    f = f"FILTER (WHERE est IS NOT NULL AND ref IS NOT NULL AND {where})"
-    e = "(est - ref)"
+def _metrics_sql(where: str = "true", prefix: str = "", est: str = "est", ref: str = "ref", tolerance: float = TOLERANCE) -> str:
+    f = f"FILTER (WHERE {est} IS NOT NULL AND {ref} IS NOT NULL AND {where})"
+    e = f"({est} - ({ref}))"
     wide = f"1.96 * coalesce(CASE WHEN count({e}) {f} > 1 THEN stddev_samp({e}) {f} END, 0.0)"
     out = {
-        "count": f"count({e}) {f}", "mae": f"avg(abs({e})) {f}", "rmse": f"sqrt(avg({e} * {e}) {f})", "mape": f"100.0 * avg(abs({e}) / greatest(abs(ref), 1e-9)) {f}", "bias": f"avg({e}) {f}",
+        "count": f"count({e}) {f}", "mae": f"avg(abs({e})) {f}", "rmse": f"sqrt(avg({e} * {e}) {f})", "mape": f"100.0 * avg(abs({e}) / greatest(abs({ref}), 1e-9)) {f}", "bias": f"avg({e}) {f}",
         "loa_lower": f"avg({e}) {f} - {wide}", "loa_upper": f"avg({e}) {f} + {wide}",
-        "pearson_r": f"CASE WHEN count({e}) {f} >= 3 THEN covar_pop(est, ref) {f} / nullif(stddev_pop(est) {f} * stddev_pop(ref) {f}, 0) END",
-        "within_tolerance": f"avg(CASE WHEN abs({e}) <= {TOLERANCE} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) {f}",
+        "pearson_r": f"CASE WHEN count({e}) {f} >= 3 THEN covar_pop({est}, {ref}) {f} / nullif(stddev_pop({est}) {f} * stddev_pop({ref}) {f}, 0) END",
+        "within_tolerance": f"avg(CASE WHEN abs({e}) <= {tolerance} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) {f}",
     }
     return ", ".join(f"{v} AS {prefix}{k}" if k == "count" else f"round({v}, 4) AS {prefix}{k}" for k, v in out.items())
 
@@ -71,15 +71,46 @@ def legacy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def method_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage, confidence, four blocks of errors on four choices of rows, and latencies, in one aggregation."""
     f = fact(spark, sf_dir).withColumn("status", status())
     e, r, n = F.col("est"), F.col("ref"), F.count(F.lit(1))
-    pct = [F.round(F.percentile("est", q), 4).alias(f"latency_p{int(q * 100)}") for q in (0.5, 0.95)]
     return f.groupBy("method").agg(
         n.alias("windows"), F.round(F.count_if(F.col("status") != "INVALID") / n, 6).alias("coverage"), F.round(F.count_if(F.col("status") == "OK") / n, 6).alias("ok_ratio"), F.round(F.avg("conf"), 6).alias("mean_confidence"),
-        *ops.error_metrics(e, r, TOLERANCE, F.col("status") != "INVALID", "accepted_"), *ops.error_metrics(e, r, TOLERANCE, F.col("status") == "OK", "ok_"), *pct,
+        *ops.error_metrics(e, r, TOLERANCE, F.col("status") != "INVALID", "accepted_"), *ops.error_metrics(e, r, TOLERANCE, F.col("status") == "OK", "ok_"),
+        *ops.error_metrics(F.col("qty"), F.col("qty") + F.col("tax") * 100 - 4, 2.0, F.col("tax") < 0.07, "rmssd_"), *ops.error_metrics(F.col("price"), F.col("price") + F.col("qty") - 25, 10.0, F.col("qty") > 5, "rr_"),
+        *ops.percentiles({"signal": F.col("est"), "vitals": F.col("qty")}),
     )
 
 
+def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = F.array(F.when(F.col("conf") < 0.3, "VERY_LOW_CONFIDENCE").when(F.col("conf") < 0.6, "LOW_CONFIDENCE"), F.when(F.col("est") > 60000, "OUT_OF_PHYSIOLOGICAL_RANGE"))
+    return ops.issue_counts(fact(spark, sf_dir).select("method", F.filter(codes, lambda x: x.isNotNull()).alias("codes")), ["method"], "codes")
+
+
+def data_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", (F.col("l_extendedprice") / 300).alias("s"), (F.col("l_quantity") * 3).cast("double").alias("d"))
+    out = ops.sufficiency(rows, "l_suppkey", "s", "d")
+    return out.select("subjects", "samples", *[F.round(k, 6).alias(k) for k in ops.SUFFICIENT], F.array_join("lacking", ",").alias("lacking"), "passed")
+
+
+def ranked_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+    return ops.rank_auc(spark.read.parquet(f"{sf_dir}/labels.parquet").join(docs, "doc_id"), "n_chars", "toxic", "doc_id").select(F.round("auc", 8).alias("auc"))
+
+
+def interval_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "value", "event_type")
+    out = ops.interval_means(e.where("event_type = 'purchase'"), e, "user_id", 43200)
+    return out.select(F.col("id").alias("event_id"), "samples", F.round("reference", 6).alias("reference"))
+
+
+def interpolation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values on whole hours between the samples of each user."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "value")
+    out = ops.interpolated(e, "user_id", ["t", "event_id"], 3600.0)
+    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("value"), 4).alias("total"))
+
+
 def grouped_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By scenario, by status and by confidence bin in one pass over GROUPING SETS."""
     f = fact(spark, sf_dir).select("method", "scenario", status().alias("status"), ops.confidence_bin(F.col("conf")).alias("bin"), "est", "ref")
@@ -110,7 +141,8 @@ def worst_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "acc_scenario_breakdown": scenario_breakdown, "acc_error_metrics": error_metrics, "acc_legacy_metrics": legacy_metrics, "acc_method_summary": method_summary,
-    "acc_grouping_sets": grouped_errors, "acc_conf_bins": confidence_bins, "ece": calibration, "worst_k": worst_windows,
+    "acc_grouping_sets": grouped_errors, "acc_conf_bins": confidence_bins, "ece": calibration, "worst_k": worst_windows, "acc_issue_counts": issue_counts,
+    "two_level_gate": data_sufficiency, "rank_auc": ranked_auc, "range_join_reference": interval_reference, "interpolation_join": interpolation_join,
 }
 ORACLES = {
     "acc_scenario_breakdown": f"""
@@ -132,8 +164,32 @@ WITH f AS (SELECT *, {STATUS_SQL} AS status FROM ({FACT_SQL}))
 SELECT method, count(*) AS windows, round(count(*) FILTER (WHERE status <> 'INVALID') / count(*), 6) AS coverage,
        round(count(*) FILTER (WHERE status = 'OK') / count(*), 6) AS ok_ratio, round(avg(conf), 6) AS mean_confidence,
        {_metrics_sql("status <> 'INVALID'", "accepted_")}, {_metrics_sql("status = 'OK'", "ok_")},
-       round(quantile_cont(est, 0.5), 4) AS latency_p50, round(quantile_cont(est, 0.95), 4) AS latency_p95
+       {_metrics_sql("tax < 0.07", "rmssd_", "qty", "qty + tax * 100 - 4", 2.0)}, {_metrics_sql("qty > 5", "rr_", "price", "price + qty - 25", 10.0)},
+       round(quantile_cont(est, 0.5), 4) AS signal_p50, round(quantile_cont(est, 0.95), 4) AS signal_p95, round(quantile_cont(qty, 0.5), 4) AS vitals_p50, round(quantile_cont(qty, 0.95), 4) AS vitals_p95
 FROM f GROUP BY method
+""",
+    "acc_issue_counts": f"""
+WITH f AS ({FACT_SQL}), c AS (SELECT method, unnest([CASE WHEN conf < 0.3 THEN 'VERY_LOW_CONFIDENCE' END, CASE WHEN conf >= 0.3 AND conf < 0.6 THEN 'LOW_CONFIDENCE' END, CASE WHEN est > 60000 THEN 'OUT_OF_PHYSIOLOGICAL_RANGE' END]) AS code FROM f)
+SELECT method, code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY method, code
+""",
+    "two_level_gate": """
+WITH m AS (SELECT l_suppkey, avg(l_extendedprice / 300) AS s, avg(CAST(l_quantity * 3 AS DOUBLE)) AS d, count(*) AS n FROM lineitem GROUP BY l_suppkey),
+r AS (SELECT count(*) AS subjects, CAST(sum(n) AS BIGINT) AS samples, count(*) FILTER (WHERE s <= 100) / count(*) AS systolic_low, count(*) FILTER (WHERE s >= 160) / count(*) AS systolic_high, count(*) FILTER (WHERE s >= 140) / count(*) AS systolic_elevated,
+ count(*) FILTER (WHERE d <= 60) / count(*) AS diastolic_low, count(*) FILTER (WHERE d >= 100) / count(*) AS diastolic_high, count(*) FILTER (WHERE d >= 85) / count(*) AS diastolic_elevated FROM m),
+l AS (SELECT *, concat_ws(',', CASE WHEN subjects < 85 THEN 'subjects' END, CASE WHEN samples < 255 THEN 'samples' END, CASE WHEN systolic_low < 0.05 THEN 'systolic_low' END, CASE WHEN systolic_high < 0.05 THEN 'systolic_high' END, CASE WHEN systolic_elevated < 0.2 THEN 'systolic_elevated' END,
+ CASE WHEN diastolic_low < 0.05 THEN 'diastolic_low' END, CASE WHEN diastolic_high < 0.05 THEN 'diastolic_high' END, CASE WHEN diastolic_elevated < 0.2 THEN 'diastolic_elevated' END) AS lacking FROM r)
+SELECT subjects, samples, round(systolic_low, 6) AS systolic_low, round(systolic_high, 6) AS systolic_high, round(systolic_elevated, 6) AS systolic_elevated, round(diastolic_low, 6) AS diastolic_low, round(diastolic_high, 6) AS diastolic_high, round(diastolic_elevated, 6) AS diastolic_elevated, lacking, lacking = '' AS passed FROM l
+""",
+    "rank_auc": """
+WITH x AS (SELECT toxic, row_number() OVER (ORDER BY n_chars, d.doc_id) AS r FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+s AS (SELECT sum(r) FILTER (WHERE toxic = 1) AS ranks, count(*) FILTER (WHERE toxic = 1) AS p, count(*) FILTER (WHERE toxic = 0) AS q FROM x) SELECT round((ranks - p * (p + 1) / 2) / (p * q), 8) AS auc FROM s
+""",
+    "range_join_reference": """
+SELECT w.event_id, count(*) AS samples, round(avg(e.value), 6) AS reference FROM events w JOIN events e ON e.user_id = w.user_id AND e.ts BETWEEN w.ts AND w.ts + INTERVAL 12 HOURS WHERE w.event_type = 'purchase' GROUP BY w.event_id
+""",
+    "interpolation_join": """
+WITH s AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, value, lead(epoch_us(ts) / 1000000.0::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t2, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v2 FROM events),
+g AS (SELECT *, 3600 * unnest(range(CAST(ceil(t / 3600) AS BIGINT), CAST(ceil(t2 / 3600) AS BIGINT))) AS x FROM s WHERE t2 IS NOT NULL) SELECT user_id, count(*) AS points, round(sum(value + (v2 - value) * (x - t) / (t2 - t)), 4) AS total FROM g GROUP BY user_id
 """,
     "acc_grouping_sets": f"""
 WITH f AS (SELECT method, scenario, {STATUS_SQL} AS status, {BIN_SQL} AS bin, est, ref FROM ({FACT_SQL}))
@@ -160,20 +216,12 @@ _F = """WITH f AS (SELECT l_returnflag AS method, l_linestatus AS scenario, l_su
  greatest(DBL(0), least(DBL(1), 1 - 10 * DBL(l_discount))) AS conf FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 _Q, _O = both({
     "acc_percentiles": f"{_F} SELECT method, round(PCT(est, 0.5), 4) AS p50, round(PCT(est, 0.95), 4) AS p95, round(avg(est), 4) AS mean, max(est) AS top FROM f GROUP BY method",
-    "acc_issue_counts": f"""{_F}, c AS (SELECT method, COMPACT(CASE WHEN conf < 0.3 THEN 'VERY_LOW_CONFIDENCE' WHEN conf < 0.6 THEN 'LOW_CONFIDENCE' END, CASE WHEN est > 60000 THEN 'OUT_OF_PHYSIOLOGICAL_RANGE' END) AS codes FROM f),
- e AS (SELECT method, code FROM (SELECT method, explode_outer_marker AS code FROM (SELECT method, CASE WHEN SIZE(codes) > 0 THEN JOINED(codes) END AS explode_outer_marker FROM c) x) y WHERE code IS NOT NULL)
- SELECT method, code, count(*) AS n FROM e GROUP BY method, code""",
     "bp_style_grades": f"""{_F}, e AS (SELECT method, (est - ref) / 1000 AS e FROM f),
  s AS (SELECT method, avg(abs(e)) AS mae, avg(e) AS me, stddev_samp(e) AS sd, avg(CASE WHEN abs(e) <= 5 THEN DBL(1) ELSE DBL(0) END) AS w5, avg(CASE WHEN abs(e) <= 10 THEN DBL(1) ELSE DBL(0) END) AS w10,
   avg(CASE WHEN abs(e) <= 15 THEN DBL(1) ELSE DBL(0) END) AS w15 FROM e GROUP BY method)
  SELECT method, round(mae, 6) AS mae, round(me, 6) AS me, round(sd, 6) AS sd, round(w5, 6) AS within_5, round(w10, 6) AS within_10, round(w15, 6) AS within_15, abs(me) <= 5 AND sd <= 8 AS meets_aami,
   CASE WHEN w5 >= 0.6 AND w10 >= 0.85 AND w15 >= 0.95 THEN 'A' WHEN w5 >= 0.5 AND w10 >= 0.75 AND w15 >= 0.9 THEN 'B' WHEN w5 >= 0.4 AND w10 >= 0.65 AND w15 >= 0.85 THEN 'C' ELSE 'D' END AS bhs_grade FROM s""",
-    "two_level_gate": f"""{_F}, m AS (SELECT subject, avg(est) AS s, avg(ref) AS d FROM f GROUP BY subject)
- SELECT count(*) AS subjects, round(avg(CASE WHEN s <= 30000 THEN DBL(1) ELSE DBL(0) END), 6) AS low, round(avg(CASE WHEN s >= 40000 THEN DBL(1) ELSE DBL(0) END), 6) AS high,
-  round(avg(CASE WHEN d >= 35000 THEN DBL(1) ELSE DBL(0) END), 6) AS elevated, count(*) >= 85 AS enough FROM m""",
     "training_bounds": "SELECT p_brand AS feature, min(p_retailprice) AS lowest, max(p_retailprice) AS highest, PCT(p_retailprice, 0.5) AS middle FROM part GROUP BY p_brand",
-    "rank_auc": """WITH x AS (SELECT l.toxic, d.n_chars, row_number() OVER (ORDER BY d.n_chars, d.doc_id) AS r FROM labels l JOIN documents d ON l.doc_id = d.doc_id)
- SELECT round((sum(CASE WHEN toxic = 1 THEN DBL(r) ELSE DBL(0) END) - sum(toxic) * (sum(toxic) + 1) / DBL(2)) / nullif(sum(toxic) * (count(*) - sum(toxic)), 0), 8) AS auc FROM x""",
 })
 QUERIES |= _Q
 ORACLES |= _O

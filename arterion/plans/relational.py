@@ -19,8 +19,8 @@ QUERIES, ORACLES = both({
     # J03
     "ownership_semi": "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')",
     # J04 with paging by day, which the stored history declares but doesn't apply
-    "history": f"""SELECT o_orderkey, c_name, o_orderdate, v.l_extendedprice AS heart_rate FROM orders JOIN customer ON o_custkey = c_custkey
- LEFT JOIN {_LATEST} v ON o_orderkey = v.l_orderkey AND v.rn = 1 WHERE o_orderstatus = 'F' AND c_custkey < 500 AND o_orderdate >= timestamp '1994-01-01 00:00:00' ORDER BY o_orderdate DESC, o_orderkey""",
+    "history": f"""SELECT o_orderkey, c_custkey, c_name, o_orderdate, v.l_extendedprice AS heart_rate FROM orders JOIN customer ON o_custkey = c_custkey
+ LEFT JOIN {_LATEST} v ON o_orderkey = v.l_orderkey AND v.rn = 1 WHERE o_orderstatus = 'F' AND o_orderdate >= timestamp '1994-01-01 00:00:00' ORDER BY o_orderdate DESC, o_orderkey""",
     # Sessions that are live at a given moment
     "live_sessions": """SELECT c_custkey, count(*) AS live FROM customer JOIN orders ON c_custkey = o_custkey
  WHERE o_orderdate + INTERVAL 7 DAYS > timestamp '1998-01-01 00:00:00' AND o_orderstatus <> 'P' GROUP BY c_custkey""",
@@ -30,8 +30,9 @@ QUERIES, ORACLES = both({
     # Thresholds by code
     "threshold_lookup": """SELECT o_orderpriority AS code, count(*) AS n, LONG(sum(CASE WHEN o_totalprice BETWEEN lo AND hi THEN 1 ELSE 0 END)) AS inside FROM orders
  JOIN (SELECT '1-URGENT' AS code, 1000.0 AS lo, 200000.0 AS hi UNION ALL SELECT '2-HIGH', 5000.0, 150000.0 UNION ALL SELECT '5-LOW', 0.0, 90000.0) t ON o_orderpriority = t.code GROUP BY o_orderpriority""",
-    # Subjects on both sides of a split
-    "leakage_intersect": "SELECT count(*) AS leaks FROM (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0 INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 1) x",
+    # Of each test fold, the subjects that its training side, all other folds, has too
+    "leakage_intersect": """SELECT fold, count(*) AS subjects, LONG(sum(CASE WHEN folds > 1 THEN 1 ELSE 0 END)) AS leaks FROM (SELECT DISTINCT o_custkey, o_orderkey % 5 AS fold FROM orders) f
+ JOIN (SELECT o_custkey AS k, count(DISTINCT o_orderkey % 5) AS folds FROM orders GROUP BY o_custkey) s ON o_custkey = k GROUP BY fold""",
     # U04, U06
     "required_except": "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders",
     "records_union": """SELECT method, count(*) AS n, sum(x) AS total FROM (SELECT 'POS' AS method, l_quantity AS x FROM lineitem WHERE l_returnflag = 'A'
@@ -50,12 +51,6 @@ QUERIES, ORACLES = both({
     "latest_version": """SELECT s_nationkey, s_name FROM (SELECT s_nationkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 7 DESC, s_suppkey % 5 DESC, s_suppkey DESC) AS rn FROM supplier) x WHERE rn = 1""",
     # T05
     "ordered_listing": "SELECT n_name, n_regionkey FROM nation ORDER BY n_regionkey, n_name",
-    # Reference mean of the samples inside each window
-    "range_join_reference": """WITH w AS (SELECT event_id, user_id, ts AS start_ts, ts + INTERVAL 12 HOURS AS end_ts FROM events WHERE event_type = 'purchase')
- SELECT w.event_id, count(e.event_id) AS samples, round(avg(e.value), 6) AS reference FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.start_ts AND e.ts <= w.end_ts GROUP BY w.event_id""",
-    # Value at a grid point between its neighbours in time
-    "interpolation_join": """WITH s AS (SELECT user_id, SECS(ts) AS t, value, lead(SECS(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t2, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v2 FROM events)
- SELECT user_id, count(*) AS points, round(sum(value + (v2 - value) * (floor(t / 3600) * 3600 + 3600 - t) / (t2 - t)), 4) AS total FROM s WHERE t2 > t AND floor(t / 3600) * 3600 + 3600 < t2 GROUP BY user_id""",
     # Seed rows that are not there yet; current state of append-only events
     "seed_upsert": "SELECT r_regionkey + 100 AS id, r_name FROM region WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_name = r_name)",
     "current_state": "SELECT user_id, max_by(event_type, event_id) AS status, max(event_id) AS version FROM events GROUP BY user_id",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from arterion.operators import arrays, contracts, vectors
 from arterion.plans import signals
-from arterion.streaming.state import MOVES
 
 
 def window_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,27 +25,12 @@ def reason_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("user_id", F.array_join(seen, ",").alias("codes"), F.array_join(F.array_union(F.array(F.lit("gate")), F.array_sort(seen)), ",").alias("all_codes"), F.array_join(F.array_except(F.array(*[F.lit(x) for x in ("click", "view", "other")]), seen), ",").alias("lacking"))
 
 
-def bbox_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Smoothed positions of each session; dropped frames hold the last one."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", F.when(F.col("event_type") != "error", F.col("value")).alias("v"))
-    g = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "v"))).alias("r"))
-    return g.select("user_id", F.posexplode(arrays.moving_box(F.transform("r", lambda x: x["v"]))).alias("k", "box")).select("user_id", F.col("k").cast("long").alias("k"), F.round("box", 6).alias("box"))
-
-
-def state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state of each session after its events, taken as protocol events."""
-    names = ["REQUEST_CAMERA", "PERMISSION_GRANTED", "START_MEASUREMENT", "FACE_FOUND", "ACQUISITION_STARTED", "WINDOW_FILLED", "QUALITY_PASSED", "RESULT_VALID", "FACE_LOST", "CONTINUE_MEASUREMENT"]
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", F.get(F.array(*[F.lit(x) for x in names]), (F.col("event_id") % len(names)).cast("int")).alias("event"))
-    g = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event"))).alias("r"))
-    return g.select("user_id", arrays.state_walk(F.transform("r", lambda x: x["event"]), MOVES, "IDLE").alias("state"))
-
-
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.results(signals.vitals_batch(spark, sf_dir))
 
 
 QUERIES = {
-    "window_arrays": window_arrays, "reason_sets": reason_sets, "bbox_ema": bbox_ema, "state_machine": state_machine,
+    "window_arrays": window_arrays, "reason_sets": reason_sets,
     "measurement_results": lambda s, d: contracts.measurement_rows(_results(s, d)).drop("metrics"), "validation_rows": lambda s, d: contracts.validation_rows(_results(s, d)), "health_findings": lambda s, d: contracts.findings(_results(s, d)),
     "filtered_features": lambda s, d: vectors.waveform_features(vectors.filtered(signals.windows(s, d), ["vec_id"], "x", signals.FS, 0.7, 3.0), ["vec_id"], "x"),
 }
@@ -58,8 +42,4 @@ round(sum(x) - (sum(x) FILTER (WHERE i = 0) + sum(x) FILTER (WHERE i = n - 1)) /
 min(i) FILTER (WHERE x = lo) AS lowest, round(sum((x - lo) / (hi - lo)), 6) AS scaled_sum, round(max(CASE WHEN a IS NULL THEN b - x WHEN b IS NULL THEN x - a ELSE (b - a) / 2 END), 6) AS steepest FROM d GROUP BY vec_id""",
     "reason_sets": """WITH f AS (SELECT user_id, event_type, min(event_id) AS place FROM events GROUP BY ALL), g AS (SELECT user_id, list(event_type ORDER BY place) AS codes, list(event_type ORDER BY event_type) AS in_order FROM f GROUP BY user_id)
 SELECT user_id, array_to_string(codes, ',') AS codes, array_to_string(['gate'] || in_order, ',') AS all_codes, array_to_string([x for x in ['click', 'view', 'other'] if NOT list_contains(codes, x)], ',') AS lacking FROM g""",
-    "bbox_ema": """WITH RECURSIVE e AS (SELECT user_id, CASE WHEN event_type <> 'error' THEN value END AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
-r AS (SELECT user_id, k, v AS box, CASE WHEN v IS NULL THEN 1 ELSE 0 END AS missing FROM e WHERE k = 0
- UNION ALL SELECT e.user_id, e.k, CASE WHEN e.v IS NOT NULL THEN CASE WHEN r.box IS NULL THEN e.v ELSE 0.65::DOUBLE * e.v + 0.35::DOUBLE * r.box END WHEN r.missing + 1 > 10 THEN NULL ELSE r.box END, CASE WHEN e.v IS NULL THEN r.missing + 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
-SELECT user_id, k, round(box, 6) AS box FROM r""",
 }

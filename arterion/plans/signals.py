@@ -51,15 +51,15 @@ def trend_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dft_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.spectrum(windows(spark, sf_dir), ["vec_id"], "x").select("vec_id", F.round("fft_bpm", 6).alias("bpm"))
+    return vectors.spectrum(windows(spark, sf_dir), ["vec_id"], "x", wanted=("fft_bpm",)).select("vec_id", F.round("fft_bpm", 6).alias("bpm"))
 
 
 def snr_sqi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.spectrum(windows(spark, sf_dir), ["vec_id"], "x").select("vec_id", F.round("snr_db", 5).alias("snr_db"))
+    return vectors.spectrum(windows(spark, sf_dir), ["vec_id"], "x", wanted=("snr_db",)).select("vec_id", F.round("snr_db", 5).alias("snr_db"))
 
 
 def acf_periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.spectrum(windows(spark, sf_dir), ["vec_id"], "x").select("vec_id", F.col("acf_peak"), F.col("periodicity"))
+    return vectors.spectrum(windows(spark, sf_dir), ["vec_id"], "x", wanted=("periodicity", "acf_peak")).select("vec_id", F.col("acf_peak"), F.col("periodicity"))
 
 
 def spectral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,21 +79,20 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_roi_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of three regions: the POS wave of each, and the Pearson of each two."""
     t = traces(spark, sf_dir)
-
-    def pearson(a: str, b: str):
-        centred = lambda c: F.transform(c, lambda v: v - _total(F.col(c)) / F.size(c))
-        x, y = centred(a), centred(b)
-        return _dot(x, y) / F.nullif(F.sqrt(_dot(x, x) * _dot(y, y)), F.lit(0.0))
-
-    t = t.select("trace", pearson("r", "g").alias("r1"), pearson("r", "b").alias("r2"), pearson("g", "b").alias("r3"))
-    return t.select("trace", F.round((F.col("r1") + F.col("r2") + F.col("r3")) / 3, 6).alias("r_mean"), F.round(F.least("r1", "r2", "r3"), 6).alias("r_min"))
+    # A region's colour is the trace's, each channel mixed with another one.
+    mix = lambda a, b, w: F.zip_with(a, b, lambda x, y: x * (1 - w) + y * w)
+    regions = [F.struct(F.lit(k).alias("roi"), *[mix(a, b, w).alias(c) for c, a, b in (("r", "r", "g"), ("g", "g", "b"), ("b", "b", "r"))]) for k, w in enumerate((0.0, 0.1, 0.25))]
+    rows = t.select("trace", F.explode(F.array(*regions)).alias("x")).select("trace", "x.*")
+    waves = vectors.project(rows, ["trace", "roi"], "POS", "r", "g", "b")
+    return vectors.agreement(waves, ["trace"], "roi", "bvp").select("trace", F.round("r_mean", 6).alias("r_mean"), F.round("r_min", 6).alias("r_min"))
 
 
 def projected(method: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         wave = vectors.project(traces(spark, sf_dir), ["trace"], method, "r", "g", "b")
-        return vectors.spectrum(wave, ["trace"], "bvp").select("trace", F.round("fft_bpm", 6).alias("bpm"), F.round("sqi", 2).alias("sqi"))
+        return vectors.spectrum(wave, ["trace"], "bvp", wanted=("fft_bpm", "sqi")).select("trace", F.round("fft_bpm", 6).alias("bpm"), F.round("sqi", 2).alias("sqi"))
 
     return run
 
@@ -174,7 +173,5 @@ SELECT vec_id, round_even(max(r / v), 4) AS acf_peak, round_even(least(1.0, grea
     "spectral_features": f"""{_DFT}, o AS (SELECT b.*, f0, f BETWEEN f0 - 0.1 AND f0 + 0.1 AS h1, f BETWEEN 2 * f0 - 0.1 AND 2 * f0 + 0.1 AS h2, sum(w) FILTER (WHERE band) OVER (PARTITION BY vec_id) AS total FROM b JOIN t USING (vec_id))
 SELECT vec_id, round(any_value(f0), 5) AS fundamental_freq_hz, round(sum(w) FILTER (WHERE h2) / sum(w) FILTER (WHERE h1), 5) AS harmonic_ratio_h2,
 round(-sum(w / total * ln(w / total)) FILTER (WHERE band) / ln(count(*) FILTER (WHERE band)), 5) AS spectral_entropy, round(sum(w) FILTER (WHERE band) / sum(w), 5) AS in_band_power_ratio FROM o GROUP BY vec_id""",
-    "cross_roi_corr": f"""WITH {_SIG}, w AS (SELECT vec_id // 3 AS trace, vec_id % 3 AS k, i, 128 + 20 * x AS x FROM s), p AS (SELECT a.trace, a.k AS k1, b.k AS k2, covar_pop(a.x, b.x) / nullif(stddev_pop(a.x) * stddev_pop(b.x), 0) AS r FROM w a JOIN w b ON a.trace = b.trace AND a.i = b.i AND a.k < b.k GROUP BY ALL)
-SELECT trace, round(avg(r), 6) AS r_mean, round(min(r), 6) AS r_min FROM p GROUP BY trace HAVING count(*) = 3""",
     "rules_r01_r13": _RULES,
 }

@@ -17,8 +17,6 @@ QUERIES, ORACLES = both({
  SELECT user_id, count(*) AS n, round(sqrt(avg(step * step)), 6) AS rmssd, round(stddev_samp(value), 6) AS sdnn, round(avg(value), 6) AS mean_ibi FROM d GROUP BY user_id HAVING count(*) >= 3""",
     "hrv_pnn50": f"""{_E}, d AS (SELECT user_id, value - lag(value) {_W} AS step FROM e) SELECT user_id, round(100 * avg(CASE WHEN abs(step) > 50 THEN DBL(1) WHEN step IS NOT NULL THEN DBL(0) END), 6) AS pnn50 FROM d GROUP BY user_id HAVING count(*) >= 4""",
     # Interval in range and near its local median
-    "ibi_mask": f"""{_E}, m AS (SELECT user_id, value, PCT(value, 0.5) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS middle FROM e)
- SELECT user_id, count(*) AS n, LONG(sum(CASE WHEN value BETWEEN 60000.0 / 1800 AND 1500 AND abs(value - middle) <= 0.25 * middle THEN 1 ELSE 0 END)) AS clean FROM m GROUP BY user_id""",
     # Share of dropped frames over a trailing horizon
     "missing_ratio_range": f"""{_E} SELECT event_id, round(avg(CASE WHEN event_type = 'error' THEN DBL(1) ELSE DBL(0) END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAYS PRECEDING AND CURRENT ROW), 6) AS missing FROM e""",
     # Rate by the median gap, and the mean rate
@@ -43,12 +41,6 @@ QUERIES, ORACLES = both({
     # Last value carried forward over dropped frames
     "carried_forward": f"{_E} SELECT event_id, LAST_SEEN(CASE WHEN event_type <> 'error' THEN value END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM e",
     # Gate by thresholds, and hysteresis after a rejection
-    "gate_states": """WITH m AS (SELECT event_id, value / 500 AS snr, (event_id * 37 % 100) / DBL(100) AS periodicity, (event_id * 61 % 100) / DBL(100) AS r_mean, (event_id * 17 % 100) / DBL(100) AS motion, (event_id * 7 % 100) / DBL(250) AS artifact FROM events),
- r AS (SELECT event_id, artifact > 0.25 AS bad, COMPACT(CASE WHEN artifact > 0.25 THEN 'HIGH_ARTIFACT' END, CASE WHEN snr < 0.4 THEN 'LOW_SNR' END, CASE WHEN periodicity < 0.46 THEN 'NOT_PERIODIC' END, CASE WHEN r_mean < 0.4 THEN 'ROI_DISAGREE' END, CASE WHEN motion > 0.5 THEN 'HIGH_MOTION' END) AS reasons FROM m)
- SELECT event_id, JOINED(reasons) AS reasons, CASE WHEN bad OR SIZE(reasons) > 1 THEN 'REJECTED' WHEN SIZE(reasons) = 1 THEN 'SUSPICIOUS' ELSE 'ACCEPTED' END AS state FROM r""",
-    "gate_hysteresis": f"""{_E}, r AS (SELECT *, CASE WHEN value < 100 THEN 'REJECTED' WHEN value < 200 THEN 'SUSPICIOUS' ELSE 'ACCEPTED' END AS raw FROM e),
- h AS (SELECT *, max(CASE WHEN raw = 'REJECTED' THEN t END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_rejected FROM r)
- SELECT event_id, CASE WHEN t - last_rejected < 43200 THEN 'REJECTED' ELSE raw END AS state FROM h""",
     # Change beyond a tolerance that grows with time
     "sudden_jump": f"""{_E}, j AS (SELECT event_id, value, t, lag(value) {_W} AS v0, lag(t) {_W} AS t0 FROM e)
  SELECT event_id, coalesce(abs(value - v0) > 8 + 0.003 * greatest(0, t - t0), false) AS jump FROM j""",
@@ -56,21 +48,12 @@ QUERIES, ORACLES = both({
     "temporal_stability": f"""{_E} SELECT event_id, CASE WHEN count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) >= 4
  THEN stddev_pop(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) > 120 ELSE false END AS unstable FROM e""",
     # Confidence from the components there are
-    "confidence": """WITH c AS (SELECT event_id, 1 / (1 + exp(-0.5 * (value / 25 - 10 - 2))) AS snr, CASE WHEN event_type <> 'view' THEN (event_id % 101) / DBL(100) END AS quality, CASE WHEN event_type <> 'click' THEN greatest(0, least(1, 1 - abs(value - 250) / 250)) END AS agreement, (event_id % 7) / DBL(20) AS missing FROM events)
- SELECT event_id, round(greatest(0, least(1, (0.35 * snr + 0.3 * coalesce(quality, 0) + 0.2 * coalesce(agreement, 0)) / (0.35 + CASE WHEN quality IS NULL THEN 0 ELSE 0.3 END + CASE WHEN agreement IS NULL THEN 0 ELSE 0.2 END) * (1 - missing))), 6) AS confidence FROM c""",
     # Face quality of a session
-    "face_quality": f"""{_E}, p AS (SELECT user_id, event_type, value, t, lag(value) {_W} AS v0, lag(t) {_W} AS t0 FROM e),
- s AS (SELECT user_id, avg(CASE WHEN event_type = 'error' THEN DBL(0) ELSE DBL(1) END) AS detection, avg(abs(value - v0) / greatest(value, 1) / greatest(t - t0, 1)) AS speed, avg(value / 2) AS luma, stddev_pop(value / 2) / greatest(avg(value / 2), 0.000000001) AS variation, PCT(value / 500, 0.5) AS width FROM p GROUP BY user_id),
- c AS (SELECT user_id, detection, exp(-coalesce(speed, 0) / 0.25) AS motion, CASE WHEN luma < 80 THEN greatest(0, least(1, (luma - 40) / 40)) WHEN luma > 190 THEN greatest(0, least(1, (230 - luma) / 40)) ELSE DBL(1) END * greatest(0, least(1, 1 - variation / 2)) AS light, greatest(0, least(1, width / 0.3)) AS size_score FROM s)
- SELECT user_id, round(detection, 6) AS detection, round(motion, 6) AS motion, round(light, 6) AS light, round(size_score, 6) AS size_score, round(sqrt(sqrt(detection * motion * light * size_score)), 6) AS overall,
-  JOINED(COMPACT(CASE WHEN detection < 0.8 THEN 'FACE_NOT_DETECTED' END, CASE WHEN size_score < 0.5 THEN 'FACE_TOO_SMALL' END, CASE WHEN light < 0.5 THEN 'LIGHTING' END)) AS issues FROM c""",
     # Guard reasons of a session
     "guard_reasons": f"""{_E}, s AS (SELECT user_id, count(*) AS n, max(t) - min(t) AS seconds, stddev_pop(value) AS spread, avg(CASE WHEN event_type = 'error' THEN DBL(1) ELSE DBL(0) END) AS artifact, avg(value) / 500 AS sqi FROM e GROUP BY user_id)
  SELECT user_id, JOINED(COMPACT(CASE WHEN n / nullif(seconds, 0) * 86400 < 1.5 THEN 'LOW_FS' END, CASE WHEN seconds < 4 THEN 'SIGNAL_TOO_SHORT' END, CASE WHEN spread < 0.000000001 THEN 'SIGNAL_DEGENERATE' END, CASE WHEN sqi < 0.4 THEN 'LOW_SQI' END, CASE WHEN artifact > 0.25 THEN 'HIGH_ARTIFACT' END, CASE WHEN n < 3 THEN 'TOO_FEW_BEATS' END)) AS reasons FROM s""",
     # Run statistics
-    "run_statistics": f"""{_E} SELECT user_id, count(*) AS frames, LONG(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)) AS lost, LONG(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END)) AS ok, PCT(CASE WHEN event_type = 'click' THEN value END, 0.5) AS median_hr, max_by(value, event_id) AS last_hr FROM e GROUP BY user_id""",
     # Q10, Q11, P15-P18
-    "frame_status": """SELECT event_id, CASE WHEN value / 500 >= 0.4 AND event_type <> 'error' AND event_id % 9 <> 0 THEN 'OK' ELSE 'LOW_QUALITY' END AS status, HALF_EVEN(least(1.0, value / 300), 2) AS progress, least(1.0, greatest(0.0, value / 400)) AS quality FROM events""",
     # D01-D03
     "measurement_window": "SELECT event_id, round(SECS(ts), 6) AS start_s, round(SECS(ts + INTERVAL 30 SECONDS), 6) AS end_s, round(SECS(ts + INTERVAL 30 SECONDS) - SECS(ts), 3) AS duration_s FROM events",
     # Sessions of 30 minutes, by fixed windows of arrival

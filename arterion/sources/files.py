@@ -124,3 +124,96 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
     if column and bounds:
         reader = reader.option("partitionColumn", column).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
     return reader.load()
+
+
+def write_jdbc(rows: DataFrame, url: str, table: str, mode: str = "append", batch: int = 1000, parts: int = 8, **options: str) -> None:
+    """Rows into a database table, over ``parts`` connections at most."""
+    rows.coalesce(parts).write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batch).options(**options).mode(mode).save()
+
+
+def write_recordings(recordings: DataFrame, path: str) -> None:
+    """One file of JSON lines per task, each line a recording; read again by read_json_recordings()."""
+    recordings.write.mode("overwrite").option("compression", "gzip").json(path)
+
+
+def read_json_recordings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RECORDING).option("mode", "FAILFAST").json(path)
+
+
+def npz_of(recordings: DataFrame) -> DataFrame:
+    """(path, content): each recording as the bytes of an .npz file, under its own name."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                names, held = sorted(r.roi_rgb), io.BytesIO()
+                more = {} if r.beats is None else {"reference_beat_times_s": np.array(r.beats)}
+                traces = np.array([np.stack([np.asarray(v, float) for v in r.roi_rgb[n]]) for n in names])
+                np.savez_compressed(held, timestamps=np.array(r.timestamps), roi_names=np.array(names), roi_rgb=traces, face_detected=np.array(r.face_detected, bool), **more)
+                out.append((f"{r.recording_id}.npz", held.getvalue()))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return recordings.mapInPandas(pack, "path string, content binary")
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Each (path, content) as a file of its own under ``folder``, in any store Spark knows; how many."""
+    spark = files.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    n = 0
+    for r in files.toLocalIterator():  # one file at a time; for the files of a study, not for a lake
+        at = hadoop(f"{folder}/{r['path']}")
+        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(r["content"]))
+        out.close()
+        n += 1
+    return n
+
+
+def write_wave(rows: DataFrame, path: str) -> None:
+    """(key, k, t, value) of pulse waves (key, fs, samples), as CSV."""
+    out = rows.select("key", "fs", F.posexplode("samples").alias("k", "value")).select("key", "k", (F.col("k") / F.col("fs")).alias("t"), F.format_string("%.6f", "value").alias("value"))
+    out.write.mode("overwrite").option("header", True).csv(path)
+
+
+def markdown_lines(summary: DataFrame, columns: dict[str, str], places: int = 2) -> DataFrame:
+    """(k, line): a table of a report, one row per row of ``summary``, in order of the first column; "-" for null.
+    A report has a row per method or scenario, so its lines are few."""
+    kinds = dict(summary.dtypes)
+    text = lambda c: F.format_string(f"%.{places}f", F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string")
+    shown = [F.when(F.col(c).isNull(), "-").otherwise(text(c)) for c in columns]
+    head = summary.sparkSession.createDataFrame([(0, "| " + " | ".join(columns.values()) + " |"), (1, "|" + "---|" * len(columns))], "k long, line string")
+    from pyspark.sql import Window
+
+    first = next(iter(columns))
+    body = summary.select((F.row_number().over(Window.orderBy(first)) + 1).cast("long").alias("k"), F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |")).alias("line"))
+    return head.unionByName(body)
+
+
+def write_markdown(title: str, facts: dict[str, str], tables: dict[str, DataFrame], path: str) -> None:
+    """A report: title, facts, and tables of markdown_lines() under their headings, as one text file."""
+    parts = [f"# {title}", "", *[f"- {k}: {v}" for k, v in facts.items()]]
+    for heading, lines in tables.items():
+        parts += ["", f"## {heading}", "", *[r["line"] for r in lines.orderBy("k").collect()]]
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([("\n".join(parts),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def closed_json(text: str, schema: T.StructType) -> tuple:
+    """(value, unknown) Columns of a JSON text: its value by a closed schema, and the top-level keys that the schema lacks."""
+    unknown = F.array_except(F.coalesce(F.json_object_keys(text), F.expr("cast(array() as array<string>)")), F.array(*[F.lit(n) for n in schema.names]))
+    return F.when(F.size(unknown) == 0, F.from_json(text, schema, {"mode": "PERMISSIVE"})), unknown
+
+
+def read_contract(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of JSON lines by a closed schema; a line with further keys or of other types fails the query."""
+    lines = spark.read.text(path)
+    value, unknown = closed_json("value", schema)
+    sure = F.when((F.size(unknown) > 0) | value.isNull(), F.raise_error(F.concat(F.lit("not of the contract: "), F.substring("value", 1, 200))).cast(schema)).otherwise(value)
+    return lines.select(sure.alias("x")).select("x.*")
+
+
+def export_contracts(spark: SparkSession, schemas: dict[str, T.StructType], path: str) -> None:
+    """Each schema by name, as JSON lines."""
+    spark.createDataFrame([(n, s.json()) for n, s in sorted(schemas.items())], "name string, schema string").coalesce(1).write.mode("overwrite").json(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from pathlib import PurePosixPath
 
@@ -36,3 +37,49 @@ def verified(spark: SparkSession, registry: DataFrame, folder: str) -> DataFrame
     base = folder.rstrip("/").removeprefix("file://")
     files = files.select(F.regexp_replace("path", f"^.*\\Q{base}\\E/", "").alias("path"), "found")
     return registry.join(files, "path", "left").select("name", "version", F.coalesce(F.col("found") == F.col("sha256"), F.lit(False)).alias("ok"))
+
+
+def updated(registry: DataFrame, name: str, version: str, status: str) -> DataFrame:
+    """The registry with another status for one entry."""
+    if status not in STATUSES:
+        raise ValueError("unknown status")
+    own = (F.col("name") == name) & (F.col("version") == version)
+    return registry.withColumn("status", F.when(own, status).otherwise(F.col("status")))
+
+
+def removed(registry: DataFrame, name: str, version: str) -> DataFrame:
+    return registry.where(~((F.col("name") == name) & (F.col("version") == version)))
+
+
+def listed(registry: DataFrame, kind: str | None = None, statuses: tuple[str, ...] = STATUSES) -> DataFrame:
+    """Entries of a kind and of these statuses, by name and by version, newest first."""
+    out = registry.where(F.col("status").isin(*statuses))
+    out = out if kind is None else out.where(F.col("kind") == kind)
+    return out.orderBy("name", F.transform(F.split("version", "[.]"), lambda x: x.cast("int")).desc())
+
+
+def save(spark: SparkSession, registry: DataFrame, path: str) -> None:
+    """The registry as one file of JSON lines, under a new name that takes the old one's place only once it is whole."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, at = fs_path(f"{path}.new"), fs_path(path)
+    registry.coalesce(1).write.mode("overwrite").json(f"{path}.new")
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(at, True)
+    store.rename(new, at)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(path)
+
+
+def save_model(model: object, name: str, version: str, kind: str, status: str = "RESEARCH", metrics: dict[str, float] | None = None) -> tuple[tuple, bytes]:
+    """(registry entry, content): a model's parameters as JSON.  ``model`` has parameters(), a dictionary of plain values."""
+    content = json.dumps(model.parameters(), sort_keys=True).encode()
+    return entry(name, version, kind, status, f"{name}/{version}.json", content, metrics), content
+
+
+def load_model(kind: type, content: bytes, sha256: str) -> object:
+    """The model of ``content``, if that has the checksum it was entered with; else it is refused."""
+    if hashlib.sha256(content).hexdigest() != sha256:
+        raise ValueError("the model's file doesn't have its checksum")
+    return kind.of(json.loads(content))

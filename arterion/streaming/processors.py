@@ -4,34 +4,33 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from arterion.functions.vitals import Tracker
-from arterion.streaming.state import FrameBuffer
+from arterion.functions.vitals import Track, follow
+from arterion.streaming.state import TrailingFrames
 
 FRAME_OUT = "session_id long, t double, status string, held int, artifacts int, gaps int, adapted int, ready boolean, tracked double, outlier boolean"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Frames:
-    """State of a session: the frame buffer and the tracker of the green level."""
+    """State of a session: its trailing frames and what follows the green level."""
 
     def __init__(self, text: str | None = None, **settings: float):
         held = json.loads(text) if text else None
-        self.buffer = FrameBuffer(**held["buffer"]) if held else FrameBuffer(**settings)
-        self.tracker = Tracker(**{**held["tracker"], "history": [tuple(x) for x in held["tracker"]["history"]]}) if held else Tracker()
+        self.buffer = TrailingFrames.restored(held["buffer"]) if held else TrailingFrames(**settings)
+        self.track = Track(tuple(held["track"][0]), tuple(held["track"][1]), *held["track"][2:]) if held else Track()
         self.last = held["last"] if held else None
 
     def text(self) -> str:
-        return json.dumps({"buffer": asdict(self.buffer), "tracker": asdict(self.tracker), "last": self.last})
+        return json.dumps({"buffer": self.buffer.saved(), "track": self.track, "last": self.last})
 
     def step(self, session: int, t: float, rgb: tuple[float, float, float]) -> tuple:
         status = self.buffer.push(t, rgb)
-        value, outlier = self.tracker.update(rgb[1], t)
+        self.track, value, outlier = follow(self.track, rgb[1], t)
         b = self.buffer
         return session, t, status, len(b.ts), b.artifacts, b.gaps, b.adapted, b.ready, value, outlier
 
@@ -53,10 +52,11 @@ def fold_frames(frames: DataFrame, **settings: float) -> DataFrame:
 
 
 class FrameProcessor(StatefulProcessor):
-    """Streaming form.  Frames of a batch are taken by time; frames older than the last one taken are late and dropped."""
+    """Streaming form.  Frames of a batch are taken by time; with ``late`` "drop", frames older than the last one taken
+    are left out, with "accept" they are taken as they come."""
 
-    def __init__(self, **settings: float):
-        self.settings = settings
+    def __init__(self, late: str = "drop", **settings: float):
+        self.late, self.settings = late, settings
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("frames", "text string")
@@ -66,8 +66,8 @@ class FrameProcessor(StatefulProcessor):
         pdf = pd.concat(list(rows)).sort_values(["t", "r", "g", "b"], kind="stable")
         out = []
         for t, r, g, b in pdf[["t", "r", "g", "b"]].itertuples(index=False):
-            if state.last is None or t >= state.last:
-                state.last = float(t)
+            if state.last is None or t >= state.last or self.late == "accept":
+                state.last = max(float(t), state.last if state.last is not None else float(t))
                 out.append(state.step(int(key[0]), float(t), (float(r), float(g), float(b))))
         self.held.update((state.text(),))
         yield pd.DataFrame(out, columns=_columns())
@@ -76,8 +76,8 @@ class FrameProcessor(StatefulProcessor):
         pass
 
 
-def stream_frames(spark: SparkSession, frames: DataFrame, **settings: float) -> DataFrame:
+def stream_frames(spark: SparkSession, frames: DataFrame, late: str = "drop", **settings: float) -> DataFrame:
     """``frames`` (session_id, t, r, g, b), streaming, through the processor.  Needs the RocksDB state store."""
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != STORE:
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {STORE}")
-    return frames.groupBy("session_id").transformWithStateInPandas(statefulProcessor=FrameProcessor(**settings), outputStructType=FRAME_OUT, outputMode="Update", timeMode="None")
+    return frames.groupBy("session_id").transformWithStateInPandas(statefulProcessor=FrameProcessor(late, **settings), outputStructType=FRAME_OUT, outputMode="Update", timeMode="None")

@@ -5,7 +5,7 @@ import pytest
 
 from arterion.functions import dsp, features, quality, rppg, vitals
 from arterion.sources import synthetic
-from arterion.streaming.state import BoxSmoother, FrameBuffer, Measurement
+from arterion.streaming.state import BoxSmoother, Measurement, TrailingFrames, contract, database_status
 
 #: Expected vitals of the regression windows: heart rate, RMSSD, SDNN, mean interval, respiratory rate.
 EXPECTED = {
@@ -52,6 +52,9 @@ def test_detrenders_take_trends_out():
     t = np.arange(200.0)
     assert np.abs(dsp.linear_detrend(3 * t + 5)).max() < 1e-9
     assert np.abs(dsp.smoothness_detrend(3 * t + 5)).max() < 1e-6
+    x = np.cumsum(np.random.default_rng(4).normal(size=700))
+    assert np.allclose(dsp.smoothness_detrend(x), dsp.smoothness_detrend(np.stack([x, x]))[0], atol=1e-8)
+    assert np.allclose(dsp.pulse_band_pass(x, 0.7, 3.0, 30.0), dsp.pulse_band_pass(np.stack([x, x]), 0.7, 3.0, 30.0)[0], atol=1e-9)
     assert dsp.standardise(np.full(5, 2.0)).tolist() == [0] * 5 and dsp.smoothness_detrend(np.array([1.0, 2.0])).tolist() == [1, 2]
 
 
@@ -76,7 +79,7 @@ def test_a_missing_beat_is_marked():
     at = [k for k in range(20) if k != 10]
     t = np.arange(0, 20, 1 / 30.0)
     x = sum(np.exp(-0.5 * ((t - 0.5 - k) / 0.08) ** 2) for k in at)
-    assert abs(np.median(vitals.beats_of(x, 30.0).clean) - 1000) < 20
+    assert abs(np.median(vitals.beats_of(x, 30.0).intervals()) - 1000) < 20
     marked = vitals.valid_intervals(np.array([1000.0, 1010, 990, 2000, 1000, 1005, 400, 1000]))
     assert marked.tolist() == [True, True, True, False, True, True, False, True]
     assert vitals.valid_intervals(np.empty(0)).tolist() == []
@@ -111,18 +114,19 @@ def test_sessions_do_not_share_state():
     a, b = vitals.Session(), vitals.Session()
     for _ in range(4):
         a.measure(synthetic.pulse_window())
-    assert len(a.heart.values) == 4 and b.heart.values == []
+    assert len(a.tracks["heart_rate"].values) == 4 and b.tracks["heart_rate"].values == ()
 
 
 def test_tracker_rejects_and_relocks():
-    t = vitals.Tracker()
-    for k in range(5):
-        t.update(70.0, k)
-    assert t.update(150.0, 5) == (70.0, True) and t.update(151.0, 6) == (70.0, True) and t.update(152.0, 7) == (152.0, False)
+    track, said = vitals.Track(), []
+    for k, v in enumerate([70.0] * 5 + [150.0, 151.0, 152.0, 150.0]):
+        track, *rest = vitals.follow(track, v, k)
+        said.append(tuple(rest))
+    assert said[4:] == [(70.0, False), (70.0, True), (70.0, True), (152.0, False), (151.0, False)] and track.times == (7, 8)
 
 
 def test_frame_buffer():
-    b = FrameBuffer()
+    b = TrailingFrames()
     for k in range(60):
         assert b.push(k / 30, (100 + k % 3, 90 + k % 3, 80 + k % 3)) == "ACCEPTED"
     assert b.push(2.0, (250, 250, 250)) == "ARTIFACT" and b.artifacts == 1 and not b.ready and abs(b.rate() - 30) < 0.1
@@ -131,7 +135,37 @@ def test_frame_buffer():
     assert b.gaps == 1 and len(b.ts) == 1
     for k in range(400):
         b.push(9.0 + (k + 1) / 30, (1, 2, 3 + k % 2))
-    assert b.span <= 8.0 + 1e-6 and b.ready and b.progress == 1.0
+    assert b.span <= 8.0 + 1e-6 and b.ready and b.progress > 0.99
+    again = TrailingFrames.restored(b.saved())
+    assert again.saved() == b.saved() and np.allclose(again.deviation(np.ones(3)), b.deviation(np.ones(3)))
+
+
+def test_progress_is_the_filled_part_of_the_window():
+    b = TrailingFrames()
+    for k in range(120):
+        b.push(k / 30, (1, 2, 3))
+    assert abs(b.progress - 119 / 30 / 8) < 1e-9 and b.ready
+
+
+def test_frame_buffer_matches_plain_statistics():
+    rng = np.random.default_rng(6)
+    b, held, t = TrailingFrames(window_s=2.0), [], 0.0
+    for k in range(600):
+        t += rng.choice([0.02, 0.033, 0.05, 0.7], p=[0.3, 0.4, 0.295, 0.005])
+        rgb = rng.normal((100, 90, 80), 2) + (60 if rng.random() < 0.05 or 300 < k < 330 else 0)
+        if held and t - held[-1][0] > 0.5:
+            held = []
+        x = np.array([v for _, v in held])
+        odd = len(held) >= 10 and (np.abs(rgb - x.mean(0)) > 3.5 * np.maximum(x.std(0), 1e-6)).sum() >= 2
+        said = b.push(t, rgb)
+        assert (said == "ACCEPTED") == (not odd)
+        if said == "ADAPTED":
+            held = []
+        if said != "ARTIFACT":
+            held = [*held, (t, rgb)]
+            held = [x for x in held if t - x[0] <= 2.0 + 1e-6]
+            held = held[-max(60, int(np.ceil(2.0 * b.rate()))) :]
+        assert len(held) == len(b.ts)
 
 
 def test_box_and_state_machine():
@@ -149,3 +183,6 @@ def test_box_and_state_machine():
     assert m.dispatch("RESET") == "IDLE" and m.failure is None
     with pytest.raises(ValueError):
         m.dispatch("FACE_FOUND")
+    assert m.allowed() == ["REQUEST_CAMERA", "CANCEL"] and m.dispatch("CANCEL") == "CANCELLED"
+    assert [database_status(x) for x in ("IDLE", "COMPUTING", "RESULT_READY", "FAILED", "CANCELLED")] == ["CREATED", "RUNNING", "COMPLETED", "FAILED", "STOPPED"]
+    assert len(contract()["transitions"]) == 34 and contract()["database_mapping"][-1] == {"state": "CANCELLED", "measurements_state": None, "measurements_status": "STOPPED"}
