@@ -174,7 +174,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     pairs = pairs.where("form = 'template'").drop("form")
 
     pairs = pairs.join(listed.select("item_id", "size", F.col("tokens").alias("own")), "item_id")
-    both = held.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "tokens").join(pairs, F.col("_doc").eqNullSafe(F.col("doc_id")))
+    # Only the templates of documents that have a pair are shuffled; pairs are the smaller side, but carry whole items.
+    near = among(held, pairs.select("doc_id"), "doc_id", "left_semi")
+    both = near.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "tokens").join(pairs.hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("doc_id")))
 
     def slots(place: Column) -> Column:
         step = lambda k: F.struct(F.get(F.col("own"), place["at"] + k)["c"].alias("kind"), F.get(F.col("own"), place["at"] + k)["r"].alias("item"), F.get(F.col("tokens"), place["pos"] + k)["r"].alias("doc"))

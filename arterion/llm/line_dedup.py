@@ -17,8 +17,9 @@ where these are asked for.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,19 +43,20 @@ def frequent_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_poin
     """(_doc, _dropped): for each document that loses lines, the 16-byte hashes of the keys that it loses."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
         import xxhash
 
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            digest = xxhash.xxh3_128_digest
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            found = [{digest(k) for k in line_keys(t or b"", min_points) if k} for t in texts]
-            sizes = [len(x) for x in found]
-            halves = np.frombuffer(b"".join(b"".join(x) for x in found), np.int64).reshape(-1, 2)
-            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            for k in range(0, len(at), 1 << 18):
-                part = slice(k, k + (1 << 18))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at[part]), pa.array(halves[part, 0]), pa.array(halves[part, 1])], ["_doc", "_a", "_b"])
+            for start in range(0, batch.num_rows, 1000):
+                rows = batch.slice(start, 1000)
+                texts = rows.column(1).cast(pa.binary()).to_pylist()
+                found = [{digest(k) for k in line_keys(t or b"", min_points) if k} for t in texts]
+                sizes = [len(x) for x in found]
+                halves = np.frombuffer(b"".join(b"".join(x) for x in found), np.int64).reshape(-1, 2)
+                at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                for k in range(0, len(at), 1 << 18):
+                    part = slice(k, k + (1 << 18))
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(at[part]), pa.array(halves[part, 0]), pa.array(halves[part, 1])], ["_doc", "_a", "_b"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scratch = Scratch(docs.sparkSession)
@@ -76,32 +78,34 @@ def drop_frequent_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min
     schema = both.select("_row", F.lit("").alias("_text"), F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_lost")).schema
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
         import xxhash
 
         for batch in batches:
-            digest = xxhash.xxh3_128_digest
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            lists = batch.column(2)
-            flat = lists.flatten()
-            halves = np.stack([flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)], 1).astype(np.int64).tobytes() if len(flat) else b""
-            sizes = lists.value_lengths().fill_null(0).to_pylist()
-            kept, n, gone, at = [], [], [], 0
-            for text, size in zip(texts, sizes, strict=True):
-                text = text or b""
-                if size:
-                    drop = {halves[k : k + 16] for k in range(at, at + 16 * size, 16)}
-                    at += 16 * size
-                    lines = text.split(b"\n")
-                    left = [x for x, k in zip(lines, line_keys(text, min_points), strict=True) if not k or digest(k) not in drop]
-                    kept.append(b"\n".join(left))
-                    n.append(len(lines))
-                    gone.append(len(lines) - len(left))
-                else:
-                    kept.append(text)
-                    n.append(text.count(b"\n") + 1)
-                    gone.append(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["_row", "_text", "_n", "_lost"])
+            for start in range(0, batch.num_rows, 1000):
+                yield part(batch.slice(start, 1000), xxhash.xxh3_128_digest)
+
+    def part(batch: pa.RecordBatch, digest: Callable[[bytes], bytes]) -> pa.RecordBatch:
+        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        lists = batch.column(2)
+        flat = lists.flatten()
+        halves = np.stack([flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)], 1).astype(np.int64).tobytes() if len(flat) else b""
+        sizes = lists.value_lengths().fill_null(0).to_pylist()
+        kept, n, gone, at = [], [], [], 0
+        for text, size in zip(texts, sizes, strict=True):
+            text = text or b""
+            if size:
+                drop = {halves[k : k + 16] for k in range(at, at + 16 * size, 16)}
+                at += 16 * size
+                lines = text.split(b"\n")
+                left = [x for x, k in zip(lines, line_keys(text, min_points), strict=True) if not k or digest(k) not in drop]
+                kept.append(b"\n".join(left))
+                n.append(len(lines))
+                gone.append(len(lines) - len(left))
+            else:
+                kept.append(text)
+                n.append(text.count(b"\n") + 1)
+                gone.append(0)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["_row", "_text", "_n", "_lost"])
 
     out = both.mapInArrow(tidied(rebuild), schema)
     columns = [F.col("_text").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in names]

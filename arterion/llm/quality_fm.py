@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterion.llm.common import Scratch, table, tidied
+from arterion.llm.common import lean, Scratch, table, tidied
 from arterion.llm.labelled import MOST_LABELLED, fold, sample
 
 BUCKETS, FACTORS = 1 << 12, 6
@@ -148,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Fact
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.astype(np.int16) for a, _ in found], pa.list_(pa.int16())), pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))], ["place", "label", "at", "x"])
 
     # Places fix the order of the rows, so fitting doesn't depend on how they are dealt.
-    got = rows.select(F.xxhash64("text").alias("place"), "text", "label").mapInArrow(tidied(work), "place long, label int, at array<short>, x array<float>").toArrow().sort_by("place")
+    with lean(docs.sparkSession):
+        got = rows.select(F.xxhash64("text").alias("place"), "text", "label").mapInArrow(tidied(work), "place long, label int, at array<short>, x array<float>").toArrow().sort_by("place")
     scratch.close()
     y = got["label"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:

@@ -9,7 +9,9 @@ and may be kept as a 16-bit WAV file.
 
 Defined results: a null payload is an empty one; the payload is padded by bytes
 0 to a positive multiple of 64, so an empty text has 64 samples; equal payloads
-give equal media and features; nothing depends on a row's neighbours.
+give equal media and features; repeated rows stay; a payload of any length is
+stored whole; nothing depends on a row's neighbours; further columns are not
+looked at, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterion.llm.common import Scratch, table, tidied
+from arterion.llm.common import lean, Scratch, table, tidied
 from arterion.llm.labelled import MOST_LABELLED, fold, sample
 from arterion.llm.wordhash import WordHasher
 
@@ -50,6 +50,8 @@ PRIOR, EVEN = 50.0, 0.5
 #: thousands of words, some reach three by chance.
 CAUTION = 3.5
 DRIFT = 0.25
+#: Features that a task counts before it hands them on.
+HELD = 20_000
 #: Steps of the score, as of the tallies of clean tokens.
 STEP = 0.01
 THRESHOLD = 0.7
@@ -164,10 +166,18 @@ def counts(rows: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+
+        def part() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f for f, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["feature", "class", "n"])
+
         for batch in batches:
             for x, label, half in zip(plain(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 seen.update((f, 2 * half + label) for f in features_of(set(x.as_py().split())) | {"*"})
-        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in seen]), pa.array([c for _, c in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["feature", "class", "n"])
+                if len(seen) >= HELD:
+                    yield part()
+                    seen.clear()
+        if seen:
+            yield part()
 
     rows = rows.mapInArrow(tidied(count), "feature string, class int, n long")
     cells = [F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(4)]
@@ -176,26 +186,41 @@ def counts(rows: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
     return n, n.pop("*", np.zeros((2, 2)))
 
 
+def evidence(y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How sure the sign of each feature's log-odds is, in standard errors: the signed root of the likelihood ratio of
+    its documents by label (clean, toxic) against one rate for both."""
+    least = lambda k, p: k * np.log(np.where(k > 0, p, 1.0))
+    own, both = y / n, (y.sum(1) / n.sum())[:, None]
+    ratio = 2 * (least(y, own) + least(n - y, 1 - own) - least(y, both) - least(n - y, 1 - both)).sum(1)
+    return np.sqrt(np.maximum(0.0, ratio))
+
+
+def telling(seen: dict[str, np.ndarray], n: np.ndarray) -> list[str]:
+    """The features whose score isn't 0."""
+    names = list(seen)
+    if not names or not n.all():
+        return []
+    sure = evidence(np.array([seen[f] for f in names]), n) > CAUTION
+    return [f for f, s in zip(names, sure.tolist(), strict=True) if s]
+
+
 def lexicon(seen: dict[str, np.ndarray], n: np.ndarray, rate: dict[str, float]) -> Lexicon:
-    """Shrunk log-odds of each feature of ``seen`` (documents by label), toxic against clean."""
-    names = [f for f, x in seen.items() if x.sum()]
+    """Shrunk log-odds of each feature of ``seen`` (documents by label), toxic against clean.
+
+    A word that isn't listed and one of score 0 are the same, but that the first takes the score of its stem: so of
+    words of score 0 those are listed whose stem has another one.
+    """
+    lex = Lexicon()
+    names = telling(seen, n)
     if not names:
-        return Lexicon()
+        return lex
     y = np.array([seen[f] for f in names])
     prior = PRIOR * np.array([[rate.get(f, 0.0)] for f in names]) + EVEN
     odds = np.log((y + prior) / (n + PRIOR + 2 * EVEN - y - prior + EVEN))
-    # How sure the sign is: the signed root of the likelihood ratio against one rate for both kinds.
-    least = lambda k, p: k * np.log(np.where(k > 0, p, 1.0))
-    own, both = y / n, (y.sum(1) / n.sum())[:, None]
-    root = np.sqrt(np.maximum(0.0, 2 * (least(y, own) + least(n - y, 1 - own) - least(y, both) - least(n - y, 1 - both)).sum(1)))
-    delta = odds[:, 1] - odds[:, 0]
-    score = np.round(delta * np.maximum(0.0, 1 - CAUTION / np.maximum(root, 1e-9)) / STEP) * STEP
-    lex = Lexicon()
+    score = np.round((odds[:, 1] - odds[:, 0]) * (1 - CAUTION / evidence(y, n)) / STEP) * STEP
     for f, d in zip(names, score.tolist(), strict=True):
-        if f.endswith("*"):
-            lex.stems[f[:-1]] = d
-        else:
-            lex.words[f] = d
+        (lex.stems if f.endswith("*") else lex.words)[f.removesuffix("*")] = d
+    lex.words |= {f: 0.0 for f in seen if f not in lex.words and not f.endswith("*") and len(f) > STEM and f[:STEM] in lex.stems}
     return lex
 
 
@@ -308,15 +333,19 @@ def _calibrating(rows: DataFrame, lexicons: list[Lexicon]) -> tuple[np.ndarray,
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Lexicon | None:
     """A calibrated lexicon, fitted on labelled rows whose fold of three is not 1; None without labels of both kinds."""
-    scratch = Scratch(docs.sparkSession)
+    with lean(docs.sparkSession):
+        return _train(Scratch(docs.sparkSession), docs, labels, most)
+
+
+def _train(scratch: Scratch, docs: DataFrame, labels: DataFrame, most: int) -> Lexicon | None:
     rows = sample(scratch, docs, labels, "toxic", fold("doc_id", 3) != 1, most)
     seen, n = counts(rows)
     if not n.sum(0).all():
         scratch.close()
         return None
-    rate = corpus_rates(docs, sorted(seen))
-    lexicons = [lexicon({f: x[k] for f, x in seen.items()}, n[k], rate) if n[k].all() else Lexicon() for k in (0, 1)]
-    lexicons.append(lexicon({f: x.sum(0) for f, x in seen.items()}, n.sum(0), rate))
+    parts = [({f: x[k] for f, x in seen.items() if x[k].any()}, n[k]) for k in (0, 1)] + [({f: x.sum(0) for f, x in seen.items()}, n.sum(0))]
+    rate = corpus_rates(docs, sorted({f for part in parts for f in telling(*part)}))
+    lexicons = [lexicon(*part, rate) for part in parts]
     for lex, (tally, segments) in zip(lexicons, _tallies(rows, lexicons), strict=True):
         _karlin(lex, tally, segments)
     if n.all():

@@ -4,6 +4,7 @@ import pytest
 
 from arterion.llm import toxicity
 from arterion.llm.common import table
+from tests.llm.test_by_brute_force import slow_toxicity
 from tests.llm.test_operators import brute_components
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -13,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def test_pipeline_matches_its_stages_by_brute_force(spark):
     rows = {r["doc_id"]: r["text"] or "" for r in table(spark, SF, "documents").collect()}
     lexicon = toxicity.train(table(spark, SF, "documents"), table(spark, SF, "labels"))
-    rows = {i: t for i, t in rows.items() if lexicon.probability(t) < toxicity.THRESHOLD}
+    rows = {i: t for i, t in rows.items() if slow_toxicity(lexicon, t)[0] < toxicity.THRESHOLD}
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     seen = {}
     for i, t in rows.items():
@@ -42,3 +43,20 @@ def test_stages_keep_the_columns(spark):
         assert out.columns == docs.columns and out.count() <= 30
         empty = stage(spark, small.where("false"), SF)
         assert empty.columns == docs.columns and empty.count() == 0
+
+
+def test_stages_of_odd_tables(spark):
+    """Columns whose names clash with those of the operators, no n_chars, repeated rows, nulls and long texts."""
+    names = ("_bad", "n_lines", "n_dropped", "_extra", "_row", "_text", "label", "score", "n", "item_id", "a", "b", "c", "row", "tokens", "component_id")
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "One two three four five  six"), (3, None), (None, "seven eight"), (None, None), (4, ""), (5, "word " * 40_000), (6, "x\n" * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("doc_id", "text", *[f"{k} AS {c}" for k, c in enumerate(names)])
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        left[name] = sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in out.collect())
+        assert {r["n_lines"] for r in out.collect()} == {1}
+    every = sorted((i is not None, i or 0) for i, _ in rows)
+    assert left["toxicity"] == left["line_dedup"] == left["decontamination"] == every
+    assert left["near_duplicates"] == sorted([(False, 0), (False, 0)] + [(True, k) for k in (1, 3, 4, 5, 6)])
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
