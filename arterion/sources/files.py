@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arterion.sources import synthetic
+
 ALIASES = {"r": ("r", "red"), "g": ("g", "green"), "b": ("b", "blue"), "t": ("timestamp", "time", "t", "ts")}
 NUMERIC = ("int", "bigint", "double", "float", "smallint", "tinyint")
 
@@ -217,3 +219,12 @@ def read_contract(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 def export_contracts(spark: SparkSession, schemas: dict[str, T.StructType], path: str) -> None:
     """Each schema by name, as JSON lines."""
     spark.createDataFrame([(n, s.json()) for n, s in sorted(schemas.items())], "name string, schema string").coalesce(1).write.mode("overwrite").json(path)
+
+
+def resolve(spark: SparkSession, source: str, seed: int = 3, seconds: float = 60.0) -> DataFrame:
+    """Recordings by what names them: "synthetic" for made-up ones, else a folder of .npz files, in order of name."""
+    if source != "synthetic":
+        return read_recordings(spark, source).orderBy("recording_id")
+    made = [synthetic.record(s) for s in synthetic.suite(seed, seconds)]
+    rows = [(r.scenario.name, r.ts.tolist(), {k: v.tolist() for k, v in r.rgb.items()}, r.face.tolist(), r.beats.tolist()) for r in made]
+    return spark.createDataFrame(rows, RECORDING)

@@ -275,6 +275,12 @@ def test_registry_life_cycle(spark, tmp_path):
         registry.updated(again, "m", "1.9.0", "BEST")
 
 
+def test_a_benchmark_calibrates_on_other_rows(spark):
+    rows = spark.range(600).select((F.col("id") % 2 == 0).alias("train"), (F.col("id") % 3).alias("scenario"), (F.col("id") % 100 / 100).alias("conf"), F.lit(70.0).alias("ref"), (70 + F.when(F.col("id") % 10 < F.col("id") % 100 / 20, 1).otherwise(20)).cast("double").alias("est"))
+    out = models.benchmark(rows.where("train"), rows.where("NOT train"), ["scenario"], "est", "ref", "conf", 5.0)
+    assert out["errors"].count() == 3 and out["after"].first()["ece"] < out["before"].first()["ece"] and out["after"].first()["windows"] == 300
+
+
 def test_sessions_are_listed(spark):
     pdf, _ = camera(2.0)
     got = live.sessions(spark.createDataFrame(pdf), 1900.0).first()
