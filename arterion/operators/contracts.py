@@ -44,7 +44,7 @@ def measurement_rows(found: DataFrame) -> DataFrame:
     hr = find(F.col("vitals"), "heart_rate")
     return found.select(
         "session_id", "at", F.when(F.col("status") == "INVALID", "REJECTED").otherwise("READY").alias("state"), metrics(F.col("vitals")).alias("metrics"), label(hr["quality"], F.col("status")).alias("label"),
-        F.bround(hr["quality"] * 100, 0).cast("int").alias("score"), F.to_json("vitals").alias("json"), F.date_format(F.timestamp_micros((F.col("at") * 1000000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("measured_at"),
+        F.bround(hr["quality"] * 100, 0).cast("int").alias("score"), F.to_json("vitals").alias("json"), F.date_format(F.to_utc_timestamp(F.timestamp_micros((F.col("at") * 1000000).cast("long")), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("measured_at"),
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterion.operators import arrays, frames, health
+from arterion.operators import arrays, contracts, frames, health
 
 _CODES = ("heart_rate", "hrv_rmssd", "hrv_sdnn", "hrv_mean_ibi", "respiratory_rate")
 
@@ -18,7 +18,8 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 5").select(
         "l_orderkey", F.struct(
             F.get(F.array(*[F.lit(c) for c in _CODES]), F.col("l_linenumber") - 1).alias("code"), (F.col("l_quantity").cast("double") * 3).alias("value"), F.lit("u").alias("unit"),
-            F.when(F.col("l_returnflag") == "R", "INVALID").otherwise("OK").alias("status"), F.col("l_discount").cast("double").alias("confidence"), F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("s"),
+            F.when(F.col("l_returnflag") == "R", "INVALID").otherwise("OK").alias("status"), F.col("l_discount").cast("double").alias("confidence"), (F.col("l_tax").cast("double") * 10).alias("quality"),
+            F.when(F.col("l_returnflag") == "A", F.array(F.lit("LOW"))).when(F.col("l_returnflag") == "R", F.array(F.lit("X"), F.lit("Y"))).otherwise(F.expr("cast(array() as array<string>)")).alias("issues"), F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("s"),
         ).alias("v"),
     )
     # Several items of an order may have one number: the last by its keys counts.
@@ -29,7 +30,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RESULTS = """i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_returnflag = 'R' ASC) AS n FROM lineitem WHERE l_linenumber <= 5),
-v AS (SELECT l_orderkey AS result_id, o_custkey AS person_id, o_orderstatus, o_totalprice, l_linenumber AS k, CAST(l_quantity AS DOUBLE) * 3 AS value, l_returnflag <> 'R' AS ok FROM i JOIN orders ON l_orderkey = o_orderkey WHERE n = 1)"""
+v AS (SELECT l_orderkey AS result_id, o_custkey AS person_id, o_orderstatus, o_totalprice, l_linenumber AS k, CAST(l_quantity AS DOUBLE) * 3 AS value, l_returnflag <> 'R' AS ok, CAST(l_tax AS DOUBLE) * 10 AS quality, l_returnflag AS flag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nth FROM i JOIN orders ON l_orderkey = o_orderkey WHERE n = 1)"""
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,23 @@ def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("person_id"), (18 + k % 60).alias("age_years"), (k % 2 == 0).alias("sex_male"), F.when(k % 7 != 0, 150.0 + k % 50).alias("height_cm"), (50.0 + k % 45).alias("weight_kg"))
 
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _results(spark, sf_dir).select(F.col("result_id").alias("session_id"), "at", "status", "vitals")
+
+
+def measurement_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contracts.measurement_rows(_found(spark, sf_dir))
+    return out.select("session_id", "state", "label", "score", "measured_at", F.size("metrics").alias("n_metrics"), F.round(F.element_at("metrics", F.lit("heartRate")), 6).alias("heart_rate"), F.size(F.from_json("json", "array<struct<code:string>>")).alias("n_json"))
+
+
+def validation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.validation_rows(_found(spark, sf_dir)).drop("at")
+
+
+def health_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.findings(_found(spark, sf_dir)).select("session_id", "code", F.round("value", 6).alias("value"), "finding")
+
+
 def bp_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _results(spark, sf_dir)
     waves = rows.select("result_id", (F.col("o_totalprice") / 1000).cast("double").alias("aix_proxy"), F.when(F.col("result_id") % 3 == 0, float("nan")).otherwise(1.5).alias("bvp_kurtosis"))
@@ -95,6 +113,7 @@ def array_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "bp_features_31": bp_features, "value_trends": value_trends, "explanations": explanations, "vital_reports": vital_reports, "sample_labels": sample_labels, "pixel_lighting": pixel_lighting, "array_helpers": array_helpers,
+    "measurement_results": measurement_results, "validation_rows": validation_rows, "health_findings": health_findings,
 }
 ORACLES = {
     "bp_features_31": f"""WITH {_RESULTS}, p AS (SELECT result_id, any_value(person_id) AS person_id, any_value(o_totalprice) AS price, max(value) FILTER (WHERE ok AND k = 1) AS hr, max(value) FILTER (WHERE ok AND k = 2) AS rm, max(value) FILTER (WHERE ok AND k = 5) AS rr, count(*) FILTER (WHERE ok) AS n FROM v GROUP BY result_id)
@@ -121,4 +140,10 @@ SELECT label, round(avg(y), 6) AS luma, round(count(*) FILTER (WHERE y <= 5 OR y
     "array_helpers": """WITH e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), s AS (SELECT *, sum(x) OVER (PARTITION BY vec_id ORDER BY i) AS c FROM e)
 SELECT vec_id, CAST(count(*) FILTER (WHERE x > 0) AS INTEGER) AS positive, round(max(c), 6) AS highest_sum, CASE WHEN max(x) FILTER (WHERE i = 1) > 0 THEN 'a,b,c' ELSE 'b,c' END AS keys, round(1 - (100 + min(x)) / (100 + avg(x)), 9) AS intensity,
  max(x) FILTER (WHERE i = 0) BETWEEN 0 AND 1 AS in_unit, max(x) FILTER (WHERE i = 1) * 8 BETWEEN -1 AND 1 AS in_range FROM s GROUP BY vec_id""",
+    "measurement_results": f"""WITH {_RESULTS}, h AS (SELECT result_id, any_value(o_orderstatus) AS o, max(quality) FILTER (WHERE k = 1) AS q, max(value) FILTER (WHERE k = 1 AND ok) AS hr, count(*) FILTER (WHERE ok AND k IN (1, 2, 5)) AS m, count(*) AS n FROM v GROUP BY result_id)
+SELECT result_id AS session_id, CASE WHEN o = 'P' THEN 'REJECTED' ELSE 'READY' END AS state, CASE WHEN o = 'P' THEN 'REJECTED' WHEN q >= 0.7 THEN 'GOOD' WHEN q >= 0.4 THEN 'FAIR' ELSE 'POOR' END AS label, CAST(round_even(q * 100, 0) AS INTEGER) AS score,
+ strftime(make_timestamp(CAST(result_id AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS measured_at, CAST(m AS INTEGER) AS n_metrics, round(hr, 6) AS heart_rate, CAST(n AS INTEGER) AS n_json FROM h""",
+    "validation_rows": f"""WITH {_RESULTS} SELECT result_id AS session_id, ['heart_rate', 'hrv_rmssd', 'hrv_sdnn', 'hrv_mean_ibi', 'respiratory_rate'][k] AS code, ok AS passed, CASE flag WHEN 'A' THEN 'LOW' WHEN 'R' THEN 'X, Y' ELSE '' END AS reason FROM v""",
+    "health_findings": f"""WITH {_RESULTS} SELECT result_id AS session_id, CASE k WHEN 1 THEN 'heart_rate' ELSE 'respiratory_rate' END AS code, round(value, 6) AS value,
+ CASE k WHEN 1 THEN 'resting_heart_rate' ELSE 'respiratory_rate' END || '_' || CASE WHEN value < CASE k WHEN 1 THEN 60 ELSE 12 END THEN 'below' WHEN value > CASE k WHEN 1 THEN 100 ELSE 20 END THEN 'above' ELSE 'within' END || '_typical_range' AS finding FROM v WHERE ok AND k IN (1, 5)""",
 }

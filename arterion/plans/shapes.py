@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterion.operators import arrays, contracts, vectors
+from arterion.operators import arrays, vectors
 from arterion.plans import signals
 
 
@@ -25,13 +25,8 @@ def reason_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("user_id", F.array_join(seen, ",").alias("codes"), F.array_join(F.array_union(F.array(F.lit("gate")), F.array_sort(seen)), ",").alias("all_codes"), F.array_join(F.array_except(F.array(*[F.lit(x) for x in ("click", "view", "other")]), seen), ",").alias("lacking"))
 
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contracts.results(signals.vitals_batch(spark, sf_dir))
-
-
 QUERIES = {
     "window_arrays": window_arrays, "reason_sets": reason_sets,
-    "measurement_results": lambda s, d: contracts.measurement_rows(_results(s, d)).drop("metrics"), "validation_rows": lambda s, d: contracts.validation_rows(_results(s, d)), "health_findings": lambda s, d: contracts.findings(_results(s, d)),
     "filtered_features": lambda s, d: vectors.waveform_features(vectors.filtered(signals.windows(s, d), ["vec_id"], "x", signals.FS, 0.7, 3.0), ["vec_id"], "x"),
 }
 ORACLES = {
