@@ -16,7 +16,6 @@ where these are asked for.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
