@@ -26,6 +26,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,9 @@ from pyspark.sql import functions as F
 
 from arterion.llm.common import table, tidied
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Characters of text that are worked on at a time; segments that a worker remembers, and the characters of each at most.
@@ -64,7 +68,7 @@ class Model:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+        from tokenizers import Tokenizer, models, normalizers
 
         m = sentencepiece_model_pb2.ModelProto()
         m.ParseFromString(proto)
@@ -82,14 +86,8 @@ class Model:
         else:
             raise ValueError("only unigram and BPE models are read")
         self.map = normalizers.Precompiled(self.charsmap) if self.charsmap else None
-        #: Segments are normalised before they are cut, so this one has no normaliser; ``whole`` has all of it.
+        #: Segments are normalised before they are cut, so this one has no normaliser; whole() has all of it.
         self.backend = Tokenizer(core)
-        self.whole = Tokenizer(core)
-        steps = [self.map] if self.map else []
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()] if self.fold else []
-        steps += [normalizers.Prepend(MARK)] if self.prefix else []
-        self.whole.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
-        self.whole.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if self.prefix else [])])
         # Without byte fallback, unknown characters in a row are one piece, also over a cut.
         self.cuts = bytes_too and not any(_GLUED.search(p) for p, _, kind in self.pieces if kind not in (UNKNOWN, CONTROL, BYTE))
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.pieces]
@@ -101,6 +99,18 @@ class Model:
         self.known: dict[str, bytes] = {}
         self.differ: set[str] = set()
 
+    def whole(self) -> Tokenizer:
+        """A tokenizer with the model's normaliser and decoder, for texts as they come."""
+        from tokenizers import Regex, Tokenizer, decoders, normalizers
+
+        out = Tokenizer(self.backend.model)
+        steps = [self.map] if self.map else []
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()] if self.fold else []
+        steps += [normalizers.Prepend(MARK)] if self.prefix else []
+        out.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
+        out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if self.prefix else [])])
+        return out
+
     def normalise(self, text: str) -> str:
         if self.map:
             text = self.map.normalize_str(text)
