@@ -102,9 +102,12 @@ def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bbox_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Smoothed positions of each session; frames without a face hold the last one."""
+    """Smoothed positions of each session; frames without a face hold the last one.
+
+    Shown as logarithms: means of numbers of two places often end in a 5, where rounding would depend on the last bit.
+    """
     rows = view(spark, sf_dir).withColumn("v", F.when(F.col("face").isNotNull(), F.col("value")))
-    return frames.smoothed_boxes(rows, "v", order=("t", "event_id")).select("event_id", F.round("smooth", 4).alias("box"))
+    return frames.smoothed_boxes(rows, "v", order=("t", "event_id")).select("event_id", F.round(F.log1p("smooth"), 8).alias("box"))
 
 
 def largest_face(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +147,7 @@ _EMA = f"""WITH RECURSIVE {_VIEW}, e AS (SELECT session_id, event_id, CASE WHEN
 r AS (SELECT session_id, event_id, k, v AS box, CASE WHEN v IS NULL THEN 1 ELSE 0 END AS missing FROM e WHERE k = 1
  UNION ALL SELECT e.session_id, e.event_id, e.k, CASE WHEN e.v IS NOT NULL THEN CASE WHEN r.box IS NULL THEN e.v ELSE 0.65::DOUBLE * e.v + 0.35::DOUBLE * r.box END WHEN r.missing + 1 > 10 THEN NULL ELSE r.box END, CASE WHEN e.v IS NULL THEN r.missing + 1 ELSE 0 END
  FROM r JOIN e ON e.session_id = r.session_id AND e.k = r.k + 1)
-SELECT event_id, round(box, 4) AS box FROM r"""
+SELECT event_id, round(ln(1 + box), 8) AS box FROM r"""
 
 # The protocol as a list of moves; after the fourth failure of quality it fails.
 _MOVES = """m(s, e, t) AS (VALUES ('IDLE', 'REQUEST_CAMERA', 'CAMERA_PERMISSION'), ('CAMERA_PERMISSION', 'PERMISSION_GRANTED', 'CAMERA_READY'), ('CAMERA_READY', 'START_MEASUREMENT', 'FACE_SEARCH'), ('FACE_SEARCH', 'FACE_FOUND', 'FACE_LOCKED'),

@@ -18,7 +18,7 @@ def _pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ridge_bp(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = models.Ridge(FEATURES).fit(_pressure(spark, sf_dir))
-    return spark.createDataFrame([(c, *map(float, w)) for c, w in zip(FEATURES, model.weights / model.scale[:, None], strict=True)], "feature string, sbp double, dbp double").select("feature", F.round("sbp", 4).alias("sbp"), F.round("dbp", 4).alias("dbp"))
+    return spark.createDataFrame([(c, *map(float, w)) for c, w in zip(FEATURES, model.weights / model.scale[:, None], strict=True)], "feature string, sbp double, dbp double").select("feature", (F.round("sbp", 4) + 0.0).alias("sbp"), (F.round("dbp", 4) + 0.0).alias("dbp"))  # a zero without a sign
 
 
 def bp_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,17 @@ def phrase_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"ridge_bp": ridge_bp, "bp_predictions": bp_predictions, "bp_cross_validated": bp_cross_validated, "isotonic": isotonic, "number_guard": number_guard, "phrase_guard": phrase_guard}
+# Cramer's rule for the three scaled features: (Z'Z + 1) w = Z'y.
+_RIDGE = """WITH r AS (SELECT CAST(l_quantity AS DOUBLE) AS a, CAST(l_discount AS DOUBLE) AS b, CAST(l_tax AS DOUBLE) AS c, CAST(l_extendedprice / 500 AS DOUBLE) AS s, CAST(l_quantity + 40 AS DOUBLE) AS d FROM lineitem),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(s) AS ms, avg(d) AS md, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc FROM r),
+z AS (SELECT (a - ma) / sa AS x, (b - mb) / sb AS y, (c - mc) / sc AS w, s - ms AS s, d - md AS d FROM r, m),
+g AS (SELECT sum(x * x) + 1 AS p, sum(x * y) AS q, sum(x * w) AS u, sum(y * y) + 1 AS v, sum(y * w) AS n, sum(w * w) + 1 AS o, sum(x * s) AS s1, sum(y * s) AS s2, sum(w * s) AS s3, sum(x * d) AS d1, sum(y * d) AS d2, sum(w * d) AS d3 FROM z),
+i AS (SELECT *, p * (v * o - n * n) - q * (q * o - n * u) + u * (q * n - v * u) AS det, v * o - n * n AS i11, u * n - q * o AS i12, q * n - u * v AS i13, p * o - u * u AS i22, u * q - p * n AS i23, p * v - q * q AS i33 FROM g)
+SELECT 'l_quantity' AS feature, round((i11 * s1 + i12 * s2 + i13 * s3) / det / sa, 4) + 0.0 AS sbp, round((i11 * d1 + i12 * d2 + i13 * d3) / det / sa, 4) + 0.0 AS dbp FROM i, m
+UNION ALL SELECT 'l_discount', round((i12 * s1 + i22 * s2 + i23 * s3) / det / sb, 4) + 0.0, round((i12 * d1 + i22 * d2 + i23 * d3) / det / sb, 4) + 0.0 FROM i, m
+UNION ALL SELECT 'l_tax', round((i13 * s1 + i23 * s2 + i33 * s3) / det / sc, 4) + 0.0, round((i13 * d1 + i23 * d2 + i33 * d3) / det / sc, 4) + 0.0 FROM i, m"""
 ORACLES = {
+    "ridge_bp": _RIDGE,
     "number_guard": r"""WITH x AS (SELECT doc_id, [CAST(replace(v, ',', '.') AS DOUBLE) for v in regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?')] AS x FROM documents)
 SELECT doc_id, len(x) AS n, list_max(x) AS top FROM x""",
     "phrase_guard": """WITH b AS (

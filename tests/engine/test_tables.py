@@ -135,3 +135,17 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.table("frames_out").toPandas()
     by = ["session_id", "t"]
     pd.testing.assert_frame_equal(got.sort_values(by).reset_index(drop=True), want.sort_values(by).reset_index(drop=True), check_dtype=False)
+
+
+def test_agreement_of_regions_matches_the_kernel(spark):
+    from arterion.functions import quality
+    from arterion.plans import signals
+
+    got = {r["trace"]: (r["r_mean"], r["r_min"]) for r in signals.cross_roi_corr(spark, SF).collect()}
+    rows = signals.traces(spark, SF).collect()
+    assert len(got) == len(rows) > 10
+    for row in rows:
+        rgb = np.array([row["r"], row["g"], row["b"]]).T
+        other = rgb[:, [1, 2, 0]]
+        want = quality.cross_roi({f"roi{k}": rgb * (1 - w) + other * w for k, w in enumerate((0.0, 0.1, 0.25))}, signals.FS)
+        assert np.allclose(got[row["trace"]], (want["r_mean"], want["r_min"]), atol=2e-6)
