@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
@@ -98,9 +99,25 @@ class Scratch:
         self.drop(*[x for _, x in list(self.paths.values()) if all(x is not y for y in but)])
 
 
-def stash(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    return Scratch(spark).keep(df, what)
+_RESULTS: list[Scratch] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Deletes the stashed results of this process, if its session still runs."""
+    for scratch in _RESULTS:
+        with suppress(Exception):  # at exit nobody could act upon it
+            scratch.close()
+
+
+def stash(spark: SparkSession, df: DataFrame, what: str, scratch: Scratch | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again; the tables of ``scratch`` go.  The result itself is deleted
+    when the process ends."""
+    _RESULTS.append(Scratch(spark))
+    out = _RESULTS[-1].keep(df, what)
+    if scratch:
+        scratch.close()
+    return out
 
 
 #: Keys that hold more than this part of all rows are hot, so that there are at most HOT_KEYS of them.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arterion.llm import decontamination, language_id, licenses, line_dedup, ngram_jaccard, quality_fm, secrets, sentencepieces, telephony, toxicity
+from arterion.llm import conversation_repair, decontamination, language_id, licenses, line_dedup, ngram_jaccard, quality_fm, secrets, sentencepieces, telephony, toxicity, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_language_id": language_id.op10_language_id,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scans": secrets.ORACLE_SQL, "op7_license_scans": licenses.ORACLE_SQL, "op8_decontamination": decontamination.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {
+        "op1_secret_scans": secrets.ORACLE_SQL,
+        "op7_license_scans": licenses.ORACLE_SQL,
+        "op8_decontamination": decontamination.ORACLE_SQL,
+        "op9_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_conversation_repair": conversation_repair.ORACLE_SQL,
+        "op12_vector_codes": vector_codes.ORACLE_SQL,
+    }
