@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arterion.llm import conversation_repair, decontamination, language_id, licenses, line_dedup, ngram_jaccard, quality_fm, secrets, sentencepieces, telephony, toxicity, vector_codes
+from arterion.llm import conversation_repair, decontamination, language_id, licenses, line_dedup, ngram_jaccard, personal_data, quality_fm, secrets, sentencepieces, telephony, toxicity, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_id": language_id.op10_language_id,
         "op11_conversation_repair": conversation_repair.op11_conversation_repair,
         "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_personal_data": personal_data.op13_personal_data,
     }
 
 
