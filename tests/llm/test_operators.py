@@ -474,7 +474,38 @@ def test_decontamination_keeps_passages_apart(spark):
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
     rows = [(1, other + item), (2, other + "so it goes on here " * 90 + cut), (3, other), (4, item + " " + other), (None, other + "and no more"), (None, item)]
     got = {r["doc_id"]: (r["verbatim"], r["n_slots"]) for r in decontamination.contaminated(docs(spark, rows), benchmark).collect()}
-    assert got == {k: (True, 1) for k in (1, 2, 4, None)}
+    assert got == {1: (True, 1), 2: (False, 1), 4: (True, 1), None: (True, 1)}  # words were put into the second: not all windows are there
+
+
+def test_decontamination_refuses_slots_that_disagree_in_any_form(spark):
+    words = "the quick brown fox jumps over a lazy dog while seven small birds sing of rain and sun near old stone walls"
+    item = f"{words} with 4 apples and then {words} until 9 pears lie there beside {words} for 4 days"
+    put = lambda *v: item.replace("4 apples", f"{v[0]} apples").replace("9 pears", f"{v[1]} pears").replace("4 days", f"{v[2]} days")
+    named = "in the park Alice met a very old friend of hers by the gate and then walked home where Bob and Alice ate two warm loaves of bread"
+    benchmark = spark.createDataFrame([(1, item), (2, named)], "item_id long, text string")
+    rows = [(1, put(7, 7, 8)), (2, put(7, 9, 8)), (3, put(7, 9, 7)), (4, item.upper()), (5, put(7, 9, 8).upper()), (6, put(7, 7, 8) + " " + "so it goes " * 300 + item.upper())]
+    rows += [(7, named.replace("Alice met", "Carol met").replace("Alice ate", "Dave ate")), (8, named.replace("Alice", "Carol")), (9, named.lower())]
+    got = {(r["doc_id"], r["item_id"]): (r["verbatim"], r["n_matched"] == r["n_windows"]) for r in decontamination.contaminated(docs(spark, rows), benchmark).collect()}
+    assert got == {(3, 1): (False, True), (4, 1): (True, True), (6, 1): (True, True), (8, 2): (False, True), (9, 2): (True, True)}
+
+
+def test_decontamination_equals_its_sql_with_several_passages(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(6)
+    words = [f"w{chr(97 + k)}{chr(97 + k % 7)}" for k in range(20)]
+    text = lambda n: " ".join(rng.choice([*words, "4", "9", "Ann", "Bea", "kg", "."]) for _ in range(n))
+    items = [(k, text(rng.choice([2, 5, 12, 30]))) for k in range(25)]
+    values = {"4": "7", "9": "9", "Ann": "Cid"}
+    change = lambda t: " ".join(rng.choice([w, values.get(w, w)]) for w in t.split())
+    rows = [(k, " ".join(x for _ in range(rng.randint(1, 3)) for x in (text(rng.randint(0, 40)), rng.choice([str, str.upper, change, change])(rng.choice(items)[1])))) for k in range(150)]
+    con = duckdb.connect()
+    for name, data, key in (("documents", rows, "doc_id"), ("benchmark", items, "item_id")):
+        spark.createDataFrame(data, f"{key} long, text string").coalesce(1).write.parquet(str(tmp_path / name))
+        con.sql(f"create view {name} as select * from '{tmp_path / name}/*.parquet'")
+    want = con.sql(decontamination.ORACLE_SQL).fetchall()
+    out = decontamination.contaminated(spark.read.parquet(str(tmp_path / "documents")), spark.read.parquet(str(tmp_path / "benchmark")))
+    assert len(want) > 40 and sorted(tuple(r) for r in out.collect()) == sorted(want)
 
 
 def test_decontamination_by_plain_windows(spark):
