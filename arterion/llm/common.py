@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,8 +77,12 @@ class Scratch:
     """Intermediate tables in the shared folder, which survive the loss of any executor; each can be deleted once it
     isn't read any more, and close() deletes all but the named ones."""
 
+    #: After so many tables the driver lets go of the plans of earlier ones: each holds its whole lineage until both
+    #: garbage collectors have seen it.
+    TIDY = 4
+
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.kept = spark, {}, 0
 
     def keep(self, df: DataFrame, what: str) -> DataFrame:
         """``df`` written and read again."""
@@ -86,6 +91,10 @@ class Scratch:
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
+        self.kept += 1
+        if self.kept % self.TIDY == 0:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *tables: DataFrame) -> None:

@@ -466,17 +466,23 @@ def _open(members: DataFrame, open_pairs: DataFrame, labels: DataFrame) -> DataF
     return inside.select("sig", "long", "own", _size(F.col("c")).alias("n"), "c", F.coalesce("lc", "c").alias("lc"))
 
 
+def _pivots(inside: DataFrame, rank: list[str], low: int, high: int) -> DataFrame:
+    """Of each bucket the members that aren't long at places ``low`` up to ``high``.
+
+    The filter is on the plain rank: so Spark limits each task's rows of a bucket to ``high`` before they are shuffled.
+    """
+    ranked = inside.where(F.col("long") == 0).withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy(*rank)))
+    return ranked.where((F.col("rank") <= high) & (F.col("rank") > low)).withColumn("place", F.col("rank") - 1).drop("rank")
+
+
 def _cells(scratch: Scratch, inside: DataFrame, sets: DataFrame, low: int, high: int) -> tuple[DataFrame, bool]:
     """Rows for _compare(), and if a bucket has pivots beyond ``high``.
 
     A bucket's members are dealt to cells of about CELL_MEMBERS, and its pivots at places ``low`` to ``high`` of those
-    that aren't long, by CELL_PIVOTS, go to each of them.  Places are found by a limited rank, which drops most rows of
-    a hot bucket before they are shuffled.
+    that aren't long, by CELL_PIVOTS, go to each of them.
     """
     rank = ["own", "n", "c"]
-    place = F.row_number().over(Window.partitionBy("sig").orderBy(*rank)) - 1
-    pivots = inside.where(F.col("long") == 0).withColumn("place", place).where((F.col("place") >= low) & (F.col("place") < high))
-    pivots = scratch.keep(pivots, "pivots")
+    pivots = scratch.keep(_pivots(inside, rank, low, high), "pivots")
     sizes = inside.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("long") == 0).alias("m0"))
     sizes = scratch.keep(sizes.where(F.col("m0") > low).select("sig", F.ceil(F.col("m") / CELL_MEMBERS).cast("int").alias("deals"), F.ceil((F.least("m0", F.lit(high)) - low) / CELL_PIVOTS).cast("int").alias("blocks"), (F.col("m0") > high).alias("more")), "sizes")
     deals = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -1,9 +1,13 @@
 """Toxicity: maximum-scoring segments over token log-odds.
 
 Each token has a log-odds score of toxic against clean labelled documents, with
-a Dirichlet prior whose means are the token's rate in all documents.  A score is
-drawn to 0, whichever sign it has, the less sure its sign is, so a word seen
-seldom says little; a word never seen takes the score of its first letters.  Every
+a Dirichlet prior whose means are the token's rate in all documents (of tokens
+that say little, in the labelled ones).  Every token counted has a score, of
+either sign, and each is drawn to 0 the more the less sure its sign is: by
+z^2 / (z^2 + c^2), z being its evidence in standard errors, so that a word seen
+seldom says little but not nothing.  How much, c, is chosen of CAUTIONS by the
+likelihood of documents that the scores weren't fitted on.  A word never
+counted takes the score of its first letters.  Every
 token pays a small drift, so that a text without toxic words sums to less and
 less, and the linear-time scan for all maximal scoring segments finds each
 passage where toxic words gather.  A segment of score S in m tokens has the
@@ -45,15 +49,18 @@ from arterion.llm.wordhash import WordHasher
 LEAST_SEEN = 2
 STEM = 5
 #: Weight of the prior, in documents, and what each feature has besides.
-PRIOR, EVEN = 50.0, 0.5
-#: A score is drawn to 0 as far as the evidence for its sign, in standard errors, comes near this: among tens of
-#: thousands of words, some reach three by chance.
-CAUTION = 3.5
+PRIOR, EVEN = 50.0, 0.01
+#: Evidence, in standard errors, at which half of a score is left.
+CAUTIONS = (3.0, 3.5, 4.0)
+#: Evidence beyond which the prior's mean is counted over all documents; that of others in the labelled ones.
+TELLING = 3.0
 DRIFT = 0.25
+#: Parts of the sample; each is judged by what was fitted on the others.
+PARTS = 4
 #: Features that a task counts before it hands them on.
 HELD = 20_000
 #: Steps of the score, as of the tallies of clean tokens.
-STEP = 0.01
+STEP = 0.001
 THRESHOLD = 0.7
 SIGNIFICANT = 0.01
 
@@ -106,21 +113,26 @@ class Lexicon:
     weights: tuple[float, ...] = (-4.0, 0.0, 0.0)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_tables"}
+        """What tasks need: hashes in place of words."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("_hasher", "words", "stems")} | {"_tables": self._tables}
 
     @cached_property
-    def _tables(self) -> tuple[WordHasher, list[tuple[np.ndarray, np.ndarray]]]:
+    def _hasher(self) -> WordHasher:
+        return WordHasher(STEM)
+
+    @cached_property
+    def _tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Scores by hash of word and by hash of stem, sorted."""
-        hasher, found = WordHasher(STEM), []
+        hasher, found = self._hasher, []
         for listed in (self.words, self.stems):
             h = np.concatenate([np.zeros(1, np.uint64), *[x for _, x, _ in hasher.groups(pa.array(list(listed), pa.string()))]])
             order = np.argsort(h)
             found.append((h[order], np.concatenate([[0.0], list(listed.values())])[order]))
-        return hasher, found
+        return found
 
     def scores(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The token scores of each text."""
-        hasher, ((own, value), (stems, stem_value)) = self._tables
+        hasher, ((own, value), (stems, stem_value)) = self._hasher, self._tables
         for counts, h, first in hasher.groups(plain(texts)):
             at = np.minimum(np.searchsorted(own, h), len(own) - 1)
             known = own[at] == h
@@ -161,7 +173,7 @@ def features_of(tokens: set[str]) -> set[str]:
 
 
 def counts(rows: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Documents of a sample (text, label, half) by feature, as [half, label]; and the numbers of documents.  Features of
+    """Documents of a sample (text, label, part) by feature, as [part, label]; and the numbers of documents.  Features of
     fewer than LEAST_SEEN documents are left out; the others are bounded by the sample."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +183,8 @@ def counts(rows: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array([f for f, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["feature", "class", "n"])
 
         for batch in batches:
-            for x, label, half in zip(plain(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                seen.update((f, 2 * half + label) for f in features_of(set(x.as_py().split())) | {"*"})
+            for x, label, part_ in zip(plain(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                seen.update((f, 2 * part_ + label) for f in features_of(set(x.as_py().split())) | {"*"})
                 if len(seen) >= HELD:
                     yield part()
                     seen.clear()
@@ -180,10 +192,11 @@ def counts(rows: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
             yield part()
 
     rows = rows.mapInArrow(tidied(count), "feature string, class int, n long")
-    cells = [F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(4)]
-    got = rows.groupBy("feature").agg(*cells).where(f"n0 + n1 + n2 + n3 >= {LEAST_SEEN} OR feature = '*'").toPandas()
-    n = dict(zip(got["feature"], got[[f"n{c}" for c in range(4)]].to_numpy(float).reshape(-1, 2, 2), strict=True))
-    return n, n.pop("*", np.zeros((2, 2)))
+    cells = [F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(2 * PARTS)]
+    total = " + ".join(f"n{c}" for c in range(2 * PARTS))
+    got = rows.groupBy("feature").agg(*cells).where(f"{total} >= {LEAST_SEEN} OR feature = '*'").toPandas()
+    n = dict(zip(got["feature"], got[[f"n{c}" for c in range(2 * PARTS)]].to_numpy(float).reshape(-1, PARTS, 2), strict=True))
+    return n, n.pop("*", np.zeros((PARTS, 2)))
 
 
 def evidence(y: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -196,54 +209,51 @@ def evidence(y: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def telling(seen: dict[str, np.ndarray], n: np.ndarray) -> list[str]:
-    """The features whose score isn't 0."""
+    """The features whose evidence is beyond TELLING."""
     names = list(seen)
     if not names or not n.all():
         return []
-    sure = evidence(np.array([seen[f] for f in names]), n) > CAUTION
+    sure = evidence(np.array([seen[f] for f in names]), n) > TELLING
     return [f for f, s in zip(names, sure.tolist(), strict=True) if s]
 
 
-def lexicon(seen: dict[str, np.ndarray], n: np.ndarray, rate: dict[str, float]) -> Lexicon:
-    """Shrunk log-odds of each feature of ``seen`` (documents by label), toxic against clean.
-
-    A word that isn't listed and one of score 0 are the same, but that the first takes the score of its stem: so of
-    words of score 0 those are listed whose stem has another one.
-    """
-    lex = Lexicon()
-    names = telling(seen, n)
-    if not names:
+def lexicon(seen: dict[str, np.ndarray], n: np.ndarray, rate: dict[str, float], caution: float) -> Lexicon:
+    """Shrunk log-odds of each feature of ``seen`` (documents by label), toxic against clean."""
+    lex, names = Lexicon(), list(seen)
+    if not names or not n.all():
         return lex
     y = np.array([seen[f] for f in names])
-    prior = PRIOR * np.array([[rate.get(f, 0.0)] for f in names]) + EVEN
+    own = y.sum(1) / n.sum()
+    prior = PRIOR * np.array([rate.get(f, r) for f, r in zip(names, own.tolist(), strict=True)])[:, None] + EVEN
     odds = np.log((y + prior) / (n + PRIOR + 2 * EVEN - y - prior + EVEN))
-    score = np.round((odds[:, 1] - odds[:, 0]) * (1 - CAUTION / evidence(y, n)) / STEP) * STEP
+    sure = evidence(y, n) ** 2
+    score = np.round((odds[:, 1] - odds[:, 0]) * sure / (sure + caution * caution) / STEP) * STEP
     for f, d in zip(names, score.tolist(), strict=True):
         (lex.stems if f.endswith("*") else lex.words)[f.removesuffix("*")] = d
-    lex.words |= {f: 0.0 for f in seen if f not in lex.words and not f.endswith("*") and len(f) > STEM and f[:STEM] in lex.stems}
     return lex
 
 
 def _tallies(rows: DataFrame, lexicons: list[Lexicon]) -> list[tuple[dict[int, int], int]]:
-    """For each of three lexicons, how often clean tokens have each score (in STEPs), and the segments in them.
+    """For each lexicon, how often clean tokens have each score (in STEPs), and the segments in them.
 
-    The lexicons are those of half 0, of half 1 and of both; the first two are looked at in the other half.
+    Lexicon k was fitted without part k and is looked at in it; the last one, of all parts, in all.
     """
     held = rows.sparkSession.sparkContext.broadcast(lexicons)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            half = batch.column(1).to_pylist()
+            part = batch.column(1).to_numpy(zero_copy_only=False)
             for k, lex in enumerate(held.value):
-                for s, h in zip(lex.scores(batch.column(0)), half, strict=True):
-                    if h != k:
+                own = np.flatnonzero((part == k) | (k == PARTS))
+                for s in lex.scores(batch.column(0).take(pa.array(own))):
+                    if len(s):
                         value, n = np.unique(np.rint(s / STEP).astype(np.int64), return_counts=True)
                         seen.update({(k, v): c for v, c in zip(value.tolist(), n.tolist(), strict=True)})
                         seen[k, None] += len(maximal_segments(s))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([v for _, v in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["k", "step", "n"])
 
-    clean = rows.where("label = 0").select("text", "half")
+    clean = rows.where("label = 0").select("text", "part")
     got = clean.mapInArrow(tidied(count), "k int, step long, n long").groupBy("k", "step").agg(F.sum("n").alias("n")).collect()  # a row per score
     held.destroy()
     return [({r["step"]: r["n"] for r in got if r["k"] == k and r["step"] is not None}, sum(r["n"] for r in got if r["k"] == k and r["step"] is None)) for k in range(len(lexicons))]
@@ -261,7 +271,7 @@ def _karlin(lex: Lexicon, tally: dict[int, int], segments: int) -> None:
             mid = (low + high) / 2
             low, high = (mid, high) if mean(mid) < 0 else (low, mid)
         lex.lam = max(0.2, min(2.0, (low + high) / 2))
-    least = min((x for x in (*lex.words.values(), *lex.stems.values()) if x > lex.drift), default=1.0) - lex.drift
+    least = min((x * STEP for x in tally if x > 0), default=1.0)
     lex.k = (segments + 1) / (n.sum() + 1) * math.exp(lex.lam * max(least, 0.1))
 
 
@@ -294,7 +304,7 @@ def corpus_rates(docs: DataFrame, features: list[str]) -> dict[str, float]:
     size = len(features)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, tables = held.value._tables
+        hasher, tables = held.value._hasher, held.value._tables
         seen, total = np.zeros(size, np.int64), 0
         for batch in batches:
             total += batch.num_rows
@@ -316,14 +326,15 @@ def corpus_rates(docs: DataFrame, features: list[str]) -> dict[str, float]:
 
 
 def _calibrating(rows: DataFrame, lexicons: list[Lexicon]) -> tuple[np.ndarray, np.ndarray]:
-    """(features, label) of the documents of the sample, each by the lexicon of the other half."""
+    """(features, label) of the documents of the sample, each by the lexicon that was fitted without its part."""
     held = rows.sparkSession.sparkContext.broadcast(lexicons)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, half, found = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
+            label, part, found = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), []
             for k, lex in enumerate(held.value):
-                found += [(*lex.features(lex.segments(s)), y) for s, y, h in zip(lex.scores(batch.column(0)), label, half, strict=True) if h != k]
+                own = np.flatnonzero(part == k)
+                found += [(*lex.features(lex.segments(s)), y) for s, y in zip(lex.scores(batch.column(0).take(pa.array(own))), label[own].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([float(x[j]) for x in found], pa.float64()) for j in range(3)], ["best", "rest", "label"])
 
     got = rows.mapInArrow(tidied(work), "best double, rest double, label double").toPandas().sort_values(["label", "best", "rest"])
@@ -339,20 +350,30 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Lexi
 
 def _train(scratch: Scratch, docs: DataFrame, labels: DataFrame, most: int) -> Lexicon | None:
     rows = sample(scratch, docs, labels, "toxic", fold("doc_id", 3) != 1, most)
+    rows = rows.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int").alias("part"))
     seen, n = counts(rows)
     if not n.sum(0).all():
         scratch.close()
         return None
-    parts = [({f: x[k] for f, x in seen.items() if x[k].any()}, n[k]) for k in (0, 1)] + [({f: x.sum(0) for f, x in seen.items()}, n.sum(0))]
+    without = lambda x, k: x.sum(0) - x[k]
+    parts = [({f: y for f, x in seen.items() if (y := without(x, k)).any()}, without(n, k)) for k in range(PARTS)] + [({f: x.sum(0) for f, x in seen.items()}, n.sum(0))]
     rate = corpus_rates(docs, sorted({f for part in parts for f in telling(*part)}))
-    lexicons = [lexicon(*part, rate) for part in parts]
-    for lex, (tally, segments) in zip(lexicons, _tallies(rows, lexicons), strict=True):
-        _karlin(lex, tally, segments)
-    if n.all():
-        x, y = _calibrating(rows, lexicons[:2])
-        lexicons[2].weights = _logistic(x, y)
+    crossed = all(own.all() for _, own in parts)
+    best: tuple[float, Lexicon] | None = None
+    for caution in CAUTIONS if crossed else CAUTIONS[1:2]:
+        lexicons = [lexicon(*part, rate, caution) for part in parts]
+        for lex, (tally, segments) in zip(lexicons, _tallies(rows, lexicons), strict=True):
+            _karlin(lex, tally, segments)
+        loss = 0.0
+        if crossed:
+            x, y = _calibrating(rows, lexicons[:PARTS])
+            lexicons[PARTS].weights = w = _logistic(x, y)
+            z = np.clip(w[0] + x @ np.array(w[1:]), -50, 50)
+            loss = float(np.log1p(np.exp(np.where(y > 0, -z, z))).sum())
+        if best is None or loss < best[0]:
+            best = loss, lexicons[PARTS]
     scratch.close()
-    return lexicons[2]
+    return best[1]
 
 
 _PASSAGES = "array<struct<start:int,end:int,score:double,surprise:double>>"

@@ -572,3 +572,10 @@ def test_all_languages_of_the_documents_are_told_apart(spark):
 def test_addresses():
     assert language_id.address("https://u@Blog.Example.co.DE:80/fr/1?x") == ("blog.example.co.de", "co.de", "de", "fr")
     assert language_id.address("http://a.org/english/1") == ("a.org", "a.org", "org", "none") and language_id.address(None) == ("", "", "", "none")
+
+
+def test_the_rank_of_pivots_is_limited_before_the_shuffle(spark):
+    rows = spark.range(100).selectExpr("id % 3 AS sig", "0 AS long", "id AS own", "1 AS n", "id AS c")
+    out = ngram_jaccard._pivots(rows, ["own", "n", "c"], 1, 4)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["sig"], r["c"], r["place"]) for r in out.collect()) == sorted((s, s + 3 * k, k) for s in range(3) for k in (1, 2, 3))
