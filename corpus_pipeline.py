@@ -55,11 +55,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_bytes, round_trip, parity) of each document.
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_bytes, round_trip, parity) of each document.
 
-    Written here, as its rows are small and batches of texts are bounded in bytes that way.
+    Written here, as batches of texts are bounded in bytes that way.
     """
-    return stash(spark, sentencepieces.encode(docs, sentencepieces.default_model(), with_ids=False).drop("ids"), "encoded")
+    return stash(spark, sentencepieces.encode(docs, sentencepieces.default_model()), "encoded")
 
 
 STAGES = [
