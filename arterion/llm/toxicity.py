@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -101,12 +101,32 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, b - a) for a, b, s, e in stack]
 
 
+class Scores(Mapping):
+    """Scores by name, kept as two arrays; a name whose score is NaN isn't listed."""
+
+    def __init__(self, names: pa.Array, scores: np.ndarray):
+        self.names, self.scores = names, scores
+
+    @cached_property
+    def _by_name(self) -> dict[str, float]:
+        return {n: v for n, v in zip(self.names.to_pylist(), self.scores.tolist(), strict=True) if v == v}
+
+    def __getitem__(self, name: str) -> float:
+        return self._by_name[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._by_name)
+
+    def __len__(self) -> int:
+        return int((~np.isnan(self.scores)).sum())
+
+
 @dataclass
 class Lexicon:
     """Scores of words and stems; every other word scores 0."""
 
-    words: dict[str, float] = field(default_factory=dict)
-    stems: dict[str, float] = field(default_factory=dict)
+    words: Mapping[str, float] = field(default_factory=dict)
+    stems: Mapping[str, float] = field(default_factory=dict)
     drift: float = DRIFT
     lam: float = 1.0
     k: float = 0.1
@@ -122,12 +142,12 @@ class Lexicon:
 
     @cached_property
     def _tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Scores by hash of word and by hash of stem, sorted."""
-        hasher, found = self._hasher, []
+        """Scores by hash of word and by hash of stem, sorted; NaN of a word that isn't listed."""
+        found = []
         for listed in (self.words, self.stems):
-            h = np.concatenate([np.zeros(1, np.uint64), *[x for _, x, _ in hasher.groups(pa.array(list(listed), pa.string()))]])
-            order = np.argsort(h)
-            found.append((h[order], np.concatenate([[0.0], list(listed.values())])[order]))
+            h, order = sorted_hashes(listed.names if isinstance(listed, Scores) else pa.array(list(listed), pa.string()))
+            values = listed.scores if isinstance(listed, Scores) else np.array(list(listed.values()), float)
+            found.append((h, np.concatenate([[np.nan], values])[order]))
         return found
 
     def scores(self, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -135,10 +155,10 @@ class Lexicon:
         hasher, ((own, value), (stems, stem_value)) = self._hasher, self._tables
         for counts, h, first in hasher.groups(plain(texts)):
             at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-            known = own[at] == h
+            score = np.where(own[at] == h, value[at], np.nan)
             near = np.minimum(np.searchsorted(stems, first), len(stems) - 1)
-            s = np.where(known, value[at], np.where((stems[near] == first) & (first != 0), stem_value[near], 0.0)) - self.drift
-            yield from np.split(s, np.cumsum(counts)[:-1])
+            by_stem = np.where((stems[near] == first) & (first != 0), np.nan_to_num(stem_value[near]), 0.0)
+            yield from np.split(np.where(np.isnan(score), by_stem, score) - self.drift, np.cumsum(counts)[:-1])
 
     def surprise(self, score: float, m: int) -> float:
         """-ln of the chance of a segment of at least ``score`` among ``m`` clean tokens."""
@@ -167,14 +187,21 @@ class Lexicon:
         return [self.probability(self.segments(s)) for s in self.scores(pa.array(texts, pa.string()))]
 
 
+def sorted_hashes(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of ``names`` and of nothing, sorted; the order that sorts them), nothing being first."""
+    h = np.concatenate([np.zeros(1, np.uint64), *[x for _, x, _ in WordHasher(STEM).groups(names)]])
+    order = np.argsort(h)
+    return h[order], order
+
+
 def features_of(tokens: set[str]) -> set[str]:
     """Words, and the stems ("stem*") of those that are longer."""
     return tokens | {x[:STEM] + "*" for x in tokens if len(x) > STEM}
 
 
-def counts(rows: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Documents of a sample (text, label, part) by feature, as [part, label]; and the numbers of documents.  Features of
-    fewer than LEAST_SEEN documents are left out; the others are bounded by the sample."""
+def counts(rows: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Features of a sample (text, label, part), their documents as [feature, part, label], and the numbers of documents.
+    Features of fewer than LEAST_SEEN documents are left out; the others are bounded by the sample."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -194,9 +221,11 @@ def counts(rows: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
     rows = rows.mapInArrow(tidied(count), "feature string, class int, n long")
     cells = [F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(2 * PARTS)]
     total = " + ".join(f"n{c}" for c in range(2 * PARTS))
-    got = rows.groupBy("feature").agg(*cells).where(f"{total} >= {LEAST_SEEN} OR feature = '*'").toPandas()
-    n = dict(zip(got["feature"], got[[f"n{c}" for c in range(2 * PARTS)]].to_numpy(float).reshape(-1, PARTS, 2), strict=True))
-    return n, n.pop("*", np.zeros((PARTS, 2)))
+    got = rows.groupBy("feature").agg(*cells).where(f"{total} >= {LEAST_SEEN} OR feature = '*'").toArrow().combine_chunks().sort_by("feature")
+    n = np.stack([got.column(f"n{c}").to_numpy() for c in range(2 * PARTS)], axis=1).astype(float).reshape(-1, PARTS, 2)
+    names = got.column("feature").combine_chunks()
+    every = pc.equal(names, "*").to_numpy(zero_copy_only=False)
+    return names.filter(pa.array(~every)), n[~every], n[every].sum(0) if every.any() else np.zeros((PARTS, 2))
 
 
 def evidence(y: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -208,29 +237,13 @@ def evidence(y: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, ratio))
 
 
-def telling(seen: dict[str, np.ndarray], n: np.ndarray) -> list[str]:
-    """The features whose evidence is beyond TELLING."""
-    names = list(seen)
-    if not names or not n.all():
-        return []
-    sure = evidence(np.array([seen[f] for f in names]), n) > TELLING
-    return [f for f, s in zip(names, sure.tolist(), strict=True) if s]
-
-
-def lexicon(seen: dict[str, np.ndarray], n: np.ndarray, rate: dict[str, float], caution: float) -> Lexicon:
-    """Shrunk log-odds of each feature of ``seen`` (documents by label), toxic against clean."""
-    lex, names = Lexicon(), list(seen)
-    if not names or not n.all():
-        return lex
-    y = np.array([seen[f] for f in names])
-    own = y.sum(1) / n.sum()
-    prior = PRIOR * np.array([rate.get(f, r) for f, r in zip(names, own.tolist(), strict=True)])[:, None] + EVEN
+def shrunk(y: np.ndarray, n: np.ndarray, rate: np.ndarray, caution: float) -> np.ndarray:
+    """Log-odds of each feature (its documents by label), toxic against clean, drawn to 0; NaN of one without documents."""
+    prior = PRIOR * rate[:, None] + EVEN
     odds = np.log((y + prior) / (n + PRIOR + 2 * EVEN - y - prior + EVEN))
     sure = evidence(y, n) ** 2
     score = np.round((odds[:, 1] - odds[:, 0]) * sure / (sure + caution * caution) / STEP) * STEP
-    for f, d in zip(names, score.tolist(), strict=True):
-        (lex.stems if f.endswith("*") else lex.words)[f.removesuffix("*")] = d
-    return lex
+    return np.where(y.any(axis=1), score, np.nan)
 
 
 def _tallies(rows: DataFrame, lexicons: list[Lexicon]) -> list[tuple[dict[int, int], int]]:
@@ -299,7 +312,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 def corpus_rates(docs: DataFrame, features: list[str]) -> dict[str, float]:
     """The share of all documents that hold each feature: counted per task, then summed by feature."""
-    lex = Lexicon(words={f: float(k) for k, f in enumerate(features) if not f.endswith("*")}, stems={f[:-1]: float(k) for k, f in enumerate(features) if f.endswith("*")})
+    lex = Lexicon(words={f: float(k) for k, f in enumerate(features) if not f.endswith("*")}, stems={f.removesuffix("*"): float(k) for k, f in enumerate(features) if f.endswith("*")})
     held = docs.sparkSession.sparkContext.broadcast(lex)
     size = len(features)
 
@@ -313,7 +326,7 @@ def corpus_rates(docs: DataFrame, features: list[str]) -> dict[str, float]:
                     doc = np.repeat(np.arange(len(n)), n)
                     for h, (known, value) in zip(hashes, tables, strict=True):
                         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        hit = (known[at] == h) & (h != 0)
+                        hit = (known[at] == h) & (h != 0) & ~np.isnan(value[at])
                         both = np.unique(doc[hit] * size + value[at[hit]].astype(np.int64))
                         seen += np.bincount(both % size, minlength=size)
         at = np.flatnonzero(seen)
@@ -351,17 +364,34 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Lexi
 def _train(scratch: Scratch, docs: DataFrame, labels: DataFrame, most: int) -> Lexicon | None:
     rows = sample(scratch, docs, labels, "toxic", fold("doc_id", 3) != 1, most)
     rows = rows.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int").alias("part"))
-    seen, n = counts(rows)
+    names, seen, n = counts(rows)
     if not n.sum(0).all():
         scratch.close()
         return None
-    without = lambda x, k: x.sum(0) - x[k]
-    parts = [({f: y for f, x in seen.items() if (y := without(x, k)).any()}, without(n, k)) for k in range(PARTS)] + [({f: x.sum(0) for f, x in seen.items()}, n.sum(0))]
-    rate = corpus_rates(docs, sorted({f for part in parts for f in telling(*part)}))
+    parts = [(seen.sum(1) - seen[:, k], n.sum(0) - n[k]) for k in range(PARTS)] + [(seen.sum(1), n.sum(0))]
+    told = np.zeros(len(names), bool)
+    for y, own in parts:
+        if own.all():
+            told |= evidence(y, own) > TELLING
+    counted = corpus_rates(docs, names.filter(pa.array(told)).to_pylist())
+    rates = [y.sum(1) / max(1.0, own.sum()) for y, own in parts]
+    for rate in rates:
+        rate[told] = [counted[f] for f in names.filter(pa.array(told)).to_pylist()]
+    stem = pc.ends_with(names, "*").to_numpy(zero_copy_only=False)
+    kinds = [(at := np.flatnonzero(w), names.take(pa.array(at)) if not k else pc.utf8_slice_codeunits(names.take(pa.array(at)), 0, -1)) for k, w in enumerate((~stem, stem))]
+    hashed = [sorted_hashes(x) for _, x in kinds]
+
+    def made(part: int, caution: float) -> Lexicon:
+        """The lexicon of a part, with its tables: hashes are made once for all."""
+        score = shrunk(*parts[part], rates[part], caution)
+        out = Lexicon(*[Scores(x, score[at]) for at, x in kinds])
+        out.__dict__["_tables"] = [(h, np.concatenate([[np.nan], score[at]])[order]) for (at, _), (h, order) in zip(kinds, hashed, strict=True)]
+        return out
+
     crossed = all(own.all() for _, own in parts)
     best: tuple[float, Lexicon] | None = None
     for caution in CAUTIONS if crossed else CAUTIONS[1:2]:
-        lexicons = [lexicon(*part, rate, caution) for part in parts]
+        lexicons = [made(k, caution) for k in range(PARTS + 1)]
         for lex, (tally, segments) in zip(lexicons, _tallies(rows, lexicons), strict=True):
             _karlin(lex, tally, segments)
         loss = 0.0
