@@ -1,4 +1,4 @@
-"""Small tensors of face crops and what surrounds models of them; edges of filters; skin colours."""
+"""What networks over face crops take and give (for :mod:`arterion.operators.inference`); traces; edges of filters; skin colours."""
 
 from __future__ import annotations
 
@@ -59,46 +59,6 @@ def preprocess_rgb(rgb: np.ndarray, detrend: bool = True, normalise: bool = True
     return columns.T
 
 
-def resample_crops(ts: np.ndarray, crops: np.ndarray, fps: float) -> np.ndarray:
-    """Crops (n, h, w, c) on even steps of time, linearly between neighbours."""
-    _, flat = dsp.resample_uniform(np.asarray(ts, float), crops.reshape(len(crops), -1).astype(float), fps)
-    return flat.reshape(-1, *crops.shape[1:]).astype(np.float32)
-
-
-def _scaled(x: np.ndarray) -> np.ndarray:
-    spread = float(x.std())
-    return np.nan_to_num(x / spread if spread > TINY else x)
-
-
-def representation(crops: np.ndarray, kind: str) -> np.ndarray:
-    """Crops as a network takes them: "standard", or the "difference" of each two over their sum, the last one 0."""
-    x = np.asarray(crops, np.float32)
-    if x.ndim != 4 or x.shape[-1] != 3:
-        raise ValueError("crops are (frames, height, width, 3)")
-    if kind == "standard":
-        return _scaled(x - x.mean())
-    if kind == "difference":
-        change = np.zeros_like(x)
-        change[:-1] = _scaled(np.diff(x, axis=0) / (x[1:] + x[:-1] + TINY))
-        return change
-    raise ValueError(f"unknown representation {kind!r}")
-
-
-def model_input(crops: np.ndarray, spec: ModelSpec) -> np.ndarray:
-    """The network's input: channels before places, frames in whole stacks, or one volume."""
-    x = np.concatenate([representation(crops, kind) for kind in spec.inputs], axis=-1).transpose(0, 3, 1, 2)
-    if spec.layout == "volume":
-        return np.ascontiguousarray(x.swapaxes(0, 1)[None])
-    keep = len(x) - len(x) % spec.depth if spec.depth else len(x)
-    return np.ascontiguousarray(x[:keep])
-
-
-def restored(output: np.ndarray, derivative: bool) -> np.ndarray:
-    """A pulse wave from a network's output."""
-    wave = np.ravel(np.asarray(output, float))
-    return dsp.linear_detrend(np.cumsum(wave) if derivative else wave)
-
-
 def edge_errors(original: np.ndarray, filtered: np.ndarray, edge: int) -> tuple[float, float, float]:
     """Mean absolute error of the first and last ``edge`` samples, and between them; NaN of windows too short."""
     if len(original) <= 2 * edge:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arterion.functions import features, rppg, video
-from arterion.operators import accuracy, arrays, contracts, frames, health, models, rules
+from arterion.operators import accuracy, arrays, contracts, frames, health, inference, models, rules
 from arterion.sources import files, registry, synthetic
 from arterion.streaming import live
 
@@ -28,8 +28,11 @@ def camera(seconds=14.0, lost=(), seed=5, **more):
     return pdf, r
 
 
-def run(pdf, **more):
-    return live._steps(live.Live(**more), 1, pdf)
+def run(pdf, regions=None, session=None, **more):
+    """What a session says of frames; ``regions``: colours of the three regions, (n, 9)."""
+    table = pdf.assign(control=pdf.get("control"), **{c: None if regions is None else regions[:, k] for k, c in enumerate(live._REGION_COLUMNS)})
+    session, rows = live._steps(session or live.Session(**more), table, more.get("method", "POS"))
+    return live._table(1, rows)
 
 
 def test_a_session_gives_vitals_once_a_second():
@@ -66,71 +69,87 @@ def test_warnings_of_light_motion_size_and_rate():
     assert out.loc[out["t"] > 5.05, "status"].iloc[0] == "BUFFERING"
 
 
-def test_saved_state_goes_on_where_it_was():
-    pdf, _ = camera(12.0, [(4.0, 4.3)])
-    whole = run(pdf)
-    state = live.Live()
-    parts = []
+def test_batches_of_any_size_give_the_same():
+    pdf, _ = camera(12.0, [(4.0, 4.3), (7.0, 8.4)])
+    whole, session, parts = run(pdf), live.Session(), []
     for k in range(0, len(pdf), 50):
-        state = live.Live.of(state.text())
-        parts.append(live._steps(state, 1, pdf.iloc[k : k + 50]))
-    again = pd.concat(parts, ignore_index=True)
-    assert again["status"].tolist() == whole["status"].tolist() and again["warnings"].tolist() == whole["warnings"].tolist()
-    assert np.allclose(again["sqi"].astype(float), whole["sqi"].astype(float), equal_nan=True)
+        parts += session.advance(np.column_stack([pdf.iloc[k : k + 50][list(live.IN)].to_numpy(float), np.full((len(pdf.iloc[k : k + 50]), 9), np.nan)]))
+    assert [p["status"] for p in parts] == whole["status"].tolist() and [p["warnings"] for p in parts] == whole["warnings"].tolist()
+    assert np.allclose(np.array([p["sqi"] for p in parts], float), whole["sqi"].astype(float), equal_nan=True) and [p["progress"] for p in parts] == whole["progress"].tolist()
+
+
+def test_regions_are_compared_and_named_when_they_disagree():
+    pdf, r = camera(12.0)
+    colours = np.concatenate([r.rgb[n] for n in sorted(r.rgb)], axis=1)
+    alike = run(pdf, colours)
+    assert alike["agreement"].dropna().iloc[-1] > 0.6 and "ROI_DISAGREE" not in alike["reasons"].iloc[-1]
+    noise = colours.copy()
+    noise[:, 3:] = 120 + np.random.default_rng(1).normal(0, 1, (len(pdf), 6))
+    apart = run(pdf, noise)
+    assert apart["agreement"].dropna().iloc[-1] < 0.4 and "ROI_DISAGREE" in apart["reasons"].iloc[-1]
+    issues = {i for v in apart["vitals"].dropna().iloc[-1] for i in v["issues"]}
+    assert issues & {"ROI_INCONSISTENT", "ROI_DISAGREEMENT", "CROSS_ROI_INCONSISTENT", "LOW_ROI_AGREEMENT"} or len(issues) > len({i for v in alike["vitals"].dropna().iloc[-1] for i in v["issues"]})
+
+
+def test_a_control_row_begins_anew():
+    pdf, _ = camera(10.0)
+    pdf["control"] = None
+    pdf.loc[200, "control"] = "reset"
+    out = run(pdf)
+    assert out["status"].iloc[200] == "RESET" and out["status"].iloc[201] == "BUFFERING" and out["progress"].iloc[201] == 0.0 and out["status"].iloc[-1] in ("OK", "LOW_QUALITY")
+
 
+def streamed(spark, tmp_path, parts, name):
+    """The rows that the stream gives of ``parts``, a file each, and its query."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STORE)
+    stream = live.stream_live(spark, spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name).toPandas(), query
 
-def test_live_stream_equals_batch(spark, tmp_path):
-    a, _ = camera(11.0)
-    b = camera(11.0, [(3.0, 3.5)], seed=6)[0].assign(session_id=2)
+
+def test_live_stream_equals_batch_and_writes_what_is_new(spark, tmp_path):
+    a, _ = camera(24.0)
+    b = camera(24.0, [(3.0, 3.5)], seed=6)[0].assign(session_id=2)
     rows = spark.createDataFrame(pd.concat([a, b]))
-    for k in range(3):
-        rows.where((F.col("t") >= 4 * k) & (F.col("t") < 4 * k + 4)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got, query = streamed(spark, tmp_path, [rows.where((F.col("t") >= 2 * k) & (F.col("t") < 2 * k + 2)) for k in range(12)], "live_out")
     want = live.measure_live(rows).toPandas().sort_values(["session_id", "t"]).reset_index(drop=True)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STORE)
-    stream = live.stream_live(spark, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
-    query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).outputMode("append")
-    try:
-        query.trigger(availableNow=True).start().awaitTermination()
-    except Exception as e:  # an update stream can't append to files: kept in memory then
-        assert "outputMode" in str(e) or "output mode" in str(e).lower()
-        query = stream.writeStream.format("memory").queryName("live_out").outputMode("update").trigger(availableNow=True).start()
-        query.awaitTermination()
-        got = spark.table("live_out").toPandas()
-    else:
-        got = spark.read.parquet(str(tmp_path / "out")).toPandas()
-    got = got.sort_values(["session_id", "t"]).reset_index(drop=True)
-    assert got["status"].tolist() == want["status"].tolist() and got["vitals"].notna().sum() == want["vitals"].notna().sum() > 2
-
-
-def test_sources_of_windows_and_networks():
-    r = synthetic.record(synthetic.Scenario(seconds=20))
-    source = live.Traces("CHROM")
-    assert source.window() is None and source.quality() is None
-    for k, t in enumerate(r.ts):
-        source.update(float(t), None if 100 <= k < 110 else {n: tuple(v[k]) for n, v in r.rgb.items()})
-    w = source.window()
-    assert abs(w.fs - 30) < 1e-6 and abs(w.missing - 10 / 600) < 1e-9 and set(w.rois) == set(r.rgb) and source.quality() > 0.5 and source.about()["frames"] == 600
-    calls = []
-
-    def network(x):
-        calls.append(x.shape)
-        return np.gradient(np.sin(2 * np.pi * 1.2 * np.arange(len(x)) / 30))
-
-    model = live.ChunkedModel(video.SPECS["efficientphys"], network)
-    for k in range(240):
-        model.update(k / 30, None if k == 50 else np.full((4, 4, 3), 100.0 + k % 7))
-        model.window()
-    assert calls == [(180, 3, 4, 4)] * 3 and abs(model.window().missing - 0.0) < 0.01 and len(model.window().samples) == 180
+    # The sessions end together, so the last watermark tells that both fell silent.
+    got = got[~((got["status"] == "FACE_LOST") & (got["t"] > 24.0))].sort_values(["session_id", "t"]).reset_index(drop=True)
+    assert got["status"].tolist() == want["status"].tolist() and got["vitals"].notna().sum() == want["vitals"].notna().sum() > 20
+    written = [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["numInputRows"]]
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]]
+    assert max(written[5:]) <= max(written[1:5]) + 4 and held[-1] > held[2]
+    state = spark.read.format("statestore").option("path", str(tmp_path / "c")).option("stateVarName", "long").load()
+    assert state.selectExpr("sum(size(user_map_value.rows)) AS n").first()["n"] >= 13 * 2 * 600
+
+
+def test_silence_is_told_and_a_session_ends(spark, tmp_path):
+    one = camera(4.0)[0]
+    other = lambda at: one.iloc[:3].assign(session_id=2, t=at + np.arange(3) / 30)
+    parts = [spark.createDataFrame(x) for x in (one, other(10.0), other(20.0), other(1000.0), other(1900.0), other(1901.0))]
+    got, _ = streamed(spark, tmp_path, parts, "live_silence")
+    first = got[got["session_id"] == 1]
+    assert list(first["status"].iloc[-2:]) == ["FACE_LOST", "EXPIRED"] and first["t"].iloc[-1] - one["t"].max() >= live.IDLE_S
+    marks = spark.read.format("statestore").option("path", str(tmp_path / "c")).option("stateVarName", "marks").load()
+    assert [r["key"]["session_id"] for r in marks.collect()] == [2]
+    for name in live.LiveProcessor.KEPT:
+        left = spark.read.format("statestore").option("path", str(tmp_path / "c")).option("stateVarName", name).load()
+        assert {r["key"]["session_id"] for r in left.select("key").collect()} <= {2}
 
 
 def test_tensors():
     rng = np.random.default_rng(1)
-    crops = rng.uniform(0, 255, (23, 4, 4, 3))
-    x = video.model_input(crops, video.SPECS["tscan"])
-    assert x.shape == (20, 6, 4, 4) and video.model_input(crops, video.SPECS["physnet"]).shape == (1, 3, 23, 4, 4)
-    change = video.representation(crops, "difference")
-    assert not change[-1].any() and abs(change[:-1].std() - 1) < 1e-4 and abs(video.representation(crops, "standard").mean()) < 1e-4
-    assert np.allclose(video.restored(np.ones(50), True), 0, atol=1e-9) and video.resample_crops(np.arange(23) / 10, crops, 30.0).shape == (66, 4, 4, 3)
+    crops = rng.uniform(0, 255, (2, 23, 4, 4, 3))
+    x = inference.tensors(crops, video.SPECS["tscan"])
+    assert x.shape == (2 * 20, 6, 4, 4) and inference.tensors(crops, video.SPECS["physnet"]).shape == (2, 3, 23, 4, 4)
+    change = inference.difference(crops)
+    assert not change[:, -1].any() and np.allclose(change[:, :-1].std((1, 2, 3, 4)), 1, atol=1e-4) and np.allclose(inference.standard(crops).mean((1, 2, 3, 4)), 0, atol=1e-9)
+    assert np.allclose(x[20:40, 3:], np.moveaxis(inference.standard(crops)[1, :20], -1, 1)) and not inference.standard(np.full((1, 3, 2, 2, 3), 5.0)).any()
+    waves = inference.pulses(np.ones((2, 50)), video.SPECS["tscan"])
+    assert np.allclose(waves, 0, atol=1e-9) and np.allclose(np.polyfit(np.arange(30), inference.pulses(rng.normal(size=(1, 30)), video.SPECS["physnet"])[0], 1), 0, atol=1e-9)
     assert video.preprocess_rgb(np.ones((2, 3))).tolist() == [[1, 1, 1]] * 2 and np.allclose(video.preprocess_rgb(rng.normal(100, 3, (90, 3))).std(0), 1)
     assert video.edge_errors(np.zeros(10), np.r_[[1.0] * 2, [2.0] * 6, [3.0] * 2], 2) == (1.0, 3.0, 2.0) and np.isnan(video.edge_errors(np.zeros(4), np.zeros(4), 2)[0])
     some = np.array([[200.0, 150, 130]] * 3 + [[0.0, 0, 255]] * 5)
