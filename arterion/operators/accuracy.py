@@ -112,10 +112,12 @@ def interval_means(windows: DataFrame, samples: DataFrame, key: str, seconds: in
 
 
 def interpolated(samples: DataFrame, key: str, order: list[str], step: float) -> DataFrame:
-    """(key, t, value) on a grid of ``step``, linearly between each two samples (key, t, value) in a row."""
+    """(key, t, value) on a grid of ``step``, linearly between each two samples (key, t, value) in a row, ends included."""
     by = Window.partitionBy(key).orderBy(*order)
-    pair = samples.select(key, "t", "value", F.lead("t").over(by).alias("t2"), F.lead("value").over(by).alias("v2")).where("t2 > t")
-    first, last = F.ceil(F.col("t") / step), F.ceil(F.col("t2") / step) - 1
+    end = F.max("t").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    pair = samples.select(key, "t", "value", F.lead("t").over(by).alias("t2"), F.lead("value").over(by).alias("v2"), end.alias("end")).where("t2 > t")
+    on_end = (F.col("t2") == F.col("end")) & (F.ceil(F.col("t2") / step) == F.col("t2") / step)
+    first, last = F.ceil(F.col("t") / step), F.ceil(F.col("t2") / step) - F.when(on_end, 0).otherwise(1)
     grid = pair.where(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
     at = F.col("k") * step
     return grid.select(key, at.alias("t"), (F.col("value") + (F.col("v2") - F.col("value")) * (at - F.col("t")) / (F.col("t2") - F.col("t"))).alias("value"))

@@ -188,8 +188,8 @@ s AS (SELECT sum(r) FILTER (WHERE toxic = 1) AS ranks, count(*) FILTER (WHERE to
 SELECT w.event_id, count(*) AS samples, round(avg(e.value), 6) AS reference FROM events w JOIN events e ON e.user_id = w.user_id AND e.ts BETWEEN w.ts AND w.ts + INTERVAL 12 HOURS WHERE w.event_type = 'purchase' GROUP BY w.event_id
 """,
     "interpolation_join": """
-WITH s AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, value, lead(epoch_us(ts) / 1000000.0::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t2, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v2 FROM events),
-g AS (SELECT *, 3600 * unnest(range(CAST(ceil(t / 3600) AS BIGINT), CAST(ceil(t2 / 3600) AS BIGINT))) AS x FROM s WHERE t2 IS NOT NULL) SELECT user_id, count(*) AS points, round(sum(value + (v2 - value) * (x - t) / (t2 - t)), 4) AS total FROM g GROUP BY user_id
+WITH s AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, value, lead(epoch_us(ts) / 1000000.0::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t2, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v2, max(epoch_us(ts) / 1000000.0::DOUBLE) OVER (PARTITION BY user_id) AS e FROM events),
+g AS (SELECT *, 3600 * unnest(range(CAST(ceil(t / 3600) AS BIGINT), CAST(ceil(t2 / 3600) AS BIGINT) + CASE WHEN t2 = e AND ceil(t2 / 3600) = t2 / 3600 THEN 1 ELSE 0 END)) AS x FROM s WHERE t2 > t) SELECT user_id, count(*) AS points, round(sum(value + (v2 - value) * (x - t) / (t2 - t)), 4) AS total FROM g GROUP BY user_id
 """,
     "acc_grouping_sets": f"""
 WITH f AS (SELECT method, scenario, {STATUS_SQL} AS status, {BIN_SQL} AS bin, est, ref FROM ({FACT_SQL}))

@@ -15,22 +15,22 @@ _CODES = ("heart_rate", "hrv_rmssd", "hrv_sdnn", "hrv_mean_ibi", "respiratory_ra
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 5").select(
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", F.struct(
-            F.get(F.array(*[F.lit(c) for c in _CODES]), F.col("l_linenumber") - 1).alias("code"), (F.col("l_quantity").cast("double") * 3).alias("value"), F.lit("u").alias("unit"),
+            F.get(F.array(*[F.lit(c) for c in _CODES]), (F.col("l_linenumber") - 1) % 5).alias("code"), (F.col("l_quantity").cast("double") * 3).alias("value"), F.lit("u").alias("unit"),
             F.when(F.col("l_returnflag") == "R", "INVALID").otherwise("OK").alias("status"), F.col("l_discount").cast("double").alias("confidence"), (F.col("l_tax").cast("double") * 10).alias("quality"),
             F.when(F.col("l_returnflag") == "A", F.array(F.lit("LOW"))).when(F.col("l_returnflag") == "R", F.array(F.lit("X"), F.lit("Y"))).otherwise(F.expr("cast(array() as array<string>)")).alias("issues"), F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("s"),
         ).alias("v"),
     )
-    # Several items of an order may have one number: the last by its keys counts.
+    # Several items of an order stand for one code, as codes repeat after five: the last by its keys counts.
     one = items.groupBy("l_orderkey", F.col("v.code").alias("code")).agg(F.max_by("v", F.struct("v.k", "v.s", "v.value", "v.status")).alias("v")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("v")).alias("vitals"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     rows = orders.join(one, orders["o_orderkey"] == one["l_orderkey"])
     return rows.select(F.col("o_orderkey").alias("result_id"), F.col("o_custkey").alias("person_id"), F.col("o_orderkey").cast("double").alias("at"), F.when(F.col("o_orderstatus") == "P", "INVALID").otherwise("OK").alias("status"), "vitals", "o_totalprice")
 
 
-_RESULTS = """i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_returnflag = 'R' ASC) AS n FROM lineitem WHERE l_linenumber <= 5),
-v AS (SELECT l_orderkey AS result_id, o_custkey AS person_id, o_orderstatus, o_totalprice, l_linenumber AS k, CAST(l_quantity AS DOUBLE) * 3 AS value, l_returnflag <> 'R' AS ok, CAST(l_tax AS DOUBLE) * 10 AS quality, l_returnflag AS flag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nth FROM i JOIN orders ON l_orderkey = o_orderkey WHERE n = 1)"""
+_RESULTS = """i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, (l_linenumber - 1) % 5 ORDER BY l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_returnflag = 'R' ASC) AS n FROM lineitem),
+v AS (SELECT l_orderkey AS result_id, o_custkey AS person_id, o_orderstatus, o_totalprice, (l_linenumber - 1) % 5 + 1 AS k, CAST(l_quantity AS DOUBLE) * 3 AS value, l_returnflag <> 'R' AS ok, CAST(l_tax AS DOUBLE) * 10 AS quality, l_returnflag AS flag FROM i JOIN orders ON l_orderkey = o_orderkey WHERE n = 1)"""
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:

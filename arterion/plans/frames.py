@@ -123,8 +123,11 @@ def ibi_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = (F.col("value") * 3).alias("v")
     rows = view(spark, sf_dir).select("session_id", "t", "event_id", v)
     first, last = F.first("v").over(all_of), F.last("v").over(all_of)
-    near = F.array(*[F.coalesce(F.lag("v", k).over(by), first) for k in (2, 1)], F.col("v"), *[F.coalesce(F.lead("v", k).over(by), last) for k in (1, 2)])
-    rows = rows.withColumn("middle", rules.median(near)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("session_id"))).where("n >= 5")
+    near = [F.coalesce(F.lag("v", k).over(by), first) for k in (2, 1)] + [F.col("v")] + [F.coalesce(F.lead("v", k).over(by), last) for k in (1, 2)]
+    # A session of fewer than five has a kernel of its own size, which leans left if that is even.
+    rows = rows.withColumns({f"near{k}": c for k, c in enumerate(near)}).withColumn("size", F.least(F.lit(5), F.count(F.lit(1)).over(Window.partitionBy("session_id"))).cast("int"))
+    left = F.floor(F.col("size") / 2).cast("int")
+    rows = rows.withColumn("middle", F.get(F.array_sort(F.slice(F.array(*[f"near{k}" for k in range(5)]), 3 - left, F.col("size"))), left))
     clean = F.col("v").between(60000.0 / 180.0, 60000.0 / 40.0) & (F.abs(F.col("v") - F.col("middle")) <= 0.25 * F.col("middle"))
     return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(clean).alias("clean"), F.round(1 - F.avg(clean.cast("double")), 6).alias("artifact_ratio"))
 
@@ -193,8 +196,8 @@ SELECT event_id, CASE WHEN weight > 0 THEN round((coalesce(a, 0) * 0.35::DOUBLE
     "largest_face": f"""WITH {_VIEW}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY w * h DESC, x, y) AS n FROM v WHERE has),
 b AS (SELECT session_id, x, y, w, h, CAST(trunc(x + 0.25::DOUBLE * w) AS INTEGER) AS l, CAST(trunc(y + 0.08::DOUBLE * h) AS INTEGER) AS t, CAST(trunc(0.5::DOUBLE * w) AS INTEGER) AS dw, CAST(trunc(0.18::DOUBLE * h) AS INTEGER) AS dh FROM r WHERE n = 1)
 SELECT session_id, round(x, 6) AS x, round(w, 6) AS w, least(l, 200) AS x1, least(t, 60) AS y1, least(l + dw, 200) AS x2, least(t + dh, 60) AS y2 FROM b""",
-    "ibi_mask": f"""WITH {_VIEW}, s AS (SELECT session_id, list(value * 3 ORDER BY t, event_id) AS a FROM v GROUP BY session_id HAVING count(*) >= 5), e AS (SELECT session_id, a, len(a) AS n, unnest(range(1, len(a) + 1)) AS i FROM s),
-m AS (SELECT session_id, a[i] AS v, list_sort([a[greatest(1, i - 2)], a[greatest(1, i - 1)], a[i], a[least(n, i + 1)], a[least(n, i + 2)]])[3] AS middle FROM e),
+    "ibi_mask": f"""WITH {_VIEW}, s AS (SELECT session_id, list(value * 3 ORDER BY t, event_id) AS a FROM v GROUP BY session_id), e AS (SELECT session_id, a, len(a) AS n, least(5, len(a)) AS size, unnest(range(1, len(a) + 1)) AS i FROM s),
+m AS (SELECT session_id, a[i] AS v, list_sort([a[greatest(1, least(n, j))] for j in range(i - size // 2, i - size // 2 + size)])[size // 2 + 1] AS middle FROM e),
 c AS (SELECT session_id, v >= 60000.0::DOUBLE / 180 AND v <= 1500 AND abs(v - middle) <= 0.25 * middle AS ok FROM m) SELECT session_id, count(*) AS n, count(*) FILTER (WHERE ok) AS clean, round(1 - count(*) FILTER (WHERE ok) / count(*), 6) AS artifact_ratio FROM c GROUP BY session_id""",
     "state_machine": f"""WITH RECURSIVE {_VIEW}, {_MOVES}, e AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY t, event_id) AS k, ['REQUEST_CAMERA', 'PERMISSION_GRANTED', 'START_MEASUREMENT', 'FACE_FOUND', 'ACQUISITION_STARTED', 'WINDOW_FILLED', 'QUALITY_FAILED', 'WINDOW_FILLED', 'QUALITY_PASSED', 'FACE_LOST'][event_id % 10 + 1] AS e FROM v),
 r AS (SELECT DISTINCT session_id, 0::BIGINT AS k, 'IDLE' AS state, 0 AS retries, 0::BIGINT AS refused FROM e

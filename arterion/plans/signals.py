@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arterion.operators import rules, vectors
+from arterion.functions.video import ModelSpec
+from arterion.operators import inference, rules, vectors
 from arterion.streaming.processors import fold_frames
 
 FS = 30.0
@@ -151,10 +152,60 @@ _RULES = """WITH c AS (SELECT event_id AS k, CASE WHEN event_id % 11 <> 0 THEN v
  CASE WHEN v IS NOT NULL AND k % 4 = 0 THEN 'W:SIGNAL_CONDITION_BLOCKING' END, CASE WHEN v IS NULL THEN NULL WHEN conf < 0.3 THEN 'E:VERY_LOW_CONFIDENCE' WHEN conf < 0.6 THEN 'W:LOW_CONFIDENCE' END], lambda x: x IS NOT NULL) AS a FROM c)
  SELECT k AS event_id, CASE WHEN len([x for x in a if x[1] = 'E']) > 0 THEN 'INVALID' WHEN len(a) > 0 THEN 'BAD' ELSE 'OK' END AS status, array_to_string([x[3:] for x in a], ',') AS issues FROM i"""
 
+CHUNK = ModelSpec("stand-in", ("standard",), "stack", True, 4, 16, None)
+STRIDE = 6
+
+
+def stand_in():
+    """A network of no weights: the mean of each frame's channels and places."""
+    return lambda x: x.mean(axis=(1, 2, 3))
+
+
+def chunked_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as frames of four by four pixels, labels as sessions: the pulse of a stand-in over chunks of frames."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    frames = e.select("label", k.alias("k"), F.transform(F.slice("embedding", 1, 48), lambda x: x.cast("double")).alias("crop"))
+    waves = inference.inferred(inference.chunked(frames, CHUNK, STRIDE, "label"), stand_in, CHUNK)
+    return inference.at_frames(waves, STRIDE, "label").select("label", "k", F.round("pulse", 6).alias("pulse"))
+
+
+_CHUNKED = f"""WITH f AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, [CAST(x AS DOUBLE) for x in embedding[1:48]] AS x FROM embeddings),
+c AS (SELECT label, k, x, unnest(range(CAST(greatest(0, ceil((k - {CHUNK.frames - 1}) / {STRIDE}.0)) AS BIGINT), k // {STRIDE} + 1)) AS chunk FROM f),
+w AS (SELECT label, chunk FROM c GROUP BY ALL HAVING count(*) = {CHUNK.frames}),
+p AS (SELECT c.label, c.chunk, c.k, unnest(x) AS x FROM c JOIN w USING (label, chunk)),
+s AS (SELECT label, chunk, avg(x) AS m, stddev_pop(x) AS d FROM p GROUP BY ALL),
+v AS (SELECT p.label, p.chunk, p.k, avg((x - m) / d) AS v FROM p JOIN s USING (label, chunk) GROUP BY ALL),
+y AS (SELECT label, chunk, k, k - chunk * {STRIDE} AS i, sum(v) OVER (PARTITION BY label, chunk ORDER BY k) AS y FROM v),
+r AS (SELECT label, chunk, regr_slope(y, i) AS slope, regr_intercept(y, i) AS base FROM y GROUP BY ALL)
+SELECT label, k, round(arg_max(y - base - slope * i, chunk), 6) AS pulse FROM y JOIN r USING (label, chunk) GROUP BY ALL"""
+
+# One frame after another: the window, its counters, and the followed level, as lists that grow and are cut.
+_BUFFER = """WITH RECURSIVE f AS (SELECT user_id AS session_id, epoch_us(ts) / 1000000.0::DOUBLE / 3600 AS t, value AS r, value / 2 AS g, CAST(event_id % 50 AS DOUBLE) AS b FROM events),
+e AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t, r, g, b) AS k FROM f),
+s AS (
+ SELECT session_id, 0::BIGINT AS k, 0.0::DOUBLE AS t, '' AS status, []::STRUCT(t DOUBLE, r DOUBLE, g DOUBLE, b DOUBLE)[] AS w, 0 AS artifacts, 0 AS in_a_row, 0 AS gaps, 0 AS adapted, []::DOUBLE[] AS v, NULL::DOUBLE AS smooth, 0 AS strikes, false AS outlier FROM (SELECT DISTINCT session_id FROM e)
+ UNION ALL
+ SELECT session_id, k, t, CASE WHEN NOT odd THEN 'ACCEPTED' WHEN in_a_row < 10 THEN 'ARTIFACT' ELSE 'ADAPTED' END,
+  CASE WHEN odd AND in_a_row < 10 THEN w WHEN odd THEN [x] ELSE CASE WHEN len(late) < 2 THEN list_append(w, x)[-2:] ELSE late END END,
+  artifacts, CASE WHEN odd AND in_a_row < 10 THEN in_a_row ELSE 0 END, gaps, adapted + CASE WHEN odd AND in_a_row >= 10 THEN 1 ELSE 0 END,
+  CASE WHEN far AND strikes < 3 THEN v WHEN far THEN [x.g] ELSE list_append(v, x.g)[-10:] END,
+  CASE WHEN far AND strikes < 3 THEN smooth WHEN far OR smooth IS NULL THEN x.g ELSE (x.g + smooth) / 2 END, strikes, far AND strikes < 3
+ FROM (SELECT * REPLACE (artifacts + CASE WHEN odd THEN 1 ELSE 0 END AS artifacts, CASE WHEN odd THEN in_a_row + 1 ELSE 0 END AS in_a_row, CASE WHEN far THEN strikes + 1 ELSE 0 END AS strikes),
+   list_filter(list_append(w, x), lambda y: x.t - y.t <= 200 + 1e-6) AS late FROM (SELECT *,
+    len(w) >= 10 AND (CASE WHEN abs(x.r - list_avg([y.r for y in w])) / greatest(sqrt(list_var_pop([y.r for y in w])), 1e-6) > 3.5 THEN 1 ELSE 0 END
+     + CASE WHEN abs(x.g - list_avg([y.g for y in w])) / greatest(sqrt(list_var_pop([y.g for y in w])), 1e-6) > 3.5 THEN 1 ELSE 0 END
+     + CASE WHEN abs(x.b - list_avg([y.b for y in w])) / greatest(sqrt(list_var_pop([y.b for y in w])), 1e-6) > 3.5 THEN 1 ELSE 0 END) > 1 AS odd,
+    len(v) >= 3 AND abs(x.g - list_median(v)) > 3.5 * greatest(1.4826 * list_median([abs(y - m) for y in v]), 3.0) AS far
+    FROM (SELECT s.session_id, e.k, e.t, {'t': e.t, 'r': e.r, 'g': e.g, 'b': e.b} AS x, list_median(s.v) AS m, s.v, s.smooth, s.strikes, s.adapted, len(s.w) > 0 AND e.t - s.w[-1].t > 48 AS gap,
+      CASE WHEN gap THEN [] ELSE s.w END AS w, s.gaps + CASE WHEN gap THEN 1 ELSE 0 END AS gaps, CASE WHEN gap THEN 0 ELSE s.artifacts END AS artifacts, CASE WHEN gap THEN 0 ELSE s.in_a_row END AS in_a_row
+     FROM s JOIN e ON e.session_id = s.session_id AND e.k = s.k + 1) z) q) o)
+SELECT session_id, t, status, CAST(len(w) AS INTEGER) AS held, artifacts, gaps, adapted, len(w) > 1 AND w[-1].t - w[1].t >= 3 AS ready, smooth AS tracked, outlier FROM s WHERE k > 0"""
+
 QUERIES = {
     "linear_detrend": linear_detrend, "zscore": z_scores, "local_maxima": local_maxima, "trend_features": trend_features, "dft_peak": dft_peak, "snr_sqi": snr_sqi, "acf_periodicity": acf_periodicity,
     "spectral_features": spectral_features, "bvp_features": bvp_features, "cross_roi_corr": cross_roi_corr, "pos_full": projected("POS"), "chrom_full": projected("CHROM"), "green_full": projected("GREEN"),
-    "op_h04_bandpass": band_passed, "vitals_batch": vitals_batch, "artifact_buffer": artifact_buffer, "rules_r01_r13": rules_all,
+    "op_h04_bandpass": band_passed, "vitals_batch": vitals_batch, "artifact_buffer": artifact_buffer, "chunked_pulses": chunked_pulses, "rules_r01_r13": rules_all,
 }
 ORACLES = {
     "linear_detrend": f"""WITH {_SIG}, r AS (SELECT vec_id, regr_slope(x, i) AS slope, regr_intercept(x, i) AS base FROM s GROUP BY vec_id)
@@ -173,5 +224,5 @@ SELECT vec_id, round_even(max(r / v), 4) AS acf_peak, round_even(least(1.0, grea
     "spectral_features": f"""{_DFT}, o AS (SELECT b.*, f0, f BETWEEN f0 - 0.1 AND f0 + 0.1 AS h1, f BETWEEN 2 * f0 - 0.1 AND 2 * f0 + 0.1 AS h2, sum(w) FILTER (WHERE band) OVER (PARTITION BY vec_id) AS total FROM b JOIN t USING (vec_id))
 SELECT vec_id, round(any_value(f0), 5) AS fundamental_freq_hz, round(sum(w) FILTER (WHERE h2) / sum(w) FILTER (WHERE h1), 5) AS harmonic_ratio_h2,
 round(-sum(w / total * ln(w / total)) FILTER (WHERE band) / ln(count(*) FILTER (WHERE band)), 5) AS spectral_entropy, round(sum(w) FILTER (WHERE band) / sum(w), 5) AS in_band_power_ratio FROM o GROUP BY vec_id""",
-    "rules_r01_r13": _RULES,
+    "rules_r01_r13": _RULES, "artifact_buffer": _BUFFER, "chunked_pulses": _CHUNKED,
 }

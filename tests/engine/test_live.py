@@ -254,7 +254,7 @@ def test_ranks_intervals_and_grids(spark):
     got = {r["id"]: (r["samples"], r["reference"]) for r in accuracy.interval_means(samples.where("id in (1, 3)"), samples, "user", 10).collect()}
     assert got == {1: (3, 3.0), 3: (1, 5.0)}
     grid = {(r["user"], r["t"]): r["value"] for r in accuracy.interpolated(samples, "user", ["t", "id"], 2.5).collect()}
-    assert {k: round(v, 6) for k, v in grid.items()} == {(1, 0.0): 1.0, (1, 2.5): 1.505051, (1, 5.0): 2.010101, (1, 7.5): 2.515152}
+    assert {k: round(v, 6) for k, v in grid.items()} == {(1, 0.0): 1.0, (1, 2.5): 1.505051, (1, 5.0): 2.010101, (1, 7.5): 2.515152, (1, 10.0): 5.0}
 
 
 def test_further_sources_and_sinks(spark, tmp_path):
