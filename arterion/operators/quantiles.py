@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CUTS, ACCURACY, FEW = 128, 2000, 10_000
+CUTS, ACCURACY, FEW = 128, 2000, 100_000
 
 
 def quantiles(rows: DataFrame, value: str | Column, shares: tuple[float, ...], *by: str, few: int = FEW) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arterion.plans import accuracy, care, frames, learning, relational, shapes, signals, stream_views
+from arterion.plans import accuracy, care, extensions, frames, learning, relational, shapes, signals, stream_views
 
-MODULES = (accuracy, relational, stream_views, frames, signals, learning, shapes, care)
+MODULES = (accuracy, relational, stream_views, frames, signals, learning, shapes, care, extensions)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,17 +75,29 @@ RECORDING = T.StructType([
 ])
 
 
+def recording_of(path: str, content: bytes) -> tuple:
+    """A row of RECORDING of an .npz file (timestamps, roi_names, roi_rgb, face_detected and, if there, reference_beat_times_s)."""
+    with np.load(io.BytesIO(content), allow_pickle=False) as z:
+        beats = z["reference_beat_times_s"].tolist() if "reference_beat_times_s" in z.files else None
+        regions = {str(n): v.tolist() for n, v in zip(z["roi_names"], z["roi_rgb"], strict=True)}
+        return path.rsplit("/", 1)[-1].removesuffix(".npz"), z["timestamps"].tolist(), regions, z["face_detected"].tolist(), beats
+
+
+def recording_bytes(row) -> tuple[str, bytes]:
+    """(file name, content) of a row of RECORDING as an .npz file."""
+    names, held = sorted(row.roi_rgb), io.BytesIO()
+    more = {} if row.beats is None else {"reference_beat_times_s": np.array(row.beats)}
+    traces = np.array([np.stack([np.asarray(v, float) for v in row.roi_rgb[n]]) for n in names])
+    np.savez_compressed(held, timestamps=np.array(row.timestamps), roi_names=np.array(names), roi_rgb=traces, face_detected=np.array(row.face_detected, bool), **more)
+    return f"{row.recording_id}.npz", held.getvalue()
+
+
 def read_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """One row per .npz file (timestamps, roi_names, roi_rgb, face_detected and, if there, reference_beat_times_s)."""
+    """One row per .npz file, read by Spark's own reader of files, so in any store that Spark knows."""
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                    beats = z["reference_beat_times_s"].tolist() if "reference_beat_times_s" in z.files else None
-                    out.append((name.rsplit("/", 1)[-1].removesuffix(".npz"), z["timestamps"].tolist(), {str(n): v.tolist() for n, v in zip(z["roi_names"], z["roi_rgb"], strict=True)}, z["face_detected"].tolist(), beats))
-            yield pd.DataFrame(out, columns=RECORDING.names)
+            yield pd.DataFrame([recording_of(name, content) for name, content in zip(pdf["path"], pdf["content"], strict=True)], columns=RECORDING.names)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content").mapInPandas(load, RECORDING)
 
@@ -142,37 +154,6 @@ def read_json_recordings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORDING).option("mode", "FAILFAST").json(path)
 
 
-def npz_of(recordings: DataFrame) -> DataFrame:
-    """(path, content): each recording as the bytes of an .npz file, under its own name."""
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                names, held = sorted(r.roi_rgb), io.BytesIO()
-                more = {} if r.beats is None else {"reference_beat_times_s": np.array(r.beats)}
-                traces = np.array([np.stack([np.asarray(v, float) for v in r.roi_rgb[n]]) for n in names])
-                np.savez_compressed(held, timestamps=np.array(r.timestamps), roi_names=np.array(names), roi_rgb=traces, face_detected=np.array(r.face_detected, bool), **more)
-                out.append((f"{r.recording_id}.npz", held.getvalue()))
-            yield pd.DataFrame(out, columns=["path", "content"])
-
-    return recordings.mapInPandas(pack, "path string, content binary")
-
-
-def write_files(files: DataFrame, folder: str) -> int:
-    """Each (path, content) as a file of its own under ``folder``, in any store Spark knows; how many."""
-    spark = files.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    n = 0
-    for r in files.toLocalIterator():  # one file at a time; for the files of a study, not for a lake
-        at = hadoop(f"{folder}/{r['path']}")
-        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
-        out.write(bytearray(r["content"]))
-        out.close()
-        n += 1
-    return n
-
-
 def write_wave(rows: DataFrame, path: str) -> None:
     """(key, k, t, value) of pulse waves (key, fs, samples), as CSV."""
     out = rows.select("key", "fs", F.posexplode("samples").alias("k", "value")).select("key", "k", (F.col("k") / F.col("fs")).alias("t"), F.format_string("%.6f", "value").alias("value"))

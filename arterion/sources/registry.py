@@ -10,6 +10,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arterion.sources.versions import VersionedTable
+
 SCHEMA = "name string, version string, kind string, status string, path string, sha256 string, metrics map<string,double>"
 KINDS, STATUSES = ("rppg", "blood_pressure", "calibration", "risk"), ("RESEARCH", "VALIDATED", "PRODUCTION", "RETIRED")
 
@@ -59,17 +61,16 @@ def listed(registry: DataFrame, kind: str | None = None, statuses: tuple[str, ..
 
 
 def save(spark: SparkSession, registry: DataFrame, path: str) -> None:
-    """The registry as one file of JSON lines, under a new name that takes the old one's place only once it is whole."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    new, at = fs_path(f"{path}.new"), fs_path(path)
-    registry.coalesce(1).write.mode("overwrite").json(f"{path}.new")
-    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.delete(at, True)
-    store.rename(new, at)
+    """The registry as it is now: a new part, which counts instead of the others by one rename."""
+    table(spark, path).replace(registry)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(path)
+    return table(spark, path).every()
+
+
+def table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, SCHEMA, ("name", "version"))
 
 
 def save_model(model: object, name: str, version: str, kind: str, status: str = "RESEARCH", metrics: dict[str, float] | None = None) -> tuple[tuple, bytes]:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from arterion.functions import features, rppg, video
 from arterion.operators import accuracy, arrays, contracts, frames, health, inference, models, rules
-from arterion.sources import files, registry, synthetic
+from arterion.sources import files, recordings, registry, synthetic
 from arterion.streaming import live
 
 
@@ -262,7 +262,8 @@ def test_further_sources_and_sinks(spark, tmp_path):
     rec = spark.createDataFrame([("a", r.ts.tolist(), {k: v.tolist() for k, v in r.rgb.items()}, r.face.tolist(), r.beats.tolist())], files.RECORDING)
     files.write_recordings(rec, str(tmp_path / "j"))
     assert files.read_json_recordings(spark, str(tmp_path / "j")).first()["face_detected"] == r.face.tolist()
-    assert files.write_files(files.npz_of(rec), str(tmp_path / "n")) == 1
+    recordings.register(spark)
+    rec.write.format("recordings").mode("append").save(str(tmp_path / "n"))
     back = files.read_recordings(spark, str(tmp_path / "n")).first()
     assert back["recording_id"] == "a" and np.allclose(back["roi_rgb"]["forehead"], r.rgb["forehead"])
     files.write_wave(spark.createDataFrame([(1, 30.0, [0.5, 1.0])], "key int, fs double, samples array<double>"), str(tmp_path / "w"))
