@@ -146,7 +146,7 @@ def padded(payload: bytes | None) -> bytes:
 
 
 SCHEMA = """n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string,
-feature string, media binary, pcm binary"""
+feature string, pcm_bytes long, pcm_sha256 string, media binary, pcm binary"""
 
 
 def _loud(x: np.ndarray) -> str:
@@ -156,7 +156,8 @@ def _loud(x: np.ndarray) -> str:
 
 
 def encode_media(rows: DataFrame, key: str = "doc_id", payload: str = "payload", files: bool = True, to_rate: int = TO_RATE) -> DataFrame:
-    """(key, n_bytes, payload_bytes, ..., feature, media, pcm): each payload stored as mu-law WAV and read back.
+    """(key, n_bytes, payload_bytes, ..., feature, pcm_bytes, pcm_sha256, media, pcm): each payload stored as mu-law WAV
+    and read back, and the resampled PCM that is stored beside it.
 
     ``feature``: zero crossings of the mu-law samples, peak and mean square of the payload's bytes taken as mu-law, as
     A-law and as ADPCM blocks, and the CRC-32 of the resampled PCM.  ``media`` is the stored file and ``pcm`` the
@@ -174,7 +175,7 @@ def encode_media(rows: DataFrame, key: str = "doc_id", payload: str = "payload",
             blocks = np.frombuffer(b"".join(back), np.uint8).reshape(-1, UNIT)
             linear = decode_adpcm(blocks)
             cuts = np.cumsum([0] + [len(b) // UNIT for b in back])
-            cols: dict[str, list] = {k: [] for k in "n p sha crc mb msha f media pcm".split()}
+            cols: dict[str, list] = {k: [] for k in "n p sha crc mb msha f pb psha media pcm".split()}
             for k, ((n, media), data) in enumerate(zip(stored, back, strict=True)):
                 mu = expand(MULAW, data)
                 pcm = resample_double(mu).astype("<i2").tobytes()
@@ -186,9 +187,12 @@ def encode_media(rows: DataFrame, key: str = "doc_id", payload: str = "payload",
                 cols["mb"].append(len(media))
                 cols["msha"].append(hashlib.sha256(media).hexdigest())
                 cols["f"].append(f"zc={crossings};mu={_loud(mu)};a={_loud(expand(ALAW, data))};adpcm={_loud(linear[cuts[k] : cuts[k + 1]].ravel())};pcm16k={zlib.crc32(pcm):08x}")
+                stored_pcm = to_wav(pcm, PCM, to_rate)
+                cols["pb"].append(len(stored_pcm))
+                cols["psha"].append(hashlib.sha256(stored_pcm).hexdigest())
                 cols["media"].append(media if files else None)
-                cols["pcm"].append(to_wav(pcm, PCM, to_rate) if files else None)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
+                cols["pcm"].append(stored_pcm if files else None)
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([keys, *[pa.array(v, t) for v, t in zip(cols.values(), kinds, strict=True)]], names)
 
         for batch in batches:
@@ -204,7 +208,7 @@ def encode_media(rows: DataFrame, key: str = "doc_id", payload: str = "payload",
             if stored:
                 yield part(batch.column(0).slice(start, len(stored)), stored)
 
-    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "pcm"]
+    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256", "media", "pcm"]
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, F.col(payload).cast("binary")).mapInArrow(tidied(make), f"`{key}` {kind}, {SCHEMA}")
 
