@@ -101,6 +101,43 @@ def motion(centres: np.ndarray, fs: float) -> float:
     return float(np.clip(band.var(1).sum() / total, 0.0, 1.0)) if total > 1e-12 else 0.0
 
 
+def stacked(x: np.ndarray, fs: float, wanted: tuple[str, ...], tolerance: float = 0.1) -> dict[str, np.ndarray]:
+    """fft_bpm, snr_db, sqi, periodicity and acf_peak of windows (rows of ``x``) of one length, as far as wanted: what
+    the functions of single windows give, by one transform of all."""
+    n, size = x.shape
+    flat = ~x.any(axis=1)
+    out: dict[str, np.ndarray] = {}
+    if {"fft_bpm", "snr_db", "sqi"} & set(wanted):
+        snr, bpm = np.full(n, -10.0), np.zeros(n)
+        f = np.fft.rfftfreq(nfft := max(512, dsp.power_of_two(size)), 1.0 / fs)
+        band = (f >= LOW_HZ) & (f <= HIGH_HZ)
+        if size >= 16 and band.any():
+            p = np.abs(np.fft.rfft(x, nfft, axis=1)) ** 2 / (fs * size)
+            p[:, 1 : p.shape[1] - (nfft % 2 == 0)] *= 2
+            top = f[band][p[:, band].argmax(axis=1)]
+            bpm = top * 60.0
+            own = np.zeros(p.shape, bool)
+            for at in (top, 2 * top):
+                own |= (f >= at[:, None] - tolerance) & (f <= at[:, None] + tolerance)
+            signal, rest = (p * own).sum(axis=1), (p * (band & ~own)).sum(axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                snr = np.where(rest <= 1e-12, np.where(signal > 0, 15.0, -10.0), 10.0 * np.log10(signal / rest))
+            snr = np.where(flat, -10.0, snr)
+        out |= {"fft_bpm": bpm, "snr_db": snr, "sqi": np.array([half_even(float(v), 2) for v in np.clip((snr + 5.0) / 15.0, 0.0, 1.0)])}
+    if {"periodicity", "acf_peak"} & set(wanted):
+        first, last = _lags(size, fs, 45.0, 150.0)
+        top = np.zeros(n)
+        if size >= 16 and first <= last and first < size:
+            y = x - x.mean(axis=1, keepdims=True)
+            power = (y * y).sum(axis=1)
+            width = dsp.power_of_two(2 * size)
+            rho = np.fft.irfft(np.abs(np.fft.rfft(y, width, axis=1)) ** 2, width, axis=1)[:, first : last + 1]
+            known = (power >= 1e-12) & ~flat
+            top = np.where(known, rho.max(axis=1) / np.where(known, power, 1.0), 0.0)
+        out |= {"periodicity": np.array([half_even(min(1.0, max(0.0, float(v))), 2) for v in top]), "acf_peak": np.array([half_even(float(v), 4) for v in top])}
+    return {k: v for k, v in out.items() if k in wanted}
+
+
 def noise(kind: str, n: int, seed: int) -> np.ndarray:
     """White, pink or random-walk noise."""
     rng = np.random.default_rng(seed)

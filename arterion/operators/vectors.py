@@ -35,14 +35,31 @@ SPECTRUM = ("fft_bpm", "peak_bpm", "snr_db", "sqi", "periodicity", "acf_peak")
 
 def spectrum(rows: DataFrame, keys: list[str], samples: str, fs: float = 30.0, wanted: tuple[str, ...] = SPECTRUM) -> DataFrame:
     """(keys, wanted): rates and quality of each window, only those that are asked for."""
-    single = {"fft_bpm": vitals.fft_bpm, "peak_bpm": vitals.peak_bpm, "snr_db": quality.bvp_snr, "sqi": quality.sqi}
-    correlated = "periodicity" in wanted or "acf_peak" in wanted
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
 
-    def compute(x: np.ndarray) -> tuple:
-        acf = dict(zip(("periodicity", "acf_peak"), quality.periodicity(x, fs), strict=True)) if correlated else {}
-        return tuple(acf[n] if n in acf else single[n](x, fs) for n in wanted)
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = {n: np.full(len(pdf), np.nan) for n in wanted}
+            for at, stack in by_length(pdf[samples]):
+                told = quality.stacked(stack, fs, wanted)
+                if "peak_bpm" in wanted:
+                    told["peak_bpm"] = np.array([vitals.peak_bpm(x, fs) for x in stack])
+                for n, values in told.items():
+                    found[n][at] = values
+            whole = pdf[samples].notna().to_numpy()
+            columns = {n: pd.Series(v).astype(object).where(whole, None) for n, v in found.items()}
+            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(columns)], axis=1)
 
-    return per_window(rows, keys, samples, ", ".join(f"{n} double" for n in wanted), compute)
+    return rows.select(*keys, F.col(samples)).mapInPandas(work, f"{kinds}, {', '.join(f'{n} double' for n in wanted)}")
+
+
+def by_length(windows: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, stack): the windows of each length of a batch, as rows of one array; nulls are left out."""
+    data = [None if x is None else np.asarray(x, float) for x in windows]
+    sizes = np.array([-1 if x is None else len(x) for x in data])
+    for n in np.unique(sizes[sizes >= 0]):
+        at = np.flatnonzero(sizes == n)
+        yield at, np.stack([data[k] for k in at])
 
 
 def agreement(rows: DataFrame, keys: list[str], part: str, samples: str) -> DataFrame:
@@ -88,19 +105,26 @@ VITALS = "session_id long, at double, code string, value double, unit string, st
 def measure_sessions(windows: DataFrame) -> DataFrame:
     """The five vitals of each window (session_id, start, fs, samples, raw, quality, missing), in order within a session.
 
-    Sessions are grouped, as each window is judged by those before it; memory is one session's windows.
+    One shuffle, sorted: each window is judged by those before it, so what a session has left is carried on from window
+    to window; a task holds a batch, however long a session is.
     """
+    names = [c.split()[0] for c in VITALS.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        session, out = vitals.Session(), []
-        for r in pdf.sort_values("start", kind="stable").itertuples(index=False):
-            raw = None if r.raw is None else np.asarray(r.raw, float)
-            quality = None if pd.isna(r.quality) else float(r.quality)
-            w = vitals.Window(np.asarray(r.samples, float), float(r.fs), float(r.start), quality, float(r.missing), raw)
-            out += [{"session_id": r.session_id, **v} for v in session.measure(w)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in VITALS.split(", ")])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, session = None, vitals.Session()
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if name is None or r.session_id != name:
+                    name, session = r.session_id, vitals.Session()
+                raw = None if r.raw is None else np.asarray(r.raw, float)
+                good = None if pd.isna(r.quality) else float(r.quality)
+                w = vitals.Window(np.asarray(r.samples, float), float(r.fs), float(r.start), good, float(r.missing), raw)
+                out += [{"session_id": r.session_id, **v} for v in session.measure(w)]
+            yield pd.DataFrame(out, columns=names)
 
-    return windows.groupBy("session_id").applyInPandas(run, VITALS)
+    rows = windows.select("session_id", "start", "fs", "samples", "raw", "quality", "missing")
+    return rows.repartition("session_id").sortWithinPartitions("session_id", "start").mapInPandas(run, VITALS)
 
 
 def filtered(rows: DataFrame, keys: list[str], samples: str, fs: float, low_hz: float, high_hz: float) -> DataFrame:
@@ -109,11 +133,9 @@ def filtered(rows: DataFrame, keys: list[str], samples: str, fs: float, low_hz:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            data = [np.asarray(x, float) for x in pdf[samples]]
-            out: list[np.ndarray | None] = [None] * len(data)
-            for n in {len(x) for x in data}:
-                at = [k for k, x in enumerate(data) if len(x) == n]
-                for k, y in zip(at, dsp.pulse_band_pass(dsp.linear_detrend(np.stack([data[k] for k in at])), low_hz, high_hz, fs), strict=True):
+            out: list[np.ndarray | None] = [None] * len(pdf)
+            for at, stack in by_length(pdf[samples]):
+                for k, y in zip(at.tolist(), dsp.pulse_band_pass(dsp.linear_detrend(stack), low_hz, high_hz, fs), strict=True):
                     out[k] = y
             yield pdf[keys].reset_index(drop=True).assign(x=out)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arterion.operators import arrays, frames, rules
-from arterion.streaming.state import protocol
+from arterion.streaming.state import walked
 
 
 def view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +136,7 @@ def state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each session stands after its events, taken as protocol events; refused ones are counted and change nothing."""
     names = ["REQUEST_CAMERA", "PERMISSION_GRANTED", "START_MEASUREMENT", "FACE_FOUND", "ACQUISITION_STARTED", "WINDOW_FILLED", "QUALITY_FAILED", "WINDOW_FILLED", "QUALITY_PASSED", "FACE_LOST"]
     e = view(spark, sf_dir).select("session_id", "t", "event_id", F.get(F.array(*[F.lit(x) for x in names]), (F.col("event_id") % len(names)).cast("int")).alias("event"))
-    g = e.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "event"))).alias("r"))
-    walk = arrays.state_walk(F.transform("r", lambda x: x["event"]), protocol(), "IDLE")
-    return g.select("session_id", walk.alias("w")).select("session_id", "w.state", "w.retries", "w.refused")
+    return walked(e, "session_id", "t", "event_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -5,9 +5,12 @@ from __future__ import annotations
 import itertools
 import math
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from arterion.functions import dsp
 
@@ -195,6 +198,42 @@ class Measurement:
         return self.state
 
 
+WALKED = "state string, retries int, refused long"
+
+
+def walked(events: DataFrame, key: str, *order: str) -> DataFrame:
+    """(key, state, retries, refused): where each key stands after its events (key, event, order), taken in their order;
+    an event that isn't allowed is refused and changes nothing.
+
+    One shuffle, sorted; a task holds a batch and where its last key stands.
+    """
+    kind = events.schema[key].dataType.simpleString()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, at, refused, began = None, ("IDLE", 0), 0, False
+        for batch in batches:
+            ids, done = [], []
+            for now, event in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not began or now != name:
+                    if began:
+                        ids.append(name)
+                        done.append((*at, refused))
+                    name, at, refused, began = now, ("IDLE", 0), 0, True
+                move = _PROTOCOL.get((*at, event))
+                refused += move is None
+                at = at if move is None else move[:2]
+            yield table(ids, done, batch.schema.field(0).type)
+        if began:
+            yield table([name], [(*at, refused)], batch.schema.field(0).type)
+
+    def table(ids: list, done: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *columns], [key, "state", "retries", "refused"])
+
+    rows = events.select(key, "event", *order).repartition(key).sortWithinPartitions(key, *order)
+    return rows.mapInArrow(walk, f"`{key}` {kind}, {WALKED}")
+
+
 def database_status(state: str) -> str:
     """The stored status of a state."""
     return STORED.get(state, "RUNNING")
