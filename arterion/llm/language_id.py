@@ -45,7 +45,7 @@ SMOOTH = 5.0
 _BLOCKS = [(re.compile(rf"<{x}\b.*?</{x}\s*>", re.S | re.I), re.compile(rf"</{x}\s*>", re.I)) for x in ("script", "style", "nav", "footer")] + [(re.compile("<!--.*?-->", re.S), re.compile("-->"))]
 _TAG = re.compile("<[^<>]*>")
 _ENTITY = re.compile(r"&[#\w]+;")
-_DECLARED = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+_DECLARED = re.compile(r"<html\b[^<>]*?(?<![\w-])lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})(?![A-Za-z])", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
 _PATH = re.compile(r"^[a-z][a-z0-9+.-]*://[^/?#]+/([A-Za-z]{2})(?:[/?#_-]|$)", re.I)
 
@@ -99,7 +99,11 @@ class TextModel:
 
 def fit_text(docs: DataFrame, most: int = MOST_DOCUMENTS) -> TextModel:
     """The trigram model of ``docs`` (doc_id, text, lang): all languages of documents with a doc_id, and of each the
-    first documents by hash of doc_id, an equal part of ``most`` but ``LEAST_EACH`` at least."""
+    first documents by hash of doc_id, an equal part of ``most`` but ``LEAST_EACH`` at least.
+
+    Trigrams are counted where the texts lie, whole texts of any length; the driver gets a number for each bucket and
+    language.
+    """
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
     held = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}  # a row per language
     languages = sorted(held) or ["und"]
@@ -109,11 +113,22 @@ def fit_text(docs: DataFrame, most: int = MOST_DOCUMENTS) -> TextModel:
     near = ids.join(F.broadcast(parts), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("part") * (1 << 30))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = near.withColumn("place", first).where(F.col("place") <= each).select("doc_id", "lang")
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"]).toPandas()
+    place = {lang: k for k, lang in enumerate(languages)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                k = place[lang]
+                seen[k] = seen.get(k, 0) + np.bincount(trigrams(text.as_py() or ""), minlength=BUCKETS)
+        for k, n in seen.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["k", "bucket", "n"])
+
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"]).select("text", "lang")
+    got = rows.mapInArrow(tidied(count), "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((BUCKETS, len(languages)), 0.05)
-    for k, lang in enumerate(languages):
-        for text in rows.loc[rows["lang"] == lang, "text"]:
-            counts[:, k] += np.bincount(trigrams(text or ""), minlength=BUCKETS)
+    counts[got.column("bucket").to_numpy(), got.column("k").to_numpy()] += got.column("n").to_numpy()
     return TextModel(languages, np.log(counts / counts.sum(0)).astype(np.float64))
 
 
