@@ -39,6 +39,36 @@ def results(rows: DataFrame) -> DataFrame:
     return rows.groupBy("session_id", "at").agg(F.sort_array(F.collect_list(vital)).alias("vitals")).withColumn("status", find(F.col("vitals"), "heart_rate")["status"])
 
 
+#: Versions that a result says it is made by; callers may give their own.
+ENGINE_VERSION, SCHEMA_VERSION = "1.0.0", "1.0"
+
+
+def full_results(rows: DataFrame, engine_version: str = ENGINE_VERSION, schema_version: str = SCHEMA_VERSION) -> DataFrame:
+    """One whole result per window of rows (session_id, start, end, method, method_version, fs, code, value, unit, status,
+    quality, confidence, issues, model): versions, source and window of the signal, vitals with their algorithm and
+    model, and the issues of all of them, each once, in order.
+
+    A vital that is INVALID or has no finite value has none and is INVALID; values have one place, quality and
+    confidence three within [0, 1]; the result's status is that of the heart rate, INVALID without one.
+    """
+    value = finite(F.col("value").cast("double"))
+    void = (F.col("status") == "INVALID") | value.isNull() | (F.abs(value) == float("inf"))
+    unit = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(finite(F.col(c).cast("double")), F.lit(0.0)))), 3).alias(c)
+    issues = F.coalesce("issues", F.expr("cast(array() as array<string>)"))
+    vital = F.struct(
+        "code", F.when(~void, F.bround(value, 1)).alias("value"), "unit", F.when(void, "INVALID").otherwise(F.col("status")).alias("status"), unit("quality"), unit("confidence"), issues.alias("issues"),
+        F.concat_ws("-", F.lower("method"), "method_version").alias("algorithm"), "model",
+    )
+    key = ["session_id", "start", "end", "method", "method_version", "fs"]
+    out = rows.groupBy(*key).agg(F.sort_array(F.collect_list(vital)).alias("vitals"))
+    source, window = F.struct("method", "method_version", F.col("fs").alias("sampling_rate_hz")), F.struct("start", "end", (F.col("end") - F.col("start")).alias("seconds"))
+    heart = find(F.col("vitals"), "heart_rate")["status"]
+    return out.select(
+        "session_id", F.lit(schema_version).alias("schema_version"), F.lit(engine_version).alias("engine_version"), source.alias("source"), window.alias("window"), "vitals",
+        F.coalesce(heart, F.lit("INVALID")).alias("status"), F.array_sort(F.array_distinct(F.flatten("vitals.issues"))).alias("issues"),
+    )
+
+
 def measurement_rows(found: DataFrame) -> DataFrame:
     """What a measurement becomes when its result arrives."""
     hr = find(F.col("vitals"), "heart_rate")

@@ -207,3 +207,14 @@ def sample_labels(samples: DataFrame) -> DataFrame:
     reasons = F.filter(marks, lambda x: x.isNotNull())
     noted = F.coalesce(F.size("deviations") > 0, F.lit(False))
     return samples.withColumn("exclusion_reasons", reasons).withColumn("label", F.when(F.size("exclusion_reasons") > 0, "REJECT").when(noted, "WARNING").otherwise("PASS"))
+
+
+def window_guard(samples: Column, fs: Column, sqi: Column, blocking: Column, artifact: Column) -> Column:
+    """Reasons against extracting features of a window, in their order: the guard of functions.features as a Column."""
+    real = F.coalesce(fs, F.lit(float("nan")))
+    usable = ~F.isnan(real) & (F.abs(real) < float("inf"))
+    finite = F.filter(samples, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    flat = (F.size(finite) == 0) | (F.array_max(finite) - F.array_min(finite) < 1e-9)
+    short = ~(usable & (real > 0)) | (F.size(samples) / F.when(usable & (real > 0), real).otherwise(1.0) < 4.0)
+    marks = ((~usable | (real < 15.0), "LOW_FS"), (short, "SIGNAL_TOO_SHORT"), (F.size(finite) < F.size(samples), "NON_FINITE_SAMPLES"), (flat, "SIGNAL_DEGENERATE"), (sqi < 0.4, "LOW_SQI"), (blocking, "BLOCKING_WARNING"), (artifact > 0.25, "HIGH_ARTIFACT"))
+    return F.filter(F.array(*[F.when(bad, code) for bad, code in marks]), lambda x: x.isNotNull())
