@@ -150,15 +150,28 @@ class Lexicon:
             found.append((h, np.concatenate([[np.nan], values])[order]))
         return found
 
+    def places(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each text, its tokens' places in the tables of words and of stems, -1 where there is none.  Lexicons that
+        were made of the same words share them."""
+        (own, _), (stems, _) = self._tables
+        for counts, h, first in self._hasher.groups(plain(texts)):
+            at = np.minimum(np.searchsorted(own, h), len(own) - 1).astype(np.int32)
+            at[own[at] != h] = -1
+            near = np.minimum(np.searchsorted(stems, first), len(stems) - 1).astype(np.int32)
+            near[(stems[near] != first) | (first == 0)] = -1
+            cuts = np.cumsum(counts)[:-1]
+            yield from zip(np.split(at, cuts), np.split(near, cuts), strict=True)
+
+    def scored(self, at: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """The scores of tokens at these places."""
+        (_, value), (_, stem_value) = self._tables
+        score = np.where(at >= 0, value[at], np.nan)
+        by_stem = np.where(near >= 0, np.nan_to_num(stem_value[near]), 0.0)
+        return np.where(np.isnan(score), by_stem, score) - self.drift
+
     def scores(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The token scores of each text."""
-        hasher, ((own, value), (stems, stem_value)) = self._hasher, self._tables
-        for counts, h, first in hasher.groups(plain(texts)):
-            at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-            score = np.where(own[at] == h, value[at], np.nan)
-            near = np.minimum(np.searchsorted(stems, first), len(stems) - 1)
-            by_stem = np.where((stems[near] == first) & (first != 0), np.nan_to_num(stem_value[near]), 0.0)
-            yield from np.split(np.where(np.isnan(score), by_stem, score) - self.drift, np.cumsum(counts)[:-1])
+        return (self.scored(*place) for place in self.places(texts))
 
     def surprise(self, score: float, m: int) -> float:
         """-ln of the chance of a segment of at least ``score`` among ``m`` clean tokens."""
@@ -249,18 +262,18 @@ def shrunk(y: np.ndarray, n: np.ndarray, rate: np.ndarray, caution: float) -> np
 def _tallies(rows: DataFrame, lexicons: list[Lexicon]) -> list[tuple[dict[int, int], int]]:
     """For each lexicon, how often clean tokens have each score (in STEPs), and the segments in them.
 
-    Lexicon k was fitted without part k and is looked at in it; the last one, of all parts, in all.
+    ``lexicons`` come in groups of PARTS + 1: the k-th of a group was fitted without part k and is looked at in it; the
+    last one, of all parts, in all.
     """
     held = rows.sparkSession.sparkContext.broadcast(lexicons)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            part = batch.column(1).to_numpy(zero_copy_only=False)
-            for k, lex in enumerate(held.value):
-                own = np.flatnonzero((part == k) | (k == PARTS))
-                for s in lex.scores(batch.column(0).take(pa.array(own))):
-                    if len(s):
+            for place, part in zip(held.value[0].places(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                for k, lex in enumerate(held.value):
+                    if len(place[0]) and k % (PARTS + 1) in (part, PARTS):
+                        s = lex.scored(*place)
                         value, n = np.unique(np.rint(s / STEP).astype(np.int64), return_counts=True)
                         seen.update({(k, v): c for v, c in zip(value.tolist(), n.tolist(), strict=True)})
                         seen[k, None] += len(maximal_segments(s))
@@ -338,21 +351,24 @@ def corpus_rates(docs: DataFrame, features: list[str]) -> dict[str, float]:
     return {f: n.get(k, 0) / max(1, n.get(-1, 1)) for k, f in enumerate(features)}
 
 
-def _calibrating(rows: DataFrame, lexicons: list[Lexicon]) -> tuple[np.ndarray, np.ndarray]:
-    """(features, label) of the documents of the sample, each by the lexicon that was fitted without its part."""
+def _calibrating(rows: DataFrame, lexicons: list[Lexicon]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each group of lexicons (features, label) of the documents of the sample, each by the lexicon of the group that
+    was fitted without its part."""
     held = rows.sparkSession.sparkContext.broadcast(lexicons)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, part, found = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), []
-            for k, lex in enumerate(held.value):
-                own = np.flatnonzero(part == k)
-                found += [(*lex.features(lex.segments(s)), y) for s, y in zip(lex.scores(batch.column(0).take(pa.array(own))), label[own].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([float(x[j]) for x in found], pa.float64()) for j in range(3)], ["best", "rest", "label"])
-
-    got = rows.mapInArrow(tidied(work), "best double, rest double, label double").toPandas().sort_values(["label", "best", "rest"])
+            found = []
+            for place, label, part in zip(held.value[0].places(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for group in range(groups):
+                    lex = held.value[group * (PARTS + 1) + part]
+                    found.append((group, *lex.features(lex.segments(lex.scored(*place))), label))
+            yield pa.RecordBatch.from_arrays([pa.array([float(x[j]) for x in found], pa.float64()) for j in range(4)], ["group", "best", "rest", "label"])
+
+    groups = len(lexicons) // (PARTS + 1)
+    got = rows.mapInArrow(tidied(work), "group double, best double, rest double, label double").toPandas().sort_values(["group", "label", "best", "rest"])
     held.destroy()
-    return got[["best", "rest"]].to_numpy(float), got["label"].to_numpy(float)
+    return [(own[["best", "rest"]].to_numpy(float), own["label"].to_numpy(float)) for own in (got[got["group"] == g] for g in range(groups))]
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Lexicon | None:
@@ -389,21 +405,20 @@ def _train(scratch: Scratch, docs: DataFrame, labels: DataFrame, most: int) -> L
         return out
 
     crossed = all(own.all() for _, own in parts)
+    cautions = CAUTIONS if crossed else CAUTIONS[1:2]
+    lexicons = [made(k, c) for c in cautions for k in range(PARTS + 1)]
+    for lex, (tally, segments) in zip(lexicons, _tallies(rows, lexicons), strict=True):
+        _karlin(lex, tally, segments)
     best: tuple[float, Lexicon] | None = None
-    for caution in CAUTIONS if crossed else CAUTIONS[1:2]:
-        lexicons = [made(k, caution) for k in range(PARTS + 1)]
-        for lex, (tally, segments) in zip(lexicons, _tallies(rows, lexicons), strict=True):
-            _karlin(lex, tally, segments)
-        loss = 0.0
-        if crossed:
-            x, y = _calibrating(rows, lexicons[:PARTS])
-            lexicons[PARTS].weights = w = _logistic(x, y)
-            z = np.clip(w[0] + x @ np.array(w[1:]), -50, 50)
-            loss = float(np.log1p(np.exp(np.where(y > 0, -z, z))).sum())
+    for k, (x, y) in enumerate(_calibrating(rows, lexicons) if crossed else []):
+        lex = lexicons[(k + 1) * (PARTS + 1) - 1]
+        lex.weights = w = _logistic(x, y)
+        z = np.clip(w[0] + x @ np.array(w[1:]), -50, 50)
+        loss = float(np.log1p(np.exp(np.where(y > 0, -z, z))).sum())
         if best is None or loss < best[0]:
-            best = loss, lexicons[PARTS]
+            best = loss, lex
     scratch.close()
-    return best[1]
+    return best[1] if best else lexicons[-1]
 
 
 _PASSAGES = "array<struct<start:int,end:int,score:double,surprise:double>>"
