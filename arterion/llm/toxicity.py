@@ -165,8 +165,8 @@ class Lexicon:
     def scored(self, at: np.ndarray, near: np.ndarray) -> np.ndarray:
         """The scores of tokens at these places."""
         (_, value), (_, stem_value) = self._tables
-        score = np.where(at >= 0, value[at], np.nan)
-        by_stem = np.where(near >= 0, np.nan_to_num(stem_value[near]), 0.0)
+        score = np.where(at >= 0, _real(value[at]), np.nan)
+        by_stem = np.where(near >= 0, np.nan_to_num(_real(stem_value[near])), 0.0)
         return np.where(np.isnan(score), by_stem, score) - self.drift
 
     def scores(self, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -200,6 +200,20 @@ class Lexicon:
         return [self.probability(self.segments(s)) for s in self.scores(pa.array(texts, pa.string()))]
 
 
+#: In tables that go to many tasks, scores are whole STEPs in two bytes; this one is that of a name that isn't listed.
+UNLISTED = -(1 << 15)
+
+
+def _steps(score: np.ndarray) -> np.ndarray:
+    """Scores, which are whole STEPs, in two bytes."""
+    return np.where(np.isnan(score), UNLISTED, np.clip(np.rint(np.nan_to_num(score) / STEP), 1 - (1 << 15), (1 << 15) - 1)).astype(np.int16)
+
+
+def _real(values: np.ndarray) -> np.ndarray:
+    """Scores of a table."""
+    return np.where(values == UNLISTED, np.nan, values * STEP) if values.dtype == np.int16 else values
+
+
 def sorted_hashes(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of ``names`` and of nothing, sorted; the order that sorts them), nothing being first."""
     h = np.concatenate([np.zeros(1, np.uint64), *[x for _, x, _ in WordHasher(STEM).groups(names)]])
@@ -401,7 +415,7 @@ def _train(scratch: Scratch, docs: DataFrame, labels: DataFrame, most: int) -> L
         """The lexicon of a part, with its tables: hashes are made once for all."""
         score = shrunk(*parts[part], rates[part], caution)
         out = Lexicon(*[Scores(x, score[at]) for at, x in kinds])
-        out.__dict__["_tables"] = [(h, np.concatenate([[np.nan], score[at]])[order]) for (at, _), (h, order) in zip(kinds, hashed, strict=True)]
+        out.__dict__["_tables"] = [(h, _steps(np.concatenate([[np.nan], score[at]])[order])) for (at, _), (h, order) in zip(kinds, hashed, strict=True)]
         return out
 
     crossed = all(own.all() for _, own in parts)
