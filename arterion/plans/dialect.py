@@ -27,6 +27,8 @@ MACROS = {
     "LONG": ("cast($1 AS bigint)", "cast($1 AS bigint)"),
     "LAST_SEEN": ("last_value($1, true)", "last_value($1 IGNORE NULLS)"),
     "DBL": ("cast($1 AS double)", "cast($1 AS double)"),
+    # A quotient as IEEE 754 has it: NaN or infinite over a 0, where Spark's own division raises an error.
+    "RATIO": ("coalesce(try_divide($1, $2), CASE WHEN $2 = 0 THEN $1 * cast('Infinity' AS double) END)", "$1 / $2"),
     "TEXT": ("cast($1 AS string)", "cast($1 AS varchar)"),
 }
 

@@ -30,7 +30,7 @@ QUERIES, ORACLES = both({
  SELECT user_id, start_s, count(*) AS n, round(avg(value), 6) AS mean FROM h GROUP BY user_id, start_s""",
     # Running median of seven, and variation over a trailing span
     "running_median7": f"""{_E} SELECT event_id, PCT(value, 0.5) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS luma,
- round(coalesce(stddev_pop(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 0) / avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS variation FROM e""",
+ round(RATIO(coalesce(stddev_pop(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 0), avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)), 6) AS variation FROM e""",
     # Range of a position over a span, and jumps
     "motion_range": f"""{_E} SELECT event_id, round(max(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAYS PRECEDING AND CURRENT ROW) - min(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAYS PRECEDING AND CURRENT ROW), 6) AS reach,
  coalesce(abs(value - lag(value) {_W}) > 200, false) AS jump FROM e""",
