@@ -106,12 +106,15 @@ def face_quality(frames: DataFrame, *by: str) -> DataFrame:
     return s.select(*by, *[F.when(few, 0.0).otherwise(F.col(c)).alias(c) for c in parts], F.when(few, 0.0).otherwise(overall).alias("overall"), F.when(few, F.array(F.lit("INSUFFICIENT_OBSERVATIONS"))).otherwise(issues).alias("issues"))
 
 
-def light_history(frames: DataFrame) -> DataFrame:
-    """``frames`` with smooth_luma, the median of the last seven measured, and unstable: variation over two seconds."""
+def light_history(frames: DataFrame, order: tuple[str, ...] = ("t",)) -> DataFrame:
+    """``frames`` with smooth_luma, the median of the last seven measured, and unstable: variation over two seconds.
+
+    A luma that isn't over 0 was not measured: it counts in neither, and its own row has 0 and false.
+    """
     measured = F.when(F.col("luma") > 0, F.col("luma"))
     # Rows without a measurement don't count among the seven, so those with one are looked back over.
     some = frames.where(F.col("luma") > 0)
-    recent, span = Window.partitionBy("session_id").orderBy("t").rowsBetween(1 - LIGHT_FRAMES, 0), _trailing(LIGHT_S)
+    recent, span = Window.partitionBy("session_id").orderBy(*order).rowsBetween(1 - LIGHT_FRAMES, 0), _trailing(LIGHT_S)
     level, swing = F.avg(measured).over(span), F.stddev_pop(measured).over(span)
     unstable = (F.count(measured).over(span) >= LIGHT_LEAST) & (F.col("t") - F.min("t").over(span) >= LIGHT_S / 2) & (level > 1e-6) & (swing / level > UNSTABLE)
     some = some.withColumns({"smooth_luma": F.percentile(measured, 0.5).over(recent), "unstable": F.coalesce(unstable, F.lit(False))})

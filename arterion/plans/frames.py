@@ -35,7 +35,7 @@ def face_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_light(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.light_history(view(spark, sf_dir)).select("event_id", F.round("smooth_luma", 6).alias("smooth_luma"), "unstable")
+    return frames.light_history(view(spark, sf_dir), order=("t", "event_id")).select("event_id", F.round("smooth_luma", 6).alias("smooth_luma"), "unstable")
 
 
 def frame_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,8 +166,9 @@ SELECT session_id, CASE WHEN n < 10 THEN 0 ELSE round(detection, 6) END AS detec
  CASE WHEN n < 10 THEN 0 ELSE round(pow(detection * motion * light * size_score, 0.25), 6) END AS overall,
  CASE WHEN n < 10 THEN 'INSUFFICIENT_OBSERVATIONS' ELSE concat_ws(',', CASE WHEN detection < 0.9 THEN 'FACE_NOT_DETECTED' END, CASE WHEN width < 0.12 THEN 'FACE_TOO_SMALL' END, CASE WHEN speed > 0.35 THEN 'EXCESSIVE_MOTION' END,
   CASE WHEN level < 80 THEN 'TOO_DARK' END, CASE WHEN level > 190 THEN 'TOO_BRIGHT' END, CASE WHEN variation > 0.08 THEN 'LIGHTING_UNSTABLE' END, CASE WHEN clipped > 0.05 THEN 'PIXEL_CLIPPING' END) END AS issues FROM c""",
-    "frame_light": f"""WITH {_VIEW}, u AS (SELECT *, CAST(round(t * 1000000) AS BIGINT) AS us FROM v), w AS (SELECT *, median(luma) OVER (PARTITION BY session_id ORDER BY t ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS m, count(*) OVER s AS n, min(t) OVER s AS t0, avg(luma) OVER s AS a, stddev_pop(luma) OVER s AS d
- FROM u WINDOW s AS (PARTITION BY session_id ORDER BY us RANGE BETWEEN 2000000 PRECEDING AND CURRENT ROW)) SELECT event_id, round(m, 6) AS smooth_luma, n >= 10 AND t - t0 >= 1 AND d / a > 0.1 AS unstable FROM w""",
+    "frame_light": f"""WITH {_VIEW}, u AS (SELECT *, CAST(round(t * 1000000) AS BIGINT) AS us FROM v WHERE luma > 0), w AS (SELECT *, median(luma) OVER (PARTITION BY session_id ORDER BY t, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS m, count(*) OVER s AS n, min(t) OVER s AS t0, avg(luma) OVER s AS a, stddev_pop(luma) OVER s AS d
+ FROM u WINDOW s AS (PARTITION BY session_id ORDER BY us RANGE BETWEEN 2000000 PRECEDING AND CURRENT ROW)) SELECT event_id, round(m, 6) AS smooth_luma, n >= 10 AND t - t0 >= 1 AND a > 1e-6 AND d / a > 0.1 AS unstable FROM w
+UNION ALL SELECT event_id, 0, false FROM v WHERE coalesce(luma, 0) <= 0""",
     "frame_motion": f"""WITH {_VIEW}, d AS (SELECT session_id, event_id, t, CAST(round(t * 1000000) AS BIGINT) AS us, x + w / 2 AS cx, y + h / 2 AS cy, w FROM v WHERE has),
 j AS (SELECT *, coalesce(sqrt(pow(cx - lag(cx) OVER s, 2) + pow(cy - lag(cy) OVER s, 2)) > 0.6 * greatest(w, lag(w) OVER s), false) AS jumped FROM d WINDOW s AS (PARTITION BY session_id ORDER BY t)),
 p AS (SELECT *, count(*) FILTER (WHERE jumped) OVER (PARTITION BY session_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM j),
