@@ -176,7 +176,7 @@ r AS (SELECT *, count(*) OVER s AS n, greatest(max(cx) OVER s - min(cx) OVER s,
 SELECT event_id, jumped, jumped OR (n >= 5 AND reach > 0.12) AS moving, round(reach, 6) AS reach FROM r""",
     "gate_states": f"WITH {_VIEW}, {_GATE} SELECT event_id, array_to_string(reasons, ',') AS reasons, raw AS state FROM q",
     "gate_hysteresis": f"""WITH {_VIEW} SELECT a.event_id, CASE WHEN a.value < 3 OR EXISTS (SELECT 1 FROM v b WHERE b.session_id = a.session_id AND b.value < 3 AND b.t <= a.t AND a.t - b.t < 2) THEN 'REJECTED' WHEN a.value < 200 THEN 'SUSPICIOUS' ELSE 'ACCEPTED' END AS state FROM v a""",
-    "frame_status": f"""WITH {_VIEW}, {_GATE}, c AS (SELECT *, CASE WHEN NOT has THEN ['FACE_NOT_FOUND'] ELSE [x for x in [CASE WHEN w / (frame_w * 2) < 0.12 THEN 'FACE_TOO_SMALL' END, CASE WHEN luma < 40 THEN 'TOO_DARK' WHEN luma > 225 THEN 'TOO_BRIGHT' END, CASE WHEN event_id % 9 = 0 THEN 'LIGHT_UNSTABLE' END,
+    "frame_status": f"""WITH {_VIEW}, {_GATE}, c AS (SELECT *, CASE WHEN NOT has THEN ['FACE_NOT_FOUND'] ELSE [x for x in [CASE WHEN w / (frame_w * 2) < 0.12 THEN 'FACE_TOO_SMALL' END, CASE WHEN luma <= 0 THEN NULL WHEN luma < 40 THEN 'TOO_DARK' WHEN luma > 225 THEN 'TOO_BRIGHT' END, CASE WHEN event_id % 9 = 0 THEN 'LIGHT_UNSTABLE' END,
  CASE WHEN event_id % 10 = 0 THEN 'MOTION_HIGH' END, CASE WHEN event_id % 15 = 0 THEN 'TIME_GAP' END, CASE WHEN event_id % 14 = 0 THEN 'LOW_FPS' END] if x IS NOT NULL] END || reasons AS codes FROM q), b AS (SELECT *, list_contains(codes, 'FACE_NOT_FOUND') OR list_contains(codes, 'MOTION_HIGH') AS blocked FROM c)
 SELECT event_id, array_to_string(codes, ',') AS codes, blocked, CASE WHEN value / 60 >= 0.4 AND NOT blocked AND raw <> 'REJECTED' THEN 'OK' ELSE 'LOW_QUALITY' END AS status FROM b""",
     "packets": """WITH w AS (SELECT vec_id, CAST(embedding[1 : vec_id % 64] AS DOUBLE[]) AS x, vec_id % 64 AS n, (vec_id % 10) / 10.0::DOUBLE AS q FROM embeddings)
