@@ -76,15 +76,16 @@ def region(face: Column, x: float, y: float, w: float, h: float, frame_w: Column
     )
 
 
-def face_quality(frames: DataFrame, *by: str) -> DataFrame:
+def face_quality(frames: DataFrame, *by: str, order: tuple[str, ...] = ("t",)) -> DataFrame:
     """(by, detection, motion, light, size_score, overall, issues): one row per session.
 
-    Motion compares each frame that has a face with the last one that had.  Under ten frames nothing is scored.
+    Motion compares each frame that has a face with the last one that had.  Under ten frames nothing is scored.  Means
+    are compared with bounds to nine places: their last bits depend on the order of adding up.
     """
     by = by or ("session_id",)
     middle = F.struct((F.col("face.x") + F.col("face.w") / 2).alias("x"), (F.col("face.y") + F.col("face.h") / 2).alias("y"), F.greatest(F.col("face.w").cast("double"), F.lit(1e-9)).alias("w"), F.col("t").alias("t"))
     rows = frames.withColumn("m", F.when(F.col("face").isNotNull(), middle))
-    before = F.last("m", ignorenulls=True).over(Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last("m", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     m, p = F.col("m"), F.col("p")
     moved = F.sqrt((m["x"] - p["x"]) * (m["x"] - p["x"]) + (m["y"] - p["y"]) * (m["y"] - p["y"])) / m["w"] + F.abs(m["w"] - p["w"]) / m["w"]
     rows = rows.withColumn("p", before).withColumn("speed", moved / F.greatest(m["t"] - p["t"], F.lit(1e-9)))
@@ -94,6 +95,7 @@ def face_quality(frames: DataFrame, *by: str) -> DataFrame:
     )
     level, few = F.col("level"), F.col("n") < FACE["observations"]
     s = s.withColumn("variation", F.col("swing") / F.greatest(level, F.lit(1e-9)))
+    s = s.withColumns({c: F.round(c, 9) for c in ("speed", "level", "variation", "clipped", "width")})
     ramp = F.when(level < LEVELS[1], clip((level - LEVELS[0]) / (LEVELS[1] - LEVELS[0]))).when(level > LEVELS[2], clip((LEVELS[3] - level) / (LEVELS[3] - LEVELS[2]))).otherwise(1.0)
     light = ramp * clip(1 - F.col("variation") / (2 * FACE["variation"])) * clip(1 - F.col("clipped") / (2 * FACE["clipped"]))
     s = s.withColumns({"motion": F.exp(-F.col("speed") / FACE["speed_scale"]), "light": light, "size_score": clip(F.col("width") / FACE["ideal_width"])})

@@ -31,7 +31,7 @@ _VIEW = """v AS (SELECT user_id AS session_id, event_id, event_type, value, epoc
 
 def face_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = ("detection", "motion", "light", "size_score", "overall")
-    return frames.face_quality(view(spark, sf_dir)).select("session_id", *[F.round(c, 6).alias(c) for c in parts], F.array_join("issues", ",").alias("issues"))
+    return frames.face_quality(view(spark, sf_dir), order=("t", "event_id")).select("session_id", *[F.round(c, 6).alias(c) for c in parts], F.array_join("issues", ",").alias("issues"))
 
 
 def frame_light(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,12 +156,13 @@ _MOVES = """m(s, e, t) AS (VALUES ('IDLE', 'REQUEST_CAMERA', 'CAMERA_PERMISSION'
  ('FACE_LOCKED', 'FACE_LOST', 'FACE_SEARCH'), ('SIGNAL_ACQUIRING', 'FACE_LOST', 'FACE_SEARCH'), ('QUALITY_CHECK', 'FACE_LOST', 'FACE_SEARCH'))"""
 
 ORACLES = {
-    "face_quality": f"""WITH {_VIEW}, d AS (SELECT session_id, t, x + w / 2 AS cx, y + h / 2 AS cy, w, w / frame_w AS share FROM v WHERE has),
-l AS (SELECT *, lag(cx) OVER s AS px, lag(cy) OVER s AS py, lag(w) OVER s AS pw, lag(t) OVER s AS pt FROM d WINDOW s AS (PARTITION BY session_id ORDER BY t)),
+    "face_quality": f"""WITH {_VIEW}, d AS (SELECT session_id, event_id, t, x + w / 2 AS cx, y + h / 2 AS cy, w, w / frame_w AS share FROM v WHERE has),
+l AS (SELECT *, lag(cx) OVER s AS px, lag(cy) OVER s AS py, lag(w) OVER s AS pw, lag(t) OVER s AS pt FROM d WINDOW s AS (PARTITION BY session_id ORDER BY t, event_id)),
 a AS (SELECT session_id, avg((sqrt((cx - px) * (cx - px) + (cy - py) * (cy - py)) / w + abs(w - pw) / w) / greatest(t - pt, 1e-9)) AS speed, median(share) AS width FROM l GROUP BY session_id),
 b AS (SELECT session_id, count(*) AS n, count(*) FILTER (WHERE has) / count(*) AS detection, avg(luma) AS level, stddev_pop(luma) / greatest(avg(luma), 1e-9) AS variation, avg(clipped) AS clipped FROM v GROUP BY session_id),
-c AS (SELECT b.*, coalesce(speed, 0) AS speed, coalesce(width, 0) AS width, exp(-coalesce(speed, 0) / 0.25) AS motion, least(1, coalesce(width, 0) / 0.25) AS size_score,
- CASE WHEN level < 80 THEN greatest(0, (level - 50) / 30) WHEN level > 190 THEN greatest(0, (230 - level) / 40) ELSE 1 END * greatest(0, 1 - variation / 0.16) * greatest(0, 1 - clipped / 0.1) AS light FROM b LEFT JOIN a USING (session_id))
+m AS (SELECT session_id, n, detection, round(level, 9) AS level, round(variation, 9) AS variation, round(clipped, 9) AS clipped, round(coalesce(speed, 0), 9) AS speed, round(coalesce(width, 0), 9) AS width FROM b LEFT JOIN a USING (session_id)),
+c AS (SELECT *, exp(-speed / 0.25) AS motion, least(1, width / 0.25) AS size_score,
+ CASE WHEN level < 80 THEN greatest(0, (level - 50) / 30) WHEN level > 190 THEN greatest(0, (230 - level) / 40) ELSE 1 END * greatest(0, 1 - variation / 0.16) * greatest(0, 1 - clipped / 0.1) AS light FROM m)
 SELECT session_id, CASE WHEN n < 10 THEN 0 ELSE round(detection, 6) END AS detection, CASE WHEN n < 10 THEN 0 ELSE round(motion, 6) END AS motion, CASE WHEN n < 10 THEN 0 ELSE round(light, 6) END AS light, CASE WHEN n < 10 THEN 0 ELSE round(size_score, 6) END AS size_score,
  CASE WHEN n < 10 THEN 0 ELSE round(pow(detection * motion * light * size_score, 0.25), 6) END AS overall,
  CASE WHEN n < 10 THEN 'INSUFFICIENT_OBSERVATIONS' ELSE concat_ws(',', CASE WHEN detection < 0.9 THEN 'FACE_NOT_DETECTED' END, CASE WHEN width < 0.12 THEN 'FACE_TOO_SMALL' END, CASE WHEN speed > 0.35 THEN 'EXCESSIVE_MOTION' END,
