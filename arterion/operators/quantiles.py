@@ -1,78 +1,76 @@
-"""Exact quantiles of groups of any size: brackets around the wanted ranks are narrowed by counts until few rows are left.
+"""Exact quantiles of groups of any size: values are counted, and the counts lead to the wanted ranks.
 
-A pass sketches the values inside each bracket (a mergeable summary of bounded
-size) and cuts the bracket at the sketch's values; a second counts rows between
-the cuts, exactly, which tells the part that holds the rank.  Two passes leave a
-hundredth of the rows or a single value, and at the end at most ``few`` rows of a
-bracket are put in order.  No task holds the values of a group.
+Equal values of a group become one row with their number, so that no value is hot.  These rows are dealt by range to
+parts of about equal size; the sums of the parts, a few numbers for each, tell which part holds a rank, and only the rows
+of that part are put in order.  No task holds a group's rows or values, and the table is read once.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CUTS, ACCURACY, FEW = 128, 2000, 100_000
+FEW = 100_000
 
 
-def quantiles(rows: DataFrame, value: str | Column, shares: tuple[float, ...], *by: str, few: int = FEW) -> DataFrame:
+def quantiles(rows: DataFrame, value: str | Column, shares: tuple[float, ...], *by: str, few: int = FEW, weight: str | None = None, nan: bool = False) -> DataFrame:
     """(by, share, n, value): linear quantiles of the values of each group that are neither null nor NaN, n of them.
 
-    A group without any has no row.  Null keys are a group of their own.
+    A group without any has no row.  Null keys are a group of their own.  ``weight``: a column of whole numbers, how many
+    times a row counts.  With ``nan`` NaN is a value too, the largest.
     """
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    rows = rows.select(F.struct(*[F.col(c) for c in by], F.lit(0).alias("_one")).alias("_key"), v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    groups = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
-    targets = groups.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+    m = F.count(F.lit(1)) if weight is None else F.sum("_w")
+    rows = rows.select(F.struct(*[F.col(c) for c in by], F.lit(0).alias("_one")).alias("_key"), v.alias("_v"), *([] if weight is None else [F.col(weight).cast("long").alias("_w")]))
+    rows = rows.where(F.col("_v").isNotNull() if nan else F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counted = rows.groupBy("_key", "_v").agg(m.alias("m")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        parts = -(-counted.count() // few)
+        return held(_ranked(counted, held(_brackets(counted, shares, parts)), few)).select(*[F.col("_key")[c].alias(c) for c in by], "share", "n", "value")
+    finally:
+        counted.unpersist()
+
+
+def held(table: DataFrame) -> DataFrame:
+    """A small table without what it was made of."""
+    session = table.sparkSession
+    if session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir():
+        return table.checkpoint()
+    table = table.cache()
+    table.count()
+    return table
+
+
+def _brackets(counted: DataFrame, shares: tuple[float, ...], parts: int) -> DataFrame:
+    """For each group and share the bounds of the parts that hold its ranks, the number of values ``before`` them, and how
+    many different values the group has."""
+    dealt = counted.repartitionByRange(parts, "_key", "_v") if parts > 1 else counted
+    dealt = dealt.withColumn("part", F.spark_partition_id() if parts > 1 else F.lit(0))
+    sums = dealt.groupBy("_key", "part").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("values"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    group = Window.partitionBy("_key")
+    sums = sums.withColumns({"upto": F.sum("m").over(group.orderBy("part")), "n": F.sum("m").over(group), "values": F.sum("values").over(group)})
     rank = F.col("share") * (F.col("n") - 1)
-    open_ = targets.select("_key", "share", "n", "low", "high", F.lit(0).cast("long").alias("before"), F.col("n").alias("inside"), F.floor(rank).alias("r0"), F.ceil(rank).alias("r1"), rank.alias("rank"))
-    open_ = _held(open_)
-    while open_.where((F.col("inside") > few) & (F.col("low") < F.col("high"))).take(1):
-        open_ = _held(_narrowed(rows, open_, few))
-    return _ranked(rows, open_).select(*[F.col("_key")[c].alias(c) for c in by], "share", "n", "value")
-
-
-def _held(brackets: DataFrame) -> DataFrame:
-    """The brackets, a row for each group and share, without what they were made of: each pass reads the table anew."""
-    session = brackets.sparkSession
-    return brackets.checkpoint() if session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir() else brackets.cache()
-
-
-def _within(rows: DataFrame, brackets: DataFrame) -> DataFrame:
-    """Rows of each group with the brackets that hold them."""
-    return rows.join(brackets, "_key").where(F.col("_v").between(F.col("low"), F.col("high")))
-
-
-def _narrowed(rows: DataFrame, brackets: DataFrame, few: int) -> DataFrame:
-    wide = (F.col("inside") > few) & (F.col("low") < F.col("high"))
-    key = ["_key", "share"]
-    inside = _within(rows, brackets.where(wide))
-    sketched = inside.groupBy(*key).agg(F.percentile_approx("_v", [k / CUTS for k in range(CUTS + 1)], ACCURACY).alias("cuts"))
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array("low", "high"), "cuts")))
-    cut = brackets.where(wide).join(sketched, key).withColumn("cuts", cuts)
-    # Parts by cut: twice a cut's place for what equals it, one more for what lies between it and the next.
-    place = F.size(F.filter("cuts", lambda c: c < F.col("_v")))
-    part = F.when(F.array_contains("cuts", F.col("_v")), 2 * place).otherwise(2 * place - 1)
-    counts = _within(rows, cut.select("_key", "share", "low", "high", "cuts")).groupBy(*key, part.alias("part")).agg(F.count(F.lit(1)).alias("m"), F.min("_v").alias("low"), F.max("_v").alias("high"))
-    below = F.sum("m").over(Window.partitionBy(*key).orderBy("part"))
-    counts = counts.withColumn("upto", below)
-    kept = counts.join(brackets.where(wide).select(*key, "n", "before", "r0", "r1", "rank"), key)
-    # The parts that hold either rank; usually one, and at most what lies between two of them.
-    kept = kept.where((F.col("before") + F.col("upto") > F.col("r0")) & (F.col("before") + F.col("upto") - F.col("m") <= F.col("r1")))
-    again = kept.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("n", "r0", "r1", "rank")], F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.col("before") + F.col("upto") - F.col("m")).alias("before"), F.sum("m").alias("inside"))
-    return again.select(*brackets.columns).unionByName(brackets.where(~wide))
-
-
-def _ranked(rows: DataFrame, brackets: DataFrame) -> DataFrame:
-    """The value of each bracket's rank: equal values are one row with their number."""
-    key = ["_key", "share"]
-    flat = brackets.where(F.col("low") == F.col("high")).select(*key, "n", F.col("low").alias("value"))
-    values = _within(rows, brackets.where(F.col("low") < F.col("high"))).groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in ("n", "before", "r0", "r1", "rank")])
-    upto = F.col("before") + F.sum("m").over(Window.partitionBy(*key).orderBy("_v"))
-    values = values.withColumn("upto", upto)
+    ranks = sums.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).withColumns({"rank": rank, "r0": F.floor(rank), "r1": F.ceil(rank)})
+    wanted = ranks.where((F.col("upto") > F.col("r0")) & (F.col("upto") - F.col("m") <= F.col("r1")))
+    return wanted.groupBy("_key", "share").agg(*[F.first(c).alias(c) for c in ("n", "values", "rank", "r0", "r1")], F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.col("upto") - F.col("m")).alias("before"))
+
+
+def _ranked(counted: DataFrame, brackets: DataFrame, few: int) -> DataFrame:
+    """The value of each bracket's rank.
+
+    Brackets of groups of many values, which are few, go to their rows by broadcast; the rows of other groups are
+    shuffled.
+    """
+    key, many = ["_key", "share"], F.col("values") > few
+    large, small = brackets.where(many), brackets.where(~many)
+    rest = counted.join(F.broadcast(large.select("_key").distinct()), "_key", "left_anti")
+    inside = F.col("_v").between(F.col("low"), F.col("high"))
+    values = counted.join(F.broadcast(large), "_key").where(inside).unionByName(rest.join(small, "_key").where(inside))
+    values = values.withColumn("upto", F.col("before") + F.sum("m").over(Window.partitionBy(*key).orderBy("_v")))
     pick = lambda r: F.min(F.when(F.col("upto") > F.col(r), F.col("_v")))
     found = values.groupBy(*key).agg(F.first("n").alias("n"), pick("r0").alias("a"), pick("r1").alias("b"), F.first(F.col("rank") - F.col("r0")).alias("part"))
-    return flat.unionByName(found.select(*key, "n", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - F.col("part")) + F.col("b") * F.col("part")).alias("value")))
+    return found.select(*key, "n", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - F.col("part")) + F.col("b") * F.col("part")).alias("value"))
 
 
 def medians(rows: DataFrame, columns: list[str], *by: str, few: int = FEW) -> DataFrame:
