@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arterion.operators.quantiles import quantiles
+
 CONFIDENCE_BINS = ((0.0, 0.3), (0.3, 0.6), (0.6, 0.8), (0.8, 1.0001))
 
 
@@ -55,10 +57,13 @@ def worst(rows: DataFrame, by: str, error: Column, tie: list[str], k: int = 5) -
     return ranked.where(F.col("rank") <= k)
 
 
-def percentiles(columns: dict[str, Column], shares: tuple[float, ...] = (0.5, 0.95)) -> list[Column]:
-    """Linear percentiles by name.  They are exact, as reports compare them; a latency has few distinct values once it
-    is in whole microseconds, which is what is held of a group."""
-    return [F.round(F.percentile(c, q), 4).alias(f"{name}_p{round(q * 100)}") for name, c in columns.items() for q in shares]
+def percentiles(rows: DataFrame, columns: dict[str, Column], *by: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """(by, name_p50, name_p95 ...): linear percentiles of each group by name.  They are exact, as reports compare them,
+    and no task holds a group.  A group without any value has no row."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), c.cast("double").alias("x")) for name, c in columns.items()]))
+    found = quantiles(rows.select(*by, pairs.alias("p")).select(*by, "p.name", "p.x"), "x", shares, *by, "name", nan=True)
+    at = lambda name, q: F.max(F.when((F.col("name") == name) & (F.col("share") == q), F.col("value")))
+    return found.groupBy(*by).agg(*[F.round(at(name, q), 4).alias(f"{name}_p{round(q * 100)}") for name in columns for q in shares])
 
 
 def issue_counts(rows: DataFrame, by: list[str], codes: str) -> DataFrame:
