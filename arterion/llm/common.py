@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager, suppress
 
 import pyarrow as pa
@@ -40,17 +40,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: What this worker process keeps from task to task, by what it was made of.
+_KEPT: dict[Hashable, object] = {}
+
+
+def kept(made_of: Hashable, make: Callable[[], object]) -> object:
+    """``make()``, kept by the worker for as long as its tasks are those of tidied(..., keeps=True)."""
+    if made_of not in _KEPT:
+        _KEPT.clear()  # one thing at a time
+        _KEPT[made_of] = make()
+    return _KEPT[made_of]
+
+
+def _trim() -> None:
+    """Gives back to the system what the pools of this process have free."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def let_go() -> None:
+    """Drops what kept() holds.  By a name of this module, as a function that is sent to a worker has globals of its own."""
+    if _KEPT:
+        _KEPT.clear()
+        _trim()
+
+
+def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``work`` for mapInArrow(), giving memory back at the end of each task: workers live on between tasks, and what
-    their pools keep of one stage would be missing in the next."""
+    their pools keep of one stage would be missing in the next.  What kept() holds goes as well when a task begins
+    that doesn't use it (``keeps``): the same workers serve all operators of a session."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            let_go()
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with suppress(OSError, AttributeError):  # only some C libraries have it
-                ctypes.CDLL(None).malloc_trim(0)
+            _trim()
 
     return run
 

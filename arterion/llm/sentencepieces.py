@@ -24,7 +24,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 from typing import TYPE_CHECKING
 
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterion.llm.common import table, tidied
+from arterion.llm.common import kept, table, tidied
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -72,25 +71,25 @@ class Model:
 
         m = sentencepiece_model_pb2.ModelProto()
         m.ParseFromString(proto)
-        self.pieces = [(p.piece, p.score, p.type) for p in m.pieces]
+        pieces = [(p.piece, p.score, p.type) for p in m.pieces]
         spec, self.charsmap = m.normalizer_spec, m.normalizer_spec.precompiled_charsmap
         self.prefix, self.fold = spec.add_dummy_prefix, spec.remove_extra_whitespaces
         if m.trainer_spec.treat_whitespace_as_suffix or not spec.escape_whitespaces:
             raise ValueError("only models that mark blanks before words are read")
-        unknown = next(k for k, p in enumerate(self.pieces) if p[2] == UNKNOWN)
+        unknown = next(k for k, p in enumerate(pieces) if p[2] == UNKNOWN)
         bytes_too = m.trainer_spec.byte_fallback
         if m.trainer_spec.model_type == 1:
-            core = models.Unigram([(p, s) for p, s, _ in self.pieces], unk_id=unknown, byte_fallback=bytes_too)
+            core = models.Unigram([(p, s) for p, s, _ in pieces], unk_id=unknown, byte_fallback=bytes_too)
         elif m.trainer_spec.model_type == 2:
-            core = models.BPE({p: k for k, (p, _, _) in enumerate(self.pieces)}, merges_of(self.pieces), unk_token=self.pieces[unknown][0], fuse_unk=True, byte_fallback=bytes_too)
+            core = models.BPE({p: k for k, (p, _, _) in enumerate(pieces)}, merges_of(pieces), unk_token=pieces[unknown][0], fuse_unk=True, byte_fallback=bytes_too)
         else:
             raise ValueError("only unigram and BPE models are read")
         self.map = normalizers.Precompiled(self.charsmap) if self.charsmap else None
         #: Segments are normalised before they are cut, so this one has no normaliser; whole() has all of it.
         self.backend = Tokenizer(core)
         # Without byte fallback, unknown characters in a row are one piece, also over a cut.
-        self.cuts = bytes_too and not any(_GLUED.search(p) for p, _, kind in self.pieces if kind not in (UNKNOWN, CONTROL, BYTE))
-        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.pieces]
+        self.cuts = bytes_too and not any(_GLUED.search(p) for p, _, kind in pieces if kind not in (UNKNOWN, CONTROL, BYTE))
+        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in pieces]
         m.normalizer_spec.add_dummy_prefix = m.normalizer_spec.remove_extra_whitespaces = False
         m.normalizer_spec.precompiled_charsmap = b""
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
@@ -166,9 +165,9 @@ class Model:
         return out[1:] if self.prefix and out[:1] == b" " else out
 
 
-@lru_cache(maxsize=2)
 def model_of(proto: bytes, threads: int) -> Model:
-    return Model(proto, threads)
+    """The model, made once for a worker's tasks in a row; some 70 MB of a worker's memory with the segments it knows."""
+    return kept(("sentencepieces", proto, threads), lambda: Model(proto, threads))
 
 
 def encode(rows: DataFrame, proto: bytes, key: str = "doc_id", text: str = "text", threads: int = THREADS, with_ids: bool = True) -> DataFrame:
@@ -208,7 +207,7 @@ def encode(rows: DataFrame, proto: bytes, key: str = "doc_id", text: str = "text
             if texts:
                 yield part(batch.column(0).slice(start, len(texts)), texts)
 
-    return rows.select(key, text).mapInArrow(tidied(work), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_bytes long, round_trip boolean, parity boolean, ids array<int>")
+    return rows.select(key, text).mapInArrow(tidied(work, keeps=True), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_bytes long, round_trip boolean, parity boolean, ids array<int>")
 
 
 def decode(rows: DataFrame, proto: bytes, key: str = "doc_id", ids: str = "ids", threads: int = THREADS) -> DataFrame:
@@ -221,7 +220,7 @@ def decode(rows: DataFrame, proto: bytes, key: str = "doc_id", ids: str = "ids",
             texts = [m.decode(x.as_py() or []).decode("utf-8", "replace") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
 
-    return rows.select(key, F.col(ids).cast("array<int>")).mapInArrow(tidied(work), f"`{key}` {kind}, text string")
+    return rows.select(key, F.col(ids).cast("array<int>")).mapInArrow(tidied(work, keeps=True), f"`{key}` {kind}, text string")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
