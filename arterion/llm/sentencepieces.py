@@ -7,7 +7,8 @@ scores or the merges that piece scores imply, and byte fallback.
 No piece of such a model crosses from another character into a marker, or over
 a line feed, unless the vocabulary says so.  Where it doesn't, a text is cut
 there, each distinct segment is encoded once per worker, in multithreaded
-batches, and a text's ids are the segments' ids in a row.  Each text is also
+batches of segments joined by line feeds, and a text's ids are the segments' ids
+in a row.  Each text is also
 normalised, and each distinct segment encoded, by the sentencepiece library:
 ``parity`` says whether the two agree on the normalised text and on all segments
 of a row.  Models whose pieces do cross, or that join unknown characters in a row
@@ -38,8 +39,9 @@ if TYPE_CHECKING:
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Characters of text that are worked on at a time; segments that a worker remembers, and the characters of each at most.
-CHUNK, REMEMBER, LONGEST = 1 << 18, 100_000, 64
+#: Characters of text that are worked on at a time; segments that a worker remembers, and the characters of each at most;
+#: characters of segments that are joined for encoding, where the next one begins.
+CHUNK, REMEMBER, LONGEST, JOINED = 1 << 18, 100_000, 64, 1000
 THREADS = 2
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|\n+|[^{MARK}\n]+")
 _GLUED = re.compile(f"[^{MARK}]{MARK}|[^\n]\n|\n[^\n]")
@@ -95,6 +97,10 @@ class Model:
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
         self.library = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.threads = threads
+        line = self.backend.encode("\n", add_special_tokens=False).ids
+        #: The one id of a line feed, if segments can be joined by it.  Merges don't depend on what stands beyond a cut;
+        #: sums of unigram scores are rounded, so ties may.
+        self.line = line[0] if self.cuts and len(line) == 1 and m.trainer_spec.model_type == 2 else None
         self.known: dict[str, bytes] = {}
         self.differ: set[str] = set()
 
@@ -125,24 +131,59 @@ class Model:
             return _SEGMENT.findall(normal)
         return [x for x in normal.replace(MARK, "\0" + MARK).replace("\n", "\0\n\0").split("\0") if x]
 
+    def by_both(self, segments: list[str]) -> Iterator[tuple[str, bytes, bool]]:
+        """(segment, its ids as little-endian int32, do the libraries agree) of each, in any order.
+
+        Segments without a line feed are joined by one, as texts may be cut there: a call for each would cost more than
+        its encoding.  Where a line feed's id isn't found just between them, each is encoded by itself.
+        """
+        import numpy as np
+
+        groups: list[list[str]] = []
+        held = JOINED
+        for x in segments:
+            if self.line is None or "\n" in x:
+                groups.append([x])
+                held = JOINED  # nothing is joined to it
+            elif held >= JOINED:
+                groups.append([x])
+                held = len(x)
+            else:
+                groups[-1].append(x)
+                held += len(x)
+        apart: list[list[str]] = []
+        while groups:
+            joined = ["\n".join(x) for x in groups]
+            ours = self.backend.encode_batch_fast(joined, add_special_tokens=False)
+            theirs = self.plain.encode([x.replace(MARK, " ") for x in joined], num_threads=self.threads)
+            for group, a, b in zip(groups, ours, theirs, strict=True):
+                a, b = np.array(a.ids, "<i4"), np.array(b, "<i4")
+                if len(group) == 1:
+                    yield group[0], a.tobytes(), np.array_equal(a, b)
+                    continue
+                (data, ends), (other, theirs_end) = [(x.tobytes(), [*(4 * np.flatnonzero(x == self.line)).tolist(), 4 * len(x)]) for x in (a, b)]
+                if not len(ends) == len(theirs_end) == len(group):
+                    apart += [[x] for x in group]
+                    continue
+                start = begin = 0
+                same = data == other
+                for x, end, stop in zip(group, ends, theirs_end, strict=True):
+                    yield x, data[start:end], same or data[start:end] == other[begin:stop]
+                    start, begin = end + 4, stop + 4
+            groups, apart = apart, []
+
     def learn(self, segments: set[str]) -> tuple[dict[str, bytes], set[str]]:
         """Encodes the segments that are new, by both libraries.  Long ones are not remembered: their ids, and those of
         them on which the libraries differ, are returned."""
-        import numpy as np
-
         if len(self.known) > REMEMBER:
             self.known.clear()
             self.differ.clear()
-        new = [x for x in segments if x not in self.known]
         once, apart = {}, set()
-        if new:
-            ours = self.backend.encode_batch_fast(new, add_special_tokens=False)
-            theirs = self.plain.encode([x.replace(MARK, " ") for x in new], num_threads=self.threads)
-            for x, a, b in zip(new, ours, theirs, strict=True):
-                ids, short = a.ids, len(x) <= LONGEST
-                (self.known if short else once)[x] = np.array(ids, "<i4").tobytes()
-                if ids != b:
-                    (self.differ if short else apart).add(x)
+        for x, ids, same in self.by_both([x for x in segments if x not in self.known]):
+            short = len(x) <= LONGEST
+            (self.known if short else once)[x] = ids
+            if not same:
+                (self.differ if short else apart).add(x)
         return once, apart
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:

@@ -176,6 +176,35 @@ def test_long_segments_are_not_remembered(monkeypatch):
     assert all(len(x) <= sentencepieces.LONGEST for x in m.known)
 
 
+def joined_texts():
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghé日") for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    return [" ".join(words), "\n".join(words), "  ".join(words[:99]) + "\n\n", "<0x0A> a <0x0A>\nb", "x" * 3000 + " y", "\0 z ▁\n▁"]
+
+
+@pytest.mark.parametrize("kind", ["merges", "line feeds elsewhere", "unigram"])
+def test_new_segments_are_encoded_together(kind):
+    """A call for each segment costs more than its encoding; joined ones keep the ids that each has by itself."""
+    m = sentencepieces.Model(unigram_model(True, True, False) if kind == "unigram" else sentencepieces.default_model())
+    given, core = [], m.backend
+
+    class Counting:
+        def encode_batch_fast(self, texts, **how):
+            given.extend(texts)
+            return core.encode_batch_fast(texts, **how)
+
+    m.backend = Counting()
+    new = sorted({s for t in joined_texts() for s in m.segments(m.normalise(t))})
+    if kind == "line feeds elsewhere":
+        m.line = core.encode("a", add_special_tokens=False).ids[0]
+    got = {x: (np.frombuffer(ids, "<i4").tolist(), same) for x, ids, same in m.by_both(new)}
+    by_one = {x: (core.encode(x, add_special_tokens=False).ids, m.plain.encode(x.replace("▁", " "))) for x in new}
+    assert got == {x: (a, a == b) for x, (a, b) in by_one.items()}
+    if kind == "merges":
+        assert len(given) < len(new) / 10
+        assert all(np.frombuffer(ids, "<i4").tolist() == m.library.encode(t) and ok for t, (ids, ok) in zip(joined_texts(), m.encode(joined_texts()), strict=True))
+
+
 # --- n-gram Jaccard
 
 
