@@ -100,16 +100,42 @@ def lean(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def trim_driver(spark: SparkSession) -> str:
+    """Has the driver's JVM give back to the system what its native pools have free, as jcmd's System.trim_native_heap
+    does; its answer, empty if this JVM has no such command.  By reflection, as py4j reaches exported classes alone."""
+    from py4j.protocol import Py4JError
+
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    kinds, given = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    try:
+        for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = jvm.java.lang.Class.forName(name)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given) or ""
+    except Py4JError:
+        return ""
+
+
+def tidy_driver(spark: SparkSession) -> None:
+    """Lets the driver go of the plans of earlier tables, each of which holds its whole lineage until both garbage
+    collectors have seen it, and of native memory: compiling code for many plans leaves well over 100 MB of it free in
+    the pools of the JVM's threads, which no later stage of a session may need."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    trim_driver(spark)
+
+
 class Scratch:
     """Intermediate tables in the shared folder, which survive the loss of any executor; each can be deleted once it
     isn't read any more, and close() deletes all but the named ones."""
 
-    #: After so many tables the driver lets go of the plans of earlier ones: each holds its whole lineage until both
-    #: garbage collectors have seen it.
-    TIDY = 4
+    #: After so many tables, of all of these objects together, the driver is tidied.
+    TIDY = 2
+    made = 0
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths, self.kept = spark, {}, 0
+        self.spark, self.paths = spark, {}
 
     def keep(self, df: DataFrame, what: str) -> DataFrame:
         """``df`` written and read again."""
@@ -118,10 +144,9 @@ class Scratch:
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
-        self.kept += 1
-        if self.kept % self.TIDY == 0:
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
+        Scratch.made += 1
+        if Scratch.made % self.TIDY == 0:
+            tidy_driver(self.spark)
         return out
 
     def drop(self, *tables: DataFrame) -> None:

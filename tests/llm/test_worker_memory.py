@@ -1,10 +1,10 @@
-"""Workers keep a model from task to task only while their tasks use it."""
+"""Workers keep a model from task to task only while their tasks use it; the driver gives back what it doesn't need."""
 
 import os
 
 import pyarrow as pa
 
-from arterion.llm import line_dedup, sentencepieces, toxicity
+from arterion.llm import common, line_dedup, sentencepieces, toxicity
 from arterion.llm.common import let_go, tidied
 
 
@@ -41,3 +41,16 @@ def test_workers_have_no_model_after_another_operator(spark):
     toxicity.keep_clean(docs, toxicity.Lexicon(words={"own": 1.0}, stems={})).write.format("noop").mode("overwrite").save()
     line_dedup.drop_frequent_lines(docs).write.format("noop").mode("overwrite").save()
     assert sum(models().values()) < sum(before.values())
+
+
+def test_the_driver_is_tidied_after_tables_of_all_operators_together(spark, monkeypatch):
+    """Stages with fewer tables than it takes, and results, count too."""
+    tidied_at = []
+    monkeypatch.setattr(common, "tidy_driver", tidied_at.append)
+    for _ in range(2 * common.Scratch.TIDY):
+        common.stash(spark, spark.range(3), "small")
+    assert tidied_at == [spark, spark]
+
+
+def test_the_jvm_gives_native_memory_back(spark):
+    assert "Trim native heap" in common.trim_driver(spark)
